@@ -1 +1,278 @@
-"""."""
+"""Queries for the checkpoint pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import checkpoints as K
+from tidemark.operators import cleaning as C
+from tidemark.operators import timeline as T
+from tidemark.plans.fixtures import (CLOCK, FAMILIES, analyte, axis, checkpoint_grid, full_grid, r, rounded, series, shifted, stays, table, with_ctes)
+from tidemark.plans.registry import query
+
+
+@query("C1_anchor_hours", f"""
+    WITH m AS (SELECT user_id AS entity, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 6e7 AS mins FROM events), a AS (SELECT entity, min(mins) AS anchor FROM m GROUP BY 1)
+    SELECT entity, {r('(mins - anchor) / 60')} AS hr FROM m JOIN a USING (entity)""")
+def anchor(spark, sf):
+    s = series(spark, sf).select("entity", (F.col("hr") * 60.0).alias("mins"))
+    cohort = s.groupBy("entity").agg(F.min("mins").alias("anchor"))
+    return rounded(K.anchor_hours(s, cohort, "entity", "mins", "anchor").select("entity", "hr"))
+
+
+@query("C2_baseline", with_ctes("SELECT entity, base, branch FROM bases", "bases"))
+def baseline(spark, sf):
+    return K.baseline(analyte(spark, sf), ["entity"], clock=CLOCK)
+
+
+@query("C3_prevalent", with_ctes("SELECT entity, base, branch, prevalent FROM prev", "prev"))
+def prevalent(spark, sf):
+    s = analyte(spark, sf)
+    return K.prevalent(s, K.baseline(s, ["entity"], clock=CLOCK), ["entity"], clock=CLOCK)
+
+
+@query("C4_onset_raw", with_ctes(f"SELECT entity, ok AS evaluable, CASE WHEN ok = 1 AND ev IS NULL AND at_start = 1 THEN 1 ELSE 0 END AS carried_in, {r('CASE WHEN ok = 1 THEN ev END')} AS event_hr FROM evidence WHERE c = 'full'", "evidence"))
+def onset_raw(spark, sf):
+    s = analyte(spark, sf)
+    return rounded(K.onset_raw(s, K.baseline(s, ["entity"], clock=CLOCK), ["entity"], clock=CLOCK))
+
+
+@query("C5_onset_bin", with_ctes("""
+    WITH b AS (SELECT entity, floor(hr / 24) * 24 AS bin_hr, max(val) AS m FROM analyte WHERE hr >= 0 AND hr <= 672 GROUP BY 1, 2),
+         x AS (SELECT *, m - min(m) OVER (PARTITION BY entity ORDER BY bin_hr RANGE BETWEEN 168 PRECEDING AND CURRENT ROW) AS rise FROM b)
+    SELECT entity, min(CASE WHEN bin_hr >= 168 AND (m / base >= 20 OR rise >= 150) THEN bin_hr END) AS onset_hr FROM x JOIN bases USING (entity) GROUP BY 1""", "analyte", "bases"))
+def onset_bin(spark, sf):
+    s = analyte(spark, sf)
+    return K.onset_bin(s, K.baseline(s, ["entity"], clock=CLOCK), ["entity"], clock=CLOCK)
+
+
+@query("C6_onset_rate", with_ctes("""
+    WITH h AS (SELECT entity, CAST(floor(hr) AS INT) AS hour, arg_max(val, (hr, val)) AS v FROM series WHERE fam = 'click' AND hr < 672 GROUP BY 1, 2),
+         b AS (SELECT entity, hour // 24 AS bucket, sum(v) AS total, count(*) AS cover FROM h GROUP BY 1, 2)
+    SELECT entity, min(CASE WHEN cover >= 2 AND total / 48 < 0.5 AND bucket >= 7 THEN bucket * 24.0::DOUBLE END) AS rate_onset_hr, max((cover >= 2 AND total / 48 < 0.5 AND bucket < 7)::INT) AS rate_prevalent FROM b GROUP BY 1""", "series"))
+def onset_rate(spark, sf):
+    b = T.covered_buckets(series(spark, sf).filter("fam = 'click'"), ["entity"], hours=24, min_cover=2, limit=672, clip=False)
+    return K.onset_rate(b, ["entity"], F.col("total") / 48.0, 0.5, 7)
+
+
+@query("C7_combined_onset", with_ctes("SELECT entity, least(min(CASE WHEN fam = 'purchase' AND val > 150 THEN floor(hr) END), min(CASE WHEN fam = 'view' AND val > 150 THEN floor(hr) END)) AS onset_hr FROM series GROUP BY 1", "series"))
+def combined(spark, sf):
+    def first(f):
+        return F.min(F.when((F.col("fam") == f) & (F.col("val") > 150), F.floor("hr").cast("double")))
+
+    per = series(spark, sf).groupBy("entity").agg(first("purchase").alias("a"), first("view").alias("b"))
+    return per.select("entity", F.least("a", "b").alias("onset_hr"))
+
+
+@query("C8_intervention", with_ctes(f"SELECT entity, {r('stop_hr')} AS stop_hr, CASE WHEN stop_hr <= 168 THEN 'exclude' WHEN stop_hr <= 672 THEN 'truncate' ELSE 'after' END AS effect FROM stops", "stops"))
+def intervention(spark, sf):
+    first = K.first_intervention(shifted(spark, sf).filter("fam = 'error' AND val > 150"), ["entity"])
+    s = F.col("stop_hr")
+    return rounded(first.withColumn("effect", F.when(s <= CLOCK.start, "exclude").when(s <= CLOCK.end, "truncate").otherwise("after")))
+
+
+@query("C9_event_axis", with_ctes(f"SELECT entity, {r('base')} AS base, branch, prevalent, status, {r('stop_hr')} AS stop_hr, {r('onset_hr')} AS onset_hr FROM axis", "axis"))
+def event_axis(spark, sf):
+    return rounded(axis(spark, sf).select("entity", "base", "branch", "prevalent", "status", "stop_hr", "onset_hr"))
+
+
+@query("C9_truncated_status", with_ctes("SELECT CASE WHEN status = 'no_event' AND stop_hr <= 672 THEN 'truncated' ELSE status END AS status, count(*) AS n FROM axis GROUP BY 1", "axis"))
+def truncated(spark, sf):
+    stops = shifted(spark, sf).filter("fam = 'error' AND val > 150")
+    ax = K.event_axis(stays(spark, sf), analyte(spark, sf), ["entity"], stops, clock=CLOCK, mark_truncated=True)
+    return ax.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("C10_grid", with_ctes("SELECT entity, t_hr FROM cgrid", "cgrid"))
+def grid(spark, sf):
+    return checkpoint_grid(spark, sf).select("entity", "t_hr")
+
+
+@query("C10_grid_with_onset", with_ctes("""
+    WITH g AS (SELECT *, unnest(generate_series(0, CAST(floor((least(los_h - 24, 672) - 168) / 24 + 1e-9) AS INT))) * 24.0::DOUBLE + 168 AS t_hr FROM axis WHERE status IN ('event', 'no_event') AND least(los_h - 24, 672) >= 168)
+    SELECT entity, t_hr FROM g WHERE (onset_hr IS NULL OR t_hr <= ceil(onset_hr / 24) * 24) AND (stop_hr IS NULL OR t_hr < stop_hr)""", "axis"))
+def grid_onset(spark, sf):
+    ax = K.at_risk(axis(spark, sf)).withColumn("onset_hr", F.ceil(F.col("onset_hr") / 24.0) * 24.0)
+    return K.grid(ax, clock=CLOCK, include_onset=True).select("entity", "t_hr")
+
+
+@query("C11_horizon_label", with_ctes("SELECT entity, t_hr, label FROM cgrid", "cgrid"))
+def label(spark, sf):
+    return checkpoint_grid(spark, sf).select("entity", "t_hr", "label")
+
+
+def stage_sql(include_current: bool = True, legacy: bool = False) -> str:
+    frm = "CURRENT ROW" if include_current else "1 FOLLOWING"
+    third = "fo >= 3 OR f >= 100" if legacy else "fo >= 3 OR (f >= 100 AND one)"
+    return with_ctes(f"""
+    WITH b AS (SELECT entity, floor(hr / 24) * 24 AS t_hr, max(val) AS v FROM analyte GROUP BY 1, 2),
+         w AS (SELECT g.entity, g.t_hr, base, max(v) OVER (PARTITION BY g.entity ORDER BY g.t_hr ROWS BETWEEN {frm} AND 8 FOLLOWING) AS f FROM cgrid g LEFT JOIN b ON g.entity = b.entity AND g.t_hr = b.t_hr),
+         x AS (SELECT *, f / greatest(base, 0.1) AS fo, coalesce(f / greatest(base, 0.1) >= 20 OR f - base >= 150, false) AS one FROM w),
+         y AS (SELECT *, CASE WHEN f IS NULL THEN 0 WHEN {third} THEN 3 WHEN fo >= 2 THEN 2 WHEN one THEN 1 ELSE 0 END AS stage FROM x)
+    SELECT entity, t_hr, {r('f')} AS forward, stage, (stage >= 1)::INT AS ge1, (stage >= 2)::INT AS ge2, (stage >= 3)::INT AS ge3 FROM y""", "analyte", "cgrid")
+
+
+def stages(spark, sf, **kw):
+    g = checkpoint_grid(spark, sf).select("entity", "t_hr", "base")
+    out = K.stage_labels(g, analyte(spark, sf), ["entity"], clock=CLOCK, high=100.0, **kw)
+    return rounded(out.drop("base"))
+
+
+@query("C12_stage_labels", stage_sql())
+def stage_labels(spark, sf):
+    return stages(spark, sf)
+
+
+@query("C13_legacy_stage", stage_sql(legacy=True))
+def legacy_stage(spark, sf):
+    return stages(spark, sf, legacy=True)
+
+
+@query("C13_future_stage", stage_sql(include_current=False))
+def future_stage(spark, sf):
+    return stages(spark, sf, include_current=False)
+
+
+def window_sql(width: int, suffix: str = "") -> str:
+    return (f"SELECT g.entity, g.t_hr, s.fam, arg_max(val, (hr, val)) AS last{suffix}, min(val) AS min, max(val) AS max, arg_max(val, (hr, val)) - arg_min(val, (hr, val)) AS delta{suffix}, "
+            f"CASE WHEN count(*) >= 2 AND max(hr) > min(hr) THEN regr_slope(val, hr) ELSE 0.0::DOUBLE END AS slope{suffix}, count(*) AS n, g.t_hr - max(hr) AS h_last, stddev_samp(val) AS sd{suffix}, "
+            f"CASE WHEN abs(avg(val)) > 1e-9 THEN stddev_samp(val) / abs(avg(val)) END AS cv FROM full_grid g JOIN series s ON g.entity = s.entity AND hr > g.t_hr - {width} AND hr <= g.t_hr GROUP BY 1, 2, 3")
+
+
+_STATS = ", ".join(f"{r(c, 4)} AS {c}" for c in ("last", "min", "max", "delta", "slope", "h_last", "sd", "cv"))
+
+
+@query("C14_window_features", with_ctes(f"SELECT entity, t_hr, fam, n, {_STATS} FROM ({window_sql(72)})", "series", "full_grid"))
+def window_features(spark, sf):
+    out = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], FAMILIES, 72.0, CLOCK, locf=False)
+    return rounded(out.filter(F.col("n").isNotNull()), 4)
+
+
+@query("C14_any_width", with_ctes(f"SELECT entity, t_hr, fam, n, {_STATS} FROM ({window_sql(50)})", "series", "full_grid"))
+def any_width(spark, sf):
+    return rounded(K.window_features_exact(full_grid(spark, sf), series(spark, sf), ["entity"], 50.0), 4)
+
+
+@query("C14_wide_table", with_ctes(f"""
+    WITH w AS ({window_sql(72)})
+    SELECT g.entity, g.t_hr, {', '.join(f"{r(f'max(CASE WHEN fam = {chr(39)}{f}{chr(39)} THEN {s} END)', 4)} AS {f}_{s}" for f in FAMILIES for s in ('last', 'slope', 'cv'))}
+    FROM full_grid g LEFT JOIN w ON g.entity = w.entity AND g.t_hr = w.t_hr GROUP BY 1, 2""", "series", "full_grid"))
+def wide_table(spark, sf):
+    long = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], FAMILIES, 72.0, CLOCK, locf=False)
+    return rounded(K.widen(long, ["entity"], FAMILIES, ["last", "slope", "cv"]), 4)
+
+
+@query("C15_locf", with_ctes(f"""
+    WITH g AS (SELECT entity, t_hr, fam FROM full_grid, (SELECT DISTINCT fam FROM series))
+    SELECT g.entity, g.t_hr, g.fam, s.val AS locf, {r('g.t_hr - s.hr', 4)} AS locf_age FROM g ASOF LEFT JOIN series s ON g.entity = s.entity AND g.fam = s.fam AND g.t_hr >= s.hr""", "series", "full_grid"))
+def locf(spark, sf):
+    out = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], FAMILIES, 24.0, CLOCK)
+    return rounded(out.select("entity", "t_hr", "fam", "locf", "locf_age"), 4)
+
+
+@query("C16_wide_window", with_ctes(f"SELECT entity, t_hr, fam, {r('last48', 4)} AS last48, {r('delta48', 4)} AS delta48, {r('slope48', 4)} AS slope48, {r('sd48', 4)} AS sd48 FROM ({window_sql(168, '48')}) WHERE fam IN ('view', 'error')", "series", "full_grid"))
+def wide_window(spark, sf):
+    out = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], ["view", "error"], 72.0, CLOCK, wide_width=168.0, locf=False)
+    return rounded(out.select("entity", "t_hr", "fam", "last48", "delta48", "slope48", "sd48").filter(F.col("last48").isNotNull()), 4)
+
+
+@query("C17_versus_baseline", with_ctes(f"""
+    WITH w AS (SELECT g.entity, g.t_hr, arg_max(val, (hr, val)) AS last FROM cgrid g JOIN analyte s ON g.entity = s.entity AND hr > g.t_hr - 72 AND hr <= g.t_hr GROUP BY 1, 2)
+    SELECT g.entity, g.t_hr, {r('last / base', 4)} AS x_ratio_base, {r('last - base', 4)} AS x_delta_base FROM cgrid g LEFT JOIN w ON g.entity = w.entity AND g.t_hr = w.t_hr""", "analyte", "cgrid"))
+def versus_baseline(spark, sf):
+    g = checkpoint_grid(spark, sf)
+    s = analyte(spark, sf).withColumn("fam", F.lit("x"))
+    w = K.window_features(g, s, ["entity"], ["x"], 72.0, CLOCK, locf=False).select("entity", "t_hr", "last")
+    return rounded(g.join(w, ["entity", "t_hr"], "left").select("entity", "t_hr", *K.versus_base("last", "base", "x")), 4)
+
+
+@query("C18_event_counts", with_ctes("""
+    WITH g AS (SELECT entity, t_hr, unnest(['error', 'signup']) AS fam FROM full_grid)
+    SELECT g.entity, g.t_hr, g.fam, count(CASE WHEN s.hr > g.t_hr - 72 THEN 1 END) AS n, (count(CASE WHEN s.hr > g.t_hr - 72 THEN 1 END) > 0)::INT AS "any", (count(s.hr) > 0)::INT AS ever
+    FROM g LEFT JOIN series s ON g.entity = s.entity AND g.fam = s.fam AND s.hr <= g.t_hr GROUP BY 1, 2, 3""", "series", "full_grid"))
+def event_counts(spark, sf):
+    return K.event_counts(full_grid(spark, sf), series(spark, sf), ["entity"], ["error", "signup"], 72.0, CLOCK)
+
+
+@query("C19_rates_and_balance", with_ctes(f"""
+    WITH w AS (SELECT g.entity, g.t_hr, 31.7::DOUBLE + g.entity % 60 AS weight, sum(CASE WHEN fam = 'view' AND hr > g.t_hr - 24 THEN val END) AS a24, sum(CASE WHEN fam = 'view' AND hr > g.t_hr - 72 THEN val END) AS a72,
+                 coalesce(sum(CASE WHEN fam = 'view' THEN val END), 0) AS o, coalesce(sum(CASE WHEN fam = 'click' THEN val END), 0) AS i FROM full_grid g LEFT JOIN series s ON g.entity = s.entity AND hr <= g.t_hr GROUP BY 1, 2, 3)
+    SELECT entity, t_hr, {r('a24 / (24 * weight)')} AS rate_24, {r('a72 / (72 * weight)')} AS rate_72, {r('(i - o) / weight')} AS balance FROM w""", "series", "full_grid"))
+def rates(spark, sf):
+    sums = K.windowed_sums(full_grid(spark, sf), series(spark, sf), ["entity"], ["view", "click"], (24.0, 72.0), CLOCK)
+    wide = K.widen(sums, ["entity"], ["view", "click"], ["sum_24", "sum_72", "sum_ever"]).withColumn("weight", F.lit(31.7) + F.col("entity") % 60)
+    return rounded(wide.select("entity", "t_hr", K.rate_per_weight("view_sum_24", 24, "weight").alias("rate_24"), K.rate_per_weight("view_sum_72", 72, "weight").alias("rate_72"),
+                               K.net_balance("click_sum_ever", "view_sum_ever", "weight").alias("balance")))
+
+
+@query("C20_static_covariates", with_ctes("SELECT entity, t_hr, c_acctbal AS covariate, (c_mktsegment = 'BUILDING')::INT AS flag FROM full_grid JOIN customer ON entity = c_custkey", "full_grid"))
+def static(spark, sf):
+    cu = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_acctbal").alias("covariate"), F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0).alias("flag"))
+    return full_grid(spark, sf).join(cu, "entity").select("entity", "t_hr", "covariate", "flag")
+
+
+@query("C21_merged_feeds", with_ctes(f"SELECT g.entity, g.t_hr, count(*) AS n, arg_max(val, (hr, val)) AS last, min(val) AS min FROM full_grid g JOIN series s ON g.entity = s.entity AND fam IN ('view', 'click') AND hr > g.t_hr - 48 AND hr <= g.t_hr GROUP BY 1, 2", "series", "full_grid"))
+def merged(spark, sf):
+    s = series(spark, sf)
+    both = C.merge_feeds(s.filter("fam = 'view'"), s.filter("fam = 'click'")).withColumn("fam", F.lit("x"))
+    out = K.window_features(full_grid(spark, sf), both, ["entity"], ["x"], 48.0, CLOCK, locf=False)
+    return out.filter(F.col("n").isNotNull()).select("entity", "t_hr", "n", "last", "min")
+
+
+@query("C22_coverage", with_ctes(f"""
+    WITH w AS (SELECT g.entity, g.t_hr, count(CASE WHEN fam = 'view' THEN 1 END) AS a, count(CASE WHEN fam = 'click' THEN 1 END) AS b FROM full_grid g LEFT JOIN series s ON g.entity = s.entity AND hr > g.t_hr - 24 AND hr <= g.t_hr GROUP BY 1, 2),
+         c AS (SELECT 'view_last' AS "column", avg((a > 0)::INT) AS v FROM w UNION ALL SELECT 'click_last', avg((b > 0)::INT) FROM w UNION ALL SELECT 'absent_last', NULL)
+    SELECT "column", {r('v')} AS coverage, CASE WHEN v IS NULL THEN 'missing' WHEN v < 0.5 THEN 'low' ELSE 'ok' END AS status FROM c""", "series", "full_grid"))
+def coverage(spark, sf):
+    long = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], ["view", "click"], 24.0, CLOCK, locf=False)
+    return rounded(K.coverage(K.widen(long, ["entity"], ["view", "click"], ["last"]), ["view_last", "click_last", "absent_last"]))
+
+
+@query("C23_visibility", with_ctes(f"""
+    SELECT CASE WHEN t_hr + 168 <= least(los_h, 672) THEN 'complete' WHEN t_hr > los_h - 168 THEN 'los_truncated' ELSE 'window_capped' END AS visibility, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives,
+    {r('avg(label)')} AS rate FROM cgrid GROUP BY 1""", "cgrid"))
+def visibility(spark, sf):
+    g = checkpoint_grid(spark, sf).withColumn("visibility", K.visibility(clock=CLOCK))
+    return rounded(g.groupBy("visibility").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg("label").alias("rate")))
+
+
+_SUB = "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'dual' WHEN a IS NOT NULL THEN 'a_only' WHEN b IS NOT NULL THEN 'b_only' ELSE 'none' END"
+
+
+def two_onsets(spark, sf):
+    def first(f):
+        return F.min(F.when((F.col("fam") == f) & (F.col("val") > 150) & (F.col("hr") > 168), F.col("hr")))
+
+    return series(spark, sf).groupBy("entity").agg(first("purchase").alias("a"), first("view").alias("b"))
+
+
+TWO_ONSETS = "SELECT entity, min(CASE WHEN fam = 'purchase' AND val > 150 AND hr > 168 THEN hr END) AS a, min(CASE WHEN fam = 'view' AND val > 150 AND hr > 168 THEN hr END) AS b FROM series GROUP BY 1"
+
+
+@query("C24_event_subtype", with_ctes(f"SELECT {_SUB} AS subtype, count(*) AS n FROM ({TWO_ONSETS}) GROUP BY 1", "series"))
+def subtype(spark, sf):
+    return two_onsets(spark, sf).groupBy(K.event_subtype("a", "b").alias("subtype")).agg(F.count("*").alias("n"))
+
+
+@query("C25_rebuild_gate", with_ctes(f"SELECT count(*) AS n, CAST(sum(bad) AS BIGINT) AS mismatches, {r('avg(bad)')} AS rate, (avg(bad) <= 0.005)::INT AS ok FROM (SELECT ((a IS NULL) <> (b IS NULL) OR coalesce(abs(a - b) > 1e-9, false))::INT AS bad FROM ({TWO_ONSETS}))", "series"))
+def rebuild(spark, sf):
+    two = two_onsets(spark, sf)
+    return rounded(K.rebuild_mismatch(two.select("entity", F.col("a").alias("onset")), two.select("entity", F.col("b").alias("onset")), ["entity"], "onset"))
+
+
+@query("C26_evaluability", with_ctes("""
+    WITH w AS (SELECT g.entity, g.t_hr, label, count(hr) AS k FROM cgrid g LEFT JOIN analyte s ON g.entity = s.entity AND hr > g.t_hr - 48 AND hr <= g.t_hr GROUP BY 1, 2, 3),
+         e AS (SELECT entity, count(*) AS n, sum((k = 0)::INT) AS m, sum((k = 0 AND label = 1)::INT) AS p FROM w GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS n_missing, CAST(sum(p) AS BIGINT) AS n_missing_positive, CAST(sum((n = m)::INT) AS BIGINT) AS entities_without FROM e""", "analyte", "cgrid"))
+def evaluability(spark, sf):
+    g = checkpoint_grid(spark, sf)
+    w = K.window_features(g, analyte(spark, sf).withColumn("fam", F.lit("x")), ["entity"], ["x"], 48.0, CLOCK, locf=False).select("entity", "t_hr", "last")
+    return K.evaluability(g.join(w, ["entity", "t_hr"], "left"), ["entity"], "last", "label")
+
+
+@query("C27_grid_audit", with_ctes("""
+    WITH e AS (SELECT entity, count(*) AS n, max(t_hr) AS l, min(onset_hr) AS o, sum((label = 1 AND t_hr >= onset_hr)::INT) AS a FROM cgrid GROUP BY 1)
+    SELECT count(*) AS entities, CAST(sum(n) AS BIGINT) AS checkpoints, min(n) AS min_n, quantile_cont(n, 0.5) AS median_n, max(n) AS max_n, count(o) AS with_onset,
+      quantile_cont(floor((o - l) / 6) * 6, 0.5) AS median_gap, CAST(sum(coalesce(a, 0)) AS BIGINT) AS positive_after_onset FROM e""", "cgrid"))
+def grid_audit(spark, sf):
+    return K.grid_audit(checkpoint_grid(spark, sf), ["entity"])

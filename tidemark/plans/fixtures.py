@@ -13,7 +13,7 @@ from tidemark.functions.numeric import hours_between, sigmoid
 from tidemark.operators import checkpoints as K
 
 EPOCH = datetime.datetime(2024, 1, 1)
-CLOCK = K.Clock(start=168.0, step=24.0, end=672.0, lead_out=24.0, horizon=168.0, fold=8.0, rise=120.0, back=168.0, carry=336.0)
+CLOCK = K.Clock(start=168.0, step=24.0, end=672.0, lead_out=24.0, horizon=168.0, fold=20.0, rise=150.0, back=168.0, carry=336.0)
 FAMILIES = ("click", "error", "purchase", "signup", "view")
 THRESHOLDS = (0.15, 0.25, 0.35)
 LAYER = (-0.3, 0.8)
@@ -50,9 +50,28 @@ def stays(spark: SparkSession, sf: str) -> DataFrame:
     return series(spark, sf).groupBy("entity").agg(F.max("hr").alias("los_h"))
 
 
+SHIFT = 120.0
+
+
+def shifted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same series with the anchor five days later, so that history before the anchor exists."""
+    return series(spark, sf).withColumn("hr", F.col("hr") - SHIFT)
+
+
+def analyte(spark: SparkSession, sf: str) -> DataFrame:
+    return shifted(spark, sf).filter("fam = 'purchase'").select("entity", "hr", "val")
+
+
 def axis(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark, sf)
-    return K.event_axis(stays(spark, sf), s.filter("fam = 'purchase'"), ["entity"], s.filter("fam = 'error' AND val > 250"), clock=CLOCK)
+    stay = stays(spark, sf).withColumn("los_h", F.col("los_h") - SHIFT)
+    stops = shifted(spark, sf).filter("fam = 'error' AND val > 150")
+    return K.event_axis(stay, analyte(spark, sf), ["entity"], stops, clock=CLOCK)
+
+
+def checkpoint_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """At-risk checkpoints with baseline, onset and horizon label."""
+    g = K.grid(K.at_risk(axis(spark, sf)), clock=CLOCK)
+    return g.select("entity", "t_hr", "los_h", "base", "onset_hr", K.horizon_label(horizon=CLOCK.horizon).alias("label"))
 
 
 def full_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,6 +131,37 @@ CTE = {
     "full_grid": (
         "SELECT entity, los_h, unnest(generate_series(0, CAST(floor((least(los_h - 24, 672) - 168) / 24 + 1e-9) AS INT))) * 24.0::DOUBLE + 168 AS t_hr "
         "FROM stays WHERE least(los_h - 24, 672) >= 168", ("stays",)),
+    "analyte": ("SELECT entity, hr - 120.0::DOUBLE AS hr, val FROM series WHERE fam = 'purchase'", ("series",)),
+    "risen": (
+        "SELECT entity, hr, val, val - min(val) OVER (PARTITION BY entity ORDER BY hr RANGE BETWEEN 168 PRECEDING AND CURRENT ROW) AS rise FROM analyte", ("analyte",)),
+    "bases": (
+        "SELECT entity, coalesce(min(val) FILTER (hr BETWEEN 0 AND 168), min(val) FILTER (hr < 0)) AS base, CASE WHEN count(val) FILTER (hr BETWEEN 0 AND 168) > 0 THEN 'window' "
+        "WHEN count(val) FILTER (hr < 0) > 0 THEN 'before' ELSE 'none' END AS branch FROM analyte GROUP BY 1", ("analyte",)),
+    "early": (
+        "SELECT entity, max(val) AS mx, max(rise) AS mr FROM (SELECT entity, val, val - min(val) OVER (PARTITION BY entity ORDER BY hr RANGE BETWEEN 168 PRECEDING AND CURRENT ROW) AS rise "
+        "FROM analyte WHERE hr BETWEEN 0 AND 168) GROUP BY 1", ("analyte",)),
+    "prev": (
+        "SELECT entity, base, branch, CASE WHEN base IS NOT NULL AND mx IS NOT NULL THEN CASE WHEN mx / base >= 20 OR mr >= 150 THEN 1 ELSE 0 END END AS prevalent FROM bases LEFT JOIN early USING (entity)",
+        ("bases", "early")),
+    "stops": ("SELECT entity, min(hr - 120.0::DOUBLE) AS stop_hr FROM series WHERE fam = 'error' AND val > 150 GROUP BY 1", ("series",)),
+    "evidence": (
+        "SELECT r.entity, c, max((base IS NOT NULL AND e > 168 AND hr + 336 > 168 AND hr < e)::INT) AS ok, "
+        "min(least(CASE WHEN base IS NOT NULL AND e > 168 AND hr + 336 > 168 AND hr < e AND val >= 20 * base AND greatest(hr, 168) > 168 THEN greatest(hr, 168) END, "
+        "CASE WHEN base IS NOT NULL AND e > 168 AND rise >= 150 AND greatest(hr, 168) > 168 AND greatest(hr, 168) < e THEN greatest(hr, 168) END)) AS ev, "
+        "max((base IS NOT NULL AND e > 168 AND hr + 336 > 168 AND hr < e AND val >= 20 * base AND greatest(hr, 168) = 168)::INT) AS at_start "
+        "FROM risen r JOIN (SELECT entity, base, 'full' AS c, 672.0::DOUBLE AS e FROM bases UNION ALL SELECT entity, base, 'cut', CASE WHEN stop_hr <= 672 THEN stop_hr ELSE 672 END "
+        "FROM bases LEFT JOIN stops USING (entity)) b USING (entity) GROUP BY 1, 2", ("risen", "bases", "stops")),
+    "axis": (
+        "SELECT *, CASE WHEN status IN ('event', 'no_event') THEN cut_ev END AS onset_hr FROM (SELECT entity, los_h - 120.0::DOUBLE AS los_h, base, branch, prevalent, stop_hr, x.ev AS cut_ev, "
+        "CASE WHEN p.entity IS NULL THEN 'no_series' WHEN base IS NULL OR prevalent IS NULL OR prevalent = 1 THEN 'prevalent_or_no_base' WHEN coalesce(f.ok, 0) = 0 THEN 'no_evidence' "
+        "WHEN f.ok = 1 AND f.ev IS NULL AND f.at_start = 1 THEN 'carried_in' WHEN stop_hr <= 168 THEN 'stopped_before' "
+        "WHEN x.ok = 0 OR (x.ok = 1 AND x.ev IS NULL AND x.at_start = 1) THEN 'stop_censored' WHEN x.ok = 1 AND x.ev IS NOT NULL THEN 'event' ELSE 'no_event' END AS status "
+        "FROM stays LEFT JOIN prev p USING (entity) LEFT JOIN stops USING (entity) LEFT JOIN (SELECT * FROM evidence WHERE c = 'full') f USING (entity) "
+        "LEFT JOIN (SELECT * FROM evidence WHERE c = 'cut') x USING (entity))", ("stays", "prev", "stops", "evidence")),
+    "cgrid": (
+        "SELECT entity, t_hr, los_h, base, onset_hr, CASE WHEN onset_hr - t_hr > 0 AND onset_hr - t_hr <= 168 THEN 1 ELSE 0 END AS label FROM (SELECT *, "
+        "unnest(generate_series(0, CAST(floor((least(los_h - 24, 672) - 168) / 24 + 1e-9) AS INT))) * 24.0::DOUBLE + 168 AS t_hr FROM axis "
+        "WHERE status IN ('event', 'no_event') AND least(los_h - 24, 672) >= 168) WHERE (onset_hr IS NULL OR t_hr < onset_hr) AND (stop_hr IS NULL OR t_hr < stop_hr)", ("axis",)),
     "pred": (
         f"SELECT l_orderkey AS entity, 18.0::DOUBLE + 6.0::DOUBLE * l_linenumber AS t_hr, max((l_returnflag = 'R')::INT) AS y, "
         f"max((l_returnflag = 'R' AND l_linestatus = 'F')::INT) AS ge2, max((l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 30)::INT) AS ge3, "
