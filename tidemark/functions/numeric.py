@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MASK32 = 0xFFFFFFFF
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -95,21 +93,13 @@ def hashed_uniform(*parts, seed: int = 42) -> Column:
     return hash32(*parts, seed=seed) / F.lit(4294967296.0)
 
 
-# Fixed values of the integer mixer used for bootstrap draws.
-MIX_STEP = 0x9E3779B9
-MIX_MUL_1 = 0x7FEB352D
-MIX_MUL_2 = 0x31848BAB
-
+def draw_hash(base: Column, replicate: Column) -> Column:
+    """32-bit hash of an entity hash and a replicate number, by the engine's own generated Murmur3 code.
 
-def mix32(base: Column, replicate: Column) -> Column:
-    """Cheap 32-bit mix of an entity hash and a replicate number: xor-shift, multiply, repeat."""
-    mask = F.lit(MASK32)
-    x = (base + replicate * F.lit(MIX_STEP)).bitwiseAND(mask)
-    for mul, down in ((MIX_MUL_1, 15), (MIX_MUL_2, 16)):
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-        x = (x * F.lit(mul)).bitwiseAND(mask)
-        x = x.bitwiseXOR(F.shiftright(x, down))
-    return x
+    Both numbers share one long (replicate in the upper half), so other engines need one round of the same function.
+    """
+    packed = base + replicate.cast("bigint") * F.lit(4294967296)
+    return F.pmod(F.hash(packed).cast("bigint"), F.lit(4294967296))
 
 
 # floor(2^32 * P(Poisson(1) <= k)) for k = 0..9.
@@ -119,6 +109,9 @@ POISSON_CUTS = (
 )
 
 
-def poisson_count(mixed: Column) -> Column:
+def poisson_count(hashed: Column) -> Column:
     """Poisson(1) multiplicity from a 32-bit hash: how often an entity is drawn in one replicate."""
-    return reduce(lambda a, b: a + b, [F.when(mixed >= F.lit(c), 1).otherwise(0) for c in POISSON_CUTS])
+    out = F.when(hashed < POISSON_CUTS[0], 0)
+    for k, cut in enumerate(POISSON_CUTS[1:], start=1):
+        out = out.when(hashed < cut, k)
+    return out.otherwise(len(POISSON_CUTS))

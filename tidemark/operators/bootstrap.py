@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.numeric import MASK32, MIX_MUL_1, MIX_MUL_2, MIX_STEP, POISSON_CUTS, hash32, mix32, poisson_count
+from tidemark.functions.numeric import POISSON_CUTS, draw_hash, hash32, poisson_count
 from tidemark.operators.discrimination import auroc_from_pieces, known_pairs
 from tidemark.operators.ordered import PIECE, add_piece, join_on, split_points
 from tidemark.session import shuffle_width
@@ -41,23 +41,37 @@ def resample(df: DataFrame, unit: Sequence[str], sums: Mapping[str, Column], rep
     base = base.withColumn("_base", draw_base(unit, seed))
     if outer:
         base = base.withColumn("_outer", draw_base([outer], seed + 1))
-    spread = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    weight = poisson_count(mix32(F.col("_base"), F.col("replicate")))
+    spread = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)).cast("array<bigint>")))
+    weight = poisson_count(draw_hash(F.col("_base"), F.col("replicate")))
     if outer:
-        weight = weight * poisson_count(mix32(F.col("_outer"), F.col("replicate")))
+        weight = weight * poisson_count(draw_hash(F.col("_outer"), F.col("replicate")))
     drawn = spread.withColumn("_w", weight).filter(F.col("_w") > 0)
     return drawn.groupBy("replicate", *by).agg(*[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums])
 
 
+# Fixed values of the public Murmur3 32-bit hash, whose column expression the draws use.
+M3_K1, M3_K2, M3_H, M3_F1, M3_F2, M3_SEED = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35, 42
+
+
 def _poisson_matrix(base: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Multiplicities (rows x replicates); the same integer arithmetic as the column expressions."""
-    mask = np.uint64(MASK32)
-    x = (base.astype(np.uint64)[:, None] + np.arange(first, last, dtype=np.uint64)[None, :] * np.uint64(MIX_STEP)) & mask
-    for mul, down in ((MIX_MUL_1, 15), (MIX_MUL_2, 16)):
-        x ^= x >> np.uint64(16)
-        x = (x * np.uint64(mul)) & mask
-        x ^= x >> np.uint64(down)
-    return np.searchsorted(np.asarray(POISSON_CUTS, dtype=np.uint64), x, side="right").astype(np.float64)
+    """Multiplicities (rows x replicates) from the same hash as the column expression."""
+    u = np.uint64
+
+    def cut(x):
+        return x & u(0xFFFFFFFF)
+
+    def turn(x, n):
+        return cut((x << u(n)) | (x >> u(32 - n)))
+
+    def absorb(h, part):
+        k = cut(turn(cut(part * u(M3_K1)), 15) * u(M3_K2))
+        return cut(turn(h ^ k, 13) * u(5) + u(M3_H))
+
+    h = absorb(absorb(u(M3_SEED), base.astype(u))[:, None], np.arange(first, last, dtype=u)[None, :]) ^ u(8)
+    h = cut((h ^ (h >> u(16))) * u(M3_F1))
+    h = cut((h ^ (h >> u(13))) * u(M3_F2))
+    h ^= h >> u(16)
+    return np.searchsorted(np.asarray(POISSON_CUTS, dtype=u), h, side="right").astype(np.float64)
 
 
 def _block_sums(pdf: pd.DataFrame, replicates: int, two_level: bool) -> pd.DataFrame:

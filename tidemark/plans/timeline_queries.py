@@ -301,27 +301,29 @@ def entity_rollup(spark, sf):
 _HASH = "('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT"
 
 
-def mix_sql(base: str, rep: str) -> str:
-    """The integer mixer in SQL."""
-    x = f"(({base} + {rep} * 2654435769) & 4294967295)"
-    for mul, down in ((2146121005, 15), (830770091, 16)):
-        x = f"xor({x}, {x} >> 16)"
-        x = f"(({x} * {mul}) & 4294967295)"
-        x = f"xor({x}, {x} >> {down})"
-    return x
-
-
 POISSON_SQL = "(" + " + ".join(f"(h >= {c})::INT" for c in B.POISSON_CUTS) + ")"
 
 
 def mixed_stages(source: str, base: str, rep: str, out: str, keep: str = "*") -> str:
-    """Nested selects that mix step by step, so no expression is repeated: adds a Poisson count ``out``."""
-    q = f"SELECT {keep}, (({base} + {rep} * 2654435769) & 4294967295) AS h FROM {source}"
-    for mul, down in ((2146121005, 15), (830770091, 16)):
-        q = f"SELECT * REPLACE (xor(h, h >> 16) AS h) FROM ({q})"
-        q = f"SELECT * REPLACE ((h * {mul}) & 4294967295 AS h) FROM ({q})"
-        q = f"SELECT * REPLACE (xor(h, h >> {down}) AS h) FROM ({q})"
-    return f"SELECT * EXCLUDE (h), {POISSON_SQL} AS {out} FROM ({q})"
+    """The draw hash step by step, so that no expression is repeated: adds a Poisson count ``out``."""
+    m = "4294967295::UBIGINT"
+    q = f"SELECT {keep}, {base}::UBIGINT AS u_lo, {rep}::UBIGINT AS u_hi, {B.M3_SEED}::UBIGINT AS h, 0::UBIGINT AS k FROM {source}"
+
+    def step(name, expression):
+        nonlocal q
+        q = f"SELECT * REPLACE ({expression} AS {name}) FROM ({q})"
+
+    for part in ("u_lo", "u_hi"):
+        step("k", f"({part} * {B.M3_K1}::UBIGINT) & {m}")
+        step("k", f"(((k << 15) | (k >> 17)) & {m}) * {B.M3_K2}::UBIGINT & {m}")
+        step("h", "xor(h, k)")
+        step("h", f"((((h << 13) | (h >> 19)) & {m}) * 5::UBIGINT + {B.M3_H}::UBIGINT) & {m}")
+    step("h", "xor(h, 8::UBIGINT)")
+    for down, mul in ((16, B.M3_F1), (13, B.M3_F2)):
+        step("h", f"xor(h, h >> {down})")
+        step("h", f"(h * {mul}::UBIGINT) & {m}")
+    step("h", "xor(h, h >> 16)")
+    return f"SELECT * EXCLUDE (h, k, u_lo, u_hi), {POISSON_SQL} AS {out} FROM ({q})"
 
 
 _RUNS = mixed_stages(f"(SELECT entity, sum(y) AS pos, count(*) AS n, {_HASH.format(seed=42, key='entity')} AS b FROM pred GROUP BY 1), (SELECT unnest(range(1, 21)) AS replicate)", "b", "replicate", "w")
