@@ -247,15 +247,46 @@ def missing_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if f not in df.columns]
 
 
-def linear_attributions(df: DataFrame, trained: Trained, keep: Sequence[str]) -> DataFrame:
-    """Attribution ``coefficient x (value - mean)`` per row and feature of a linear model, long form."""
-    coefficients = trained.model.stages[-1].coefficients.toArray()
-    rows = melt(_zero_filled(df, trained.features).select(*keep, *[F.col(f"{f}__filled").alias(f) for f in trained.features]), trained.features, keep)
-    weights = small_table(df.sparkSession, [(f, float(w)) for f, w in zip(trained.features, coefficients)], "feature string, coefficient double")
-    means = rows.groupBy("feature").agg(F.avg("value").alias("_mean")).join(F.broadcast(weights), "feature")
+def coefficients(trained: Trained) -> dict[str, float]:
+    """Coefficients of a fitted linear model by feature."""
+    return {f: float(w) for f, w in zip(trained.features, trained.model.stages[-1].coefficients.toArray())}
+
+
+def linear_attributions(df: DataFrame, weights: Mapping[str, float], keep: Sequence[str]) -> DataFrame:
+    """Attribution ``coefficient x (value - mean)`` per row and feature of a linear model, long form.
+
+    The mean table has one row per feature, so it may be broadcast.
+    """
+    filled = df.select(*keep, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in weights])
+    rows = melt(filled, list(weights), keep)
+    table = small_table(df.sparkSession, [(f, float(w)) for f, w in weights.items()], "feature string, coefficient double")
+    means = rows.groupBy("feature").agg(F.avg("value").alias("_mean")).join(F.broadcast(table), "feature")
     return rows.join(F.broadcast(means), "feature").select(*keep, "feature", "value", (F.col("coefficient") * (F.col("value") - F.col("_mean"))).alias("attribution"))
 
 
+def save(trained: Trained, path: str, intercept: float = 0.0, slope: float = 1.0) -> None:
+    """Model artefact: the fitted pipeline, the ordered feature list and the recalibration layer."""
+    trained.model.write().overwrite().save(f"{path}/pipeline")
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    config = small_table(spark, [(list(trained.features), list(trained.names), float(intercept), float(slope))],
+                         "features array<string>, names array<string>, intercept double, slope double")
+    config.write.mode("overwrite").json(f"{path}/config")
+
+
+def load(spark, path: str) -> tuple[Trained, float, float]:
+    config = spark.read.schema("features array<string>, names array<string>, intercept double, slope double").json(f"{path}/config").first()
+    model = PipelineModel.load(f"{path}/pipeline")
+    return Trained(model, tuple(config["features"]), tuple(config["names"])), config["intercept"], config["slope"]
+
+
+def template(catalogue: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Batch input template: keys and one row of catalogue defaults."""
+    row = profile_row(catalogue, features)
+    return row.select(F.lit("example").alias("entity"), F.lit(24.0).alias("t_hr"), *[F.col(f"`{f}`") for f in features])
+
+
 def attribution_ranking(attributions: DataFrame, k: int = 15) -> DataFrame:
     """Features by mean absolute attribution (a top-k report)."""
     return (attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs")).orderBy(F.desc("mean_abs"), "feature").limit(k))

@@ -1 +1,183 @@
-"""."""
+"""Queries for model tables (L8-L16, L21-L24, M16). Tree results have no SQL twin; their invariants are in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as X
+from tidemark.operators import checkpoints as K
+from tidemark.operators import discrimination as D
+from tidemark.operators import models as M
+from tidemark.operators import sampling as L
+from tidemark.operators import summary as A
+from tidemark.plans.fixtures import CLOCK, FAMILIES, LAYER, full_grid, predictions, r, rounded, scratch, series, with_ctes
+from tidemark.plans.metric_queries import BIN, edges_sql
+from tidemark.plans.registry import query
+from tidemark.session import stage
+
+STATS = ("last", "max", "n")
+FEATURES = tuple(f"{f}_{s}" for f in FAMILIES for s in STATS)
+# Small settings for the checks; ``TreeSettings()`` holds the full-size ones.
+QUICK = M.TreeSettings(trees=3, rate=0.3, depth=3)
+
+
+def model_rows(spark, sf):
+    """Wide trailing-window features per checkpoint with two forward labels, folds and a split by entity."""
+    s, g = series(spark, sf), full_grid(spark, sf).select("entity", "t_hr")
+    long = K.window_features(g, s, ["entity"], FAMILIES, 72.0, CLOCK, locf=False).withColumn("n", F.col("n").cast("double"))
+    wide = K.widen(long, ["entity"], FAMILIES, STATS)
+    for name, limit in (("y", 60), ("severe", 150)):
+        ahead = s.filter((F.col("fam") == "purchase") & (F.col("val") > limit)).withColumn("hr", F.col("hr") - 72.0)
+        wide = wide.join(K.event_counts(g, ahead, ["entity"], ["purchase"], 72.0, CLOCK).select("entity", "t_hr", F.col("any").alias(name)), ["entity", "t_hr"])
+    return stage(L.group_split(L.group_folds(wide, "entity", 3), "entity", 0.7))
+
+
+def halves(rows):
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+
+
+@query("L8_endpoint_models")
+def endpoint_models(spark, sf):
+    train, test = halves(model_rows(spark, sf))
+    out = None
+    for name, model in M.endpoint_models(train, FEATURES, ["y", "severe"], QUICK).items():
+        row = D.auroc(M.apply_trees(test, model), name).withColumn("endpoint", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
+@query("L9_grid_search")
+def grid_search(spark, sf):
+    train, test = halves(model_rows(spark, sf))
+    return rounded(M.grid_search(train, test, FEATURES, "y", [QUICK, M.TreeSettings(trees=3, rate=0.1, depth=2)]))
+
+
+@query("L10_feature_selection")
+def selection(spark, sf):
+    return rounded(M.select_features(model_rows(spark, sf).filter("split = 'train'"), FEATURES, "y", "fold", 3, QUICK))
+
+
+@query("L11_selection_stability")
+def stability(spark, sf):
+    rows = model_rows(spark, sf).filter("split = 'train'")
+    three = M.select_features(rows, FEATURES, "y", "fold", 3, QUICK)
+    two = M.select_features(L.group_folds(rows.drop("fold"), "entity", 2), FEATURES, "y", "fold", 2, QUICK)
+    return rounded(A.set_overlap(three, two, "feature"))
+
+
+@query("L12_out_of_fold")
+def out_of_fold(spark, sf):
+    scored = M.out_of_fold(model_rows(spark, sf), FEATURES, "y", "fold", 3, QUICK)
+    return rounded(D.auroc(scored, by=["fold"]))
+
+
+@query("L13_static_logistic", with_ctes(f"""
+    WITH w AS (SELECT y, count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY y)) AS w, x2 FROM pred), d AS MATERIALIZED (SELECT x2 AS z, sum(w) AS n, sum(w * y) AS pos FROM w GROUP BY 1), p0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b),
+    {', '.join(f"s{i} AS MATERIALIZED (SELECT a, b, sum(pos - n * mu) AS g0, sum((pos - n * mu) * z) AS g1, sum(n * mu * (1 - mu)) AS h0, sum(n * mu * (1 - mu) * z) AS h1, sum(n * mu * (1 - mu) * z * z) AS h2 FROM (SELECT *, 1 / (1 + exp(-(a + b * z))) AS mu FROM d, p{i}) GROUP BY a, b), p{i + 1} AS MATERIALIZED (SELECT a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM s{i})" for i in range(6))}
+    SELECT x2, {r('1 / (1 + exp(-(a + b * x2)))', 3)} AS p, count(*) AS n FROM pred, p6 GROUP BY 1, 2""", "pred"))
+def static_logistic(spark, sf):
+    pr = predictions(spark, sf).drop("p")
+    return rounded(M.apply_logistic(pr, M.train_logistic(pr, ["x2"], "y")), 3).groupBy("x2", "p").agg(F.count("*").alias("n"))
+
+
+@query("L14_frozen_application")
+def frozen(spark, sf):
+    """A model applied to a cohort that lacks some columns."""
+    train, test = halves(model_rows(spark, sf))
+    model = M.train_trees(train, FEATURES, "y", QUICK)
+    scored = M.apply_trees(test.drop("view_last", "view_max", "view_n"), model)
+    return rounded(D.auroc(scored))
+
+
+@query("L15_ablation")
+def ablation(spark, sf):
+    train, test = halves(model_rows(spark, sf))
+    return rounded(M.ablation(train, test, FEATURES, ["view"], "y", QUICK))
+
+
+@query("L16_zero_fill_arm")
+def zero_fill(spark, sf):
+    rows = model_rows(spark, sf)
+    train, test = halves(rows)
+    arm = M.endpoint_models(train, FEATURES, ["y"], QUICK, fill_zero=True)["y"]
+    everything = M.train_trees(rows, FEATURES, "y", QUICK)
+    first = D.auroc(M.apply_trees(test.fillna(0.0, subset=list(FEATURES)), arm)).withColumn("arm", F.lit("zero_fill"))
+    return rounded(first.unionByName(D.auroc(M.apply_trees(test, everything)).withColumn("arm", F.lit("train_on_all"))))
+
+
+@query("A18_learning_curve")
+def learning_curve(spark, sf):
+    train, test = halves(model_rows(spark, sf))
+    return rounded(M.learning_curve(L.sample_fractions(train, ["entity"], [0.5, 1.0]), test, FEATURES, [0.5, 1.0], "y", QUICK))
+
+
+WEIGHTS = {"x1": 4.0, "x2": -2.5, "q": 1.5}
+_ATTR = "l AS (SELECT entity, t_hr, unnest(['x1', 'x2', 'q']) AS feature, unnest([x1, x2, q]) AS v, unnest([4.0, -2.5, 1.5]::DOUBLE[]) AS c FROM pred), att AS MATERIALIZED (SELECT entity, t_hr, feature, v, c * (v - avg(v) OVER (PARTITION BY feature)) AS a FROM l)"
+
+
+def attributions(spark, sf):
+    return M.linear_attributions(predictions(spark, sf), WEIGHTS, ["entity", "t_hr"])
+
+
+@query("L21_attribution_ranking", with_ctes(f"WITH {_ATTR} SELECT feature, {r('avg(abs(a))')} AS mean_abs FROM att GROUP BY 1 ORDER BY avg(abs(a)) DESC LIMIT 2", "pred"))
+def ranking(spark, sf):
+    return rounded(M.attribution_ranking(attributions(spark, sf), 2))
+
+
+@query("L21_domain_share", with_ctes(f"WITH {_ATTR}, d AS (SELECT CASE WHEN starts_with(feature, 'x') THEN 'covariate' ELSE 'score' END AS domain, count(DISTINCT feature) AS n_features, sum(abs(a)) AS s FROM att GROUP BY 1) SELECT domain, n_features, {r('s / sum(s) OVER ()')} AS share FROM d", "pred"))
+def domain_share(spark, sf):
+    return rounded(M.attribution_share(attributions(spark, sf), X.name_domain("feature", [("x", "covariate")], default="score")))
+
+
+@query("L21_dependence", with_ctes(f"WITH {_ATTR}, e AS ({edges_sql('att', 'feature', 'v', 10)}) SELECT feature, CAST({BIN.format('v')} AS INT) AS bin, count(*) AS n, {r('avg(v)')} AS mean_value, {r('avg(a)')} AS mean_attribution FROM att JOIN e USING (feature) GROUP BY 1, 2", "pred"))
+def dependence(spark, sf):
+    return rounded(M.attribution_dependence(attributions(spark, sf)))
+
+
+@query("L22_batch_scoring")
+def batch_scoring(spark, sf):
+    train, test = halves(model_rows(spark, sf))
+    models = M.endpoint_models(train, FEATURES, ["y", "severe"], QUICK)
+    raw = test.select("entity", "t_hr", *[F.col(f).cast("string").alias(f) for f in FEATURES])
+    return rounded(M.score_rows(raw, models["y"], models["severe"], *LAYER))
+
+
+@query("L22_entity_summary", with_ctes("SELECT entity, count(*) AS n_checkpoints, max(p) AS peak, min(CASE WHEN p >= 0.25 THEN t_hr END) AS first_at, max(q) AS peak_severe FROM pred GROUP BY 1", "pred"))
+def entity_summary(spark, sf):
+    from tidemark.operators.alerts import entity_summary as summary
+
+    return summary(predictions(spark, sf), p="p", severe="q", threshold=0.25)
+
+
+_STEP = "CASE WHEN max({0}) - min({0}) >= 20 THEN 1.0::DOUBLE WHEN max({0}) - min({0}) >= 2 THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END"
+_SPARSE_P = "sp AS (SELECT CASE WHEN ship_year > 1993 THEN p END AS p, x1, ship_year::DOUBLE AS ship_year FROM pred)"
+_CAT = " UNION ALL ".join(f"SELECT '{c}' AS feature, min({c}) AS min, max({c}) AS max, {r(f'quantile_cont({c}, 0.5)')} AS \"default\", {_STEP.format(c)} AS step, {r(f'1 - count({c}) / count(*)::DOUBLE')} AS missing_share FROM sp" for c in ("p", "x1", "ship_year"))
+
+
+def sparse_predictions(spark, sf):
+    pr = predictions(spark, sf)
+    return pr.select(F.when(F.col("ship_year") > 1993, F.col("p")).alias("p"), "x1", F.col("ship_year").cast("double").alias("ship_year"))
+
+
+@query("L24_feature_catalogue", with_ctes(f"WITH {_SPARSE_P} {_CAT}", "pred"))
+def catalogue(spark, sf):
+    return rounded(M.feature_catalogue(sparse_predictions(spark, sf), ["p", "x1", "ship_year"]))
+
+
+@query("L23_input_template", with_ctes(f"WITH {_SPARSE_P} SELECT 'example' AS entity, 24.0::DOUBLE AS t_hr, {', '.join(f'{r(f"quantile_cont({c}, 0.5)")} AS {c}' for c in ('p', 'x1', 'ship_year'))} FROM sp", "pred"))
+def input_template(spark, sf):
+    names = ["p", "x1", "ship_year"]
+    return rounded(M.template(M.feature_catalogue(sparse_predictions(spark, sf), names), names))
+
+
+@query("M16_model_artefact")
+def artefact(spark, sf):
+    """Save, load and score again: the loaded model must reproduce the scores."""
+    train, test = halves(model_rows(spark, sf))
+    model = M.train_trees(train, FEATURES, "y", QUICK)
+    path = scratch(spark, "model")
+    M.save(model, path, *LAYER)
+    again, intercept, slope = M.load(spark, path)
+    pair = M.apply_trees(M.apply_trees(test, model, "p1"), again, "p2")
+    return pair.agg(F.count("*").alias("n"), F.count_if(F.col("p1") != F.col("p2")).alias("mismatches"), F.lit(len(again.features)).alias("n_features"),
+                    F.lit(intercept).alias("intercept"), F.lit(slope).alias("slope"))
