@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import safe_divide
-from tidemark.operators.ordered import join_on, quantile_bins, quantiles
+from tidemark.operators.ordered import join_entities, join_on, quantile_bins, quantiles
 from tidemark.operators.timeline import episodes
 
 
@@ -71,7 +71,7 @@ def four_view(df: DataFrame, thresholds: Sequence[float], entity: Sequence[str]
     rows = at_thresholds(df.select(*by, *entity, t, p, onset), thresholds)
     per = episodes(rows, entity, t, F.col(p) >= F.col("threshold"), by=[*by, "threshold"])
     span = df.groupBy(*by, *entity).agg(F.min(onset).alias("_onset"), F.min(t).alias("_from"), F.max(t).alias("_to"))
-    facts = join_on(per, span, [*by, *entity])
+    facts = join_entities(per, span, [*by, *entity])
     ev = F.col("_onset").isNotNull()
     one, two = F.col("first_alert") < F.col("_onset"), F.col("first_double") < F.col("_onset")
     facts = facts.withColumn("_lead", F.when(one, F.col("_onset") - F.col("first_alert")))
@@ -108,7 +108,7 @@ def false_alert_review(alerts: DataFrame, peaks: DataFrame, entity: Sequence[str
     """Alerted entities without a positive checkpoint: alerted too early (the event comes later than the horizon), near the
     criterion (peak fold or rise), or neither."""
     false = alerts.filter((F.col("alerted") == 1) & (F.col("event") == 0))
-    joined = join_on(false, peaks, list(entity), "left")
+    joined = join_entities(false, peaks, entity, "left")
     early = F.coalesce(F.col(onset) - F.col("first_alert") > horizon, F.lit(False))
     near = F.coalesce((F.col("peak_fold") >= fold) | (F.col("peak_rise") >= rise), F.lit(False))
     return joined.groupBy("threshold").agg(F.count("*").alias("n_false"), F.count_if(early).alias("too_early"), F.count_if(~early & near).alias("near_criterion"),
@@ -165,7 +165,7 @@ def capture_status() -> Column:
 def outcome_gradient(alerts: DataFrame, outcomes: DataFrame, entity: Sequence[str] = ("entity",), death: str = "death", los: str = "los",
                      by: Sequence[str] = ()) -> DataFrame:
     """Deaths and median length of stay among captured, missed and event-free entities (median by exact ranks)."""
-    joined = join_on(alerts.withColumn("group", capture_status()), outcomes, list(entity))
+    joined = join_entities(alerts.withColumn("group", capture_status()), outcomes, entity)
     keys = [*by, "group"]
     counts = joined.groupBy(*keys).agg(F.count("*").alias("n_entities"), F.sum(death).alias("deaths"), (F.avg(death) * 100.0).alias("death_pct"))
     return join_on(counts, quantiles(joined, los, {"los_median": 0.5}, keys).drop("n"), keys, "left")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidemark.functions.numeric import POISSON_CUTS, draw_hash, hash32, poisson_count
 from tidemark.operators.discrimination import auroc_from_pieces, known_pairs
 from tidemark.operators.ordered import PIECE, add_piece, join_on, split_points
-from tidemark.session import shuffle_width
+from tidemark.session import shuffle_width, stage
 
 STRIP = 64
 ROWS_PER_BLOCK = 100_000
@@ -106,15 +106,16 @@ def bootstrap_auroc(df: DataFrame, unit: Sequence[str] = ("entity",), y: str = "
     score the area is ``pos * neg / 2``, which needs only the sums.
     """
     by = list(by)
-    rows = known_pairs(df, y, p)
-    if points is None:
-        points = split_points(rows, p, ROWS_PER_BLOCK)
     cols = [*by, F.col(p).cast("double").alias("_p"), F.col(y).cast("int").alias("_y"), draw_base(unit, seed).alias("_base")]
     if outer:
         cols.append(draw_base([outer], seed + 1).alias("_outer"))
     single = F.col(PIECE) % 2 == 0
     width = shuffle_width(df.sparkSession)
-    blocks = (add_piece(rows.select(*cols), "_p", points)
+    rows = known_pairs(df, y, p).select(*cols)
+    if points is None:
+        rows = stage(rows)
+        points = split_points(rows, "_p", ROWS_PER_BLOCK)
+    blocks = (add_piece(rows, "_p", points)
               .withColumn("_salt", F.when(single, F.pmod(F.col("_base"), F.lit(width))).otherwise(F.lit(0))))
     keys = [*by, PIECE, "_salt"]
     schema = T.StructType([blocks.schema[k] for k in keys] + [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import hour_bin, safe_divide
-from tidemark.operators.ordered import join_on
+from tidemark.operators.ordered import join_entities
 from tidemark.operators.timeline import bin_rise, rise_over
 
 
@@ -52,10 +52,22 @@ def prevalent(series: DataFrame, base: DataFrame, keys: Sequence[str], time: str
     facts = early.groupBy(*keys).agg(F.max(value).alias("_max"), F.max("rise").alias("_rise"), F.count("*").alias("_n"))
     rose = (F.col("_rise") >= clock.rise) & (F.col("_n") >= min_values)
     hit = (F.col("_max") / F.col("base") >= clock.fold) | rose
-    return join_on(base, facts, list(keys), "left").select(
+    return join_entities(base, facts, keys, "left").select(
         *keys, "base", "branch", F.when(F.col("base").isNotNull() & F.col("_n").isNotNull(), F.when(hit, 1).otherwise(0)).alias("prevalent"))
 
 
+def _evidence(end: Column, time: str, value: str, clock: Clock, tag: str) -> list[Column]:
+    """Aggregates that date the event of one follow-up end: evaluable, first event, evidence at the start only."""
+    t, eff = F.col(time), F.greatest(F.col(time), F.lit(clock.start))
+    open_window = F.col("base").isNotNull() & (end > clock.start)
+    valid = open_window & (t + clock.carry > clock.start) & (t < end)
+    by_fold = F.when(valid & (F.col(value) >= clock.fold * F.col("base")), eff)
+    by_rise = F.when(open_window & (F.col("rise") >= clock.rise) & (eff > clock.start) & (eff < end), eff)
+    return [F.max(F.when(valid, 1).otherwise(0)).alias(f"{tag}ok"),
+            F.min(F.least(F.when(by_fold > clock.start, by_fold), by_rise)).alias(f"{tag}event"),
+            F.max(F.when(by_fold == clock.start, 1).otherwise(0)).alias(f"{tag}at_start")]
+
+
 def onset_raw(series: DataFrame, base: DataFrame, keys: Sequence[str], time: str = "hr", value: str = "val", clock: Clock = Clock(),
               cutoff: str | None = None) -> DataFrame:
     """Event time on raw values.
@@ -63,29 +75,26 @@ def onset_raw(series: DataFrame, base: DataFrame, keys: Sequence[str], time: str
     Evidence at a value: it is at least ``fold`` times the baseline and still valid in the window (carried forward for
     ``carry`` hours), at ``max(hr, start)``; or it rose by ``rise`` within the look-back strictly inside the window.
     The event is the earliest evidence after ``start``; evidence only at ``start`` means carried in.
-    Gives ``evaluable``, ``carried_in`` and ``event_hr``; ``cutoff`` names a column of ``base`` that ends follow-up.
+    Gives ``evaluable``, ``carried_in`` and ``event_hr``. ``cutoff`` names a column of ``base`` that may end follow-up
+    earlier; then ``cut_evaluable``, ``cut_carried_in`` and ``cut_event_hr`` come from the same pass.
     """
-    end = F.coalesce(F.col(cutoff), F.lit(clock.end)) if cutoff else F.lit(clock.end)
     rows = rise_over(series.filter(F.col(value).isNotNull()), keys, time, value, clock.back)
-    at = join_on(rows, base, list(keys)).withColumn("_end", end)
-    t, eff = F.col(time), F.greatest(F.col(time), F.lit(clock.start))
-    open_window = F.col("base").isNotNull() & (F.col("_end") > clock.start)
-    valid = open_window & (t + clock.carry > clock.start) & (t < F.col("_end"))
-    by_fold = F.when(valid & (F.col(value) >= clock.fold * F.col("base")), eff)
-    by_rise = F.when(open_window & (F.col("rise") >= clock.rise) & (eff > clock.start) & (eff < F.col("_end")), eff)
-    facts = at.groupBy(*keys).agg(
-        F.max(F.when(valid, 1).otherwise(0)).alias("evaluable"),
-        F.min(F.least(F.when(by_fold > clock.start, by_fold), by_rise)).alias("event_hr"),
-        F.max(F.when(by_fold == clock.start, 1).otherwise(0)).alias("_at_start"))
-    ok = F.col("evaluable") == 1
-    carried = ok & F.col("event_hr").isNull() & (F.col("_at_start") == 1)
-    return facts.select(*keys, "evaluable", F.when(carried, 1).otherwise(0).alias("carried_in"), F.when(ok, F.col("event_hr")).alias("event_hr"))
+    tags = {"": F.lit(clock.end)} | ({"cut_": F.coalesce(F.col(cutoff), F.lit(clock.end))} if cutoff else {})
+    facts = join_entities(rows, base, keys).groupBy(*keys).agg(
+        *[c for tag, end in tags.items() for c in _evidence(end, time, value, clock, f"_{tag}")])
+    out = []
+    for tag in tags:
+        ok = F.col(f"_{tag}ok") == 1
+        carried = ok & F.col(f"_{tag}event").isNull() & (F.col(f"_{tag}at_start") == 1)
+        out += [F.col(f"_{tag}ok").alias(f"{tag}evaluable"), F.when(carried, 1).otherwise(0).alias(f"{tag}carried_in"),
+                F.when(ok, F.col(f"_{tag}event")).alias(f"{tag}event_hr")]
+    return facts.select(*keys, *out)
 
 
 def onset_bin(series: DataFrame, base: DataFrame, keys: Sequence[str], time: str = "hr", value: str = "val", clock: Clock = Clock()) -> DataFrame:
     """First bin from ``start`` on whose maximum reaches the fold or rises by ``rise`` over the earlier bins."""
     rows = series.filter((F.col(time) >= 0) & (F.col(time) <= clock.end))
-    bins = join_on(bin_rise(rows, keys, time, value, clock.step, clock.back), base.select(*keys, "base"), list(keys))
+    bins = join_entities(bin_rise(rows, keys, time, value, clock.step, clock.back), base.select(*keys, "base"), list(keys))
     hit = (F.col("bin_max") / F.col("base") >= clock.fold) | (F.col("rise") >= clock.rise)
     return bins.groupBy(*keys).agg(F.min(F.when(hit & (F.col("bin_hr") >= clock.start), F.col("bin_hr"))).alias("onset_hr"))
 
@@ -118,32 +127,29 @@ def event_axis(entities: DataFrame, series: DataFrame, keys: Sequence[str], inte
     if interventions is None:
         axis = axis.withColumn("stop_hr", F.lit(None).cast("double"))
     else:
-        axis = join_on(axis, first_intervention(interventions, keys, time), keys, "left")
-    base = join_on(base, axis.select(*keys, "stop_hr"), keys, "left")
-    base = base.withColumn("_cut", F.when(F.col("stop_hr") <= clock.end, F.col("stop_hr")))
-    # The uncut evidence decides evaluability and carry-in, the cut one the event: both in one pass over the rows.
-    full = onset_raw(known, base, keys, time, value, clock)
-    cut = onset_raw(known, base, keys, time, value, clock, cutoff="_cut").select(
-        *keys, F.col("evaluable").alias("_cut_ok"), F.col("carried_in").alias("_cut_in"), F.col("event_hr").alias("_cut_event"))
-    facts = join_on(join_on(base.drop("stop_hr"), full, keys, "left"), cut, keys, "left")
-    out = join_on(axis, facts.withColumn("_has", F.lit(1)), keys, "left")
+        axis = join_entities(axis, first_intervention(interventions, keys, time), keys, "left")
+    base = join_entities(base, axis.select(*keys, "stop_hr"), keys, "left")
+    base = base.withColumn("_cut", F.when(F.col("stop_hr") <= clock.end, F.col("stop_hr"))).drop("stop_hr")
+    # The uncut evidence decides evaluability and carry-in, the cut one the event.
+    facts = join_entities(base, onset_raw(known, base, keys, time, value, clock, "_cut").drop("event_hr"), keys, "left")
+    out = join_entities(axis, facts.withColumn("_has", F.lit(1)), keys, "left")
     status = (
         F.when(F.col("_has").isNull(), "no_series")
         .when(F.col("base").isNull() | F.col("prevalent").isNull() | (F.col("prevalent") == 1), "prevalent_or_no_base")
         .when(F.coalesce("evaluable", F.lit(0)) == 0, "no_evidence")
         .when(F.col("carried_in") == 1, "carried_in")
         .when(F.col("stop_hr") <= clock.start, "stopped_before")
-        .when((F.col("_cut_ok") == 0) | (F.col("_cut_in") == 1), "stop_censored")
-        .when(F.col("_cut_event").isNotNull(), "event"))
+        .when((F.col("cut_evaluable") == 0) | (F.col("cut_carried_in") == 1), "stop_censored")
+        .when(F.col("cut_event_hr").isNotNull(), "event"))
     if mark_truncated:
         status = status.when(F.col("_cut").isNotNull(), "truncated")
     out = out.withColumn("status", status.otherwise("no_event"))
     kept = F.col("status").isin("event", "no_event", "truncated")
-    out = out.withColumn("event_hr", F.when(kept, F.col("_cut_event")))
+    out = out.withColumn("event_hr", F.when(kept, F.col("cut_event_hr")))
     if rate_onset is None:
         out = out.withColumn("rate_onset_hr", F.lit(None).cast("double")).withColumn("rate_prevalent", F.lit(0))
     else:
-        out = join_on(out, rate_onset, keys, "left").withColumn("rate_prevalent", F.coalesce("rate_prevalent", F.lit(0)))
+        out = join_entities(out, rate_onset, keys, "left").withColumn("rate_prevalent", F.coalesce("rate_prevalent", F.lit(0)))
     return out.select(*entities.columns, "base", "branch", "prevalent", "stop_hr", "status", "event_hr", "rate_onset_hr", "rate_prevalent",
                       F.least("event_hr", "rate_onset_hr").alias("onset_hr"))
 
@@ -182,7 +188,7 @@ def stage_labels(grid_rows: DataFrame, series: DataFrame, keys: Sequence[str], b
     """
     keys = list(keys)
     maxima = (series.filter(F.col(value).isNotNull()).withColumn(t, hour_bin(time, clock.step)).groupBy(*keys, t).agg(F.max(value).alias("_v")))
-    on_grid = join_on(grid_rows, maxima, [*keys, t], "left")
+    on_grid = join_entities(grid_rows, maxima, [*keys, t], "left")
     w = Window.partitionBy(*keys).orderBy(t).rowsBetween(0 if include_current else 1, rows)
     f = F.max("_v").over(w)
     out = on_grid.withColumn("forward", f)
@@ -380,7 +386,7 @@ def event_subtype(first: str, second: str) -> Column:
 
 def rebuild_mismatch(stored: DataFrame, rebuilt: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-9, limit: float = 0.005) -> DataFrame:
     """Share of entities whose rebuilt value differs from the stored one, missing compared with missing."""
-    pair = join_on(stored.select(*keys, F.col(value).alias("_a")), rebuilt.select(*keys, F.col(value).alias("_b")), list(keys), "left")
+    pair = join_entities(stored.select(*keys, F.col(value).alias("_a")), rebuilt.select(*keys, F.col(value).alias("_b")), keys, "left")
     differs = (F.col("_a").isNull() != F.col("_b").isNull()) | F.coalesce(F.abs(F.col("_a") - F.col("_b")) > tolerance, F.lit(False))
     out = pair.agg(F.count("*").alias("n"), F.count_if(differs).alias("mismatches"))
     rate = safe_divide(F.col("mismatches"), F.col("n"))

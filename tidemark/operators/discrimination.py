@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import safe_divide
 from tidemark.operators.ordered import PIECE, add_piece, cumulate, join_on, split_points
+from tidemark.session import stage
 
 
 def class_sums(y: str, weight: str | None = None) -> dict[str, Column]:
@@ -32,11 +33,8 @@ def auroc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), wei
     Pieces of the score axis contribute their inner area plus (their positives) x (negatives in lower pieces), so
     a single pass suffices and nothing has to be joined back.
     """
-    rows = known_pairs(df, y, p)
-    if points is None:
-        points = split_points(rows, p)
     sums = class_sums(y, weight)
-    distinct = rows.groupBy(*by, p).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    distinct = known_pairs(df, y, p).groupBy(*by, p).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     return auroc_from_counts(distinct, p, by, points)
 
 
@@ -45,6 +43,7 @@ def auroc_from_counts(counts: DataFrame, p: str = "p", by: Sequence[str] = (),
     """AUROC from one row per (``by``, score) with ``pos`` and ``neg`` weights."""
     by = list(by)
     if points is None:
+        counts = stage(counts)
         points = split_points(counts, p)
     inside = Window.partitionBy(*by, PIECE).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import stage
+
 PIECE = "_piece"
 ROWS_PER_PIECE = 1_000_000
 MAX_PIECES = 4096
@@ -50,16 +52,11 @@ def add_piece(df: DataFrame, order: str, points: Sequence[float]) -> DataFrame:
     return slotted.withColumn(PIECE, piece).drop("_order", "_slot")
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on several keys, still an equi-join for the planner."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Null-safe join that keeps one copy of the key columns; a cross join of one row when there is no key."""
+    """Join with a table per group: NULL is a group of its own, and without a key the right side is one row.
+
+    Joins on entities use plain equality instead, which lets Spark reuse the partitioning by entity.
+    """
     if not keys:
         return left.crossJoin(right)
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
@@ -70,36 +67,42 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_entities(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on entity keys, which are never NULL."""
+    return left.join(right, list(keys), how)
+
+
 def cumulate(df: DataFrame, order: str, sums: Mapping[str, Column], by: Sequence[str] = (),
              descending: bool = False, points: Sequence[float] | None = None) -> DataFrame:
     """One row per distinct (``by``, ``order``) with each sum, its total strictly before and its grand total.
 
-    Adds ``{name}``, ``{name}_before`` and ``{name}_total`` for every entry of ``sums``.
+    Adds ``{name}``, ``{name}_before`` and ``{name}_total`` for every entry of ``sums``. Unless split points are given,
+    the table of distinct values is staged first: it is sized, cut and read twice, the input only once.
     """
     by = list(by)
-    if points is None:
-        points = split_points(df, order)
     distinct = df.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    if points is None:
+        distinct = stage(distinct)
+        points = split_points(distinct, order)
     rows = add_piece(distinct, order, points)
     direction = F.desc if descending else F.asc
 
     pieces = rows.groupBy(*by, PIECE).agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     across = Window.partitionBy(*by).orderBy(direction(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    offsets = pieces.select(
-        *by, PIECE,
-        *[F.coalesce(F.sum(f"_{n}").over(across), F.lit(0)).alias(f"{n}_offset") for n in sums],
-        *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in sums],
-    )
-    inside = Window.partitionBy(*by, PIECE).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.select(
-        *rows.columns, *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_local") for n in sums])
-    joined = join_on(local, offsets, [*by, PIECE])
-    return joined.select(
-        *by, order, *sums,
-        *[(F.col(f"{n}_offset") + F.col(f"{n}_local")).alias(f"{n}_before") for n in sums],
-        *[F.col(f"{n}_total") for n in sums],
-    )
+    # The sum of the pieces before enters each piece as its first row: no join, and NULL groups stay groups.
+    carry = pieces.select(
+        *by, PIECE, F.lit(0).alias("_row"),
+        *[F.coalesce(F.sum(f"_{n}").over(across), F.lit(0)).alias(n) for n in sums],
+        *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in sums])
+    line = rows.withColumn("_row", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    inside = Window.partitionBy(*by, PIECE).orderBy("_row", direction(order))
+    before, so_far = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    placed = line.select(
+        *by, order, "_row", *sums, *[F.sum(n).over(before).alias(f"{n}_before") for n in sums],
+        *[F.max(f"{n}_total").over(so_far).alias(f"_{n}_total") for n in sums])
+    return placed.filter("_row = 1").select(
+        *by, order, *sums, *[f"{n}_before" for n in sums], *[F.col(f"_{n}_total").alias(f"{n}_total") for n in sums])
 
 
 def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),

@@ -8,20 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import hash32
-from tidemark.operators.ordered import cumulate, join_on, quantiles
+from tidemark.operators.ordered import cumulate, join_entities, join_on, quantiles
+
+
+# Seed distance of the second hash, which orders units whose first hashes collide.
+TIE = 7919
 
 
 def group_split(df: DataFrame, unit: str | Sequence[str], fraction: float = 0.8, seed: int = 42, name: str = "split") -> DataFrame:
     """Exact split by unit: the first ``floor(fraction * n)`` units in hash order are ``train``, the rest ``test``.
 
     The unit can be a row key, an entity or a subject; all rows of a unit fall on one side. Units are ranked by their
-    hash with piecewise running counts; units whose hashes collide are told apart by a second hash.
+    hash; what comes back is one border value, so the rows themselves are compared where they are and never shuffled.
     """
     units = [unit] if isinstance(unit, str) else list(unit)
     ranked = unit_positions(df, units, seed)
-    cut = F.floor(F.col("_count") * F.lit(float(fraction)))
-    side = ranked.select(*units, F.when(F.col("_position") < cut, "train").otherwise("test").alias(name))
-    return join_on(df, side, units)
+    key = F.struct(hash32(*units, seed=seed).alias("h"), hash32(*units, seed=seed + TIE).alias("g"), *units)
+    at_cut = F.col("_position") == F.floor(F.col("_count") * F.lit(float(fraction)))
+    border = ranked.agg(F.max(F.when(at_cut, key)).alias("_border"))
+    before = F.coalesce(key < F.col("_border"), F.lit(True))
+    return df.crossJoin(F.broadcast(border)).withColumn(name, F.when(before, "train").otherwise("test")).drop("_border")
 
 
 def unit_positions(df: DataFrame, units: Sequence[str], seed: int = 42) -> DataFrame:
@@ -29,7 +35,7 @@ def unit_positions(df: DataFrame, units: Sequence[str], seed: int = 42) -> DataF
     keyed = df.select(*units).distinct().withColumn("_h", hash32(*units, seed=seed))
     runs = cumulate(keyed, "_h", {"_k": F.lit(1)})
     # Collisions are rare and small; inside one hash value the order is that of a second hash.
-    joined = join_on(keyed.withColumn("_g", hash32(*units, seed=seed + 7919)), runs, ["_h"])
+    joined = join_entities(keyed.withColumn("_g", hash32(*units, seed=seed + TIE)), runs, ["_h"])
     from pyspark.sql.window import Window
 
     tie = F.row_number().over(Window.partitionBy("_h").orderBy("_g", *units)) - 1
@@ -46,14 +52,14 @@ def group_folds(df: DataFrame, unit: str, k: int = 5, seed: int = 42, name: str
     # One sortable number: size first, then the hash as a fraction.
     keyed = sizes.withColumn("_o", F.col("_rows") + F.col("_h") / F.lit(4294967296.0))
     runs = cumulate(keyed, "_o", {"_k": F.lit(1)}, descending=True)
-    joined = join_on(keyed, runs, ["_o"])
+    joined = join_entities(keyed, runs, ["_o"])
     from pyspark.sql.window import Window
 
     position = F.col("_k_before") + F.row_number().over(Window.partitionBy("_o").orderBy(unit)) - 1
     placed = joined.withColumn("_p", position)
     lap, at = F.floor(F.col("_p") / k), F.col("_p") % k
     fold = F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int")
-    return join_on(df, placed.select(unit, fold.alias(name)), [unit])
+    return join_entities(df, placed.select(unit, fold.alias(name)), [unit])
 
 
 def leakage(df: DataFrame, subject: str, split: str = "split") -> DataFrame:

@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.ordered import join_on
-
 
 def time_slot(col, width: float) -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -40,13 +38,14 @@ def as_of(points: DataFrame, series: DataFrame, keys: Sequence[str], at: str = "
     visited = grid.select(*keys, "_slot").distinct()
     summary = per_slot.unionByName(visited, allowMissingColumns=True).groupBy(*keys, "_slot").agg(F.max("_last").alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.withColumn("_carry", F.max("_last").over(earlier)).select(*keys, "_slot", "_carry")
+    # The value carried into a slot enters its timeline as the first observation.
+    carried = summary.select(*keys, "_slot", (F.col("_slot") * F.lit(float(width))).alias("_t"), F.max("_last").over(earlier).alias("_obs"))
+    line = obs.unionByName(carried).withColumn("_is_point", F.lit(False))
 
     # Struct order starts with time, so "last so far" is a running maximum and peers at the point's time are included.
-    merged = grid.withColumn("_is_point", F.lit(True)).unionByName(obs.withColumn("_is_point", F.lit(False)), allowMissingColumns=True)
+    merged = grid.withColumn("_is_point", F.lit(True)).unionByName(line, allowMissingColumns=True)
     inside = Window.partitionBy(*keys, "_slot").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = merged.withColumn("_seen", F.max("_obs").over(inside)).filter("_is_point")
-    out = join_on(seen, carried, [*keys, "_slot"], "left").withColumn("_best", F.coalesce("_seen", "_carry"))
+    out = merged.withColumn("_best", F.max("_obs").over(inside)).filter("_is_point")
     return out.select(*points.columns, F.col("_best.v").alias(name), (F.col("_t") - F.col("_best.t")).alias(f"{name}_age"))
 
 
@@ -69,7 +68,7 @@ def trailing_join(points: DataFrame, series: DataFrame, keys: Sequence[str], wid
         return joined
     point_cols = points.columns
     extra = [c for c in joined.columns if c not in point_cols]
-    missing = join_on(points, joined.select(*point_cols).distinct(), point_cols, "left_anti") if extra else points
+    missing = points.join(joined.select(*point_cols).distinct(), point_cols, "left_anti") if extra else points
     return joined.unionByName(missing, allowMissingColumns=True)
 
 
@@ -103,13 +102,14 @@ def running_total(points: DataFrame, events: DataFrame, keys: Sequence[str], at:
     slots = totals.unionByName(grid.select(*keys, "_slot").distinct(), allowMissingColumns=True)
     slots = slots.groupBy(*keys, "_slot").agg(*[F.sum(n).alias(n) for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slots.select(*keys, "_slot", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums])
+    carried = slots.select(*keys, "_slot", (F.col("_slot") * F.lit(float(width))).alias("_time"),
+                           *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
+    line = ev.unionByName(carried).withColumn("_is_point", F.lit(False))
 
-    merged = grid.withColumn("_is_point", F.lit(True)).unionByName(ev.withColumn("_is_point", F.lit(False)), allowMissingColumns=True)
+    merged = grid.withColumn("_is_point", F.lit(True)).unionByName(line, allowMissingColumns=True)
     inside = Window.partitionBy(*keys, "_slot").orderBy("_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = merged.select(*merged.columns, *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_i_{n}") for n in sums]).filter("_is_point")
-    out = join_on(seen, carried, [*keys, "_slot"], "left")
-    return out.select(*points.columns, *[(F.col(f"_i_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums])
+    seen = merged.select(*points.columns, "_is_point", *[F.sum(n).over(inside).alias(n) for n in sums])
+    return seen.filter("_is_point").drop("_is_point")
 
 
 def look_back(df: DataFrame, keys: Sequence[str], time: str, columns: dict, back: float) -> DataFrame:
@@ -154,7 +154,7 @@ def forward_max(df: DataFrame, keys: Sequence[str], order: str, value: str, rows
 def spread_back(df: DataFrame, keys: Sequence[str], columns: dict) -> DataFrame:
     """Group aggregates on every row of the group: aggregate first (map-side combined), then join back."""
     keys = list(keys)
-    return join_on(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()]), keys)
+    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()]), keys)
 
 
 def covered_buckets(df: DataFrame, keys: Sequence[str], time: str = "hr", value: str = "val", tie: Sequence[str] = (), hours: int = 6,
@@ -199,11 +199,11 @@ def hourly_slices(points: DataFrame, series: DataFrame, keys: Sequence[str], fam
     first = F.floor((F.col(at).cast("int") - back) / day)
     grid = points.withColumn("_slot", F.explode(F.sequence(first, first + span)))
     slots = hourly.withColumn("_slot", F.floor(F.col("hour") / day))
-    hit = join_on(grid, slots, [*keys, "_slot"]).withColumn("_ago", F.col("hour") - (F.col(at).cast("int") - back))
+    hit = grid.join(slots, [*keys, "_slot"]).withColumn("_ago", F.col("hour") - (F.col(at).cast("int") - back))
     hit = hit.filter((F.col("_ago") >= 0) & (F.col("_ago") < back))
     maps = hit.groupBy(*points.columns).agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws("|", F.col(fam), F.col("_ago").cast("string")), F.col("v")))).alias("_m"))
-    full = join_on(points, maps, points.columns, "left").withColumn("_m", F.coalesce("_m", F.map_from_arrays(
+    full = points.join(maps, points.columns, "left").withColumn("_m", F.coalesce("_m", F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<double>"))))
 
     def line(f, pick):
