@@ -210,24 +210,30 @@ def bin_index(clock: Clock) -> Column:
     return F.round(F.col("t_hr") / clock.step).cast("long")
 
 
-def bin_summaries(series: DataFrame, keys: Sequence[str], clock: Clock, time: str = "hr", value: str = "val") -> DataFrame:
+def bin_summaries(series: DataFrame, keys: Sequence[str], clock: Clock, time: str = "hr", value: str = "val", unique_times: bool = False) -> DataFrame:
     """Mergeable summaries per (key, checkpoint bin ``(t - step, t]``), combined on the map side.
 
-    Sums are taken about a local origin (the bin border for time), which keeps the slope and the spread accurate.
+    Means and centred moments keep the slope and the spread accurate. First and last are ordered by (time, value);
+    where times are known to be unique per key, ordering by time alone lets Spark aggregate by hash instead of by sort.
     """
     step = clock.step
     t_bin = F.ceil(F.col(time) / step) * float(step)
-    order = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
     x, v = F.col(time) - F.col("t_hr"), F.col(value)
+    if unique_times:
+        ends = [F.min(time).alias("b_ft"), F.min_by(v, F.col(time)).alias("b_fv"), F.max(time).alias("b_lt"), F.max_by(v, F.col(time)).alias("b_lv")]
+        pair = [F.struct(F.col("b_ft").alias("t"), F.col("b_fv").alias("v")).alias("b_first"), F.struct(F.col("b_lt").alias("t"), F.col("b_lv").alias("v")).alias("b_last")]
+    else:
+        order = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+        ends, pair = [F.min(order).alias("b_first"), F.max(order).alias("b_last")], [F.col("b_first"), F.col("b_last")]
     rows = series.filter(v.isNotNull() & F.col(time).isNotNull()).withColumn("t_hr", t_bin.cast("double"))
-    return rows.groupBy(*keys, "t_hr").agg(
-        F.count("*").alias("b_n"), F.min(v).alias("b_min"), F.max(v).alias("b_max"), F.min(order).alias("b_first"), F.max(order).alias("b_last"),
-        F.avg(v).alias("b_mean"), F.avg(x).alias("b_x"), F.var_pop(v).alias("b_var"), F.var_pop(x).alias("b_xvar"), F.covar_pop(x, v).alias("b_cov"))
+    moments = {"b_n": F.count("*"), "b_min": F.min(v), "b_max": F.max(v), "b_mean": F.avg(v), "b_x": F.avg(x), "b_var": F.var_pop(v),
+               "b_xvar": F.var_pop(x), "b_cov": F.covar_pop(x, v)}
+    return rows.groupBy(*keys, "t_hr").agg(*[c.alias(n) for n, c in moments.items()], *ends).select(*keys, "t_hr", *moments, *pair)
 
 
 def window_features(grid_rows: DataFrame, series: DataFrame, entity: Sequence[str], families: Sequence[str], width: float = 24.0,
                     clock: Clock = Clock(), fam: str = "fam", time: str = "hr", value: str = "val", wide_width: float | None = None,
-                    locf: bool = True) -> DataFrame:
+                    locf: bool = True, unique_times: bool = False) -> DataFrame:
     """Trailing-window statistics per checkpoint and family, long form.
 
     ``(t - width, t]``: last, min, max, delta, slope, n, h_last, sd, cv; with ``wide_width`` also last48, delta48,
@@ -240,7 +246,7 @@ def window_features(grid_rows: DataFrame, series: DataFrame, entity: Sequence[st
         if abs(w / clock.step - round(w / clock.step)) > 1e-9:
             raise ValueError("window width must be a multiple of the grid step")
     keys = [*entity, fam]
-    bins = bin_summaries(series.filter(F.col(fam).isin(list(families))), keys, clock, time, value)
+    bins = bin_summaries(series.filter(F.col(fam).isin(list(families))), keys, clock, time, value, unique_times)
     spine = grid_rows.select(*entity, F.col("t_hr").cast("double").alias("t_hr")).withColumn(
         fam, F.explode(F.array(*[F.lit(f) for f in families]))).withColumn("_grid", F.lit(True))
     line = spine.unionByName(bins.withColumn("_grid", F.lit(False)), allowMissingColumns=True)

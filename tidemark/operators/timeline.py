@@ -112,25 +112,35 @@ def running_total(points: DataFrame, events: DataFrame, keys: Sequence[str], at:
     return seen.filter("_is_point").drop("_is_point")
 
 
+MERGES = {"min": (F.min, F.least), "max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}
+
+
 def look_back(df: DataFrame, keys: Sequence[str], time: str, columns: dict, back: float) -> DataFrame:
-    """Window aggregates over ``[time - back, time]`` on raw rows, e.g. ``{"low": F.min("val")}``.
+    """Aggregates over ``[time - back, time]`` on raw rows, e.g. ``{"low": ("min", "val")}`` (min, max or sum).
 
-    Slots have the width of the look-back; each row is also copied into the next slot as context, so a window never
-    leaves its slot and one entity is spread over as many tasks as it has slots.
+    Slots have the width of the look-back, so a window is the end of one slot and the beginning of the next. Both parts
+    are running aggregates, whatever the number of rows in a window: forwards over the row's own slot, backwards over
+    the slot before, whose rows are copied one slot on. One entity is spread over as many tasks as it has slots.
     """
     keys = list(keys)
     slot = time_slot(time, back)
-    copies = F.array(F.struct(slot.alias("_slot"), F.lit(True).alias("_own")), F.struct((slot + 1).alias("_slot"), F.lit(False).alias("_own")))
-    # Frame borders are whole numbers, so a fractional look-back is the unit of the ordering instead.
-    whole = float(back).is_integer()
-    spread = df.select("*", F.inline(copies)).withColumn("_t", F.col(time).cast("double") / F.lit(1.0 if whole else float(back)))
-    w = Window.partitionBy(*keys, "_slot").orderBy("_t").rangeBetween(-int(back) if whole else -1, 0)
-    return spread.select("*", *[c.over(w).alias(n) for n, c in columns.items()]).filter("_own").drop("_slot", "_own", "_t")
+    t = F.col(time).cast("double")
+    copies = F.array(F.struct(slot.alias("_slot"), t.alias("_t"), F.lit(True).alias("_own")),
+                     F.struct((slot + 1).alias("_slot"), (t + float(back)).alias("_t"), F.lit(False).alias("_own")))
+    spread = df.select("*", F.inline(copies))
+    part = Window.partitionBy(*keys, "_slot")
+    to_here = part.orderBy(F.asc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = part.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = spread
+    for name, (kind, col) in columns.items():
+        agg, merge = MERGES[kind]
+        out = out.withColumn(name, merge(agg(F.when(F.col("_own"), F.col(col))).over(to_here), agg(F.when(~F.col("_own"), F.col(col))).over(from_here)))
+    return out.filter("_own").drop("_slot", "_own", "_t")
 
 
 def rise_over(df: DataFrame, keys: Sequence[str], time: str = "hr", value: str = "val", back: float = 48.0, name: str = "rise") -> DataFrame:
     """Value minus the lowest value of the look-back window (the row itself included)."""
-    return look_back(df, keys, time, {"_low": F.min(value)}, back).withColumn(name, F.col(value) - F.col("_low")).drop("_low")
+    return look_back(df, keys, time, {"_low": ("min", value)}, back).withColumn(name, F.col(value) - F.col("_low")).drop("_low")
 
 
 def bin_rise(df: DataFrame, keys: Sequence[str], time: str = "hr", value: str = "val", width: float = 6.0, back: float = 48.0) -> DataFrame:

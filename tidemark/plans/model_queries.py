@@ -24,7 +24,7 @@ QUICK = M.TreeSettings(trees=3, rate=0.3, depth=3)
 def model_rows(spark, sf):
     """Wide trailing-window features per checkpoint with two forward labels, folds and a split by entity."""
     s, g = series(spark, sf), full_grid(spark, sf).select("entity", "t_hr")
-    long = K.window_features(g, s, ["entity"], FAMILIES, 72.0, CLOCK, locf=False).withColumn("n", F.col("n").cast("double"))
+    long = K.window_features(g, s, ["entity"], FAMILIES, 72.0, CLOCK, locf=False, unique_times=True).withColumn("n", F.col("n").cast("double"))
     wide = K.widen(long, ["entity"], FAMILIES, STATS)
     for name, limit in (("y", 60), ("severe", 150)):
         ahead = s.filter((F.col("fam") == "purchase") & (F.col("val") > limit)).withColumn("hr", F.col("hr") - 72.0)

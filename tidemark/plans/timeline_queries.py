@@ -515,7 +515,7 @@ def flagship(spark, sf):
 
     s = series(spark, sf)
     g = full_grid(spark, sf)
-    feats = K.window_features(g, s, ["entity"], ["view"], 72.0, CLOCK, locf=False).select("entity", "t_hr", F.col("last").alias("x"))
+    feats = K.window_features(g, s, ["entity"], ["view"], 72.0, CLOCK, locf=False, unique_times=True).select("entity", "t_hr", F.col("last").alias("x"))
     # (t, t + 72] is the trailing window of the checkpoint 72 h later.
     events = s.filter("fam = 'purchase' AND val > 150").withColumn("hr", F.col("hr") - 72.0)
     label = K.event_counts(g, events, ["entity"], ["purchase"], 72.0, CLOCK).select("entity", "t_hr", F.col("any").alias("y"))
