@@ -241,7 +241,8 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def hour_strata(hour, width: float = 24.0, start: float = 24.0, end: float = 168.0, right_closed: bool = True) -> Column:
-    """Upper border of the hour stratum; right-closed strata leave out the start hour itself."""
+    """Label of the hour stratum: its upper border when right-closed (the start hour itself is left out), else the number of
+    whole widths up to the end of the bucket since ``start``."""
     h = F.col(hour) if isinstance(hour, str) else hour
     if right_closed:
         top = F.ceil((h - start) / width) * width + start
