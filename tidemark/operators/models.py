@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import band, recalibrate, safe_divide
+from tidemark.functions.numeric import band, recalibrate, safe_divide, sigmoid
 from tidemark.operators.checkpoints import align
 from tidemark.operators.cleaning import small_table
 from tidemark.operators.discrimination import auroc
@@ -84,7 +84,14 @@ def apply_trees(df: DataFrame, trained: Trained, name: str = "p") -> DataFrame:
 
 
 def apply_logistic(df: DataFrame, trained: Trained, name: str = "p") -> DataFrame:
-    return _scores(_zero_filled(align(df, trained.features), trained.features), trained, name, df.columns)
+    """Linear score as a plain column expression: stays in generated code, needs no model on the executors."""
+    ready = _zero_filled(align(df, trained.features), trained.features)
+    z = F.lit(float(trained.model.stages[-1].intercept))
+    for f, w in coefficients(trained).items():
+        z = z + F.lit(w) * F.col(f"{f}__filled")
+    out = ready.withColumn(name, sigmoid(z))
+    keep = [c for c in df.columns if c != name]
+    return out.select(*keep, *[c for c in trained.features if c not in keep], name)
 
 
 def _scores(ready: DataFrame, trained: Trained, name: str, columns: Sequence[str]) -> DataFrame:
