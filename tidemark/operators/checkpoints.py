@@ -205,6 +205,14 @@ def stage_labels(grid_rows: DataFrame, series: DataFrame, keys: Sequence[str], b
 STATS = ("last", "min", "max", "delta", "slope", "n", "h_last", "sd", "cv")
 
 
+def one_place(line: DataFrame, entity: Sequence[str]) -> DataFrame:
+    """One shuffle by entity for windows per family, the pivot and later joins per checkpoint.
+
+    The rows are grid rows and bin summaries, a bounded number per entity, so no entity can overfill a task.
+    """
+    return line.repartition(*entity)
+
+
 def bin_index(clock: Clock) -> Column:
     """Whole number of the checkpoint bin, so that window frames have whole borders."""
     return F.round(F.col("t_hr") / clock.step).cast("long")
@@ -249,7 +257,7 @@ def window_features(grid_rows: DataFrame, series: DataFrame, entity: Sequence[st
     bins = bin_summaries(series.filter(F.col(fam).isin(list(families))), keys, clock, time, value, unique_times)
     spine = grid_rows.select(*entity, F.col("t_hr").cast("double").alias("t_hr")).withColumn(
         fam, F.explode(F.array(*[F.lit(f) for f in families]))).withColumn("_grid", F.lit(True))
-    line = spine.unionByName(bins.withColumn("_grid", F.lit(False)), allowMissingColumns=True)
+    line = one_place(spine.unionByName(bins.withColumn("_grid", F.lit(False)), allowMissingColumns=True), entity)
     part = Window.partitionBy(*keys).orderBy(bin_index(clock))
     cols = []
     for tag, w in (("a", width), ("b", wide_width)):
@@ -359,7 +367,7 @@ def windowed_sums(grid_rows: DataFrame, events: DataFrame, entity: Sequence[str]
     bins = rows.groupBy(*keys, "t_hr").agg(F.count("*").alias("_n"), F.sum(amount).alias("_v"))
     spine = grid_rows.select(*entity, F.col("t_hr").cast("double").alias("t_hr")).withColumn(
         fam, F.explode(F.array(*[F.lit(f) for f in families]))).withColumn("_grid", F.lit(True))
-    line = spine.unionByName(bins.withColumn("_grid", F.lit(False)), allowMissingColumns=True)
+    line = one_place(spine.unionByName(bins.withColumn("_grid", F.lit(False)), allowMissingColumns=True), entity)
     part = Window.partitionBy(*keys).orderBy(bin_index(clock))
     cols = []
     for w in widths:

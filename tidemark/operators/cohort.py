@@ -39,13 +39,17 @@ def priority_tag(pairs: Sequence[tuple[str, str]], default: str = "other") -> Co
     return F.coalesce(*[F.when(F.col(flag) == 1, F.lit(tag)) for flag, tag in pairs], F.lit(default))
 
 
-def code_rules(rules: Mapping[str, Sequence[str]]) -> list[tuple[str, int, str, str]]:
-    """Rules as rows (category, length, lo, hi). ``"410"`` is a prefix, ``"4254-4259"`` a closed prefix range."""
+def code_rules(rules: Mapping[str, Sequence[str]]) -> list[tuple[str, int, str, str, str]]:
+    """Rules as rows (category, length, head, lo, hi). ``"410"`` is a prefix, ``"4254-4259"`` a closed prefix range.
+
+    The head is the first character, so that codes meet few rules; a range over several heads gives a row for each.
+    """
     out = []
     for category, items in rules.items():
         for item in items:
             lo, _, hi = item.partition("-")
-            out.append((category, len(lo), lo, hi or lo))
+            hi = hi or lo
+            out += [(category, len(lo), chr(c), lo, hi) for c in range(ord(lo[0]), ord(hi[0]) + 1)]
     return out
 
 
@@ -53,24 +57,21 @@ def category_flags(df: DataFrame, entity: Sequence[str], code: str, rules: Mappi
                    exclude: Sequence[str] = ()) -> DataFrame:
     """Comorbidity flags from code prefixes and ranges.
 
-    Each distinct code meets the rule table through an equi-join on its first three characters or fewer, so codes
-    are matched once each and not once per row; entities then take the maximum per category.
+    The rule table is declared in code, so its size is fixed and it is broadcast: rows meet it where they are, on prefix
+    length and first character, and the only shuffle is that of the partial maxima per entity.
     """
-    spark = df.sparkSession
-    categories = list(rules)
-    table = small_table(spark, code_rules(rules), "category string, len int, lo string, hi string")
-    codes = df.select(F.col(code).alias("_code")).distinct()
+    table = code_rules(rules)
+    rule_rows = small_table(df.sparkSession, table, "category string, _len int, _head string, lo string, hi string")
+    allowed = F.col(code)
     for e in exclude:
-        codes = codes.filter(~F.col("_code").startswith(e))
-    lengths = sorted({r[1] for r in code_rules(rules)})
-    stems = codes.select("_code", F.explode(F.array(*[F.struct(F.lit(n).alias("len"), F.substring("_code", 1, n).alias("stem"))
-                                                      for n in lengths])).alias("s")).select("_code", "s.*")
-    stems = stems.filter(F.length("stem") == F.col("len"))
-    hit = stems.join(F.broadcast(table), "len").filter(F.col("stem").between(F.col("lo"), F.col("hi")))
-    matched = hit.groupBy("_code").agg(F.collect_set("category").alias("_cats"))
-    joined = df.select(*entity, F.col(code).alias("_code")).join(matched, "_code", "left")
-    return joined.groupBy(*entity).agg(*[
-        F.max(F.when(F.array_contains("_cats", c), 1).otherwise(0)).alias(c) for c in categories])
+        allowed = F.when(~F.col(code).startswith(e), allowed)
+    lengths = sorted({row[1] for row in table})
+    stems = df.select(*entity, allowed.alias("_code"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len"))
+    stems = stems.select(*entity, "_len", F.substring("_code", F.lit(1), F.col("_len")).alias("_stem"))
+    stems = stems.withColumn("_head", F.when(F.length("_stem") == F.col("_len"), F.substring("_stem", 1, 1)))
+    met = stems.join(F.broadcast(rule_rows), ["_len", "_head"], "left")
+    hit = F.when(F.col("_stem").between(F.col("lo"), F.col("hi")), F.col("category"))
+    return met.withColumn("_hit", hit).groupBy(*entity).agg(*[F.max(F.when(F.col("_hit") == c, 1).otherwise(0)).alias(c) for c in rules])
 
 
 def weighted_score(weights: Mapping[str, int], hierarchies: Sequence[tuple[str, int, str, int]] = ()) -> Column:
