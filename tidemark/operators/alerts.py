@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import safe_divide
 from tidemark.operators.ordered import join_entities, join_on, quantile_bins, quantiles
 from tidemark.operators.timeline import episodes
+from tidemark.session import stage
 
 
 LEAD_QUARTILES = {"lead_p25": 0.25, "lead_median": 0.5, "lead_p75": 0.75}
@@ -75,6 +76,7 @@ def four_view(df: DataFrame, thresholds: Sequence[float], entity: Sequence[str]
     ev = F.col("_onset").isNotNull()
     one, two = F.col("first_alert") < F.col("_onset"), F.col("first_double") < F.col("_onset")
     facts = facts.withColumn("_lead", F.when(one, F.col("_onset") - F.col("first_alert")))
+    facts = stage(facts)
     days = F.when(~ev, (F.col("_to") + step - F.col("_from")) / 24.0)
     keys = [*by, "threshold"]
     out = facts.groupBy(*keys).agg(
@@ -97,7 +99,7 @@ def four_view(df: DataFrame, thresholds: Sequence[float], entity: Sequence[str]
 def capture_by(alerts: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
     """Events, captures and lead by an entity attribute (event subtype, later stage)."""
     keys = [*by, "threshold", group]
-    events = alerts.filter(F.col("event") == 1)
+    events = stage(alerts.filter(F.col("event") == 1).select(*keys, "captured", "lead"))
     out = events.groupBy(*keys).agg(F.count("*").alias("n_event"), F.sum("captured").alias("n_captured"))
     out = join_on(out, quantiles(events, "lead", LEAD_QUARTILES, keys).drop("n"), keys, "left")
     return out.select(*keys, "n_event", "n_captured", safe_divide(F.col("n_captured"), F.col("n_event")).alias("capture"), *LEAD_QUARTILES)
@@ -153,6 +155,7 @@ def rule_lead(df: DataFrame, rule: Column, entity: Sequence[str] = ("entity",),
     """First alert of a rule on positive checkpoints and its lead to the onset, over event entities."""
     rows = df.filter((F.col(y) == 1) & F.col(onset).isNotNull())
     per = rows.groupBy(*entity).agg((F.min(onset) - F.min(F.when(F.coalesce(rule, F.lit(False)), F.col(t)))).alias("_lead"))
+    per = stage(per)
     out = per.agg(F.count("*").alias("n_event"), F.count("_lead").alias("captured"))
     out = join_on(out, quantiles(per, "_lead", LEAD_QUARTILES).drop("n"), [])
     return out.select("n_event", "captured", safe_divide(F.col("captured"), F.col("n_event")).alias("capture"), *LEAD_QUARTILES)
@@ -167,12 +170,14 @@ def outcome_gradient(alerts: DataFrame, outcomes: DataFrame, entity: Sequence[st
     """Deaths and median length of stay among captured, missed and event-free entities (median by exact ranks)."""
     joined = join_entities(alerts.withColumn("group", capture_status()), outcomes, entity)
     keys = [*by, "group"]
+    joined = stage(joined.select(*keys, death, los))
     counts = joined.groupBy(*keys).agg(F.count("*").alias("n_entities"), F.sum(death).alias("deaths"), (F.avg(death) * 100.0).alias("death_pct"))
     return join_on(counts, quantiles(joined, los, {"los_median": 0.5}, keys).drop("n"), keys, "left")
 
 
 def outcome_by_band(entities: DataFrame, score: str = "max_p", bins: int = 4, death: str = "death", los: str = "los") -> DataFrame:
     """Outcome by quantile band of the entity's largest score."""
+    entities = stage(entities.select(score, death, los))
     banded = quantile_bins(entities, score, bins, name="band")
     counts = banded.groupBy("band").agg(F.count("*").alias("n_entities"), F.sum(death).alias("deaths"), (F.avg(death) * 100.0).alias("death_pct"))
     return join_on(counts, quantiles(banded, los, {"los_median": 0.5}, ["band"]).drop("n"), ["band"])

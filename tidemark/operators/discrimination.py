@@ -198,7 +198,7 @@ def delong(df: DataFrame, p1: str = "p1", p2: str = "p2", y: str = "y", by: Sequ
     """
     by = list(by)
     known = known_pairs(known_pairs(df, y, p1), y, p2)
-    counts = known.groupBy(*by, p1, p2, y).agg(F.count("*").alias("_w"))
+    counts = stage(known.groupBy(*by, p1, p2, y).agg(F.count("*").alias("_w")))
     out = counts
     for i, p in ((1, p1), (2, p2)):
         steps = cumulate(counts, p, class_sums(y, "_w"), by).select(

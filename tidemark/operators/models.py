@@ -170,14 +170,13 @@ def learning_curve(nested: DataFrame, test: DataFrame, features: Sequence[str],
 def feature_catalogue(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Minimum, maximum, default (median), step and missing share of every feature.
 
-    The features become rows, so all medians come from one exact rank pass grouped by feature.
+    The features become rows, so all of it comes from one exact rank pass grouped by feature.
     """
-    long = melt(df, features)
-    stats = long.groupBy("feature").agg(F.count("*").alias("_n"), F.count("value").alias("_k"), F.min("value").alias("min"), F.max("value").alias("max"))
-    medians = quantiles(long, "value", {"default": 0.5}, ["feature"]).drop("n")
-    out = join_on(stats, medians, ["feature"], "left")
+    ranks = quantiles(melt(df, features), "value", {"min": 0.0, "default": 0.5, "max": 1.0}, ["feature"])
+    names = small_table(df.sparkSession, [(f,) for f in features], "feature string")
+    out = names.join(ranks, "feature", "left").crossJoin(df.agg(F.count("*").alias("_rows")))
     step = F.when(F.col("max") - F.col("min") >= 20, 1.0).when(F.col("max") - F.col("min") >= 2, 0.1).otherwise(0.01)
-    return out.select("feature", "min", "max", "default", step.alias("step"), (1 - F.col("_k") / F.col("_n")).alias("missing_share"))
+    return out.select("feature", "min", "max", "default", step.alias("step"), safe_divide(F.col("_rows") - F.coalesce("n", F.lit(0)), F.col("_rows")).alias("missing_share"))
 
 
 def melt(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import recalibrate, safe_divide
 from tidemark.operators.bootstrap import resample
 from tidemark.operators.calibration import brier, calibration_error, fit_layer
-from tidemark.operators.discrimination import auroc, auroc_from_counts
+from tidemark.operators.discrimination import auroc_from_counts
 from tidemark.operators.ordered import join_on
 from tidemark.operators.timeline import spread_back
 from tidemark.session import stage
@@ -50,10 +50,11 @@ def standardised_counts(counts: DataFrame, target: DataFrame, by: Sequence[str]
 def proximity_point(df: DataFrame, entity: Sequence[str], target_endpoint, endpoint: str = "endpoint", y: str = "y", p: str = "p") -> DataFrame:
     """Raw and proximity-standardised AUROC of every endpoint against one target endpoint's bin mix."""
     rows = reach_back_bin(df, entity, by=[endpoint])
-    counts = rows.groupBy(endpoint, "bin", p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    counts = stage(rows.groupBy(endpoint, "bin", p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg")))
     target = positive_shares(counts.filter(F.col(endpoint) == target_endpoint), F.col("pos"))
     std = auroc_from_counts(standardised_counts(counts, target, [endpoint], p), p, [endpoint]).select(endpoint, F.col("auroc").alias("standardised"))
-    raw = auroc(df, y, p, [endpoint]).select(endpoint, F.col("auroc").alias("raw"))
+    whole = counts.groupBy(endpoint, p).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    raw = auroc_from_counts(whole, p, [endpoint]).select(endpoint, F.col("auroc").alias("raw"))
     return join_on(raw, std, [endpoint])
 
 
@@ -63,7 +64,7 @@ def proximity_by_bin(df: DataFrame, entity: Sequence[str], by: Sequence[str] = (
     Negatives are needed in every bin, so score counts (not rows) are repeated over the four bins.
     """
     by = list(by)
-    counts = reach_back_bin(df, entity, by=by).groupBy(*by, "bin", p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    counts = stage(reach_back_bin(df, entity, by=by).groupBy(*by, "bin", p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg")))
     positives = counts.select(*by, "bin", p, "pos", F.lit(0).cast("long").alias("neg"))
     negatives = counts.groupBy(*by, p).agg(F.sum("neg").alias("neg")).select(
         *by, F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("bin"), p, F.lit(0).cast("long").alias("pos"), "neg")

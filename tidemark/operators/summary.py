@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import safe_divide
 from tidemark.operators.ordered import cumulate, join_on, midranks, quantiles
+from tidemark.session import stage
 
 
 def value_shares(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -52,6 +53,7 @@ def baseline_table(rows: DataFrame, entity: str, subject: str, t: str, continuou
     per = rows.groupBy(*by, entity).agg(F.count("*").alias("_n"), F.min(first).alias("_f"), F.min(subject).alias("_s"),
                                         *[F.sum(e).alias(f"_p_{e}") for e in endpoints])
     per = per.select(*by, entity, "_n", "_s", *[F.col(f"_f.{c}").alias(c) for c in [*continuous, *binary]], *[f"_p_{e}" for e in endpoints])
+    per = stage(per)
     subjects = per.groupBy(*by, "_s").agg(F.count("*").alias("_k")).groupBy(*by).agg(F.count("*").alias("subjects"))
     flat = per.groupBy(*by).agg(
         F.sum("_n").alias("checkpoints"), F.count("*").alias("entities"), *[(F.avg(b) * 100.0).alias(f"{b}_pct") for b in binary],
