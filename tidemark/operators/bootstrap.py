@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numeric import POISSON_CUTS, draw_hash, hash32, poisson_count
-from tidemark.operators.discrimination import auroc_from_pieces, known_pairs
+from tidemark.operators.discrimination import auroc_from_pieces, discrimination, known_pairs
 from tidemark.operators.ordered import PIECE, add_piece, join_on, split_points
 from tidemark.session import shuffle_width, stage
 
@@ -45,8 +45,8 @@ def resample(df: DataFrame, unit: Sequence[str], sums: Mapping[str, Column], rep
     weight = poisson_count(draw_hash(F.col("_base"), F.col("replicate")))
     if outer:
         weight = weight * poisson_count(draw_hash(F.col("_outer"), F.col("replicate")))
-    drawn = spread.withColumn("_w", weight).filter(F.col("_w") > 0)
-    return drawn.groupBy("replicate", *by).agg(*[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums])
+    drawn = spread.withColumn("_draws", weight).filter(F.col("_draws") > 0)
+    return drawn.groupBy("replicate", *by).agg(*[F.sum(F.col(n) * F.col("_draws")).alias(n) for n in sums])
 
 
 # Fixed values of the public Murmur3 32-bit hash, whose column expression the draws use.
@@ -136,6 +136,13 @@ def bootstrap_auroc(df: DataFrame, unit: Sequence[str] = ("entity",), y: str = "
     return auroc_from_pieces(pieces, [*by, "replicate"]).select(*by, "replicate", "n_pos", "n_neg", "auroc")
 
 
+def bootstrap_discrimination(df: DataFrame, unit: Sequence[str] = ("entity",), y: str = "y", p: str = "p", replicates: int = 500, by: Sequence[str] = (),
+                             seed: int = 42) -> DataFrame:
+    """AUROC, average precision and lift of every replicate, from one resampled table of score counts."""
+    draws = resample(known_pairs(df, y, p), unit, {"_w": F.lit(1)}, replicates, [*by, y, p], seed)
+    return discrimination(draws, y, p, ["replicate", *by], weight="_w")
+
+
 def interval(replicates: DataFrame, value: str = "auroc", by: Sequence[str] = (), lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Percentile interval over the replicates (a bounded number per group); NULL replicates are dropped."""
     out = replicates.groupBy(*by).agg(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import tempfile
 import uuid
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import hours_between, sigmoid
 from tidemark.operators import checkpoints as K
 
-EPOCH = datetime.datetime(2024, 1, 1)
+EPOCH = "2024-01-01 00:00:00"
 CLOCK = K.Clock(start=168.0, step=24.0, end=672.0, lead_out=24.0, horizon=168.0, fold=20.0, rise=150.0, back=168.0, carry=336.0)
 FAMILIES = ("click", "error", "purchase", "signup", "view")
 THRESHOLDS = (0.15, 0.25, 0.35)

@@ -197,6 +197,18 @@ def site_slopes(spark, sf):
     return rounded(out.select("site", F.col("b").alias("slope"), F.when(F.col("b").between(-2.0, 1.25), 1).otherwise(0).alias("inside")), 4)
 
 
+_RAW_B = newton_sql("sited", "site", "SELECT site, b FROM {params}")
+_OUT_B = newton_sql("sited", "site", "SELECT site, b FROM {params}", counts=_SITE_OUT)
+
+
+@query("L19_refit_slopes", with_ctes(f"SELECT site, {r('u.b / v.b', 2)} AS slope FROM ({_RAW_B}) u JOIN ({_OUT_B}) v USING (site)", "sited"))
+def refit_slopes(spark, sf):
+    """Each site recalibrated by the layer of all other sites: its calibration slope after that."""
+    df = sites(spark, sf)
+    refit = C.apply_layer(df, C.held_out_layers(df, "site"), by=["site"], name="p_new")
+    return rounded(C.fit_layer(refit, p="p_new", by=["site"]).select("site", F.col("b").alias("slope")), 2)
+
+
 @query("L20_intercept_update", with_ctes(newton_sql("(SELECT *, 1 AS g FROM pred)", "g", f"SELECT entity, t_hr, {r('1 / (1 + exp(-(a + ln(p / (1 - p)))))', 5)} AS p_new FROM pred, {{params}}"), "pred"))
 def intercept_update(spark, sf):
     pr = predictions(spark, sf)

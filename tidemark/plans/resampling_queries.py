@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import numeric as N
 from tidemark.operators import bootstrap as B
-from tidemark.operators import discrimination as D
+from tidemark.operators import diagnostics as G
 from tidemark.operators import ordered as O
 from tidemark.operators import resampled as P
 from tidemark.operators import sampling as L
 from tidemark.operators import summary as A
 from tidemark.plans.cleaning_queries import P_REC
 from tidemark.plans.fixtures import CTE, LAYER, endpoints, predictions, r, rounded, table, with_ctes
-from tidemark.plans.metric_queries import BIN, newton_sql
+from tidemark.plans.metric_queries import BIN, _CLASSES, _GROUPED, ap_sql, masks, newton_sql
 from tidemark.plans.registry import query
 from tidemark.plans.timeline_queries import mixed_stages
 
@@ -66,6 +65,24 @@ def additive(spark, sf):
     return rounded(reps.select("replicate", "n", (F.col("sq") / F.col("n")).alias("brier")))
 
 
+@query("E12_average_precision", with_ctes(f"WITH k AS MATERIALIZED ({draws_sql('entity', 'pred', replicates=12)}), x AS MATERIALIZED (SELECT replicate, y, p FROM (SELECT *, unnest(range(w)) AS copy FROM pred JOIN k USING (entity))) " + ap_sql("x", "replicate"), "pred"))
+def average_precision(spark, sf):
+    return rounded(B.bootstrap_discrimination(predictions(spark, sf), ["entity"], replicates=12))
+
+
+@query("E21_gradient_intervals", with_ctes(f"WITH c AS MATERIALIZED (SELECT * FROM ({_CLASSES}) WHERE y = 0 OR class = 'any' OR (class = 'light' AND ge3 = 0) OR (class = 'severe' AND ge3 = 1)), k AS MATERIALIZED ({draws_sql('entity', 'pred')}), "
+                                           f"b AS ({weighted_auc_sql('(SELECT * FROM c JOIN k USING (entity))', 'class, replicate')}) SELECT class, {_CI} FROM b GROUP BY 1", "pred"))
+def gradient_intervals(spark, sf):
+    rows = G.severity_classes(predictions(spark, sf), {"any": F.lit(True), "light": F.col("ge3") == 0, "severe": F.col("ge3") == 1})
+    return rounded(B.interval(B.bootstrap_auroc(rows, ["entity"], replicates=REPLICATES, by=["class"]), by=["class"]))
+
+
+@query("E23_subgroup_intervals", with_ctes(f"WITH c AS MATERIALIZED ({_GROUPED}), k AS MATERIALIZED ({draws_sql('entity', 'pred')}), b AS ({weighted_auc_sql('(SELECT * FROM c JOIN k USING (entity))', 'subgroup, replicate')}) SELECT subgroup, {_CI} FROM b GROUP BY 1", "pred"))
+def subgroup_intervals(spark, sf):
+    rows = G.in_subgroups(predictions(spark, sf), masks())
+    return rounded(B.interval(B.bootstrap_auroc(rows, ["entity"], replicates=REPLICATES, by=["subgroup"]), by=["subgroup"]))
+
+
 @query("E13_subject_unit", with_ctes(f"WITH k AS MATERIALIZED ({draws_sql('subject', 'owned')}), b AS ({weighted_auc_sql('(SELECT * FROM owned JOIN k USING (subject))', 'cohort, replicate')}) SELECT cohort, {_CI} FROM b GROUP BY 1", "owned"))
 def subject_unit(spark, sf):
     return rounded(B.interval(B.bootstrap_auroc(owned(spark, sf), ["subject"], replicates=REPLICATES, by=["cohort"]), by=["cohort"]))
