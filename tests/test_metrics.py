@@ -166,3 +166,10 @@ def test_no_capture_gives_null_rates(spark):
     df = spark.createDataFrame([("A", 24.0, 1, 0.1)], "entity string, t_hr double, y int, p double")
     got = AL.deployment(AL.entity_alerts(df, [0.5])).first()
     assert got.nne is None and got.lead_median is None and got.capture == 0.0
+
+
+def test_fixed_size_draws_are_exact(spark):
+    df = spark.createDataFrame([(i % 50, 1) for i in range(170)], "entity long, y int")
+    draws = B.fixed_size_draws(df, ["entity"], 8)
+    got = draws.groupBy("replicate").agg(F.sum("draws").alias("n"), F.count("*").alias("k")).collect()
+    assert len(got) == 8 and {r.n for r in got} == {50} and all(20 <= r.k <= 45 for r in got)

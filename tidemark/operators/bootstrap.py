@@ -2,7 +2,8 @@
 
 An entity's multiplicity in replicate ``b`` is a Poisson(1) count read from a hash of (seed, entity, b). Draws need
 no table, no join and no global index; the same entity gets the same count wherever its rows are, which is what
-makes comparisons on the same draws paired. (A fixed-size resample conditions these counts on their sum.)
+makes comparisons on the same draws paired. A fixed-size resample conditions these counts on their sum; it is
+``fixed_size_draws`` with ``resample_with``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import POISSON_CUTS, draw_hash, hash32, poisson_count
 from tidemark.operators.discrimination import auroc_from_pieces, discrimination, known_pairs
-from tidemark.operators.ordered import PIECE, add_piece, join_on, split_points
+from tidemark.operators.ordered import PIECE, add_piece, join_entities, join_on, split_points
+from tidemark.operators.sampling import unit_positions
 from tidemark.session import shuffle_width, stage
 
 STRIP = 64
@@ -49,6 +51,25 @@ def resample(df: DataFrame, unit: Sequence[str], sums: Mapping[str, Column], rep
     return drawn.groupBy("replicate", *by).agg(*[F.sum(F.col(n) * F.col("_draws")).alias(n) for n in sums])
 
 
+def fixed_size_draws(df: DataFrame, unit: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
+    """Draws of exactly as many units as there are, with replacement: rows (unit, replicate, ``draws``), zero counts left out.
+
+    The n units are numbered in hash order; slot ``d`` of replicate ``b`` draws unit ``floor(u n)`` with a hashed uniform
+    ``u`` of (b, d). Costs a shuffle of units times replicates, which Poisson counts do not; needs n below 2^32.
+    """
+    placed = stage(unit_positions(df, unit, seed))
+    slots = placed.select("_position", "_count", F.explode(F.sequence(F.lit(1), F.lit(replicates)).cast("array<bigint>")).alias("replicate"))
+    drawn = F.floor(draw_hash(F.col("_position"), F.col("replicate")) / F.lit(4294967296.0) * F.col("_count")).cast("bigint")
+    counts = slots.groupBy("replicate", drawn.alias("_position")).agg(F.count("*").alias("draws"))
+    return counts.join(placed.drop("_count"), "_position").select(*unit, "replicate", "draws")
+
+
+def resample_with(df: DataFrame, draws: DataFrame, unit: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Weighted sums per (replicate, ``by``) under a table of draws."""
+    base = df.groupBy(*dict.fromkeys([*unit, *by])).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return join_entities(base, draws, unit).groupBy("replicate", *by).agg(*[F.sum(F.col(n) * F.col("draws")).alias(n) for n in sums])
+
+
 # Fixed values of the public Murmur3 32-bit hash, whose column expression the draws use.
 M3_K1, M3_K2, M3_H, M3_F1, M3_F2, M3_SEED = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35, 42
 

@@ -211,6 +211,19 @@ def _ranked_units(key: str, source: str) -> str:
     return (f"SELECT {key}, row_number() OVER (ORDER BY {h.format(s=42, k=key)}, {h.format(s=42 + 7919, k=key)}, {key}) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT {key} FROM {source})")
 
 
+_SLOTS = mixed_stages(f"({_ranked_units('subject', 'owned')}), (SELECT unnest(range(1, 13)) AS replicate)", "pos", "replicate", "at_pos", keep="replicate, n AS n_units, pos", value="CAST(floor(h / 4294967296.0::DOUBLE * n_units) AS BIGINT)")
+
+
+@query("E12_fixed_size_draws", with_ctes(f"""WITH u AS MATERIALIZED ({_ranked_units('subject', 'owned')}), s AS MATERIALIZED ({_SLOTS}), d AS (SELECT replicate, at_pos, count(*) AS draws FROM s GROUP BY 1, 2)
+    SELECT replicate, CAST(sum(draws * k) AS BIGINT) AS n, CAST(sum(draws * pos_y) AS BIGINT) AS n_pos, CAST(sum(draws) AS BIGINT) AS units FROM d JOIN u ON d.at_pos = u.pos
+    JOIN (SELECT subject, count(*) AS k, sum(y) AS pos_y FROM owned GROUP BY 1) o USING (subject) GROUP BY 1""", "owned"))
+def fixed_size(spark, sf):
+    rows = owned(spark, sf)
+    draws = B.fixed_size_draws(rows, ["subject"], 12)
+    sums = B.resample_with(rows, draws, ["subject"], {"n": F.lit(1), "n_pos": F.col("y")})
+    return sums.join(draws.groupBy("replicate").agg(F.sum("draws").alias("units")), "replicate")
+
+
 @query("L1_group_split", with_ctes(f"WITH u AS ({_ranked_units('subject', 'owned')}) SELECT subject, CASE WHEN pos < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM owned JOIN (SELECT subject, pos, n FROM u) USING (subject) GROUP BY 1, 2".replace("count(*) AS n FROM owned", "count(*) AS n_rows FROM owned"), "owned"))
 def group_split(spark, sf):
     return L.group_split(owned(spark, sf), "subject").groupBy("subject", "split").agg(F.count("*").alias("n_rows"))

@@ -304,8 +304,8 @@ _HASH = "('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT"
 POISSON_SQL = "(" + " + ".join(f"(h >= {c})::INT" for c in B.POISSON_CUTS) + ")"
 
 
-def mixed_stages(source: str, base: str, rep: str, out: str, keep: str = "*") -> str:
-    """The draw hash step by step, so that no expression is repeated: adds a Poisson count ``out``."""
+def mixed_stages(source: str, base: str, rep: str, out: str, keep: str = "*", value: str | None = None) -> str:
+    """The draw hash ``h`` step by step, so that no expression is repeated: adds a Poisson count (or ``value``) as ``out``."""
     m = "4294967295::UBIGINT"
     q = f"SELECT {keep}, {base}::UBIGINT AS u_lo, {rep}::UBIGINT AS u_hi, {B.M3_SEED}::UBIGINT AS h, 0::UBIGINT AS k FROM {source}"
 
@@ -323,7 +323,7 @@ def mixed_stages(source: str, base: str, rep: str, out: str, keep: str = "*") ->
         step("h", f"xor(h, h >> {down})")
         step("h", f"(h * {mul}::UBIGINT) & {m}")
     step("h", "xor(h, h >> 16)")
-    return f"SELECT * EXCLUDE (h, k, u_lo, u_hi), {POISSON_SQL} AS {out} FROM ({q})"
+    return f"SELECT * EXCLUDE (h, k, u_lo, u_hi), {value or POISSON_SQL} AS {out} FROM ({q})"
 
 
 _RUNS = mixed_stages(f"(SELECT entity, sum(y) AS pos, count(*) AS n, {_HASH.format(seed=42, key='entity')} AS b FROM pred GROUP BY 1), (SELECT unnest(range(1, 21)) AS replicate)", "b", "replicate", "w")
