@@ -48,10 +48,14 @@ def parquet_scan(spark, sf):
     return df.filter("l_quantity > 45").groupBy("l_returnflag").agg(F.max("l_tax").alias("top"))
 
 
-@query("S5_schema_only", "SELECT column_name AS name FROM (DESCRIBE lineitem) WHERE column_name NOT IN ('l_orderkey', 'l_linenumber')")
-def schema_only(spark, sf):
-    names = R.parquet_columns(spark, f"{sf}/lineitem.parquet", exclude=["l_orderkey", "l_linenumber"])
-    return C.small_table(spark, [(n,) for n in names], "name string")
+_CUSTOMER = ("c_acctbal", "c_mktsegment", "c_name", "c_nationkey")
+
+
+@query("S5_schema_columns", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS missing, {r(f'(count(*) - count({c})) / count(*)::DOUBLE')} AS share FROM customer" for c in _CUSTOMER))
+def schema_columns(spark, sf):
+    """Candidate columns come from the file footers; each is then audited over the whole table."""
+    names = R.parquet_columns(spark, f"{sf}/customer.parquet", exclude=["c_custkey"])
+    return rounded(C.missing_shares(table(spark, sf, "customer"), names))
 
 
 @query("S6_parquet_sink", with_ctes("SELECT fam, count(*) AS n, max(val) AS top FROM series GROUP BY 1", "series"))
@@ -61,11 +65,11 @@ def parquet_sink(spark, sf):
     return R.read_parquet(spark, path).groupBy("fam").agg(F.count("*").alias("n"), F.max("val").alias("top"))
 
 
-@query("S7_csv_sink", "SELECT n_nationkey, n_name FROM nation")
+@query("S7_csv_sink", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
 def csv_sink(spark, sf):
-    path = scratch(spark, "nation-csv")
-    W.write_csv(table(spark, sf, "nation").select("n_nationkey", "n_name"), path)
-    return R.read_typed_csv(spark, path, {"n_nationkey": "int", "n_name": "string"})
+    path = scratch(spark, "customer-csv")
+    W.write_csv(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), path)
+    return R.read_typed_csv(spark, path, {"c_custkey": "bigint", "c_mktsegment": "string", "c_acctbal": "double"})
 
 
 @query("S8_report_json", "SELECT o_orderstatus AS cohort, CAST(count(*) AS DOUBLE) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1")

@@ -11,7 +11,6 @@ from tidemark.operators import diagnostics as G
 from tidemark.operators import discrimination as D
 from tidemark.operators import ordered as O
 from tidemark.operators import quality as Q
-from tidemark.operators import sampling as L
 from tidemark.plans.checkpoint_queries import TWO_ONSETS, two_onsets
 from tidemark.plans.cleaning_queries import P_REC
 from tidemark.plans.fixtures import (CLOCK, LAYER, THRESHOLDS, analyte, checkpoint_grid, endpoints, full_grid, predictions, r, rounded, series, sites, stays, table, with_ctes)

@@ -43,6 +43,10 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every input file, computed where the file is read."""
+    """SHA-256 of every input file, computed where the file is read.
+
+    A file is one record of the source and must stay below 2 GB; for larger tables use the content fingerprint, which is
+    a plain aggregate over rows.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
