@@ -28,15 +28,26 @@ def stage(df: DataFrame) -> DataFrame:
     """Write a stage table to reliable storage and continue from it.
 
     Uses the folder the session names in ``spark.checkpoint.dir`` (or one already set on the context), so the
-    rows survive the loss of executors. Only when nothing is configured, as in tests, is a local folder used.
+    rows survive the loss of executors. A machine-local folder is used only by a session that runs in one process, as in tests; any
+    other session without a shared folder is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="spark-")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
