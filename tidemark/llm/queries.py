@@ -1,4 +1,4 @@
 """All queries of this subpackage and their SQL twins."""
 
-from tidemark.llm import q_sampling  # noqa: F401
+from tidemark.llm import q_chat, q_quality, q_sampling  # noqa: F401
 from tidemark.llm.registry import ORACLES, QUERIES  # noqa: F401
