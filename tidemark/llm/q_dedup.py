@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import neardup
+from pyspark.sql import functions as F
+
+from tidemark.llm import linededup, neardup
 from tidemark.llm.registry import query, table
 
 
@@ -10,3 +12,10 @@ from tidemark.llm.registry import query, table
 def op6_minhash(spark, sf):
     """Groups of documents that share three quarters of their five-word shingles."""
     return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op1_lines")
+def op1_lines(spark, sf):
+    """Every document without the blocks of lines that it shares with an earlier one."""
+    found = linededup.dedup_lines(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "partners", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
