@@ -231,3 +231,17 @@ def tag(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.scores(t, m), pa.float64()), spans], names=[key, "score", "spans"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, score double, spans array<struct<start:long,end:long>>")
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", cut: float = 0.3) -> DataFrame:
+    """The rows whose score is below ``cut``, with all their columns. Scored where they are read; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in W.pieces(*W.text_bytes(batch.column(place))):
+                t = tokens(data, offsets)
+                yield batch.slice(lo, hi - lo).filter(pa.array(sent.value.scores(t, sent.value.marginals(t)) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
