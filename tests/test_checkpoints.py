@@ -19,7 +19,7 @@ def points(spark, *ts):
 
 def test_window_edges_and_statistics(spark):
     s = series(spark, [(24.0, 5.0), (24.5, 1.0), (36, 2.0), (48, 4.0)])
-    for out in (K.window_features(points(spark, 48), s, ["entity"], ["x"]), K.window_features(points(spark, 48), s, ["entity"], ["x"], unique_times=True),
+    for out in (K.window_features(points(spark, 48), s, ["entity"], ["x"]),
                 K.window_features_exact(points(spark, 48), s, ["entity"], 24.0)):
         got = out.first()
         assert (got["last"], got["min"], got["max"], got["delta"], got["n"], got["h_last"]) == (4, 1, 4, 3, 3, 0)
@@ -180,3 +180,20 @@ def test_first_episode(spark):
     ends = spark.createDataFrame([(1, None, 99.0), (2, None, 80.0)], "entity long, d1 double, d2 double")
     got = {r.entity: (r.start, r.end, r.los) for r in H.first_episode(df, "entity", "t", F.col("src") == "icu", F.col("dst") == "icu", ends, ["d1", "d2"]).collect()}
     assert got == {1: (5.0, 50.0, 45.0), 2: (5.0, 80.0, 75.0)}
+
+
+def test_bin_onset_stops_before_the_end(spark):
+    clock = K.Clock()
+    base = spark.createDataFrame([(1, 1.0)], "entity long, base double")
+    at_end = series(spark, [(clock.end, 100.0), (clock.start, 1.0)])
+    assert K.onset_bin(at_end, base, ["entity"]).first()["onset_hr"] is None
+    last = series(spark, [(clock.end - clock.step, 100.0), (clock.start, 1.0)])
+    assert K.onset_bin(last, base, ["entity"]).first()["onset_hr"] == clock.end - clock.step
+    first = series(spark, [(clock.start, 100.0)])
+    assert K.onset_bin(first, base, ["entity"]).first()["onset_hr"] == clock.start
+
+
+def test_values_at_one_time_give_one_summary(spark):
+    tied = [(36.0, 3.0), (36.0, 1.0), (40.0, 7.0), (40.0, 2.0)]
+    rows = {tuple(K.window_features(points(spark, 48), series(spark, order), ["entity"], ["x"]).first()) for order in (tied, tied[::-1])}
+    assert len(rows) == 1

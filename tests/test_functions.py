@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
@@ -61,3 +62,28 @@ def test_age_and_year(spark):
     got = one(spark, a=X.age_years(F.lit("> 89")), b=X.age_years(F.lit("> 89"), cap_value=89), c=X.calendar_year(F.lit("2011 - 2013"), F.lit(2185), F.lit(2180)),
               d=X.calendar_year(F.lit("2011 - 2014"), F.lit(2180), F.lit(2180)))
     assert (got.a, got.b, got.c, got.d) == (90.0, 89.0, 2017, 2012)
+
+
+def test_defaults_have_one_row(spark):
+    from tidemark.operators import cleaning as C
+
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "id long, x double")
+    one = spark.createDataFrame([(5.0,)], "x double")
+    assert sorted(r["x"] for r in C.fill_from(df, one, ["x"]).collect()) == [3.0, 5.0]
+    with pytest.raises(Exception, match="more than one row"):
+        C.fill_from(df, one.union(one), ["x"]).collect()
+
+
+def test_a_session_of_many_processes_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.session import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("local-cluster[3,2,1024]", "yarn", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+        assert shared_folder(session(master, "hdfs:///shared")) == "hdfs:///shared"
+    assert shared_folder(session("local[8]"))

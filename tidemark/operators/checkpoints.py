@@ -92,8 +92,9 @@ def onset_raw(series: DataFrame, base: DataFrame, keys: Sequence[str], time: str
 
 
 def onset_bin(series: DataFrame, base: DataFrame, keys: Sequence[str], time: str = "hr", value: str = "val", clock: Clock = Clock()) -> DataFrame:
-    """First bin from ``start`` on whose maximum reaches the fold or rises by ``rise`` over the earlier bins."""
-    rows = series.filter((F.col(time) >= 0) & (F.col(time) <= clock.end))
+    """First bin from ``start`` on whose maximum reaches the fold or rises by ``rise`` over the earlier bins. A value at ``end`` would open a bin after
+    the follow-up and is left out."""
+    rows = series.filter((F.col(time) >= 0) & (F.col(time) < clock.end))
     bins = join_entities(bin_rise(rows, keys, time, value, clock.step, clock.back), base.select(*keys, "base"), list(keys))
     hit = (F.col("bin_max") / F.col("base") >= clock.fold) | (F.col("rise") >= clock.rise)
     return bins.groupBy(*keys).agg(F.min(F.when(hit & (F.col("bin_hr") >= clock.start), F.col("bin_hr"))).alias("onset_hr"))
@@ -218,30 +219,26 @@ def bin_index(clock: Clock) -> Column:
     return F.round(F.col("t_hr") / clock.step).cast("long")
 
 
-def bin_summaries(series: DataFrame, keys: Sequence[str], clock: Clock, time: str = "hr", value: str = "val", unique_times: bool = False) -> DataFrame:
+def bin_summaries(series: DataFrame, keys: Sequence[str], clock: Clock, time: str = "hr", value: str = "val") -> DataFrame:
     """Mergeable summaries per (key, checkpoint bin ``(t - step, t]``), combined on the map side.
 
-    Means and centred moments keep the slope and the spread accurate. First and last are ordered by (time, value);
-    where times are known to be unique per key, ordering by time alone lets Spark aggregate by hash instead of by sort.
+    Means and centred moments keep the slope and the spread accurate. First and last are ordered by (time, value), so values at one time
+    give the same summary in any order of the rows.
     """
     step = clock.step
     t_bin = F.ceil(F.col(time) / step) * float(step)
     x, v = F.col(time) - F.col("t_hr"), F.col(value)
-    if unique_times:
-        ends = [F.min(time).alias("b_ft"), F.min_by(v, F.col(time)).alias("b_fv"), F.max(time).alias("b_lt"), F.max_by(v, F.col(time)).alias("b_lv")]
-        pair = [F.struct(F.col("b_ft").alias("t"), F.col("b_fv").alias("v")).alias("b_first"), F.struct(F.col("b_lt").alias("t"), F.col("b_lv").alias("v")).alias("b_last")]
-    else:
-        order = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
-        ends, pair = [F.min(order).alias("b_first"), F.max(order).alias("b_last")], [F.col("b_first"), F.col("b_last")]
+    order = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+    ends = [F.min(order).alias("b_first"), F.max(order).alias("b_last")]
     rows = series.filter(v.isNotNull() & F.col(time).isNotNull()).withColumn("t_hr", t_bin.cast("double"))
     moments = {"b_n": F.count("*"), "b_min": F.min(v), "b_max": F.max(v), "b_mean": F.avg(v), "b_x": F.avg(x), "b_var": F.var_pop(v),
                "b_xvar": F.var_pop(x), "b_cov": F.covar_pop(x, v)}
-    return rows.groupBy(*keys, "t_hr").agg(*[c.alias(n) for n, c in moments.items()], *ends).select(*keys, "t_hr", *moments, *pair)
+    return rows.groupBy(*keys, "t_hr").agg(*[c.alias(n) for n, c in moments.items()], *ends)
 
 
 def window_features(grid_rows: DataFrame, series: DataFrame, entity: Sequence[str], families: Sequence[str], width: float = 24.0,
                     clock: Clock = Clock(), fam: str = "fam", time: str = "hr", value: str = "val", wide_width: float | None = None,
-                    locf: bool = True, unique_times: bool = False) -> DataFrame:
+                    locf: bool = True) -> DataFrame:
     """Trailing-window statistics per checkpoint and family, long form.
 
     ``(t - width, t]``: last, min, max, delta, slope, n, h_last, sd, cv; with ``wide_width`` also last48, delta48,
@@ -254,7 +251,7 @@ def window_features(grid_rows: DataFrame, series: DataFrame, entity: Sequence[st
         if abs(w / clock.step - round(w / clock.step)) > 1e-9:
             raise ValueError("window width must be a multiple of the grid step")
     keys = [*entity, fam]
-    bins = bin_summaries(series.filter(F.col(fam).isin(list(families))), keys, clock, time, value, unique_times)
+    bins = bin_summaries(series.filter(F.col(fam).isin(list(families))), keys, clock, time, value)
     spine = grid_rows.select(*entity, F.col("t_hr").cast("double").alias("t_hr")).withColumn(
         fam, F.explode(F.array(*[F.lit(f) for f in families]))).withColumn("_grid", F.lit(True))
     line = one_place(spine.unionByName(bins.withColumn("_grid", F.lit(False)), allowMissingColumns=True), entity)
@@ -415,14 +412,14 @@ def evaluability(rows: DataFrame, entity: Sequence[str], observed: str, label: s
                    F.count_if(F.col("_n") == F.col("_m")).alias("entities_without"))
 
 
-def grid_audit(rows: DataFrame, entity: Sequence[str], label: str = "label", onset: str = "onset_hr", t: str = "t_hr") -> DataFrame:
-    """Checkpoints per entity, distance of the last checkpoint to the onset, positives at or after it.
+def grid_audit(rows: DataFrame, entity: Sequence[str], label: str = "label", onset: str = "onset_hr", t: str = "t_hr", clock: Clock = Clock()) -> DataFrame:
+    """Checkpoints per entity, distance of the last checkpoint to the onset in whole grid steps, positives at or after it.
 
     Both medians are over small whole numbers of grid steps, so the exact percentile keeps few distinct values.
     """
     per = rows.groupBy(*entity).agg(F.count("*").alias("_n"), F.max(t).alias("_last"), F.min(onset).alias("_onset"),
                                     F.count_if((F.col(label) == 1) & (F.col(t) >= F.col(onset))).alias("_after"))
-    gap = F.floor((F.col("_onset") - F.col("_last")) / 6.0) * 6.0
+    gap = F.floor((F.col("_onset") - F.col("_last")) / clock.step) * clock.step
     return per.agg(F.count("*").alias("entities"), F.sum("_n").alias("checkpoints"), F.min("_n").alias("min_n"), F.percentile("_n", 0.5).alias("median_n"),
                    F.max("_n").alias("max_n"), F.count("_onset").alias("with_onset"), F.percentile(gap, 0.5).alias("median_gap"),
                    F.sum("_after").alias("positive_after_onset"))

@@ -92,8 +92,10 @@ def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fill_from(df: DataFrame, defaults: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing values take the value of a one-row table of defaults (training medians, a profile)."""
-    one = defaults.select(*[F.col(c).alias(f"_d_{c}") for c in columns]).limit(1)
+    """Missing values take the value of a one-row table of defaults (training medians, a profile). A table with more rows is refused."""
+    single = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("the table of defaults has more than one row")).cast("boolean")).otherwise(True)
+    picked = defaults.agg(single.alias("_single"), *[F.first(c).alias(f"_d_{c}") for c in columns])
+    one = picked.filter("_single").select(*[f"_d_{c}" for c in columns])
     joined = df.crossJoin(F.broadcast(one))
     return joined.select(*[F.coalesce(F.col(c), F.col(f"_d_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 

@@ -96,7 +96,7 @@ COMORBIDITY_HIERARCHIES = (
     ("malignant_cancer", 2, "metastatic_solid_tumor", 6),
 )
 
-# ICD-9 code rules of the published comorbidity index (prefix or closed prefix range).
+# ICD-9 code rules of a comorbidity index in a study variant, which differs in places from the published index (prefix or closed prefix range).
 COMORBIDITY_ICD9 = {
     "myocardial_infarct": ["410", "412"],
     "congestive_heart_failure": ["428", "39891", "40201", "40211", "40291", "40401", "40403", "40411", "40413", "40491",
@@ -120,7 +120,7 @@ COMORBIDITY_ICD9 = {
     "aids": ["042-044"],
 }
 
-# ICD-10 code rules of the published comorbidity index (prefix or closed prefix range).
+# ICD-10 code rules of a comorbidity index in a study variant, which differs in places from the published index (prefix or closed prefix range).
 COMORBIDITY_ICD10 = {
     "myocardial_infarct": ["I21", "I22", "I252"],
     "congestive_heart_failure": ["I50", "I110", "I130", "I132"],

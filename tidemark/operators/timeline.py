@@ -168,20 +168,20 @@ def spread_back(df: DataFrame, keys: Sequence[str], columns: dict) -> DataFrame:
 
 
 def covered_buckets(df: DataFrame, keys: Sequence[str], time: str = "hr", value: str = "val", tie: Sequence[str] = (), hours: int = 6,
-                    min_cover: int | None = None, limit: int = 192, combine: str = "last", clip: bool = True) -> DataFrame:
+                    min_cover: int | None = None, limit: int | None = None, combine: str = "last", clip: bool = True) -> DataFrame:
     """Hourly values (last one wins, or summed) gathered in buckets that count only when enough hours are covered.
 
-    Gives ``bucket``, ``t0_hr``, ``total``, ``cover`` and ``evaluable``. Hours beyond the borders fall into the first
-    and last hour when ``clip`` is set.
+    Gives ``bucket``, ``t0_hr``, ``total``, ``cover`` and ``evaluable``. Hours before 0, and from ``limit`` on where one is given, fall into the
+    first and last hour when ``clip`` is set, and are left out otherwise.
     """
     keys = list(keys)
     h = F.floor(F.col(time)).cast("int")
     rows = df.filter(F.col(value).isNotNull())
     if clip:
         # The time is clipped before it is truncated.
-        h = F.greatest(F.lit(0), F.least(F.lit(limit - 1), h))
+        h = F.greatest(F.lit(0), h if limit is None else F.least(F.lit(limit - 1), h))
     else:
-        rows = rows.filter((F.col(time) >= 0) & (F.col(time) < limit))
+        rows = rows.filter((F.col(time) >= 0) & (F.lit(True) if limit is None else F.col(time) < limit))
     order = F.struct(F.col(time).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(tie)], F.col(value).alias("v"))
     pick = F.max_by(value, order) if combine == "last" else F.sum(value)
     hourly = rows.withColumn("hour", h).groupBy(*keys, "hour").agg(pick.alias("_v"))

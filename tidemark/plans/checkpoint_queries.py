@@ -38,7 +38,7 @@ def onset_raw(spark, sf):
 
 
 @query("C5_onset_bin", with_ctes("""
-    WITH b AS (SELECT entity, floor(hr / 24) * 24 AS bin_hr, max(val) AS m FROM analyte WHERE hr >= 0 AND hr <= 672 GROUP BY 1, 2),
+    WITH b AS (SELECT entity, floor(hr / 24) * 24 AS bin_hr, max(val) AS m FROM analyte WHERE hr >= 0 AND hr < 672 GROUP BY 1, 2),
          x AS (SELECT *, m - min(m) OVER (PARTITION BY entity ORDER BY bin_hr RANGE BETWEEN 168 PRECEDING AND CURRENT ROW) AS rise FROM b)
     SELECT entity, min(CASE WHEN bin_hr >= 168 AND (m / base >= 20 OR rise >= 150) THEN bin_hr END) AS onset_hr FROM x JOIN bases USING (entity) GROUP BY 1""", "analyte", "bases"))
 def onset_bin(spark, sf):
@@ -144,7 +144,7 @@ _STATS = ", ".join(f"{r(c, 4)} AS {c}" for c in ("last", "min", "max", "delta",
 
 @query("C14_window_features", with_ctes(f"SELECT entity, t_hr, fam, n, {_STATS} FROM ({window_sql(72)})", "series", "full_grid"))
 def window_features(spark, sf):
-    out = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], FAMILIES, 72.0, CLOCK, locf=False, unique_times=True)
+    out = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], FAMILIES, 72.0, CLOCK, locf=False)
     return rounded(out.filter(F.col("n").isNotNull()), 4)
 
 
@@ -158,7 +158,7 @@ def any_width(spark, sf):
     SELECT g.entity, g.t_hr, {', '.join(f"{r(f'max(CASE WHEN fam = {chr(39)}{f}{chr(39)} THEN {s} END)', 4)} AS {f}_{s}" for f in FAMILIES for s in ('last', 'slope', 'cv'))}
     FROM full_grid g LEFT JOIN w ON g.entity = w.entity AND g.t_hr = w.t_hr GROUP BY 1, 2""", "series", "full_grid"))
 def wide_table(spark, sf):
-    long = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], FAMILIES, 72.0, CLOCK, locf=False, unique_times=True)
+    long = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], FAMILIES, 72.0, CLOCK, locf=False)
     return rounded(K.widen(long, ["entity"], FAMILIES, ["last", "slope", "cv"]), 4)
 
 
@@ -172,7 +172,7 @@ def locf(spark, sf):
 
 @query("C16_wide_window", with_ctes(f"SELECT entity, t_hr, fam, {r('last48', 4)} AS last48, {r('delta48', 4)} AS delta48, {r('slope48', 4)} AS slope48, {r('sd48', 4)} AS sd48 FROM ({window_sql(168, '48')}) WHERE fam IN ('view', 'error')", "series", "full_grid"))
 def wide_window(spark, sf):
-    out = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], ["view", "error"], 72.0, CLOCK, wide_width=168.0, locf=False, unique_times=True)
+    out = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], ["view", "error"], 72.0, CLOCK, wide_width=168.0, locf=False)
     return rounded(out.select("entity", "t_hr", "fam", "last48", "delta48", "slope48", "sd48").filter(F.col("last48").isNotNull()), 4)
 
 
@@ -182,7 +182,7 @@ def wide_window(spark, sf):
 def versus_baseline(spark, sf):
     g = checkpoint_grid(spark, sf)
     s = analyte(spark, sf).withColumn("fam", F.lit("x"))
-    w = K.window_features(g, s, ["entity"], ["x"], 72.0, CLOCK, locf=False, unique_times=True).select("entity", "t_hr", "last")
+    w = K.window_features(g, s, ["entity"], ["x"], 72.0, CLOCK, locf=False).select("entity", "t_hr", "last")
     return rounded(g.join(w, ["entity", "t_hr"], "left").select("entity", "t_hr", *K.versus_base("last", "base", "x")), 4)
 
 
@@ -273,6 +273,6 @@ def evaluability(spark, sf):
 @query("C27_grid_audit", with_ctes("""
     WITH e AS (SELECT entity, count(*) AS n, max(t_hr) AS l, min(onset_hr) AS o, sum((label = 1 AND t_hr >= onset_hr)::INT) AS a FROM cgrid GROUP BY 1)
     SELECT count(*) AS entities, CAST(sum(n) AS BIGINT) AS checkpoints, min(n) AS min_n, quantile_cont(n, 0.5) AS median_n, max(n) AS max_n, count(o) AS with_onset,
-      quantile_cont(floor((o - l) / 6) * 6, 0.5) AS median_gap, CAST(sum(coalesce(a, 0)) AS BIGINT) AS positive_after_onset FROM e""", "cgrid"))
+      quantile_cont(floor((o - l) / 24) * 24, 0.5) AS median_gap, CAST(sum(coalesce(a, 0)) AS BIGINT) AS positive_after_onset FROM e""", "cgrid"))
 def grid_audit(spark, sf):
-    return K.grid_audit(checkpoint_grid(spark, sf), ["entity"])
+    return K.grid_audit(checkpoint_grid(spark, sf), ["entity"], clock=CLOCK)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import hours_between, sigmoid
 from tidemark.operators import checkpoints as K
+from tidemark.session import shared_folder
 
 EPOCH = "2024-01-01 00:00:00"
 CLOCK = K.Clock(start=168.0, step=24.0, end=672.0, lead_out=24.0, horizon=168.0, fold=20.0, rise=150.0, back=168.0, carry=336.0)
@@ -23,9 +23,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for written intermediates: in the session's checkpoint folder where one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for written intermediates, in the folder that the session shares."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def rnd(col, digits: int = 6) -> Column:

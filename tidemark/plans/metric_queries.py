@@ -189,11 +189,11 @@ def leave_site_out(spark, sf):
     return rounded(C.held_out_layers(sites(spark, sf), "site").select("site", "a", "b"), 4)
 
 
-@query("L19_site_slopes", with_ctes("WITH " + "rec AS MATERIALIZED (SELECT site, y, " + P_REC + " AS p FROM sited), " + newton_sql("rec", "site", f"SELECT site, {r('b', 4)} AS slope, (b BETWEEN -2 AND 1.25)::INT AS inside FROM {{params}}")[5:], "sited"))
+@query("L19_site_slopes", with_ctes("WITH " + "rec AS MATERIALIZED (SELECT site, y, " + P_REC + " AS p FROM sited), " + newton_sql("rec", "site", f"SELECT site, {r('b', 4)} AS slope, (b BETWEEN 0.8 AND 1.25)::INT AS inside FROM {{params}}")[5:], "sited"))
 def site_slopes(spark, sf):
     df = sites(spark, sf).withColumn("p", N.recalibrate("p", *LAYER))
     out = C.fit_layer(df, by=["site"])
-    return rounded(out.select("site", F.col("b").alias("slope"), F.when(F.col("b").between(-2.0, 1.25), 1).otherwise(0).alias("inside")), 4)
+    return rounded(out.select("site", F.col("b").alias("slope"), F.when(F.col("b").between(0.8, 1.25), 1).otherwise(0).alias("inside")), 4)
 
 
 _RAW_B = newton_sql("sited", "site", "SELECT site, b FROM {params}")
@@ -256,7 +256,7 @@ def severity(spark, sf):
 def subtype_rows(spark, sf):
     """Grid rows with two onsets; the score is the last value of one family."""
     g = full_grid(spark, sf).join(two_onsets(spark, sf), "entity")
-    x = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], ["view"], 168.0, CLOCK, locf=False, unique_times=True).select("entity", "t_hr", F.col("max").alias("p"))
+    x = K.window_features(full_grid(spark, sf), series(spark, sf), ["entity"], ["view"], 168.0, CLOCK, locf=False).select("entity", "t_hr", F.col("max").alias("p"))
     return g.join(x, ["entity", "t_hr"]).withColumn("onset_hr", F.least("a", "b")).withColumn("subtype", K.event_subtype("a", "b"))
 
 
@@ -360,7 +360,7 @@ def ranked(spark, sf):
 def diagnostic_rows(spark, sf):
     """Grid rows with onset, a trailing ratio feature and a score."""
     g = checkpoint_grid(spark, sf).withColumnRenamed("label", "y")
-    w = K.window_features(g, analyte(spark, sf).withColumn("fam", F.lit("x")), ["entity"], ["x"], 168.0, CLOCK, locf=False, unique_times=True).select("entity", "t_hr", "last", "max")
+    w = K.window_features(g, analyte(spark, sf).withColumn("fam", F.lit("x")), ["entity"], ["x"], 168.0, CLOCK, locf=False).select("entity", "t_hr", "last", "max")
     return g.join(w, ["entity", "t_hr"]).select("entity", "t_hr", "y", "onset_hr", (F.col("last") / F.col("base")).alias("ratio"), (F.col("last") - F.col("base")).alias("rise"), F.col("max").alias("p"))
 
 

@@ -395,7 +395,7 @@ def first_episode(spark, sf):
 
 
 @query("W10_covered_buckets", with_ctes(f"""
-    WITH h AS (SELECT entity, CAST(floor(hr) AS INT) AS hour, arg_max(val, (hr, val)) AS v FROM series WHERE fam = 'click' AND hr >= 0 AND hr < 192 GROUP BY 1, 2)
+    WITH h AS (SELECT entity, CAST(floor(hr) AS INT) AS hour, arg_max(val, (hr, val)) AS v FROM series WHERE fam = 'click' AND hr >= 0 GROUP BY 1, 2)
     SELECT entity, CAST(floor(hour / 6) AS INT) AS bucket, CAST(floor(hour / 6) AS INT) * 6 AS t0_hr, {r('sum(v)')} AS total, CAST(count(*) AS INT) AS cover, (count(*) >= 2)::INT AS evaluable FROM h GROUP BY 1, 2""", "series"))
 def covered(spark, sf):
     return rounded(T.covered_buckets(series(spark, sf).filter("fam = 'click'"), ["entity"], min_cover=2, clip=False))
@@ -515,7 +515,7 @@ def flagship(spark, sf):
 
     s = series(spark, sf)
     g = full_grid(spark, sf)
-    feats = K.window_features(g, s, ["entity"], ["view"], 72.0, CLOCK, locf=False, unique_times=True).select("entity", "t_hr", F.col("last").alias("x"))
+    feats = K.window_features(g, s, ["entity"], ["view"], 72.0, CLOCK, locf=False).select("entity", "t_hr", F.col("last").alias("x"))
     # (t, t + 72] is the trailing window of the checkpoint 72 h later.
     events = s.filter("fam = 'purchase' AND val > 150").withColumn("hr", F.col("hr") - 72.0)
     label = K.event_counts(g, events, ["entity"], ["purchase"], 72.0, CLOCK).select("entity", "t_hr", F.col("any").alias("y"))
