@@ -8,6 +8,7 @@ large share of all rows becomes a piece of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -19,20 +20,18 @@ from tidemark.session import stage
 
 PIECE = "_piece"
 ROWS_PER_PIECE = 1_000_000
-MAX_PIECES = 4096
 
 
-def split_points(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE,
-                 max_pieces: int = MAX_PIECES) -> list[float]:
-    """Values that cut ``order`` into pieces of about ``rows_per_piece`` rows; none when one piece is enough.
+def split_points(df: DataFrame, order: str, rows_per_piece: int = ROWS_PER_PIECE) -> list[float]:
+    """Values that cut ``order`` into pieces of about ``rows_per_piece`` rows, into two at least; none for an empty table.
 
-    A count decides first. Only larger tables pay for the mergeable quantile sketch over the one column; the
-    driver receives at most ``max_pieces`` numbers.
+    Every size takes the same path, and the number of pieces has no ceiling. The cuts come from a mergeable quantile sketch over the one
+    column; the driver receives one number per piece.
     """
     rows = df.agg(F.count(order)).first()[0]
-    wanted = min(max_pieces, -(-rows // rows_per_piece))
-    if wanted <= 1:
+    if not rows:
         return []
+    wanted = max(2, -(-rows // rows_per_piece))
     fractions = [i / wanted for i in range(1, wanted)]
     sketch = F.percentile_approx(F.col(order).cast("double"), fractions, max(1000, 4 * wanted))
     return sorted(set(df.agg(sketch).first()[0]))
@@ -42,14 +41,14 @@ def add_piece(df: DataFrame, order: str, points: Sequence[float]) -> DataFrame:
     """Piece number, non-decreasing in ``order``. Even pieces hold exactly one value (a split point)."""
     if not points:
         return df.withColumn(PIECE, F.lit(1).cast("long"))
-    inner = [float(p) for p in points]
-    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_order", outputCol="_slot",
-                     handleInvalid="keep")
+    splits = [-math.inf]
+    for p in map(float, points):
+        # Each point and the next number after it are borders, so that a point's own rows are a bucket.
+        if p > splits[-1]:
+            splits += [p, math.nextafter(p, math.inf)]
+    cut = Bucketizer(splits=[*splits, math.inf], inputCol="_order", outputCol="_slot", handleInvalid="keep")
     slotted = cut.transform(df.withColumn("_order", F.col(order).cast("double")))
-    slot = F.col("_slot").cast("int")
-    left = F.when(slot > 0, F.element_at(F.array(*[F.lit(p) for p in inner]), F.greatest(slot, F.lit(1))))
-    piece = (slot * 2 + F.when(F.col("_order") == left, 0).otherwise(1)).cast("long")
-    return slotted.withColumn(PIECE, piece).drop("_order", "_slot")
+    return slotted.withColumn(PIECE, F.col("_slot").cast("long") + 1).drop("_order", "_slot")
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
