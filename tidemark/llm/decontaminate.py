@@ -8,25 +8,36 @@ then verified by exact containment of the shingles themselves. All of it is Data
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import shingle_hashes, word_array
+from tidemark.llm.words import with_shingles, word_array
 from tidemark.session import stage
 
 #: Sides of a join up to this many rows are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
-def hash_set(words: Column, k: int) -> Column:
-    """Hashes of the k-word shingles; of the whole sequence for fewer words; empty for none."""
-    return F.when(F.size(words) >= k, shingle_hashes(words, k)).when(F.size(words) > 0, F.array(F.xxhash64(words, F.lit(k)))).otherwise(F.array().cast("array<bigint>"))
+def with_hash_set(df: DataFrame, text: str, k: int, hashes: str) -> DataFrame:
+    """Adds the hashes of the k-word shingles; of the whole sequence for fewer words; none for no words."""
+    df = with_shingles(df, text, k, "__words", "__many")
+    whole = F.when(F.size("__words") > 0, F.array(F.xxhash64("__words", F.lit(k)))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(hashes, F.when(F.size("__words") >= k, F.col("__many")).otherwise(whole)).drop("__words", "__many")
 
 
-def shingle_set(words: Column, k: int) -> Column:
-    """The shingles themselves, distinct."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(F.size(words) > 0, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
+def exploded(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(key, __hash): one row for each shingle.
+
+    The outer form: the plain one lets the optimizer filter by the size of the array first, and works the whole array out again for that.
+    """
+    return with_hash_set(df, text, k, "__hashes").select(key, F.explode_outer("__hashes").alias("__hash")).filter(F.col("__hash").isNotNull())
+
+
+def with_shingle_set(df: DataFrame, text: str, k: int, name: str) -> DataFrame:
+    """Adds the shingles themselves."""
+    df = df.withColumn("__words", word_array(F.col(text)))
+    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words") - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice("__words", i, k), " "))
+    return df.withColumn(name, F.when(F.size("__words") > 0, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))).drop("__words")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -37,7 +48,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def sketches(items: DataFrame, item: str, text: str, k: int, least: float) -> DataFrame:
     """(item, hash): the sketch of each item by its size part."""
-    grams = items.select(F.col(item).alias("__item"), F.explode(hash_set(word_array(F.col(text)), k)).alias("__hash")).distinct()
+    grams = exploded(items.select(F.col(item).alias("__item"), F.col(text).alias("__text")), "__item", "__text", k).distinct()
     n = F.count(F.lit(1)).over(Window.partitionBy("__item"))
     upper = F.pow(F.lit(2.0), F.floor(F.log2("__n")) + 1) - 1
     length = F.floor((1 - least) * upper + 1e-9) + 1
@@ -47,7 +58,7 @@ def sketches(items: DataFrame, item: str, text: str, k: int, least: float) -> Da
 
 def candidates(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 5, least: float = 0.75) -> DataFrame:
     """(key, item) of documents that hold an entry of the item's sketch."""
-    found = docs.select(F.col(key).alias("__key"), F.explode(hash_set(word_array(F.col(text)), k)).alias("__hash"))
+    found = exploded(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", "__text", k)
     return found.join(_small(sketches(items, item, item_text, k, least)), "__hash").select("__key", "__item").distinct()
 
 
@@ -60,15 +71,18 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     once; items that share an id likewise. Other columns are not read.
     """
     pairs = _small(candidates(docs, items, key, text, item, item_text, k, least))
-    wanted = items.select(F.col(item).alias("__item2"), shingle_set(word_array(F.col(item_text)), k).alias("__wanted")).filter(F.size("__wanted") > 0)
+    wanted = with_shingle_set(items.select(F.col(item).alias("__item2"), F.col(item_text).alias("__text")), "__text", k, "__wanted").select("__item2", "__wanted").filter(F.size("__wanted") > 0)
     pairs = pairs.join(_small(wanted), F.col("__item").eqNullSafe(F.col("__item2"))).drop("__item2").withColumnRenamed("__key", "__key2")
     if pairs.count() <= BROADCAST_ROWS // 10:
         pairs = F.broadcast(pairs)
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     both = texts.join(pairs, F.col("__key").eqNullSafe(F.col("__key2")))
-    shared = F.size(F.array_intersect(F.col("__wanted"), shingle_set(word_array(F.col("__text")), k)))
-    counted = both.select(F.col("__key").alias(key), F.col("__item").alias(item), shared.cast("long").alias("shared"), F.size("__wanted").cast("long").alias("item_shingles"))
-    held = counted.filter(F.col("shared") >= F.lit(least) * F.col("item_shingles")).distinct()
+    both = with_shingle_set(both, "__text", k, "__held")
+    shared = F.size(F.array_intersect("__wanted", "__held")).cast("long")
+    # an aggregate, so that the figure is worked out once and not again in the filter
+    counted = both.groupBy("__key", "__item", F.xxhash64("__text"), F.size("__wanted").cast("long").alias("item_shingles")).agg(F.max(shared).alias("shared"))
+    held = counted.filter(F.col("shared") >= F.lit(least) * F.col("item_shingles"))
+    held = held.select(F.col("__key").alias(key), F.col("__item").alias(item), "shared", "item_shingles").distinct()
     return held.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import shingle_hashes, word_array
+from tidemark.llm.words import with_shingles
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -48,7 +48,7 @@ NOTICES = (
 def positions(docs: DataFrame, templates: tuple[Template, ...], k: int) -> DataFrame:
     """(template, hash, place): where each k-gram stands in the templates. Its size is that of the templates, which are code."""
     rows = docs.sparkSession.createDataFrame([(i, t.text) for i, t in enumerate(templates)], "template int, text string")
-    return rows.select("template", F.posexplode(shingle_hashes(word_array(F.col("text"), GAP), k)).alias("__place", "__gram"))
+    return with_shingles(rows, "text", k, "__words", "__grams", GAP).select("template", F.posexplode("__grams").alias("__place", "__gram"))
 
 
 def spans(docs: DataFrame, templates: tuple[Template, ...], key: str = "doc_id", text: str = "text", k: int = 2, slack: int = 3, least: float = 0.8) -> DataFrame:
@@ -56,8 +56,9 @@ def spans(docs: DataFrame, templates: tuple[Template, ...], key: str = "doc_id",
 
     ``__row`` tells rows of the input apart, so null and repeated keys stay rows of their own.
     """
-    words = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), word_array(F.col(text), GAP).alias("__words"))
-    grams = words.select("__row", "__key", F.size("__words").cast("long").alias("__n"), F.posexplode_outer(shingle_hashes(F.col("__words"), k)).alias("__pos", "__gram"))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    words = with_shingles(rows, "__text", k, "__words", "__grams", GAP)
+    grams = words.select("__row", "__key", F.size("__words").cast("long").alias("__n"), F.posexplode_outer("__grams").alias("__pos", "__gram"))
     hits = grams.join(F.broadcast(positions(docs, templates, k)), "__gram", "left").filter(F.col("template").isNotNull() | (F.coalesce("__pos", F.lit(0)) == 0))
     votes = hits.groupBy("__row", "__key", "__n", "template", (F.col("__pos") - F.col("__place")).alias("__diagonal")).agg(
         F.collect_set("__place").alias("__places"), F.min("__pos").alias("__first"), F.max("__pos").alias("__last"))

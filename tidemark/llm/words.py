@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,11 +30,15 @@ def word_array(text: Column, gap: str = GAP) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), gap), "")
 
 
-def shingle_hashes(words: Column, k: int) -> Column:
-    """Hash of each k consecutive entries, in order; empty for fewer than k."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    shifted = [F.slice(hashes, i + 1, F.greatest(F.size(words) - (k - 1), F.lit(0))) for i in range(k)]
-    return F.transform(F.arrays_zip(*shifted), lambda s: F.xxhash64(s))
+def with_shingles(df: DataFrame, text: str, k: int, words: str, hashes: str, gap: str = GAP) -> DataFrame:
+    """Adds the words of a text column and the hash of each k consecutive words (none for fewer).
+
+    Each step is a column of its own: an expression that is repeated, or stands in a lambda, would be worked out again and again.
+    """
+    df = df.withColumn(words, word_array(F.col(text), gap)).withColumn("__each", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn("__count", F.greatest(F.size("__each") - (k - 1), F.lit(0)))
+    df = df.withColumn("__side", F.arrays_zip(*[F.slice("__each", i + 1, F.col("__count")) for i in range(k)]))
+    return df.withColumn(hashes, F.transform("__side", lambda s: F.xxhash64(s))).drop("__each", "__count", "__side")
 
 
 # ---------------------------------------------------------------- arrays
