@@ -67,7 +67,9 @@ def test_near_duplicates_of_messy_rows(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
-def test_near_duplicates_along_chains(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 500])
+def test_near_duplicates_along_chains(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = chain(20, 1) + chain(15, 2) + [prose(100, s) for s in range(5)] + chain(10, 3)
     check_groups(spark, with_texts(spark, texts), list(enumerate(texts)))
 
@@ -81,6 +83,29 @@ def test_keep_one(spark):
     assert sum(r["doc_id"] is None for r in kept) == 2
 
 
+def test_links_within_a_group_join_all_that_are_alike():
+    r = random.Random(8)
+    for _ in range(40):
+        base = [r.randrange(1 << 40) for _ in range(30)]
+        sets = [sorted({*r.sample(base, r.randint(18, 30)), *(r.randrange(1 << 40) for _ in range(r.randint(0, 8)))}) for _ in range(12)]
+        side = np.array([r.randrange(2) for _ in sets]) if r.random() < 0.5 else np.zeros(12, int)
+        border = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        values = np.array([x for s in sets for x in s], np.int64)
+        us, vs = neardup.links_within(pa.array(range(12)), pa.array(range(12)), side, border, values, 75)
+        two = len(set(side.tolist())) > 1
+
+        def close(pairs):
+            comp = list(range(12))
+            for _ in range(12):
+                for i, j in pairs:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+            return comp
+
+        alike = [(i, j) for i in range(12) for j in range(i) if 100 * len({*sets[i]} & {*sets[j]}) >= 75 * len({*sets[i]} | {*sets[j]}) and (not two or side[i] != side[j])]
+        assert {tuple(sorted(x, reverse=True)) for x in zip(us, vs, strict=True)} <= set(alike) and len(us) < 12
+        assert close(list(zip(us, vs, strict=True))) == close(alike)
+
+
 def test_densified_bins_agree_as_often_as_sets():
     r = np.random.default_rng(3)
     for size in (4, 20, 400):
