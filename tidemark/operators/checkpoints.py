@@ -155,6 +155,27 @@ def event_axis(entities: DataFrame, series: DataFrame, keys: Sequence[str], inte
                       F.least("event_hr", "rate_onset_hr").alias("onset_hr"))
 
 
+def bin_axis(entities: DataFrame, series: DataFrame, keys: Sequence[str], interventions: DataFrame | None = None, earliest: float | None = -24.0,
+             min_values: int = 2, time: str = "hr", value: str = "val", clock: Clock = Clock()) -> DataFrame:
+    """One row per entity: baseline, status and the bin of the onset, for studies that date events on the bins of the grid.
+
+    Values count after ``earliest`` and up to the end. Prevalence by a rise needs ``min_values`` values in the baseline window; a baseline from before it
+    leaves prevalence unjudged, which excludes nobody. Status is the first that holds: ``no_series``, ``no_base``, ``prevalent``, ``stopped_before``;
+    otherwise ``event`` or ``no_event``. The onset is kept for the last two only.
+    """
+    keys = list(keys)
+    inside = F.col(time) <= clock.end if earliest is None else (F.col(time) > earliest) & (F.col(time) <= clock.end)
+    known = series.filter(F.col(value).isNotNull() & inside)
+    base = prevalent(known, baseline(known, keys, time, value, clock, earliest), keys, time, value, clock, min_values)
+    onset = onset_bin(known, base, keys, time, value, clock)
+    axis = entities.withColumn("stop_hr", F.lit(None).cast("double")) if interventions is None else join_entities(entities, first_intervention(interventions, keys, time), keys, "left")
+    out = join_entities(join_entities(axis, base.withColumn("_has", F.lit(1)), keys, "left"), onset.withColumnRenamed("onset_hr", "_onset"), keys, "left")
+    status = (F.when(F.col("_has").isNull(), "no_series").when(F.col("base").isNull(), "no_base").when(F.col("prevalent") == 1, "prevalent")
+              .when(F.col("stop_hr") <= clock.start, "stopped_before").when(F.col("_onset").isNotNull(), "event").otherwise("no_event"))
+    out = out.withColumn("status", status)
+    return out.select(*entities.columns, "base", "branch", "prevalent", "stop_hr", "status", F.when(F.col("status") == "event", F.col("_onset")).alias("onset_hr"))
+
+
 def at_risk(axis: DataFrame) -> DataFrame:
     return axis.filter(F.col("status").isin("event", "no_event", "truncated") & (F.col("rate_prevalent") == 0))
 

@@ -120,7 +120,7 @@ def unmapped_values(df: DataFrame, value: str, table: dict, pattern: str) -> Dat
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """First row per key under a total order: a map-side combined minimum over (order, row), not a sort per key."""
+    """First row per key under a total order: a minimum over (order, row), combined on the map side. Spark aggregates structs by sort, on both sides of the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_cols)], *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import checkpoints as K
 from tidemark.operators import cleaning as C
 from tidemark.operators import timeline as T
-from tidemark.plans.fixtures import (CLOCK, FAMILIES, analyte, axis, checkpoint_grid, full_grid, r, rounded, series, shifted, stays, table, with_ctes)
+from tidemark.plans.fixtures import (CLOCK, FAMILIES, SHIFT, analyte, axis, checkpoint_grid, full_grid, r, rounded, series, shifted, stays, table, with_ctes)
 from tidemark.plans.registry import query
 
 
@@ -83,6 +83,35 @@ def truncated(spark, sf):
     return ax.groupBy("status").agg(F.count("*").alias("n"))
 
 
+_BIN_AXIS = """k AS (SELECT entity, hr, val FROM analyte WHERE hr > -96 AND hr <= 672),
+    b AS (SELECT entity, coalesce(min(val) FILTER (hr BETWEEN 0 AND 168), min(val) FILTER (hr < 0)) AS base FROM k GROUP BY 1),
+    w AS (SELECT entity, max(val) AS mx, max(rise) AS mr, count(*) AS n FROM (SELECT entity, val, val - min(val) OVER (PARTITION BY entity ORDER BY hr RANGE BETWEEN 168 PRECEDING AND CURRENT ROW) AS rise
+          FROM k WHERE hr BETWEEN 0 AND 168) GROUP BY 1),
+    m AS (SELECT entity, floor(hr / 24) * 24 AS t, max(val) AS m FROM k WHERE hr >= 0 AND hr < 672 GROUP BY 1, 2),
+    x AS (SELECT *, m - min(m) OVER (PARTITION BY entity ORDER BY t RANGE BETWEEN 168 PRECEDING AND CURRENT ROW) AS rise FROM m),
+    o AS (SELECT entity, min(t) AS onset FROM x JOIN b USING (entity) WHERE t >= 168 AND (m / base >= 20 OR rise >= 150) GROUP BY 1),
+    a AS (SELECT entity, los_h - 120.0::DOUBLE AS los_h, base, stop_hr, onset, CASE WHEN b.entity IS NULL THEN 'no_series' WHEN base IS NULL THEN 'no_base' WHEN mx / base >= 20 OR (n >= 2 AND mr >= 150) THEN 'prevalent'
+          WHEN stop_hr <= 168 THEN 'stopped_before' WHEN onset IS NOT NULL THEN 'event' ELSE 'no_event' END AS status
+          FROM stays LEFT JOIN b USING (entity) LEFT JOIN w USING (entity) LEFT JOIN o USING (entity) LEFT JOIN stops USING (entity))"""
+
+
+def bin_axis(spark, sf):
+    stay = stays(spark, sf).withColumn("los_h", F.col("los_h") - SHIFT)
+    return K.bin_axis(stay, analyte(spark, sf), ["entity"], shifted(spark, sf).filter("fam = 'error' AND val > 150"), earliest=-96.0, clock=CLOCK)
+
+
+@query("C9_bin_axis", with_ctes(f"WITH {_BIN_AXIS} SELECT entity, {r('base')} AS base, status, {r('stop_hr')} AS stop_hr, CASE WHEN status = 'event' THEN onset::DOUBLE END AS onset_hr FROM a", "analyte", "stays", "stops"))
+def bin_axis_rows(spark, sf):
+    return rounded(bin_axis(spark, sf).select("entity", "base", "status", "stop_hr", F.col("onset_hr").cast("double").alias("onset_hr")))
+
+
+@query("C10_bin_grid", with_ctes(f"""WITH {_BIN_AXIS},
+    g AS (SELECT *, unnest(generate_series(0, CAST(floor((least(los_h - 24, 672) - 168) / 24 + 1e-9) AS INT))) * 24.0::DOUBLE + 168 AS t_hr FROM a WHERE status IN ('event', 'no_event') AND least(los_h - 24, 672) >= 168)
+    SELECT entity, t_hr FROM g WHERE (status = 'no_event' OR t_hr <= onset) AND (stop_hr IS NULL OR t_hr < stop_hr)""", "analyte", "stays", "stops"))
+def bin_grid(spark, sf):
+    return K.grid(bin_axis(spark, sf).filter("status IN ('event', 'no_event')"), clock=CLOCK, include_onset=True).select("entity", "t_hr")
+
+
 @query("C10_grid", with_ctes("SELECT entity, t_hr FROM cgrid", "cgrid"))
 def grid(spark, sf):
     return checkpoint_grid(spark, sf).select("entity", "t_hr")
