@@ -173,3 +173,9 @@ def test_fixed_size_draws_are_exact(spark):
     draws = B.fixed_size_draws(df, ["entity"], 8)
     got = draws.groupBy("replicate").agg(F.sum("draws").alias("n"), F.count("*").alias("k")).collect()
     assert len(got) == 8 and {r.n for r in got} == {50} and all(20 <= r.k <= 45 for r in got)
+
+
+def test_normal_p_of_a_trend(spark):
+    rising = spark.createDataFrame([(i, float(i)) for i in range(7)], "o int, v double")
+    got = D.concordance(rising, "o", "v").first()
+    assert got["z"] == pytest.approx(3.1540, abs=1e-4) and got["p_normal"] == pytest.approx(0.00161, abs=2e-5) and got["p_exact"] == pytest.approx(2 / 5040)

@@ -251,7 +251,7 @@ def hour_strata(hour, width: float = 24.0, start: float = 24.0, end: float = 168
 
 
 def concordance(strata: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mann-Kendall trend over a few ordered strata: S, tau and the exact two-sided permutation P.
+    """Mann-Kendall trend over a few ordered strata: S, tau and the two-sided P, exact by permutations and by the normal approximation without ties.
 
     The input has one row per stratum (a report table). P counts orders of the values by the number of
     concordant pairs, which follows from a recurrence over the strata, so no permutation is listed.
@@ -280,4 +280,6 @@ def concordance(strata: DataFrame, order: str, value: str, by: Sequence[str] = (
     tail = F.aggregate(F.slice(upper, concordant + 1, F.size(upper)), F.lit(0.0), lambda a, e: a + e)
     every = F.aggregate(upper, F.lit(0.0), lambda a, e: a + e)
     return (out.withColumn("tau", safe_divide(F.col("s"), pairs))
-            .withColumn("p_exact", F.least(F.lit(1.0), F.lit(2.0) * tail / every)))
+            .withColumn("p_exact", F.least(F.lit(1.0), F.lit(2.0) * tail / every))
+            .withColumn("z", safe_divide(F.col("s").cast("double"), F.sqrt(n * (n - 1) * (2 * n + 5) / 18.0)))
+            .withColumn("p_normal", normal_two_sided(F.col("z"))))

@@ -336,9 +336,9 @@ def buckets(spark, sf):
          o AS (SELECT a.v AS a, b.v AS b, c.v AS c, d.v AS d, e.v AS e, f.v AS f, g.v AS g FROM (SELECT unnest(v) AS v FROM perm) a, (SELECT unnest(v) AS v FROM perm) b, (SELECT unnest(v) AS v FROM perm) c, (SELECT unnest(v) AS v FROM perm) d,
                (SELECT unnest(v) AS v FROM perm) e, (SELECT unnest(v) AS v FROM perm) f, (SELECT unnest(v) AS v FROM perm) g WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v, f.v, g.v])) = 7),
          ss AS (SELECT sign(b-a)+sign(c-a)+sign(d-a)+sign(e-a)+sign(f-a)+sign(g-a)+sign(c-b)+sign(d-b)+sign(e-b)+sign(f-b)+sign(g-b)+sign(d-c)+sign(e-c)+sign(f-c)+sign(g-c)+sign(e-d)+sign(f-d)+sign(g-d)+sign(f-e)+sign(g-e)+sign(g-f) AS x FROM o)
-    SELECT CAST(n AS INT) AS n_strata, s, {r('s / (n * (n - 1) / 2)::DOUBLE')} AS tau, {r('least(1, 2 * (SELECT avg((x >= abs(s))::INT) FROM ss))')} AS p_exact FROM k, m""", "pred"))
+    SELECT CAST(n AS INT) AS n_strata, s, {r('s / (n * (n - 1) / 2)::DOUBLE')} AS tau, {r('least(1, 2 * (SELECT avg((x >= abs(s))::INT) FROM ss))')} AS p_exact, {r('s / sqrt(n * (n - 1) * (2 * n + 5) / 18.0::DOUBLE)')} AS z FROM k, m""", "pred"))
 def trend(spark, sf):
-    return rounded(D.concordance(D.auroc(predictions(spark, sf), by=["t_hr"]), "t_hr", "auroc"))
+    return rounded(D.concordance(D.auroc(predictions(spark, sf), by=["t_hr"]), "t_hr", "auroc").drop("p_normal"))
 
 
 @query("E27_univariate", f"""
