@@ -4,10 +4,10 @@
   fixed random walk of the bin reaches first (optimal densification). Four bins make a band; at a similarity of 0.75 two documents share none of 32 bands once in
   200,000 pairs.
 * Documents with equal sets are one from here on, so the number of copies costs nothing.
-* In each bucket every member is paired with the smallest one: as many pairs as members, never all pairs. A document takes the pair whose
-  sketches agree most, and the pair is confirmed by the full sets.
-* What stars cannot link, two members that are alike while the smallest is like neither, is left in buckets that still hold several components. Only
-  there, and only across components, are members compared with each other, by size and sketch bits first and full sets then.
+* In each bucket every member is paired with one center, the document that meets most others over all its buckets (of a family of copies: the one that
+  the others were made from): as many pairs as members, never all pairs. A document takes the pair whose sketches agree most, and the pair is confirmed by the full sets.
+* What stars cannot link, two members that are alike while the center is like neither, is left in buckets that still hold several components. Only
+  there, and only across components, are members compared with each other, by their full sets; what this gives are links that join components, fewer than members.
 * Components come from alternating star contractions of the confirmed links, in staged tables.
 """
 
@@ -29,6 +29,8 @@ BINS = 128
 ROWS = 4
 #: Sketch bits that two documents with a similarity of 0.75 share at least (of 256, five standard deviations below the mean), if their sets fill the bins.
 LEAST_BITS = 192
+#: Shingles of a bucket that are compared in one task; a bucket with more is cut into blocks.
+BLOCK = 400_000
 
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +145,86 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * 100 >= (F.size("__set1") + F.size("__set2") - shared) * percent).select("__u", "__v")
 
 
+def links_within(node: pa.Array, comp: pa.Array, side: np.ndarray, border: np.ndarray, values: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Positions (u, v) of links that join different components of some documents with their full sets; no more links than documents.
+
+    Sets become rows of bits over the shingles that stand in more than one of them, so that an intersection is a count of common bits. Of two sides
+    only pairs across are compared.
+    """
+    n = np.diff(border)
+    _, root = np.unique(comp.dictionary_encode().indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    if len(n) < 2 or (root == root[0]).all():
+        return [], []
+    _, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    row = np.repeat(np.arange(len(n)), n)
+    common = times[place] > 1
+    row, place = row[common], column[place[common]]
+    width = int(place.max()) // 64 + 1 if len(place) else 1
+    bits = np.zeros(len(n) * width, np.uint64)
+    np.add.at(bits, row * width + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    bits = bits.reshape(len(n), width)
+    two = (side != side[0]).any()
+    us, vs = [], []
+    for i in range(len(n) - 1):
+        later = slice(i + 1, None)
+        may = (root[later] != root[i]) & (np.minimum(n[later], n[i]) * 100 >= np.maximum(n[later], n[i]) * percent)
+        if two:
+            may &= side[later] != side[i]
+        at = np.flatnonzero(may) + i + 1
+        if not len(at):
+            continue
+        shared = np.bitwise_count(bits[at] & bits[i]).sum(1, dtype=np.int64)
+        for j in at[shared * 100 >= (n[at] + n[i] - shared) * percent]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                us.append(i)
+                vs.append(int(j))
+    return us, vs
+
+
+def links_across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(__u, __v): links between different components inside the buckets of ``left`` (__bucket, __node, __comp, __blocks).
+
+    A bucket whose sets are too many for one task is cut into blocks, and each two blocks meet in a task of their own. Nothing is left out, and what comes out are links, not pairs.
+    """
+    block = F.pmod(F.xxhash64("__node", F.lit(6)), F.col("__blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    dealt = left.withColumn("__side", block).withColumn("__other", other)
+    dealt = dealt.withColumn("__group", F.xxhash64("__bucket", F.least("__side", "__other"), F.greatest("__side", "__other"))).select("__group", "__side", "__node", "__comp")
+    full = dealt.join(sets, F.col("__node") == F.col("__key")).select("__group", "__side", "__node", "__comp", "__set")
+    full = full.repartition("__group").sortWithinPartitions("__group")
+    kind = left.schema["__node"].dataType.simpleString()
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        group, side = rows["__group"].to_numpy(), rows["__side"].to_numpy()
+        node, comp, sets_ = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (rows["__node"], rows["__comp"], rows["__set"]))
+        border, values = sets_.offsets.to_numpy(), sets_.values.to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+        us, vs = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            u, v = links_within(node[lo:hi], comp[lo:hi], side[lo:hi], border[lo:hi + 1] - border[lo], values[border[lo]:border[hi]], percent)
+            us += [lo + x for x in u]
+            vs += [lo + x for x in v]
+        return pa.RecordBatch.from_arrays([node.take(pa.array(us, pa.int64())), node.take(pa.array(vs, pa.int64()))], names=["__u", "__v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            group = held["__group"].to_numpy()
+            cut = int(np.searchsorted(group, group[-1], "left")) if len(group) else 0
+            if cut:
+                yield settle(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield settle(held)
+
+    return full.mapInArrow(run, f"__u {kind}, __v {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(__node, __comp): the smallest node reachable, for nodes with an edge. Star contractions, in turn around larger and smaller neighbours, until nothing moves.
 
@@ -185,25 +267,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     nodes = stage(rows.groupBy(*same).agg(F.min("__key").alias("__node"), F.first("__bands").alias("__bands"), F.first("__bits").alias("__bits")))
     sketch = nodes.select("__node", F.col("n_shingles").alias("__n"), "__bits")
     buckets = nodes.select("__node", F.explode("__bands").alias("__bucket"))
-    stars = buckets.groupBy("__bucket").agg(F.min("__node").alias("__center"), F.count(F.lit(1)).alias("__members")).filter("__members > 1").drop("__members")
-    crowded = stage(buckets.join(stars, "__bucket"))
-    pairs = crowded.filter("__node != __center").select(F.col("__center").alias("__u"), F.col("__node").alias("__v")).distinct()
+    sizes = buckets.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__members")).filter("__members > 1")
+    crowded = stage(buckets.join(sizes, "__bucket"))
+    weights = crowded.groupBy("__node").agg(F.sum("__members").alias("__weight"))
+    stars = crowded.join(weights, "__node").groupBy("__bucket").agg(F.max_by("__node", F.struct("__weight", "__node")).alias("__center"))
+    pairs = crowded.join(stars, "__bucket").filter("__node != __center").select(F.col("__center").alias("__u"), F.col("__node").alias("__v")).distinct()
     one, two = _renamed(sketch, "1"), _renamed(sketch, "2")
     pairs = pairs.join(one, F.col("__u") == F.col("__node1")).join(two, F.col("__v") == F.col("__node2")).filter(may_link(percent))
-    best = pairs.groupBy("__v").agg(F.max_by("__u", F.struct(shared_bits(), -F.col("__u"))).alias("__u")).select("__u", "__v")
-    ends = stage(crowded.select(F.col("__node").alias("__end")).distinct())
+    best = pairs.groupBy("__v").agg(F.max_by("__u", F.struct(shared_bits(), "__u")).alias("__u")).select("__u", "__v")
+    ends = crowded.select(F.col("__node").alias("__end")).distinct()
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
     sets = stage(full_sets(docs.join(ends, docs[key] == F.col("__end"), "left_semi"), key, text, k))
     links = stage(confirmed(best, sets, percent))
     comp = components(links)
 
     labelled = crowded.select("__bucket", "__node").join(comp, "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
-    mixed = labelled.groupBy("__bucket").agg((F.min("__comp") != F.max("__comp")).alias("__mixed")).filter("__mixed").select("__bucket")
-    left = stage(labelled.join(mixed, "__bucket").join(sketch, "__node").select("__bucket", "__node", "__comp", "__n", "__bits"))
-    one, two = _renamed(left, "1"), _renamed(left, "2")
-    across = one.join(two, (F.col("__bucket1") == F.col("__bucket2")) & (F.col("__comp1") < F.col("__comp2")) & may_link(percent))
-    across = across.select(F.col("__node1").alias("__u"), F.col("__node2").alias("__v")).distinct()
-    comp = stage(components(links.union(confirmed(across, sets, percent))))
+    sized = labelled.join(sketch.select("__node", "__n"), "__node")
+    mixed = sized.groupBy("__bucket").agg((F.min("__comp") != F.max("__comp")).alias("__mixed"), (F.floor(F.sum("__n") / BLOCK) + 1).cast("int").alias("__blocks")).filter("__mixed")
+    left = stage(labelled.join(mixed.select("__bucket", "__blocks"), "__bucket"))
+    comp = stage(components(links.union(links_across(left, sets, percent))))
 
     groups = nodes.select(*same, "__node").join(comp, "__node", "left").select(*same, F.coalesce("__comp", "__node").alias("__comp"))
     out = all_rows.select("__key", *same).join(groups, same, "left")
