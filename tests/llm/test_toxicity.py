@@ -72,6 +72,20 @@ def test_unseen_documents_are_told_apart(spark):
     assert T.tag(table(spark, []), model).count() == 0
 
 
+def test_curve_ends_at_the_minimum_for_rare_classes():
+    r = np.random.default_rng(6)
+    for rare in (0.5, 0.01):
+        y = (np.arange(1000) % 2).astype(int)
+        m = np.clip(np.where(y == 1, 0.97, 0.15) + 0.03 * r.normal(size=1000), 0, 1)
+        x = np.stack([np.ones(1000), np.log1p(2 * m), m, np.log1p(20 * m)], 1)
+        weight = np.where(y == 1, rare, 1 - rare)
+        w = T.fit_curve(x, y, weight)
+        p = 1 / (1 + np.exp(-(x @ w)))
+        weight = weight / weight.mean()
+        assert np.abs(x.T @ (weight * (y - p)) - 0.05 * w).max() < 2e-3
+        assert p[y == 1].min() > 0.3 > p[y == 0].max()
+
+
 def test_spans_count_code_points(spark):
     texts, toxic = corpus(240, 100)
     model = T.fit(pa.array(texts), np.array(toxic), np.arange(240) // 3 % 3)

@@ -152,14 +152,23 @@ def fit_field(t: Tokens, y: np.ndarray, steps: int = 40, rate: float = 0.4, ridg
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weighted logistic regression by Newton steps."""
+    """Weighted logistic regression by Newton steps, each halved until the penalised loss falls, so that it ends at the minimum whatever the weights."""
+    weight = weight / weight.mean()
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (w @ w))
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         grad = x.T @ (weight * (y - p)) - ridge * w
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while loss(w + size * step) > loss(w) and size > 1e-9:
+            size /= 2
+        w = w + size * step
+        if np.abs(grad).max() < 1e-6 * len(y):
             break
     return w
 
