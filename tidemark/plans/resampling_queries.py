@@ -15,8 +15,9 @@ from tidemark.plans.fixtures import CTE, LAYER, endpoints, predictions, r, round
 from tidemark.plans.metric_queries import BIN, _CLASSES, _GROUPED, ap_sql, masks, newton_sql
 from tidemark.plans.registry import query
 from tidemark.plans.timeline_queries import mixed_stages
+from tidemark.session import stage
 
-REPLICATES = 24
+REPLICATES = 500
 
 CTE["owned"] = ("SELECT pred.*, o_custkey AS subject, c_nationkey AS nation, o_orderstatus AS cohort FROM pred JOIN orders ON entity = o_orderkey JOIN customer ON o_custkey = c_custkey", ("pred",))
 
@@ -114,7 +115,7 @@ _PAIRED = f"""k AS MATERIALIZED ({draws_sql('entity', 'pred')}), b AS MATERIALIZ
 
 
 def paired_deltas(spark, sf):
-    reps = B.bootstrap_auroc(endpoints(spark, sf), ["entity"], replicates=REPLICATES, by=["endpoint"])
+    reps = stage(B.bootstrap_auroc(endpoints(spark, sf), ["entity"], replicates=REPLICATES, by=["endpoint"]))
     first = reps.filter("endpoint = 1").select("replicate", F.col("auroc").alias("_a"))
     return reps.filter("endpoint > 1").join(first, "replicate").select("endpoint", "replicate", (F.col("auroc") - F.col("_a")).alias("delta"))
 
@@ -127,9 +128,10 @@ def paired(spark, sf):
 @query("E15_two_scores", with_ctes(f"""WITH k AS MATERIALIZED ({draws_sql('entity', 'pred')}), x AS ({weighted_auc_sql('(SELECT * FROM pred JOIN k USING (entity))', 'replicate')}),
     z AS ({weighted_auc_sql('(SELECT entity, y, q AS p, replicate, w FROM pred JOIN k USING (entity))', 'replicate')}), d AS (SELECT z.auroc - x.auroc AS delta FROM x JOIN z USING (replicate)) SELECT {_TEST} FROM d""", "pred"))
 def two_scores(spark, sf):
-    pr = predictions(spark, sf)
-    left = B.bootstrap_auroc(pr, ["entity"], p="p", replicates=REPLICATES)
-    right = B.bootstrap_auroc(pr, ["entity"], p="q", replicates=REPLICATES)
+    both = F.array(F.struct(F.lit("p").alias("score"), F.col("p").alias("s")), F.struct(F.lit("q").alias("score"), F.col("q").alias("s")))
+    long = predictions(spark, sf).select("entity", "y", F.inline(both))
+    reps = stage(B.bootstrap_auroc(long, ["entity"], p="s", replicates=REPLICATES, by=["score"]))
+    left, right = (reps.filter(F.col("score") == name).drop("score") for name in ("p", "q"))
     return rounded(B.difference_test(B.difference(left, right)))
 
 
@@ -137,7 +139,7 @@ def two_scores(spark, sf):
     d AS (SELECT y.auroc - x.auroc AS delta FROM b x JOIN b y USING (replicate) WHERE x.cohort = 'F' AND y.cohort = 'O') SELECT {_TEST} FROM d""", "owned"))
 def unpaired(spark, sf):
     # The cohorts share no entity, so hashed draws are independent between them.
-    reps = B.bootstrap_auroc(owned(spark, sf).filter("cohort IN ('F', 'O')"), ["entity"], replicates=REPLICATES, by=["cohort"])
+    reps = stage(B.bootstrap_auroc(owned(spark, sf).filter("cohort IN ('F', 'O')"), ["entity"], replicates=REPLICATES, by=["cohort"]))
     return rounded(B.difference_test(B.difference(reps.filter("cohort = 'F'"), reps.filter("cohort = 'O'"))))
 
 
