@@ -58,6 +58,30 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(words, features, start_at, np.minimum(CHAIN, np.repeat(begin + length, parts) - start_at))
 
 
+def tokens_of(texts: pa.Array) -> Tokens:
+    """Tokens of many texts, found run by run, so that the arrays over bytes stay small."""
+    data, offsets = W.text_bytes(texts)
+    parts, words, docs = [], 0, 0
+    for lo, hi, piece, border in W.pieces(data, offsets):
+        t = tokens(piece, border)
+        w = t.words
+        parts.append((w.start + offsets[lo], w.end + offsets[lo], w.doc + docs, w.first[1:] + words, t.features, t.chain_start + words, t.chain_length))
+        words, docs = words + len(w.start), docs + hi - lo
+    if not parts:
+        return tokens(data, offsets)
+    start, end, doc, first, features, chain_start, chain_length = zip(*parts, strict=True)
+    whole = W.Words(np.concatenate(start), np.concatenate(end), np.concatenate(doc), np.concatenate([np.zeros(1, np.int64), *first]))
+    return Tokens(whole, np.concatenate(features, 1), np.concatenate(chain_start), np.concatenate(chain_length))
+
+
+def _summed(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each token's features, one kind of feature at a time."""
+    out = np.zeros(features.shape[1])
+    for row in features:
+        out += weights[row]
+    return out
+
+
 def forward_backward(odds: np.ndarray, start: np.ndarray, length: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginal probability of state 1 for each token; forward and backward odds, which also give the pair marginals.
 
@@ -90,7 +114,7 @@ class Model:
     curve: np.ndarray
 
     def marginals(self, t: Tokens) -> np.ndarray:
-        x = np.clip(self.bias + self.weights[t.features].sum(0), -20, 20)
+        x = np.clip(self.bias + _summed(self.weights, t.features), -20, 20)
         return forward_backward(np.exp(x), t.chain_start, t.chain_length, np.exp(self.pair))[0]
 
     def scores(self, t: Tokens, m: np.ndarray) -> np.ndarray:
@@ -134,14 +158,17 @@ def fit_field(t: Tokens, y: np.ndarray, steps: int = 40, rate: float = 0.4, ridg
     at = np.flatnonzero(inner)
     held = np.array([[((y[at - 1] == i) & (y[at] == j)).sum() for j in (0, 1)] for i in (0, 1)]) / n
     for _ in range(steps):
-        odds = np.exp(np.clip(bias + weights[t.features].sum(0), -20, 20))
+        odds = np.exp(np.clip(bias + _summed(weights, t.features), -20, 20))
         m, ahead, behind = forward_backward(odds, t.chain_start, t.chain_length, np.exp(pair))
         slope = (y - m) / n
         grad = -ridge * weights
         for row in t.features:
             grad += np.bincount(row, weights=slope, minlength=1 << BITS)
-        table = np.exp(pair)[:, :, None] * np.stack([np.ones(len(at)), ahead[at - 1]])[:, None] * np.stack([np.ones(len(at)), odds[at] * behind[at]])[None]
-        grad_pair = held - (table / table.sum((0, 1))).sum(2) / n
+        before, after = ahead[at - 1], odds[at] * behind[at]
+        e = np.exp(pair)
+        total = e[0, 0] + e[0, 1] * after + e[1, 0] * before + e[1, 1] * before * after
+        expected = np.array([[(e[0, 0] / total).sum(), (e[0, 1] * after / total).sum()], [(e[1, 0] * before / total).sum(), (e[1, 1] * before * after / total).sum()]])
+        grad_pair = held - expected / n
         sums += grad**2
         sum_bias += slope.sum() ** 2
         sum_pair += grad_pair**2
@@ -181,8 +208,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, part: np.ndarray, share: tuple[float
 
     def rows(which: np.ndarray) -> tuple[Tokens, np.ndarray]:
         at = np.flatnonzero(which)
-        d, o = W.text_bytes(texts.take(pa.array(at)))
-        return tokens(d, o), toxic[at]
+        return tokens_of(texts.take(pa.array(at))), toxic[at]
 
     if len(set(toxic.tolist())) < 2:
         rate = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-6, 1 - 1e-6))
