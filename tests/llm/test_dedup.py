@@ -220,6 +220,29 @@ def test_lines_of_large_groups_are_found_without_a_bound(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(0, 0), *((i, 3) for i in range(1, 12))]
 
 
+def test_lines_whose_block_has_another_first_holder_than_its_lines(spark):
+    x, y, z = ("".join(random.Random(230 + i).choices("abcdefgh", k=60)) for i in range(3))
+    texts = [f"{x}\nfirst", f"{y}\nsecond", f"{z}\n{y}\nthird", f"{x}\napart\n{y}", f"head\n{x}\n{y}", f"{x}\n{y}\ntail", f"{x}\n{y}\n{z}", f"{x}\n{y}\n{z}\nend"]
+    got = linededup.dedup_lines(with_texts(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in got] == [0, 0, 0, 0, 0, 2, 2, 3]
+    assert [r["partners"] for r in got[5:]] == [[4], [4], [4, 6]]
+    assert got[7]["text"] == "end"
+
+
+def test_windows_cover_each_run_of_enough_bytes():
+    r = random.Random(6)
+    for _ in range(200):
+        border = np.cumsum([0, *(r.randint(0, 6) for _ in range(4))])
+        size = np.array([r.choice([0, 1, 5, 30, 99, 100, 120]) for _ in range(border[-1])], np.int32)
+        start, end = linededup.windows(size, border, 100)
+        assert len(start) <= 2 * len(size) and all(size[a:b].sum() >= 100 and sum(border <= a) == sum(border < b) for a, b in zip(start, end))
+        for lo, hi in zip(border[:-1], border[1:]):
+            for a in range(lo, hi):
+                for b in range(a + 1, hi + 1):
+                    if size[a:b].sum() >= 100:
+                        assert {n for c, d in zip(start, end) if a <= c and d <= b for n in range(c, d)} == set(range(a, b))
+
+
 def test_lines_of_messy_rows(spark):
     got = linededup.dedup_lines(table(spark)).collect()
     assert len(got) == len(rows()) and sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows())

@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap if they share a rare line. Each line points from every document that holds it to the first one (smallest key), so there are as many pairs
-as shared lines, never all pairs. A line is rare if few texts hold it; so that no document of a very large group is missed, each document's own rarest shared lines
-count too, however many texts hold them. Each pair is aligned by patience diff, and aligned common blocks are deleted from the later document. A block
+Two documents overlap if they share a rare window: a shortest run of lines with as many bytes as a block needs. Every block that a document shares with any earlier one is
+made up of windows. Each window points from every document that holds it to the first one (smallest key), so there are at most as many pairs as shared windows, never all
+pairs. A window is rare if few texts hold it; so that no document of a very large group is missed, each document's own rarest shared windows count too, however many texts hold them. Each pair is aligned by patience diff, and aligned common blocks are deleted from the later document. A block
 that several documents share stays in the first of them.
 """
 
@@ -86,11 +86,50 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"), body.alias("t")).mapInArrow(run, f"__key {kind}, __a long, __b long, __lines array<long>, __sizes array<int>")
 
 
-def overlaps(nodes: DataFrame, rare: int, own: int) -> DataFrame:
-    """Pairs (__u, __v) of an earlier and a later text that share a rare line."""
-    held = nodes.select("__node", F.explode(F.array_distinct("__lines")).alias("__line")).filter("__line != 0")
-    spread = held.groupBy("__line").agg(F.min("__node").alias("__u"), F.count(F.lit(1)).alias("__texts")).filter("__texts > 1")
-    shared = held.join(spread, "__line").withColumn("__rank", F.row_number().over(Window.partitionBy("__node").orderBy("__texts", "__line")))
+def windows(size: np.ndarray, border: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end of the shortest runs of ``least`` bytes from each line on and up to each line, within texts: at most two a line.
+
+    Any run of ``least`` bytes is made up of such runs: a line of it lies in the one from the run's first line or from itself on, or else in the one up to the run's last line.
+    """
+    total, n = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), len(size)
+    doc = np.repeat(np.arange(len(border) - 1), np.diff(border))
+    line = np.arange(n)
+    end = np.maximum(np.searchsorted(total, total[:-1] + least, "left"), line + 1)
+    start = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, line)
+    on, back = end <= border[doc + 1], start >= border[doc]
+    return np.concatenate([line[on], start[back]]), np.concatenate([end[on], line[back] + 1])
+
+
+def units(nodes: DataFrame, least: int) -> DataFrame:
+    """(__node, __unit): hashes of the windows of each text that have a line with words, once with lines without words as equal and empty, once as they measure."""
+    kind = nodes.schema["__node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            border = batch.column(1).offsets.to_numpy().astype(np.int64)
+            lines, size = (batch.column(i).values.to_numpy()[border[0]:border[-1]] for i in (1, 2))
+            border = border - border[0]
+            filled, docs, found = np.concatenate([[0], np.cumsum(lines != 0)]), [], []
+            for values, bytes_ in ((lines, np.where(lines == 0, 0, size)), (np.where(lines == 0, size, lines), size)):
+                start, end = windows(bytes_, border, least)
+                some = filled[end] > filled[start]
+                docs.append(np.searchsorted(border, start[some], "right") - 1)
+                found.append(W.range_hashes(values.view(np.uint64), start[some], end[some]))
+            doc, unit = np.concatenate(docs), np.concatenate(found)
+            order = np.lexsort((unit, doc))
+            doc, unit = doc[order], unit[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (unit[1:] != unit[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[new])), pa.array(unit[new].view(np.int64))], names=["__node", "__unit"])
+
+    return nodes.select("__node", "__lines", "__sizes").mapInArrow(run, f"__node {kind}, __unit long")
+
+
+def overlaps(nodes: DataFrame, rare: int, own: int, least: int) -> DataFrame:
+    """Pairs (__u, __v) of an earlier and a later text: the first text that holds a rare window, and each other one that holds it."""
+    held = units(nodes, least)
+    spread = held.groupBy("__unit").agg(F.min("__node").alias("__u"), F.count(F.lit(1)).alias("__texts")).filter("__texts > 1")
+    shared = held.join(spread, "__unit").withColumn("__rank", F.row_number().over(Window.partitionBy("__node").orderBy("__texts", "__unit")))
     return shared.filter(((F.col("__texts") <= rare) | (F.col("__rank") <= own)) & (F.col("__u") != F.col("__node"))).select("__u", F.col("__node").alias("__v")).distinct()
 
 
@@ -114,13 +153,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rare:
 
     Lines are parts between line feeds; a null text is an empty one, and an empty text has one empty line. A document whose text equals that of a smaller
     key loses everything. Rows that share key and text are one document; rows that share a key only are judged text by text. A document without
-    key is left as it is, and nothing is deleted because of it. Lines without words are never anchors for a pair. Columns other than key and text are not read.
+    key is left as it is, and nothing is deleted because of it. Lines without words are equal to each other and never make a pair on
+    their own: a block whose bytes reach ``least`` only with them is looked for where they have the same lengths. Columns other than key and text are not read.
     """
     rows = stage(line_rows(docs, key, text))
     known = rows.filter(F.col("__key").isNotNull())
     nodes = stage(known.groupBy("__a", "__b").agg(F.min("__key").alias("__first"), F.first("__lines").alias("__lines"), F.first("__sizes").alias("__sizes"))
                   .withColumn("__node", F.struct(F.col("__first").alias("key"), "__a", "__b")))
-    cut = removals(overlaps(nodes, rare, own), nodes, least)
+    cut = removals(overlaps(nodes, rare, own, least), nodes, least)
     texts = nodes.select("__a", "__b", "__first", "__node").join(cut, "__node", "left").select("__a", "__b", "__first", "__cut", F.transform("__from", lambda x: x["key"]).alias("__from"))
     whole = F.col("__key") != F.col("__first")
     changed = known.select("__key", "__a", "__b", F.size("__lines").alias("__n")).filter(F.col("__n") > 0).distinct().join(texts, ["__a", "__b"]).filter(whole | F.col("__cut").isNotNull())

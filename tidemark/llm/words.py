@@ -135,6 +135,14 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * inverses[start] + (end - start).astype(np.uint64))
 
 
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the entries (64-bit hashes) from start to end, for many ranges, as span_hashes has it for bytes."""
+    powers, inverses = _powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[:len(values)], out=total[1:])
+    return mix((total[end] - total[start]) * inverses[start] + (end - start).astype(np.uint64))
+
+
 def run_hashes(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each k consecutive entries within one text, and the index of its first entry."""
     m = len(hashes) - k + 1
