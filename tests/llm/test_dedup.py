@@ -229,6 +229,13 @@ def test_lines_whose_block_has_another_first_holder_than_its_lines(spark):
     assert got[7]["text"] == "end"
 
 
+def test_lines_of_frequent_blocks_beside_rarer_ones(spark):
+    common, rarer = prose(30, 240), [prose(30, 241 + i) for i in range(4)]
+    texts = [f"{common}\nown {i}" for i in range(6)] + ["\nbetween\n".join(rarer), "\nor else\n".join([common, *rarer])]
+    got = linededup.dedup_lines(with_texts(spark, texts), rare=2, own=3).orderBy("doc_id").collect()
+    assert [(r["n_removed"], r["partners"]) for r in got] == [(0, []), *[(1, [0])] * 5, (0, []), (5, [0, 6])]
+
+
 def test_windows_cover_each_run_of_enough_bytes():
     r = random.Random(6)
     for _ in range(200):

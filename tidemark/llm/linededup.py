@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap if they share a rare window: a shortest run of lines with as many bytes as a block needs. Every block that a document shares with any earlier one is
+Two documents overlap if they share a window: a shortest run of lines with as many bytes as a block needs. Every block that a document shares with any earlier one is
 made up of windows. Each window points from every document that holds it to the first one (smallest key), so there are at most as many pairs as shared windows, never all
-pairs. A window is rare if few texts hold it; so that no document of a very large group is missed, each document's own rarest shared windows count too, however many texts hold them. Each pair is aligned by patience diff, and aligned common blocks are deleted from the later document. A block
+pairs, and windows that very many texts hold count like any other. Each pair is aligned by patience diff, and aligned common blocks are deleted from the later document. A block
 that several documents share stays in the first of them.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
@@ -125,12 +125,11 @@ def units(nodes: DataFrame, least: int) -> DataFrame:
     return nodes.select("__node", "__lines", "__sizes").mapInArrow(run, f"__node {kind}, __unit long")
 
 
-def overlaps(nodes: DataFrame, rare: int, own: int, least: int) -> DataFrame:
-    """Pairs (__u, __v) of an earlier and a later text: the first text that holds a rare window, and each other one that holds it."""
+def overlaps(nodes: DataFrame, least: int) -> DataFrame:
+    """Pairs (__u, __v) of an earlier and a later text: the first text that holds a window, and each other one that holds it, however many they are."""
     held = units(nodes, least)
-    spread = held.groupBy("__unit").agg(F.min("__node").alias("__u"), F.count(F.lit(1)).alias("__texts")).filter("__texts > 1")
-    shared = held.join(spread, "__unit").withColumn("__rank", F.row_number().over(Window.partitionBy("__node").orderBy("__texts", "__unit")))
-    return shared.filter(((F.col("__texts") <= rare) | (F.col("__rank") <= own)) & (F.col("__u") != F.col("__node"))).select("__u", F.col("__node").alias("__v")).distinct()
+    spread = held.groupBy("__unit").agg(F.min("__node").alias("__u"), F.count(F.lit(1)).alias("__texts")).filter("__texts > 1").drop("__texts")
+    return held.join(spread, "__unit").filter(F.col("__u") != F.col("__node")).select("__u", F.col("__node").alias("__v")).distinct()
 
 
 def removals(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
@@ -154,13 +153,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rare:
     Lines are parts between line feeds; a null text is an empty one, and an empty text has one empty line. A document whose text equals that of a smaller
     key loses everything. Rows that share key and text are one document; rows that share a key only are judged text by text. A document without
     key is left as it is, and nothing is deleted because of it. Lines without words are equal to each other and never make a pair on
-    their own: a block whose bytes reach ``least`` only with them is looked for where they have the same lengths. Columns other than key and text are not read.
+    their own: a block whose bytes reach ``least`` only with them is looked for where they have the same lengths. ``rare`` and ``own`` have
+    no effect: no window is too frequent to count. Columns other than key and text are not read.
     """
     rows = stage(line_rows(docs, key, text))
     known = rows.filter(F.col("__key").isNotNull())
     nodes = stage(known.groupBy("__a", "__b").agg(F.min("__key").alias("__first"), F.first("__lines").alias("__lines"), F.first("__sizes").alias("__sizes"))
                   .withColumn("__node", F.struct(F.col("__first").alias("key"), "__a", "__b")))
-    cut = removals(overlaps(nodes, rare, own, least), nodes, least)
+    cut = removals(overlaps(nodes, least), nodes, least)
     texts = nodes.select("__a", "__b", "__first", "__node").join(cut, "__node", "left").select("__a", "__b", "__first", "__cut", F.transform("__from", lambda x: x["key"]).alias("__from"))
     whole = F.col("__key") != F.col("__first")
     changed = known.select("__key", "__a", "__b", F.size("__lines").alias("__n")).filter(F.col("__n") > 0).distinct().join(texts, ["__a", "__b"]).filter(whole | F.col("__cut").isNotNull())
