@@ -236,6 +236,44 @@ def test_lines_of_frequent_blocks_beside_rarer_ones(spark):
     assert [(r["n_removed"], r["partners"]) for r in got] == [(0, []), *[(1, [0])] * 5, (0, []), (5, [0, 6])]
 
 
+def all_blocks(a, b, size, least):
+    """Positions in b of all equal runs of enough bytes."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            out |= set(range(j, j + n)) if n and sum(size[j:j + n]) >= least else set()
+    return sorted(out)
+
+
+def test_common_blocks_in_any_order_and_number():
+    size = {"P": 60, "Q": 60, "x": 10, "y": 10, "z": 10, "w": 10, "R": 120, "": 0}
+    blocks = lambda a, b: sorted(linededup.common_blocks(list(a), list(b), [size[x] for x in b], 100))
+    assert blocks("PQx", "yPQzPQw") == [1, 2, 4, 5]
+    assert blocks("PQxR", "RyPQ") == [0, 2, 3]
+    assert blocks("PxQ", "PQ") == [] and blocks("", "PQ") == [] and blocks("PQ", "") == []
+    r = random.Random(7)
+    for _ in range(500):
+        a, b = (r.choices(list(size), k=r.randint(0, 12)) for _ in range(2))
+        sizes = [size[x] for x in b]
+        assert sorted(linededup.common_blocks(a, b, sizes, 100)) == all_blocks(a, b, sizes, 100)
+
+
+def test_lines_against_all_earlier_documents(spark):
+    r, lines = random.Random(8), ["".join(random.Random(250 + i).choices("abcdefgh", k=30 + 15 * (i % 5))) for i in range(10)]
+    texts = ["\n".join(r.choice([*lines, "", "  ", f"own {i}"]) for _ in range(r.randint(1, 14))) for i in range(60)]
+    got = linededup.dedup_lines(with_texts(spark, texts)).orderBy("doc_id").collect()
+    for i, text in enumerate(texts):
+        mine = [x.strip() and x for x in text.split("\n")]
+        cut = set()
+        for u in texts[:i]:
+            cut |= set(all_blocks([x.strip() and x for x in u.split("\n")], mine, [len(x) for x in mine], 100))
+        cut = set(range(len(mine))) if text in texts[:i] else cut
+        assert got[i]["text"] == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in cut), i
+
+
 def test_windows_cover_each_run_of_enough_bytes():
     r = random.Random(6)
     for _ in range(200):

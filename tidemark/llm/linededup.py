@@ -2,7 +2,8 @@
 
 Two documents overlap if they share a window: a shortest run of lines with as many bytes as a block needs. Every block that a document shares with any earlier one is
 made up of windows. Each window points from every document that holds it to the first one (smallest key), so there are at most as many pairs as shared windows, never all
-pairs, and windows that very many texts hold count like any other. Each pair is aligned by patience diff, and aligned common blocks are deleted from the later document. A block
+pairs, and windows that very many texts hold count like any other. Each pair is aligned by patience diff, what stands in another order or several times is looked up
+besides, and common blocks are deleted from the later document. A block
 that several documents share stays in the first of them.
 """
 
@@ -56,14 +57,30 @@ def aligned(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list, b: list, size: list[int], least: int) -> list[int]:
-    """Positions in ``b`` of aligned blocks (runs that are consecutive on both sides) of ``least`` bytes or more."""
+    """Positions in ``b`` of common blocks (runs that are consecutive on both sides) of ``least`` bytes or more: the aligned ones, then all that is left, in any order and however often."""
     pairs, out, run = aligned(a, b), [], []
     for n, (p, q) in enumerate(pairs):
         if run and (p, q) != (pairs[n - 1][0] + 1, pairs[n - 1][1] + 1):
             out += run if sum(size[x] for x in run) >= least else []
             run = []
         run.append(q)
-    return out + (run if sum(size[x] for x in run) >= least else [])
+    out += run if sum(size[x] for x in run) >= least else []
+    number = {x: n for n, x in enumerate(dict.fromkeys(a), 1)}
+    gone, there = np.zeros(len(b), bool), np.array([number.get(x, 0) for x in b], np.uint64)
+    gone[out] = True
+    if (gone | (there == 0)).all():
+        return out
+    start, end = windows(np.array(size, np.int64), np.array([0, len(b)]), least)
+    lost, cut = (np.concatenate([[0], np.cumsum(x)]) for x in (there == 0, gone))
+    open_ = (lost[end] == lost[start]) & (cut[end] - cut[start] < end - start)
+    start, end = start[open_], end[open_]
+    one, two = W.mix(np.array([number[x] for x in a], np.uint64)), W.mix(there)
+    for n in np.unique(end - start):
+        at = start[end - start == n]
+        first = np.arange(max(0, len(a) - n + 1))
+        for q in at[np.isin(W.range_hashes(two, at, at + n), W.range_hashes(one, first, first + n))]:
+            gone[q:q + n] = True
+    return np.flatnonzero(gone).tolist()
 
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
