@@ -83,6 +83,26 @@ def test_keep_one(spark):
     assert sum(r["doc_id"] is None for r in kept) == 2
 
 
+def test_repeated_keys_lose_no_text(spark):
+    a, b, c, d = (prose(80, 300 + i) for i in range(4))
+    near = a + " end"
+    data = [(1, a), (3, near), (2, b), (3, b), (3, c), (4, c + " end"), (5, d), (5, a), (5, None), (6, d), (5, d)]
+    df = spark.createDataFrame([(i, t, None, f"s{n}", None, None, None, None, None, None) for n, (i, t) in enumerate(data)], SCHEMA).repartition(4)
+    check_groups(spark, df, data)
+    kept = neardup.keep_one(df).collect()
+    assert sorted((r["doc_id"], r["text"] or "", r["source"]) for r in kept) == sorted([(1, a, "s0"), (2, b, "s2"), (3, c, "s4"), (5, d, "s10"), (5, "", "s8")])
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 500])
+def test_near_duplicates_along_chains_under_repeated_keys(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = chain(20, 1) + [prose(100, s) for s in range(5)] + chain(10, 3)
+    data = [(i // 2 if i < 8 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, None, None, None, None, None, None, None, None) for i, t in data], SCHEMA)
+    check_groups(spark, df, data)
+    assert len({r["text"] for r in neardup.keep_one(df).collect()}) == 7
+
+
 def test_links_within_a_group_join_all_that_are_alike():
     r = random.Random(8)
     for _ in range(40):

@@ -152,7 +152,8 @@ def links_within(node: pa.Array, comp: pa.Array, side: np.ndarray, border: np.nd
     only pairs across are compared.
     """
     n = np.diff(border)
-    _, root = np.unique(comp.dictionary_encode().indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    parts = comp.flatten() if pa.types.is_struct(comp.type) else [comp]
+    _, root = np.unique(np.stack([x.dictionary_encode().indices.to_numpy(zero_copy_only=False) for x in parts]), axis=1, return_inverse=True)
     if len(n) < 2 or (root == root[0]).all():
         return [], []
     _, place, times = np.unique(values, return_inverse=True, return_counts=True)
@@ -254,13 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("__u").alias("__node"), F.col("__v").alias("__comp")).union(edges.select("__v", "__v").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: the key, ``n_shingles``, ``component_id`` (smallest key reachable), ``kept`` (the key is that one).
-
-    Words are lower-cased (A-Z); a text with 1 to k-1 words has its whole sequence as its one shingle; a null text or one without words has
-    none and is linked with nothing. Rows that share a key are one node with the links of all of them. A row without key is linked with
-    nothing; its component is null and it is kept. Other columns are not read.
-    """
+def _labelled(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """One row per input row: ``__key``, ``n_shingles``, ``__comp`` (smallest key reachable by texts). Keys that repeat must tell texts apart."""
     all_rows = stage(sketches(docs, key, text, k))
     rows = all_rows.filter("n_shingles > 0 AND __key IS NOT NULL")
     same = ["__a", "__b", "n_shingles"]
@@ -289,18 +285,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     groups = nodes.select(*same, "__node").join(comp, "__node", "left").select(*same, F.coalesce("__comp", "__node").alias("__comp"))
     out = all_rows.select("__key", *same).join(groups, same, "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("__comp", "__key")).otherwise(F.col("__key")))
+    return out.select("__key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("__comp", "__key")).otherwise(F.col("__key")).alias("__comp"))
+
+
+def _repeats(docs: DataFrame, key: str) -> bool:
+    ids = docs.select(key).filter(F.col(key).isNotNull())
+    return ids.count() != ids.distinct().count()
+
+
+def _text_key(key: str, text: str) -> Column:
+    """The key with two hashes of the text, so that it tells texts apart and is ordered by key first."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """One row per input row: the key, ``n_shingles``, ``component_id`` (smallest key reachable), ``kept`` (the key is that one).
+
+    Words are lower-cased (A-Z); a text with 1 to k-1 words has its whole sequence as its one shingle; a null text or one without words has
+    none and is linked with nothing. Rows that share a key are one node with the links of all of them. A row without key is linked with
+    nothing; its component is null and it is kept. Other columns are not read.
+    """
+    if _repeats(docs, key):  # texts are nodes of their own, and joined by their keys once their links are known
+        found = stage(_labelled(docs.select(_text_key(key, text).alias(key), text), key, text, k, percent))
+        found = found.select(F.col("__key.key").alias("__key"), "n_shingles", F.col("__comp.key").alias("__first"))
+        comp = components(found.filter("__key != __first").select(F.col("__key").alias("__u"), F.col("__first").alias("__v")))
+        out = found.join(comp, F.col("__key") == F.col("__node"), "left").select("__key", "n_shingles", F.coalesce("__comp", "__key").alias("__comp"))
+    else:
+        out = _labelled(docs, key, text, k, percent)
     alone = F.col("__key").isNull()
-    return out.select(F.col("__key").alias(key), "n_shingles", F.when(~alone, F.col("component_id")).alias("component_id"), (alone | (F.col("__key") == F.col("component_id"))).alias("kept"))
+    return out.select(F.col("__key").alias(key), "n_shingles", F.when(~alone, F.col("__comp")).alias("component_id"), (alone | (F.col("__key") == F.col("__comp"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """The documents without near duplicates of a smaller key; all columns are kept. Of rows that share a key one stays; rows without key stay."""
-    found = near_duplicates(docs, key, text, k, percent)
-    gone = stage(found.filter(~F.col("kept")).select(F.col(key).alias("__gone")).distinct())
+    """The documents without near duplicates of a smaller key; all columns are kept. Rows without key stay.
+
+    Rows that share a key are judged text by text: of texts that are alike the one with the smallest key stays (under one key, the one with the smallest
+    hash), and of rows that share key and text the first by the JSON of their columns. A text that is like no other always stays.
+    """
+    repeats = _repeats(docs, key)
+    rows = docs.withColumn("__id", _text_key(key, text) if repeats else F.col(key))
+    found = _labelled(rows.select("__id", text), "__id", text, k, percent)
+    gone = stage(found.filter("__key != __comp").select(F.col("__key").alias("__gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
-    ids = docs.filter(F.col(key).isNotNull())
-    if ids.count() == ids.select(key).distinct().count():
-        return left
-    return left.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.filter(F.col(key).isNull()))
+    left = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    if not repeats:
+        return left.drop("__id")
+    row = F.struct(*[left[c] for c in docs.columns])
+    once = left.filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return once.unionByName(left.filter(F.col("__id").isNull()).drop("__id"))
