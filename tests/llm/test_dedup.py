@@ -176,6 +176,18 @@ def test_substrings_of_messy_rows(spark):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_substrings_of_repeated_keys_of_any_size(spark):
+    passage = prose(40, 320)
+    far = [(k, f"{prose(5, 330 + n)} {passage} {prose(20, 340 + n % 2)}") for n, k in enumerate([(1 << 62) + 1, 5, -(1 << 62), (1 << 62) + 1, None, 5, (1 << 62) + 2])]
+    data = [*far, far[0], (1, "short"), (-(1 << 63), "short"), (None, "short")]
+    df = spark.createDataFrame([(i, t, None, None, None, None, None, None, None, None) for i, t in data], SCHEMA).repartition(3)
+    order = sorted(set(data), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want = repeats([(n, t) for n, (_, t) in enumerate(order)], 100)
+    left = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["kept_sha256"]) for r in substrings.remove_repeats(df).collect())
+    index = {x: n for n, x in enumerate(order)}
+    assert left == sorted((i is not None, i or 0, want[index[i, t]][3]) for i, t in data)
+
+
 def test_small_runs_of_segments(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENTS", 3)
     texts = [prose(80, 70 + i % 3) + f" tail {i} " + prose(30, 75 + i % 2) for i in range(12)]

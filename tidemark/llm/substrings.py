@@ -262,14 +262,15 @@ def removed_windows(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
-    """(key, doc, text) with a long that orders the rows by key, and whether it tells all rows apart. Keys that repeat take the slower way of numbering their texts."""
+    """(key, doc, text) with a long that orders the rows by key, and whether it tells all rows apart. Keys that repeat
+    take the slower way of numbering their texts by one sort, in which the texts of one key may lie in several tasks; any whole number and any number of texts will do."""
     rows = docs.select(F.col(key), F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if rows.count() == rows.select("doc").distinct().count():
         return rows.withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))), True
-    tie = F.dense_rank().over(Window.partitionBy("doc").orderBy("text")) - 1
-    wide = F.coalesce("doc", F.lit(-(1 << 46)))
-    made = F.when((tie < 65536) & (F.abs(wide) <= 1 << 46), wide * 65536 + tie).otherwise(F.raise_error(F.lit("repeated keys beyond 2**46 or 65536 texts of one key")).cast("long"))
-    return stage(rows.withColumn("doc", made)), False
+    rows = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
+    each = rows.dropDuplicates(["doc", "a", "b"]).sort("doc", "text").select(F.col("doc").alias("id"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.monotonically_increasing_id().alias("made"))
+    both = rows.join(stage(each), F.col("doc").eqNullSafe(F.col("id")) & (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")))
+    return stage(both.select(rows[key], F.col("made").alias("doc"), "text")), False
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
