@@ -7,6 +7,7 @@ import pytest
 from messy import rows
 
 from tidemark.llm import audit, q_audit
+from tidemark.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,7 +65,7 @@ def test_matrix_gives_back_every_word(spark, size, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     matrix, words = audit.document_term_matrix(df, "text", ["doc_id"])
     name = {r["word_id"]: bytes(r["word"]) for r in words.collect()}
-    assert sorted(name) == list(range(len(name))) and len(set(name.values())) == len(name)
+    assert set(name.values()) == {w.encode() for _, t in docs for w in WORD.findall(t or "")} and len(set(name.values())) == len(name)
     seen = {}
     shards = matrix.collect()
     assert len({s["shard"] for s in shards}) == len(shards) and (len(shards) > 4) == (size == 200)
@@ -79,5 +80,7 @@ def test_matrix_gives_back_every_word(spark, size, monkeypatch):
 
 
 def test_rows_of_one_array():
-    starts, words, counts, names = audit.csr(pa.array(["b a b", None, "", "a  c"]))
-    assert starts.tolist() == [0, 2, 2, 2, 4] and [(names[w].as_py(), c) for w, c in zip(words.tolist(), counts.tolist())] == [(b"b", 2), (b"a", 1), (b"a", 1), (b"c", 1)]
+    starts, words, counts, names, bucket = audit.csr(*W.text_bytes(pa.array(["b a b", None, "", "a  c"])), 7)
+    assert starts.tolist() == [0, 2, 2, 2, 4] and (bucket == sorted(bucket)).all() and (bucket < 7).all()
+    found = [(names[w].as_py(), c) for w, c in zip(words.tolist(), counts.tolist())]
+    assert sorted(found[:2]) == [(b"a", 1), (b"b", 2)] and sorted(found[2:]) == [(b"a", 1), (b"c", 1)]

@@ -1,8 +1,8 @@
 """Audit of how filters interact, over a sparse document-term matrix.
 
 Documents are cut into shards of a bounded number of bytes. A shard is a block of the matrix in compressed sparse rows, with words numbered inside the shard;
-its word list is a column of its own. The distinct words of all shards get global numbers, and each shard's numbers are translated through its word list, so
-only word lists are shuffled, never the words of every document. Row sums are word counts, nonzero counts are distinct words.
+its word list goes to the buckets of a global dictionary, which number the distinct words of all shards, and the shard's numbers are translated by what comes back. So
+the words that are shuffled are those of the lists, never those of every document. Row sums are word counts, nonzero counts are distinct words.
 
 What a document fails is a set of filters, kept as bits. All figures of all orders of the filters follow from the number of documents per set of failures.
 """
@@ -15,53 +15,73 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from tidemark.llm import words as W
-from tidemark.llm.sharding import row_numbers
-from tidemark.session import stage
+from tidemark.session import shuffle_width, stage
 
 #: About the bytes of text of a shard. A document is never cut, so a longer one makes a longer shard.
 SHARD_BYTES = 8 << 20
 
 
-def csr(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Row starts, word numbers, counts, and the words by number, of whole texts. Words are told apart by their bytes."""
-    data, offsets = W.text_bytes(texts)
+def packed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, pa.Array]:
+    """The words of some texts, and their bytes in one array."""
     words = W.find_words(data, offsets)
-    ends = np.concatenate([[0], np.cumsum(words.end - words.start)])
-    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[~W.SPACE[data]])])
+    ends = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+    return words, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(ends), pa.py_buffer(data[~W.SPACE[data]])])
+
+
+def csr(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Row starts, word numbers and counts of whole texts; the words by number, and the bucket of each. Words are told apart by their bytes and numbered bucket by bucket."""
+    words, packed = packed_words(data, offsets)
     coded = packed.dictionary_encode()
-    size = max(len(coded.dictionary), 1)
-    cells, counts = np.unique(words.doc * size + coded.indices.to_numpy(), return_counts=True)
-    starts = np.searchsorted(cells, np.arange(len(offsets)) * size)
-    return starts, cells % size, counts, coded.dictionary
+    names = coded.dictionary
+    flat, ends = W.text_bytes(names)
+    bucket = (W.span_hashes(flat, ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
+    size = max(len(names), 1)
+    cells, counts = np.unique(words.doc * size + number[coded.indices.to_numpy()], return_counts=True)
+    return np.searchsorted(cells, np.arange(len(offsets)) * size), cells % size, counts, names.take(pa.array(order)), bucket[order]
+
+
+def _listed(values: pa.Array) -> pa.Array:
+    """An array as the one entry of a column of arrays."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def local_shards(df: DataFrame, text: str, carried: list[str]) -> DataFrame:
-    """One row per shard: ``shard``, ``rows`` (the carried columns of each document), ``indptr``, ``indices``, ``data``, ``words``.
+def local_shards(df: DataFrame, text: str, carried: list[str], counted: dict[str, np.ndarray], buckets: int) -> DataFrame:
+    """One row per shard: ``shard``, ``rows`` (the carried columns of each document and how many of its bytes are in each counted set), ``indptr``, ``indices``, ``data``, ``words``.
 
-    A shard's number comes from its partition and its place there. Words: maximal runs of bytes other than blanks; a null text has none.
+    A shard's number comes from its partition and its place there. Words: maximal runs of bytes other than blanks; a null text has none. ``words`` has the words of
+    each bucket in one entry, with blanks between them, in the order of their numbers.
     """
-    row = StructType([df.schema[c] for c in carried])
+    row = StructType([*(df.schema[c] for c in carried), *(StructField(c, LongType()) for c in counted)])
     kinds = StructType().add("shard", LongType()).add("rows", ArrayType(row))
     for name in ("indptr", "indices", "data"):
         kinds = kinds.add(name, ArrayType(IntegerType()))
-    kinds = kinds.add("words", ArrayType(BinaryType()))
+    kinds = kinds.add("words", ArrayType(StructType().add("bucket", IntegerType()).add("joined", BinaryType())))
 
     def one(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(parts).combine_chunks()
-        indptr, indices, data, words = csr(whole.column(text))
-        rows = pa.StructArray.from_arrays([whole.column(c).combine_chunks() for c in carried], fields=[whole.schema.field(c) for c in carried])
-
-        def listed(values: pa.Array) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-        numbers = [listed(pa.array(x.astype(np.int32))) for x in (indptr, indices, data)]
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), listed(rows), *numbers, listed(words.cast(pa.binary()))], [f.name for f in kinds.fields])
+        data, offsets = W.text_bytes(whole.column(text))
+        indptr, indices, counts, words, bucket = csr(data, offsets, buckets)
+        held, first = np.unique(bucket, return_index=True)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([*first, len(bucket)], pa.int32()), words.cast(pa.binary())), b" ")
+        figures = []
+        for wanted in counted.values():
+            total = np.concatenate([[0], np.cumsum(wanted[data])])
+            figures.append(pa.array(total[offsets[1:]] - total[offsets[:-1]]))
+        fields = [*(whole.schema.field(c) for c in carried), *(pa.field(c, pa.int64()) for c in counted)]
+        rows = pa.StructArray.from_arrays([*(whole.column(c).combine_chunks() for c in carried), *figures], fields=fields)
+        numbers = [_listed(pa.array(x.astype(np.int32))) for x in (indptr, indices, counts)]
+        lists = pa.StructArray.from_arrays([pa.array(held.astype(np.int32)), joined], ["bucket", "joined"])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), _listed(rows), *numbers, _listed(lists)], kinds.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -83,49 +103,69 @@ def local_shards(df: DataFrame, text: str, carried: list[str]) -> DataFrame:
     return df.select(text, *carried).mapInArrow(run, kinds)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``word`` (its bytes) and ``word_id``: each distinct word of all shards and its number, from 0 and without gaps."""
-    words = stage(shards.select(F.explode("words").alias("word")).distinct())
-    return row_numbers(words, ["word"], words.count(), "word_id")
+def _numbered(joined: pa.Array, bucket: int, buckets: int) -> tuple[W.Words, pa.Array, pa.Array]:
+    """Words of one bucket: where they stand, the number of each, and the distinct words in ascending order. A number follows from the place of the word among the bucket's
+    sorted words, so it is the same whatever order the lists come in."""
+    words, packed = packed_words(*W.text_bytes(joined))
+    coded = packed.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return words, pa.array(rank[coded.indices.to_numpy()] * buckets + bucket), coded.dictionary.take(order)
 
 
-def encoded(shards: DataFrame, words: DataFrame) -> DataFrame:
+def dictionary(shards: DataFrame, buckets: int) -> DataFrame:
+    """``word`` (its bytes) and ``word_id``: each distinct word of all shards and its number."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        names = _numbered(table.column("joined"), bucket, buckets)[2].cast(pa.binary())
+        return pa.table({"word": names, "word_id": pa.array(np.arange(len(names)) * buckets + bucket)})
+
+    return shards.select(F.inline("words")).groupBy("bucket").applyInArrow(run, "word binary, word_id long")
+
+
+def encoded(shards: DataFrame, buckets: int) -> DataFrame:
     """Shards whose ``indices`` are global word numbers, ascending within a row; the word lists are gone.
 
-    Joined on the words of each shard's list: a word comes once per shard, however often documents hold it. The numbers of a shard come together in one row,
-    which is bounded as the shard is.
+    What is shuffled by words are the lists of the shards: a word comes once per shard, however often documents hold it. A bucket of the dictionary is as large as the lists
+    of all shards divided by the number of buckets; the numbers of a shard come together in one row, which is bounded as the shard is.
     """
-    listed = shards.select("shard", F.posexplode("words").alias("place", "word")).join(words, "word")
-    numbers = listed.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "word_id")))["word_id"].alias("numbers"))
+
+    def number(key: tuple, table: pa.Table) -> pa.Table:
+        words, ids, _ = _numbered(table.column("joined"), key[0].as_py(), buckets)
+        lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), ids)
+        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "ids": lists})
+
+    lists = shards.select("shard", F.inline("words")).groupBy("bucket").applyInArrow(number, "shard long, bucket int, ids array<long>")
+    numbers = lists.groupBy("shard").agg(F.flatten(F.array_sort(F.collect_list(F.struct("bucket", "ids")))["ids"]).alias("numbers"))
     # a shard of texts without words has no list
     both = shards.drop("words").join(numbers, "shard", "left").withColumn("numbers", F.coalesce("numbers", F.array().cast("array<long>")))
-    kinds = StructType([f if f.name != "indices" else StructType().add("indices", ArrayType(LongType()))[0] for f in shards.drop("words").schema])
-    names = kinds.names
+    kinds = StructType([StructField("indices", ArrayType(LongType())) if f.name == "indices" else f for f in shards.drop("words").schema])
 
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
-                at = {n: one.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("indptr", "indices", "data", "numbers")}
-                ids = at["numbers"][at["indices"]] if len(at["indices"]) else at["indices"]
-                order = np.lexsort((ids, np.repeat(np.arange(len(at["indptr"]) - 1), np.diff(at["indptr"]))))
-                new = {"indices": ids[order].astype(np.int64), "data": at["data"][order]}
-                columns = [pa.ListArray.from_arrays(pa.array([0, len(new[n])], pa.int32()), pa.array(new[n])) if n in new else one.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                indptr, indices, data, numbers = (one.column(n).flatten().to_numpy() for n in ("indptr", "indices", "data", "numbers"))
+                ids = numbers[indices] if len(indices) else indices.astype(np.int64)
+                order = np.lexsort((ids, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
+                new = {"indices": pa.array(ids[order]), "data": pa.array(data[order])}
+                yield pa.RecordBatch.from_arrays([_listed(new[n]) if n in new else one.column(n) for n in kinds.names], kinds.names)
 
     return both.mapInArrow(translate, kinds)
 
 
-def document_term_matrix(df: DataFrame, text: str, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+def document_term_matrix(df: DataFrame, text: str, carried: list[str], counted: dict[str, np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """The matrix in shards of compressed sparse rows, and the dictionary of its columns.
 
-    Shards: ``shard``, ``rows`` (array of the carried columns, one entry per document), ``indptr`` (one entry more), ``indices`` (global word numbers) and ``data``
-    (counts). Both are tables of their own: the shards as texts gave them are written to the shared folder and read from there. A null or empty text is a row without
-    entries, repeated rows are rows of their own, an empty table gives no shard.
+    Shards: ``shard``, ``rows`` (array of the carried columns, one entry per document, with the number of bytes in each set of ``counted``), ``indptr`` (one entry more), ``indices`` (global word
+    numbers) and ``data`` (counts). The shards as texts gave them are written to the shared folder and read from there. Word numbers are unique; they have gaps of about
+    the spread of bucket sizes. A null or empty text is a row without entries, repeated rows are rows of their own, an empty table gives no shard.
     """
-    shards = stage(local_shards(df, text, carried))
-    words = dictionary(shards)
-    return encoded(shards, words), words
+    buckets = max(64, 2 * shuffle_width(df.sparkSession))
+    shards = stage(local_shards(df, text, carried, counted or {}, buckets))
+    return encoded(shards, buckets), dictionary(shards, buckets)
 
 
 def row_figures(matrix: DataFrame) -> DataFrame:

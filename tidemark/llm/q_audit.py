@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import audit
 from tidemark.llm.registry import query, table
-from tidemark.llm.words import UPPER
+from tidemark.llm.words import byte_set
 
 LETTERS = "ABCDE"
+CAPITALS = byte_set((65, 90))
+SYMBOLS = byte_set(*((c, c) for c in b"#$%&*|"))
+#: Bytes that begin a code point.
+LEAD = ~byte_set((0x80, 0xBF))
 
 _AUDIT = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -35,13 +39,10 @@ FROM t GROUP BY part, filter_order, step
 def op11_filter_audit(spark, sf):
     """Five filters over every whole text, in all 120 orders, per language."""
     text = F.coalesce("text", F.lit(""))
-    capitals = F.length(text) - F.length(F.translate(text, UPPER, ""))
-    docs = table(spark, sf, "documents").select(
-        "doc_id", F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
-        (100 * capitals > 10 * F.length(text)).alias("capitals"), text.rlike("[#$%&*|]").alias("symbols"))
-    matrix, _ = audit.document_term_matrix(docs, "text", ["doc_id", "part", "digest", "capitals", "symbols"])
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    matrix, _ = audit.document_term_matrix(docs, "text", ["doc_id", "part", "digest"], {"capitals": CAPITALS, "symbols": SYMBOLS, "code_points": LEAD})
     rows = audit.row_figures(matrix)
-    bits = audit.failed_bits([F.col("row_sum") < 100, 100 * F.col("nonzeros") < 80 * F.col("row_sum"), F.col("capitals"), F.col("symbols")])
+    bits = audit.failed_bits([F.col("row_sum") < 100, 100 * F.col("nonzeros") < 80 * F.col("row_sum"), 100 * F.col("capitals") > 10 * F.col("code_points"), F.col("symbols") > 0])
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("bad"))
     marked = rows.select("doc_id", "part", "digest", bits.alias("bits")).join(labels, "doc_id", "left")
     marked = marked.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "bad")})
