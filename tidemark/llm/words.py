@@ -127,20 +127,60 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
+#: Sums modulo 2^64 give equal values for different strings of 1,024 bytes or more of some regular patterns, whatever the base. Modulo a prime there are no
+#: such strings, so hashes are made of two sums modulo this prime, with bases and digits of their own.
+PRIME = (1 << 31) - 1
+_BASES = (0x2545F491 % PRIME, 0x5DEECE66 % PRIME)
+_LANES: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """x below 2^62 modulo PRIME, up to one PRIME too large: enough to be multiplied or summed again."""
+    p = np.uint64(PRIME)
+    return (x & p) + (x >> np.uint64(31))
+
+
+def _lanes(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers and inverse powers of both bases, n or more of them."""
+    if not _LANES or len(_LANES[0][0]) < n:
+        size = max(n, 1 << 16)
+        made = []
+        for base in _BASES:
+            pair = []
+            for x in (base, pow(base, -1, PRIME)):
+                powers = np.ones(1, np.uint64)
+                while len(powers) < size:  # twice as many each time
+                    powers = np.concatenate([powers, powers * np.uint64(pow(x, len(powers), PRIME)) % np.uint64(PRIME)])
+                pair.append(powers[:size])
+            made.append(tuple(pair))
+        _LANES[:] = made
+    return _LANES
+
+
+def _hashed(digits: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the entries from start to end: of each lane (digits below 2^31), the difference of running sums, brought to the first power."""
+    n, p = len(digits[0]), np.uint64(PRIME)
+    out = (end - start).astype(np.uint64) * np.uint64(_MULTIPLIER)
+    for (powers, inverses), lane, shift in zip(_lanes(n + 1), digits, (0, 32), strict=True):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_rest(lane * powers[:n]), out=total[1:])  # 2^30 entries stay below 2^62
+        part = (total[end] - total[start]) % p * inverses[start] % p
+        out ^= part << np.uint64(shift)
+    return mix(out)
+
+
+_DIGITS = tuple(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER) + np.uint64(lane)) % np.uint64(PRIME) for lane in (1, 2))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes from start to end, for many spans: differences of one running polynomial sum."""
-    powers, inverses = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[:len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * inverses[start] + (end - start).astype(np.uint64))
+    """Hash of the bytes from start to end, for many spans."""
+    return _hashed((_DIGITS[0][data], _DIGITS[1][data]), start, end)
 
 
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the entries (64-bit hashes) from start to end, for many ranges, as span_hashes has it for bytes."""
-    powers, inverses = _powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers[:len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * inverses[start] + (end - start).astype(np.uint64))
+    """Hash of the entries (64-bit hashes) from start to end, for many ranges. The lanes see different halves of an entry."""
+    low = values ^ (values >> np.uint64(31))
+    return _hashed((low & np.uint64(PRIME), values >> np.uint64(33)), start, end)
 
 
 def run_hashes(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
