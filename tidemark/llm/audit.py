@@ -25,7 +25,7 @@ from tidemark.llm import words as W
 from tidemark.session import shuffle_width, stage
 
 #: About the bytes of text of a shard. A document is never cut, so a longer one makes a longer shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 def packed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, pa.Array]:
