@@ -88,7 +88,7 @@ def local_shards(df: DataFrame, text: str, carried: list[str], counted: dict[str
         held: list[pa.RecordBatch] = []
         size = 0
         for b in batches:
-            _, offsets = W.text_bytes(b.column(text))
+            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(text)).fill_null(0).to_numpy())])
             lo = 0
             while lo < b.num_rows:
                 hi = min(b.num_rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SHARD_BYTES - size, "right")) - 1))
@@ -170,20 +170,15 @@ def document_term_matrix(df: DataFrame, text: str, carried: list[str], counted:
 
 def row_figures(matrix: DataFrame) -> DataFrame:
     """The carried columns of each document with ``row_sum`` (words) and ``nonzeros`` (distinct words)."""
-    carried = matrix.schema["rows"].dataType.elementType
-    names = carried.names
-    kinds = StructType([*carried.fields]).add("row_sum", LongType()).add("nonzeros", LongType())
+    names = matrix.schema["rows"].dataType.elementType.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                one = b.slice(i, 1)
-                indptr, data = (one.column(n).flatten().to_numpy() for n in ("indptr", "data"))
-                total = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
-                rows = one.column("rows").flatten()
-                yield pa.RecordBatch.from_arrays([*(rows.field(n) for n in range(len(names))), pa.array(total[indptr[1:]] - total[indptr[:-1]]), pa.array(np.diff(indptr).astype(np.int64))], [*names, "row_sum", "nonzeros"])
+    def figures(row: Column, i: Column) -> Column:
+        start, end = F.get("indptr", i), F.get("indptr", i + 1)
+        counts = F.slice("data", start + 1, end - start)
+        total = F.aggregate(counts, F.lit(0).cast("long"), lambda x, n: x + n)
+        return F.struct(*[row[c].alias(c) for c in names], total.alias("row_sum"), (end - start).cast("long").alias("nonzeros"))
 
-    return matrix.mapInArrow(run, kinds)
+    return matrix.select(F.inline(F.transform("rows", figures)))
 
 
 # ---------------------------------------------------------------- filters and their orders
