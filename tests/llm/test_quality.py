@@ -47,6 +47,34 @@ def test_order_of_rules_changes_no_verdict():
     assert (kept == alone).all()
 
 
-def test_rules_are_ordered_by_rejections_per_second():
-    order = quality.ordered([("symbols", 2.0, 0.5), ("repeats", 1.0, 0.4), ("too_short", 1.0, 0.0)], quality.Limits())
-    assert order[:3] == ["repeats", "symbols", "too_short"]
+def test_rules_are_ordered_by_what_they_still_reject():
+    names = ["a", "b", "c", "d"]
+    costs = {"a": 2.0, "b": 1.0, "c": 1.0, "d": 0.5}
+    assert quality.cascade_order(costs, {0b0001: 30, 0b0010: 10, 0b0000: 99}, names) == ["a", "b", "d", "c"]
+    # c rejects most of what b rejects: after b it is worth less than a
+    assert quality.cascade_order(costs, {0b0110: 50, 0b0100: 1, 0b0010: 2, 0b0001: 30}, names) == ["b", "a", "c", "d"]
+
+
+def test_order_comes_from_rows_that_pass_the_bar(spark):
+    """Many short texts full of symbols say nothing on what the cascade sees."""
+    from messy import prose
+
+    short = [(i, "# $ % &", None) for i in range(300)]
+    loud = [(i, prose(80, i).upper(), None) for i in range(300, 340)]
+    plain = [(i, prose(80, i), None) for i in range(340, 360)]
+    df = spark.createDataFrame(short + loud + plain, "doc_id long, text string, x string").repartition(2)
+    limits = quality.Limits()
+    costs, sets = quality.measure(df, "text", limits, rows=10 ** 6)
+    names = list(quality.after_base(limits))
+    assert "too_short" not in names and "repeats" not in names and set(costs) == set(names)
+    assert sum(sets.values()) == 60 and sets == {0: 20, 1 << names.index("capitals"): 40}
+    assert quality.cascade_order(costs, sets, names)[0] == "capitals"
+
+
+def test_parts_of_a_batch_take_their_words_along():
+    data, offsets = W.text_bytes(pa.array([r[1] for r in rows()]))
+    b = quality.Batch(data, offsets)
+    b.hashes  # noqa: B018
+    some = np.flatnonzero(np.arange(b.n) % 3 == 1)
+    part, fresh = b.only(some), quality.Batch(*W.text_bytes(pa.array([rows()[i][1] for i in some])))
+    assert all((x == y).all() for x, y in zip(part.words, fresh.words)) and (part.hashes == fresh.hashes).all()

@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects documents by one figure of the whole text. What a rule costs and how often it rejects is measured on a sample, and the rules run in
-the order of rejections per second; a document that one rule has rejected is not looked at by the next. The verdict is that of all rules together, so
+Each rule rejects documents by one figure of the whole text. What a rule costs and what it rejects after other rules is measured on a sample of the documents that the rules will see, and
+they run in the order of rejections per second; a document that one rule has rejected is not looked at by the next. The verdict is that of all rules together, so
 the order changes the cost only, never a result.
 """
 
@@ -39,7 +39,17 @@ class Batch:
         size = self.offsets[rows + 1] - self.offsets[rows]
         offsets = np.concatenate([[0], np.cumsum(size)])
         at = np.arange(offsets[-1]) + np.repeat(self.offsets[rows] - offsets[:-1], size)
-        return Batch(self.data[at], offsets)
+        out = Batch(self.data[at], offsets)
+        if self._words is not None:  # what has been found goes along
+            place = np.full(self.n, -1)
+            place[rows] = np.arange(len(rows))
+            doc = place[self._words.doc]
+            held = doc >= 0
+            doc = doc[held]
+            moved = offsets[doc] - self.offsets[rows[doc]]
+            out._words = W.Words(self._words.start[held] + moved, self._words.end[held] + moved, doc, np.searchsorted(doc, np.arange(len(rows) + 1)))
+            out._hashes = None if self._hashes is None else self._hashes[held]
+        return out
 
     @property
     def words(self) -> W.Words:
@@ -156,30 +166,58 @@ def cascade(b: Batch, checks: dict, order: list[str]) -> tuple[np.ndarray, np.nd
     return kept, np.array(seen)
 
 
-def measure(df: DataFrame, text: str, limits: Limits, rows: int = SAMPLE_ROWS, seed: int = 10) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) from a sample of about ``rows`` texts. Tasks measure; the driver gets one row per rule."""
+def base_failed(n: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+    """Fixed lower bar, before all rules."""
+    return (n < 50) | (100 * repeat > 50 * n)
+
+
+def after_base(limits: Limits) -> dict:
+    """The rules that can still reject a text which has passed the bar."""
+    dead = {"too_short"} if limits.least_words <= 50 else set()
+    dead |= {"repeats"} if limits.repeat_share >= 0.5 else set()
+    return {name: check for name, check in rules(limits).items() if name not in dead}
+
+
+def measure(df: DataFrame, text: str, limits: Limits, rows: int = SAMPLE_ROWS, seed: int = 10) -> tuple[dict[str, float], dict[int, int]]:
+    """From a sample of about ``rows`` texts, those that pass the bar: seconds of each rule, and the number of texts by the set of rules that reject them (bit i: rule i).
+
+    That is what the cascade sees: words and hashes are there already, and the sets say how much a rule still rejects after others. Tasks measure; the driver gets one
+    row per rule and one per set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checks = rules(limits)
+        checks = after_base(limits)
         for batch in batches:
             for _, _, data, offsets in W.pieces(*W.text_bytes(batch.column(0))):
-                out = []
-                for name, check in checks.items():
-                    fresh = Batch(data, offsets)
+                whole = Batch(data, offsets)
+                b = whole.only(np.flatnonzero(~base_failed(whole.n_words(), n_repeat_words(whole))))
+                sets, out = np.zeros(b.n, np.int64), []
+                for i, (name, check) in enumerate(checks.items()):
                     began = time.perf_counter()
-                    rejected = int(check(fresh).sum())
-                    out.append((name, time.perf_counter() - began, rejected, fresh.n))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["rule", "s", "rejected", "n"])
+                    sets |= check(b).astype(np.int64) << i
+                    out.append((name, -1, time.perf_counter() - began, b.n))
+                out += [(None, int(s), 0.0, int(n)) for s, n in zip(*np.unique(sets, return_counts=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["rule", "rejecting", "s", "n"])
 
     share = min(1.0, rows / max(1, df.count()))
-    found = df.select(text).sample(fraction=share, seed=seed).mapInArrow(run, "rule string, s double, rejected long, n long")
-    return [(r["rule"], r["s"] / r["n"], r["rejected"] / r["n"]) for r in found.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()]
+    found = df.select(text).sample(fraction=share, seed=seed).mapInArrow(run, "rule string, rejecting long, s double, n long")
+    found = found.groupBy("rule", "rejecting").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    return {r["rule"]: r["s"] for r in found if r["rule"] is not None}, {r["rejecting"]: r["n"] for r in found if r["rule"] is None}
+
 
+def cascade_order(costs: dict[str, float], sets: dict[int, int], names: list[str]) -> list[str]:
+    """Rules by rejections per second, each counted on the texts that the rules before it let through; rules that are left without any come last, the cheapest first."""
+    left, out, seen = list(range(len(names))), [], 0
+    while left:
+        def worth(i: int) -> tuple[float, float]:
+            cost = max(costs.get(names[i], 0.0), 1e-12)
+            return sum(n for s, n in sets.items() if s >> i & 1 and not s & seen) / cost, -cost
 
-def ordered(measured: list[tuple[str, float, float]], limits: Limits) -> list[str]:
-    """Rules by rejections per second, the most first; rules that the sample says nothing about come last, as they are listed."""
-    worth = {name: share / max(cost, 1e-12) for name, cost, share in measured}
-    return sorted(rules(limits), key=lambda name: -worth.get(name, -1.0))
+        best = max(left, key=worth)
+        left.remove(best)
+        out.append(names[best])
+        seen |= 1 << best
+    return out
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -189,16 +227,16 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits
     The sample (``sample_rows`` texts or so) settles the order of the rules only.
     """
     limits = limits or Limits()
-    order = ordered(measure(df, text, limits, sample_rows), limits)
+    order = cascade_order(*measure(df, text, limits, sample_rows), list(after_base(limits)))
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checks = rules(limits)
+        checks = after_base(limits)
         for batch in batches:
             for lo, hi, data, offsets in W.pieces(*W.text_bytes(batch.column(1))):
                 b = Batch(data, offsets)
                 n, repeat = b.n_words(), n_repeat_words(b)
-                failed = (n < 50) | (100 * repeat > 50 * n)
+                failed = base_failed(n, repeat)
                 figures = [n, word_chars(b), n_symbols(b), n_dup_lines(b), repeat]
                 kept = np.zeros(b.n, bool)
                 passed = np.flatnonzero(~failed)
