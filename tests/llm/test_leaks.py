@@ -75,6 +75,17 @@ def test_licenses_against_brute_force(spark):
     assert got[11]["labels"] == "cc-by-nc" and got[13]["labels"] == "" and got[14]["labels"] == ""
 
 
+def test_no_license_where_its_words_drift_apart(spark):
+    notice = licenses.NOTICES[0].text.split()
+    drifting = " ".join(w + " x" * (i % 2) for i, w in enumerate(notice))
+    texts = ["licensed under a under cc b cc by c by nc", drifting, " ".join(notice[:9] + ["so", "to", "say"] + notice[9:]), " ".join(notice) + " " + " ".join(notice)]
+    got = {r["doc_id"]: r for r in licenses.scan(with_texts(spark, texts)).collect()}
+    assert got[0]["labels"] == got[1]["labels"] == "" and got[0]["score"] < 0.8
+    assert got[2]["labels"] == got[3]["labels"] == "mit"
+    found = licenses.spans(with_texts(spark, texts[2:]), licenses.NOTICES).filter("verified").orderBy("doc_id", "first").collect()
+    assert [(r["doc_id"], r["first"], r["last"]) for r in found] == [(0, 0, len(notice) + 2), (1, 0, len(notice) - 1), (1, len(notice), 2 * len(notice) - 1)]
+
+
 def test_licenses_of_messy_rows(spark):
     assert licenses.scan(table(spark)).count() == len(rows())
     assert licenses.scan(table(spark, [])).count() == 0

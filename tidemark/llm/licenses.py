@@ -2,14 +2,15 @@
 
 All rolling word k-gram hashes of a document are joined to the positions of the same k-gram in the templates. A hit votes for its diagonal, word position
 in the document less position in the template; a license text that stands in the document shows as a diagonal with many votes. Neighbouring
-diagonals, which a left out or added word makes, are merged, and a merged span is verified by the share of the template that it covers.
+diagonals, which a left out or added word makes, are merged up to a stated drift, and a merged span is verified by the share of the template that it covers. As
+a span is no longer than its template and the drift, what it covers is dense.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import with_shingles
@@ -62,14 +63,21 @@ def spans(docs: DataFrame, templates: tuple[Template, ...], key: str = "doc_id",
     hits = grams.join(F.broadcast(positions(docs, templates, k)), "__gram", "left").filter(F.col("template").isNotNull() | (F.coalesce("__pos", F.lit(0)) == 0))
     votes = hits.groupBy("__row", "__key", "__n", "template", (F.col("__pos") - F.col("__place")).alias("__diagonal")).agg(
         F.collect_set("__place").alias("__places"), F.min("__pos").alias("__first"), F.max("__pos").alias("__last"))
-    in_order = Window.partitionBy("__row", "template").orderBy("__diagonal")
     exact = F.col("template").isin([i for i, t in enumerate(templates) if t.phrase])
-    apart = F.when(exact, F.lit(0)).otherwise(F.lit(slack))
-    new = F.when(F.col("__diagonal") - F.lag("__diagonal").over(in_order) <= apart, 0).otherwise(1)
-    merged = votes.withColumn("__new", new).withColumn("__group", F.sum("__new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A span takes in the diagonals up to ``slack`` beside its first one, so it never drifts further than that and is never longer than its template and ``slack`` words.
+    of_one = Window.partitionBy("__row", "template").orderBy("__diagonal")
+    near = of_one.rangeBetween(0, slack)
+
+    def merged(one: Column, many: Column) -> Column:
+        return F.when(exact, one).otherwise(many)
+
     size = F.element_at(F.array(*[F.lit(max(1, len(t.text.split()) - k + 1)) for t in templates]), F.col("template") + 1)
-    groups = merged.groupBy("__row", "__key", "__n", "template", "__group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("__places")))).alias("__covered"), F.min("__first").alias("first"), F.max("__last").alias("__last"))
-    groups = groups.withColumn("coverage", F.col("__covered") / size).withColumn("last", F.col("__last") + (k - 1))
+    grown = votes.withColumns({"__covered": merged(F.size("__places"), F.size(F.array_distinct(F.flatten(F.collect_list("__places").over(near))))),
+                               "first": merged(F.col("__first"), F.min("__first").over(near)), "last": merged(F.col("__last"), F.max("__last").over(near)) + (k - 1)})
+    # Of spans that begin on neighbouring diagonals the one that covers most stays, of equals the first.
+    before, after = (F.coalesce(F.max("__covered").over(of_one.rangeBetween(*w)), F.lit(0)) for w in ((-slack, -1), (1, slack)))
+    best = exact | F.col("template").isNull() | ((F.col("__covered") > before) & (F.col("__covered") >= after)) if slack else F.lit(True)
+    groups = grown.withColumn("__best", best).filter("__best").withColumn("coverage", F.col("__covered") / size)
     good = F.col("coverage") >= F.when(exact, F.lit(1.0)).otherwise(F.lit(least))
     return groups.select("__row", F.col("__key").alias(key), F.col("__n").alias("n_words"), "template", "first", "last", "coverage", F.coalesce(good, F.lit(False)).alias("verified"))
 
