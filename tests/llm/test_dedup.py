@@ -248,7 +248,7 @@ def test_lines_against_brute_force(spark):
 def test_lines_of_large_groups_are_found_without_a_bound(spark):
     block = "\n".join(prose(20, 220 + i) for i in range(3))
     texts = [block + f"\nown {i}" for i in range(12)]
-    got = linededup.dedup_lines(with_texts(spark, texts), rare=2).collect()
+    got = linededup.dedup_lines(with_texts(spark, texts)).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(0, 0), *((i, 3) for i in range(1, 12))]
 
 
@@ -264,7 +264,7 @@ def test_lines_whose_block_has_another_first_holder_than_its_lines(spark):
 def test_lines_of_frequent_blocks_beside_rarer_ones(spark):
     common, rarer = prose(30, 240), [prose(30, 241 + i) for i in range(4)]
     texts = [f"{common}\nown {i}" for i in range(6)] + ["\nbetween\n".join(rarer), "\nor else\n".join([common, *rarer])]
-    got = linededup.dedup_lines(with_texts(spark, texts), rare=2, own=3).orderBy("doc_id").collect()
+    got = linededup.dedup_lines(with_texts(spark, texts)).orderBy("doc_id").collect()
     assert [(r["n_removed"], r["partners"]) for r in got] == [(0, []), *[(1, [0])] * 5, (0, []), (5, [0, 6])]
 
 
@@ -280,6 +280,14 @@ def all_blocks(a, b, size, least):
     return sorted(out)
 
 
+def test_nothing_is_deleted_but_by_alignment(spark, monkeypatch):
+    block = prose(30, 400)
+    texts = [f"{block}\nthen\n{prose(25, 401)}", f"one\n{prose(25, 401)}\ntwo\n{block}\nthree\n{block}"]
+    assert linededup.common_blocks(*[t.split("\n") for t in texts], [len(x) for x in texts[1].split("\n")], 100) == [1, 3, 5]
+    monkeypatch.setattr(linededup, "aligned", lambda a, b: [])
+    assert linededup.common_blocks(*[t.split("\n") for t in texts], [len(x) for x in texts[1].split("\n")], 100) == []
+
+
 def test_common_blocks_in_any_order_and_number():
     size = {"P": 60, "Q": 60, "x": 10, "y": 10, "z": 10, "w": 10, "R": 120, "": 0}
     blocks = lambda a, b: sorted(linededup.common_blocks(list(a), list(b), [size[x] for x in b], 100))

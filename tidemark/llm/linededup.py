@@ -2,9 +2,8 @@
 
 Two documents overlap if they share a window: a shortest run of lines with as many bytes as a block needs. Every block that a document shares with any earlier one is
 made up of windows. Each window points from every document that holds it to the first one (smallest key), so there are at most as many pairs as shared windows, never all
-pairs, and windows that very many texts hold count like any other. Each pair is aligned by patience diff, what stands in another order or several times is looked up
-besides, and common blocks are deleted from the later document. A block
-that several documents share stays in the first of them.
+pairs, and windows that very many texts hold count like any other. Each pair is aligned by patience diff, by lines and then by windows until nothing common is left, and the aligned
+common blocks are deleted from the later document. A block that several documents share stays in the first of them.
 """
 
 from __future__ import annotations
@@ -56,30 +55,47 @@ def aligned(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
-def common_blocks(a: list, b: list, size: list[int], least: int) -> list[int]:
-    """Positions in ``b`` of common blocks (runs that are consecutive on both sides) of ``least`` bytes or more: the aligned ones, then all that is left, in any order and however often."""
-    pairs, out, run = aligned(a, b), [], []
-    for n, (p, q) in enumerate(pairs):
-        if run and (p, q) != (pairs[n - 1][0] + 1, pairs[n - 1][1] + 1):
-            out += run if sum(size[x] for x in run) >= least else []
-            run = []
-        run.append(q)
-    out += run if sum(size[x] for x in run) >= least else []
+def shared_windows(a: list, b: list, size: list[int], least: int, gone: np.ndarray) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """Windows of ``b`` that stand in ``a`` too and are not gone as a whole, each with its first place on both sides: their numbers in the order of ``a`` and of ``b``; first line and end in ``b`` by number."""
     number = {x: n for n, x in enumerate(dict.fromkeys(a), 1)}
-    gone, there = np.zeros(len(b), bool), np.array([number.get(x, 0) for x in b], np.uint64)
-    gone[out] = True
-    if (gone | (there == 0)).all():
-        return out
+    there = np.array([number.get(x, 0) for x in b], np.uint64)
     start, end = windows(np.array(size, np.int64), np.array([0, len(b)]), least)
     lost, cut = (np.concatenate([[0], np.cumsum(x)]) for x in (there == 0, gone))
     open_ = (lost[end] == lost[start]) & (cut[end] - cut[start] < end - start)
     start, end = start[open_], end[open_]
     one, two = W.mix(np.array([number[x] for x in a], np.uint64)), W.mix(there)
+    units = []
     for n in np.unique(end - start):
-        at = start[end - start == n]
-        first = np.arange(max(0, len(a) - n + 1))
-        for q in at[np.isin(W.range_hashes(two, at, at + n), W.range_hashes(one, first, first + n))]:
-            gone[q:q + n] = True
+        at, first = np.unique(start[end - start == n]), np.arange(max(0, len(a) - n + 1))
+        known, place = np.unique(W.range_hashes(one, first, first + n), return_index=True)
+        mine, q = np.unique(W.range_hashes(two, at, at + n), return_index=True)
+        found = np.isin(mine, known)
+        units += [(int(first[p]), int(at[i]), int(at[i] + n)) for p, i in zip(place[np.searchsorted(known, mine[found])], q[found], strict=True)]
+    in_a, in_b = (sorted(range(len(units)), key=lambda u, side=side: (units[u][side], units[u][2])) for side in (0, 1))
+    return in_a, in_b, np.array([u[1] for u in units], np.int64), np.array([u[2] for u in units], np.int64)
+
+
+def common_blocks(a: list, b: list, size: list[int], least: int) -> list[int]:
+    """Positions in ``b`` of common blocks (runs that are consecutive on both sides) of ``least`` bytes or more, in whatever order and however often they stand there.
+
+    Lines are aligned first. What that leaves, passages in another order or several times, is aligned again with windows as units, until no window of ``b`` that ``a`` has
+    is left; every such alignment takes one window at least.
+    """
+    gone, run, pairs = np.zeros(len(b), bool), [], aligned(a, b)
+    for n, (p, q) in enumerate(pairs):
+        if run and (p, q) != (pairs[n - 1][0] + 1, pairs[n - 1][1] + 1):
+            gone[run] = sum(size[x] for x in run) >= least
+            run = []
+        run.append(q)
+    if run:
+        gone[run] = sum(size[x] for x in run) >= least
+    while not gone.all():
+        in_a, in_b, start, end = shared_windows(a, b, size, least, gone)
+        chain = aligned(in_a, in_b)
+        if not chain:
+            break
+        for _, q in chain:
+            gone[start[in_b[q]]:end[in_b[q]]] = True
     return np.flatnonzero(gone).tolist()
 
 
@@ -164,14 +180,14 @@ def removals(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return cut.groupBy(F.col("__v").alias("__node")).agg(F.array_distinct(F.flatten(F.collect_list("__cut"))).alias("__cut"), F.sort_array(F.collect_set("__u")).alias("__from"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 1000, own: int = 3, least: int = 100) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 100) -> DataFrame:
     """One row per input row: key, cleaned ``text`` (under its own name), ``n_lines``, ``n_removed``, ``partners`` (keys of earlier documents with deleted blocks).
 
     Lines are parts between line feeds; a null text is an empty one, and an empty text has one empty line. A document whose text equals that of a smaller
     key loses everything. Rows that share key and text are one document; rows that share a key only are judged text by text. A document without
     key is left as it is, and nothing is deleted because of it. Lines without words are equal to each other and never make a pair on
-    their own: a block whose bytes reach ``least`` only with them is looked for where they have the same lengths. ``rare`` and ``own`` have
-    no effect: no window is too frequent to count. Columns other than key and text are not read.
+    their own: a block whose bytes reach ``least`` only with them is looked for where they have the same lengths. No window is too frequent to
+    count. Columns other than key and text are not read.
     """
     rows = stage(line_rows(docs, key, text))
     known = rows.filter(F.col("__key").isNotNull())
