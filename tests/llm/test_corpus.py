@@ -56,6 +56,21 @@ def check_stages(spark, docs, folder, labels, items, tmp_path):
     return out
 
 
+def test_mixing_and_sharding_keep_every_column(spark):
+    """Columns with the names that the operators use themselves keep their values and types."""
+    own = ["target", "taken", "copies", "source_size", "copy", "row", "key", "words", "size"]
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 9), "en", f"s{i % 3}", i, *[f"{c}{i}" for c in own], f"sh{i}") for i in range(200)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own) + ", shard string").repartition(3)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.schema == docs.schema
+    given = {r["doc_id"]: r for r in docs.collect()}
+    out = mixed.collect()
+    assert out and all(r == given[r["doc_id"]] for r in out)
+    dealt = corpus_pipeline.deal_shards(spark, docs, "")
+    assert dealt.columns == [*docs.columns[:-1], "shard_given", "row_number", "shard", "slot"]
+    assert all(r["shard_given"] == f"sh{r['doc_id']}" and all(r[c] == given[r["doc_id"]][c] for c in docs.columns[:-1]) for r in dealt.collect())
+
+
 @have
 def test_stages_on_driver_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
