@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+DAY = 24
+
 
 def time_slot(col, width: float) -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -203,30 +205,34 @@ def hourly_slices(points: DataFrame, series: DataFrame, keys: Sequence[str], fam
     last, total = F.max_by(value, order), F.sum(value)
     rows = series.filter(F.col(fam).isin(list(families)) & F.col(value).isNotNull()).withColumn("hour", F.floor(time).cast("int"))
     hourly = rows.groupBy(*keys, fam, "hour").agg(F.when(F.first(fam).isin(list(summed)), total).otherwise(last).alias("v"))
-    # Join on day slots: a point needs the hours of its look-back, at most back/24 + 2 slots of at most 24 rows per family.
-    day = 24
-    span = back // day + 1
-    first = F.floor((F.col(at).cast("int") - back) / day)
-    grid = points.withColumn("_slot", F.explode(F.sequence(first, first + span)))
-    slots = hourly.withColumn("_slot", F.floor(F.col("hour") / day))
-    hit = grid.join(slots, [*keys, "_slot"]).withColumn("_ago", F.col("hour") - (F.col(at).cast("int") - back))
-    hit = hit.filter((F.col("_ago") >= 0) & (F.col("_ago") < back))
-    maps = hit.groupBy(*points.columns).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws("|", F.col(fam), F.col("_ago").cast("string")), F.col("v")))).alias("_m"))
-    full = points.join(maps, points.columns, "left").withColumn("_m", F.coalesce("_m", F.map_from_arrays(
-        F.array().cast("array<string>"), F.array().cast("array<double>"))))
-
-    def line(f, pick):
-        def cell(i):
-            return pick(F.element_at("_m", F.concat_ws("|", F.lit(f), i.cast("string"))))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(back - 1)), cell)
-
-    def channel(pick):
-        return F.array(*[line(f, pick) for f in families])
-
-    return full.select(*points.columns, channel(lambda v: F.coalesce(v, F.lit(0.0)).cast("float")).alias("values"),
-                       channel(lambda v: F.when(v.isNotNull(), 1).otherwise(0)).alias("mask"))
+
+    # One row per entity and day: for each family an array of its 24 hours.
+    def hours(f):
+        return F.array(*[F.max(F.when((F.col(fam) == f) & (F.pmod("hour", F.lit(DAY)) == i), F.col("v"))) for i in range(DAY)])
+
+    days = hourly.groupBy(*keys, F.floor(F.col("hour") / DAY).alias("_slot")).agg(F.array(*[hours(f) for f in families]).alias("_hours"))
+    # Points and days go to one place by entity; a point sees the days of its look-back through a window, so nothing is joined.
+    begin = F.col(at).cast("int") - back
+    span = (back + DAY - 2) // DAY
+    line = points.withColumns({"_slot": F.floor(begin / DAY) + span, "_point": F.lit(True)}).unionByName(days, allowMissingColumns=True).repartition(*keys)
+    near = Window.partitionBy(*keys).orderBy("_slot").rangeBetween(-span, 0)
+    seen = line.withColumn("_near", F.collect_list(F.when(F.col("_hours").isNotNull(), F.struct("_slot", "_hours"))).over(near)).filter("_point")
+
+    def day(back_days):
+        return F.get(F.filter("_near", lambda d: d["_slot"] == F.col("_slot") - back_days), F.lit(0))["_hours"]
+
+    dense = seen.withColumns({f"_d{k}": day(span - k) for k in range(span + 1)})
+    empty = F.array_repeat(F.lit(None).cast(hourly.schema["v"].dataType), DAY)
+
+    def channel(i):
+        return F.slice(F.concat(*[F.coalesce(F.get(f"_d{k}", F.lit(i)), empty) for k in range(span + 1)]), F.pmod(begin, F.lit(DAY)) + 1, back)
+
+    cut = dense.select(*points.columns, F.array(*[channel(i) for i in range(len(families))]).alias("_cells"))
+
+    def each(pick):
+        return F.transform("_cells", lambda c: F.transform(c, pick))
+
+    return cut.select(*points.columns, each(lambda v: F.coalesce(v, F.lit(0.0)).cast("float")).alias("values"), each(lambda v: F.when(v.isNotNull(), 1).otherwise(0)).alias("mask"))
 
 
 def episodes(df: DataFrame, keys: Sequence[str], order: str, flag: Column, by: Sequence[str] = ()) -> DataFrame:
