@@ -2,28 +2,37 @@
 
 An entity's multiplicity in replicate ``b`` is a Poisson(1) count read from a hash of (seed, entity, b). Draws need
 no table, no join and no global index; the same entity gets the same count wherever its rows are, which is what
-makes comparisons on the same draws paired. A fixed-size resample conditions these counts on their sum; it is
-``fixed_size_draws`` with ``resample_with``.
+makes comparisons on the same draws paired. A resample of fixed size tops such counts up to the number of units
+(``exact_draws``); as a table of draws it is ``fixed_size_draws`` with ``resample_with``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tidemark.functions.numeric import POISSON_CUTS, draw_hash, hash32, poisson_count
-from tidemark.operators.discrimination import auroc_from_pieces, discrimination, known_pairs
+from tidemark.functions.numeric import POISSON_CUTS, draw_hash, hash32, poisson_count, safe_divide
+from tidemark.operators.discrimination import auroc_from_pieces, known_pairs
 from tidemark.operators.ordered import PIECE, add_piece, join_entities, join_on, split_points
 from tidemark.operators.sampling import unit_positions
 from tidemark.session import shuffle_width, stage
 
 STRIP = 64
-ROWS_PER_BLOCK = 100_000
+#: Rows of a block. Blocks cost much arithmetic and few bytes, so they are small, and they are dealt to a stated number of tasks.
+ROWS_PER_BLOCK = 25_000
+
+
+def single() -> Column:
+    """Pieces that hold one score only."""
+    return F.col(PIECE) % 2 == 0
 
 
 def draw_base(unit: Sequence[str], seed: int) -> Column:
@@ -74,8 +83,8 @@ def resample_with(df: DataFrame, draws: DataFrame, unit: Sequence[str], sums: Ma
 M3_K1, M3_K2, M3_H, M3_F1, M3_F2, M3_SEED = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35, 42
 
 
-def _poisson_matrix(base: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Multiplicities (rows x replicates) from the same hash as the column expression."""
+def _poisson_matrix(base: np.ndarray, streams: np.ndarray, cuts: Sequence[int] = POISSON_CUTS) -> np.ndarray:
+    """Multiplicities (rows x streams) from the same hash as the column expression."""
     u = np.uint64
 
     def cut(x):
@@ -88,80 +97,258 @@ def _poisson_matrix(base: np.ndarray, first: int, last: int) -> np.ndarray:
         k = cut(turn(cut(part * u(M3_K1)), 15) * u(M3_K2))
         return cut(turn(h ^ k, 13) * u(5) + u(M3_H))
 
-    h = absorb(absorb(u(M3_SEED), base.astype(u))[:, None], np.arange(first, last, dtype=u)[None, :]) ^ u(8)
+    h = absorb(absorb(u(M3_SEED), base.astype(u))[:, None], streams.astype(u)[None, :]) ^ u(8)
     h = cut((h ^ (h >> u(16))) * u(M3_F1))
     h = cut((h ^ (h >> u(13))) * u(M3_F2))
     h ^= h >> u(16)
-    return np.searchsorted(np.asarray(POISSON_CUTS, dtype=u), h, side="right").astype(np.float64)
+    return np.searchsorted(np.asarray(cuts, dtype=u), h, side="right").astype(np.float64)
 
 
-def _block_sums(pdf: pd.DataFrame, replicates: int, two_level: bool) -> pd.DataFrame:
-    """Positives, negatives and inner area of one score block, for every replicate."""
-    pdf = pdf.sort_values("_p", kind="stable")
-    score = pdf["_p"].to_numpy()
-    is_pos = (pdf["_y"].to_numpy() == 1).astype(np.float64)[:, None]
-    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-    base = pdf["_base"].to_numpy()
-    outer = pdf["_outer"].to_numpy() if two_level else None
-    pos, neg, area = np.empty(replicates), np.empty(replicates), np.empty(replicates)
+class ExactDraws(NamedTuple):
+    """Draws of exactly as many units as there are, with replacement: Poisson counts with these cuts and streams (one per replicate), and the few draws that bring each
+    replicate to its size, as ``_extra`` (replicate numbers, one entry per draw) of the units that get them."""
+
+    cuts: tuple[int, ...]
+    streams: np.ndarray
+    extras: DataFrame
+    unit: tuple[str, ...]
+
+
+def poisson_cuts(rate: float) -> tuple[int, ...]:
+    """floor(2^32 * P(Poisson(rate) <= k)) for k = 0, 1, ... as long as it grows."""
+    term, total, out = math.exp(-rate), 0.0, []
+    for k in range(64):
+        total += term
+        cut = int(total * 4294967296.0)
+        if cut >= 4294967296 or out and cut == out[-1]:
+            break
+        out.append(cut)
+        term *= rate / (k + 1)
+    return tuple(out)
+
+
+def exact_draws(df: DataFrame, unit: Sequence[str], replicates: int, seed: int = 42, rate: float | None = None) -> ExactDraws:
+    """Multinomial counts of n draws over n units for every replicate, without a table of draws.
+
+    Independent Poisson counts, given their sum T, are T draws; n - T further draws of evenly chosen units make them n draws, whatever decides on T. The rate is below 1 by eight standard
+    deviations of the sum (or as given), so T stays below n; a replicate where it does not takes another stream of hashes. Sums of all replicates come from one scan of the units, in which tasks
+    give back one number per replicate, and the further draws are of the order of replicates x sqrt(n) rows.
+    """
+    unit = tuple(unit)
+    placed = stage(unit_positions(df, unit, seed).withColumn("_base", draw_base(unit, seed)))
+    first = placed.select("_count").first()
+    n = first[0] if first else 0
+    rate = max(0.0, 1.0 - 8.0 / math.sqrt(n)) if rate is None and n else (rate or 0.0)
+    cuts, streams = poisson_cuts(rate), np.arange(1, replicates + 1)
+
+    def totals(which: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(which), np.int64)
+            for batch in batches:
+                base = batch["_base"].to_numpy()
+                for at in range(0, len(base), ROWS_PER_BLOCK):
+                    for lo in range(0, len(which), STRIP):
+                        total[lo:lo + STRIP] += _poisson_matrix(base[at:at + ROWS_PER_BLOCK], which[lo:lo + STRIP], cuts).sum(0).astype(np.int64)
+            yield pd.DataFrame({"at": np.arange(len(which)), "total": total})
+
+        out = np.zeros(len(which), np.int64)
+        for r in placed.select("_base").mapInPandas(run, "at int, total long").groupBy("at").agg(F.sum("total").alias("total")).collect():
+            out[r["at"]] = r["total"]
+        return out
+
+    drawn = totals(streams) if n else np.zeros(replicates, np.int64)
+    while (drawn > n).any():
+        again = np.flatnonzero(drawn > n)
+        streams[again] += replicates
+        drawn[again] = totals(streams[again])
+    missing = df.sparkSession.createDataFrame([(i + 1, int(s), int(n - t)) for i, (s, t) in enumerate(zip(streams, drawn)) if t < n], "replicate int, _stream long, _missing long")
+    slots = missing.select("replicate", "_stream", F.explode(F.sequence(F.lit(1).cast("bigint"), "_missing")).alias("_slot"))
+    at = F.floor(draw_hash(F.col("_slot"), F.col("_stream")) / F.lit(4294967296.0) * F.lit(n)).cast("bigint")
+    extras = slots.withColumn("_position", at).groupBy("_position").agg(F.sort_array(F.collect_list("replicate")).alias("_extra"))
+    return ExactDraws(cuts, streams, placed.join(extras, "_position").select(*unit, "_extra"), unit)
+
+
+def multiplicities(pdf: pd.DataFrame, replicates: int, draws: tuple[tuple[int, ...], np.ndarray] | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The multiplicities of a block's rows, a strip of replicates after the other: first, last (exclusive, from 0), rows x replicates. ``draws``: cuts and streams of exact draws."""
+    base, outer = pdf["_base"].to_numpy(), pdf["_outer"].to_numpy() if "_outer" in pdf else None
+    cuts, streams = draws or (POISSON_CUTS, np.arange(1, replicates + 1))
+    extra = [x if x is not None else () for x in pdf["_extra"]] if "_extra" in pdf else None
+    if extra is not None:
+        row = np.repeat(np.arange(len(extra)), [len(x) for x in extra])
+        number = np.concatenate([np.asarray(x, np.int64) for x in extra if len(x)] or [np.zeros(0, np.int64)]) - 1
     for lo in range(0, replicates, STRIP):
         hi = min(replicates, lo + STRIP)
-        w = _poisson_matrix(base, lo + 1, hi + 1)
-        if two_level:
-            w *= _poisson_matrix(outer, lo + 1, hi + 1)
-        p = np.add.reduceat(w * is_pos, starts, axis=0)
-        n = np.add.reduceat(w * (1.0 - is_pos), starts, axis=0)
-        below = np.cumsum(n, axis=0) - n
-        pos[lo:hi], neg[lo:hi], area[lo:hi] = p.sum(0), n.sum(0), (p * (below + n / 2.0)).sum(0)
-    return pd.DataFrame({"replicate": np.arange(1, replicates + 1), "pos": pos, "neg": neg, "area": area})
+        w = _poisson_matrix(base, streams[lo:hi], cuts)
+        if outer is not None:
+            w *= _poisson_matrix(outer, np.arange(lo + 1, hi + 1))
+        if extra is not None:
+            here = (number >= lo) & (number < hi)
+            np.add.at(w, (row[here], number[here] - lo), 1.0)
+        yield lo, hi, w
 
 
-def bootstrap_auroc(df: DataFrame, unit: Sequence[str] = ("entity",), y: str = "y", p: str = "p", replicates: int = 500,
-                    by: Sequence[str] = (), seed: int = 42, outer: str | None = None,
-                    points: Sequence[float] | None = None) -> DataFrame:
-    """AUROC of every replicate and group; replicates with one class give NULL.
+def score_strips(pdf: pd.DataFrame, replicates: int) -> tuple[np.ndarray, Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Distinct scores of a block, rising, and for each strip of replicates the weight and the positives of every score."""
+    pdf = pdf.sort_values("_p", kind="stable")
+    score, is_pos = pdf["_p"].to_numpy(), (pdf["_y"].to_numpy() == 1).astype(np.float64)[:, None]
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
 
-    Rows are shuffled once, into blocks of neighbouring scores; each block computes all replicates with array
-    arithmetic and returns one row per replicate, so the shuffle does not grow with the number of replicates.
-    A score shared by very many rows is its own piece, and its rows are spread over several blocks: inside one
-    score the area is ``pos * neg / 2``, which needs only the sums.
+    def strips():
+        for lo, hi, w in multiplicities(pdf, replicates):
+            yield lo, hi, np.add.reduceat(w, starts, axis=0), np.add.reduceat(w * is_pos, starts, axis=0)
+
+    return score[starts], strips()
+
+
+def score_blocks(df: DataFrame, unit: Sequence[str], y: str = "y", p: str = "p", by: Sequence[str] = (), seed: int = 42, outer: str | None = None,
+                 points: Sequence[float] | None = None, keep: Sequence[str] = (), draws: ExactDraws | None = None) -> DataFrame:
+    """Rows in blocks of neighbouring scores: ``by``, ``keep``, ``_p``, ``_y``, the hash its draws come from (and further exact draws), the piece of the score axis and a chunk of it.
+
+    A piece holds about ``ROWS_PER_BLOCK`` rows. A score with more rows than that is a piece of its own, which is cut into chunks by its own number of
+    rows: inside one score, only sums are needed, so tied scores make more blocks and never a larger one.
     """
-    by = list(by)
-    cols = [*by, F.col(p).cast("double").alias("_p"), F.col(y).cast("int").alias("_y"), draw_base(unit, seed).alias("_base")]
+    cols = [*by, *keep, F.col(p).cast("double").alias("_p"), F.col(y).cast("int").alias("_y"), draw_base(unit, seed).alias("_base")]
     if outer:
         cols.append(draw_base([outer], seed + 1).alias("_outer"))
-    single = F.col(PIECE) % 2 == 0
-    width = shuffle_width(df.sparkSession)
-    rows = known_pairs(df, y, p).select(*cols)
+    known = known_pairs(df, y, p)
+    if draws is not None:
+        known = known.join(draws.extras, list(draws.unit), "left")
+        cols.append("_extra")
+    rows = known.select(*cols)
     if points is None:
         rows = stage(rows)
         points = split_points(rows, "_p", ROWS_PER_BLOCK)
-    blocks = (add_piece(rows, "_p", points)
-              .withColumn("_salt", F.when(single, F.pmod(F.col("_base"), F.lit(width))).otherwise(F.lit(0))))
-    keys = [*by, PIECE, "_salt"]
-    schema = T.StructType([blocks.schema[k] for k in keys] + [
-        T.StructField("replicate", T.LongType()), T.StructField("pos", T.DoubleType()),
-        T.StructField("neg", T.DoubleType()), T.StructField("area", T.DoubleType())])
-    two_level = outer is not None
-
-    def per_block(key, pdf):
-        out = _block_sums(pdf, replicates, two_level)
+    placed = add_piece(rows, "_p", points)
+    sizes = placed.filter(single()).groupBy(PIECE).agg(F.ceil(F.count("*") / F.lit(ROWS_PER_BLOCK)).alias("_chunks"))
+    # The partition is part of the chunk, since one unit may hold most rows of a score.
+    chunk = F.pmod(F.col("_base") + F.spark_partition_id(), F.col("_chunks"))
+    return join_on(placed, sizes, [PIECE], "left").withColumn("_chunk", F.coalesce(chunk, F.lit(0)).cast("long")).drop("_chunks")
+
+
+def _block_sums(pdf: pd.DataFrame, replicates: int, stratum: str | None = None, strata: Sequence = (None,), draws=None) -> pd.DataFrame:
+    """Positives, negatives and inner area of one score block, for every replicate and every stratum of the positives; negatives are not divided."""
+    pdf = pdf.sort_values("_p", kind="stable")
+    score = pdf["_p"].to_numpy()
+    is_pos = pdf["_y"].to_numpy() == 1
+    masks = [(is_pos if stratum is None else is_pos & (pdf[stratum].to_numpy() == s)).astype(np.float64)[:, None] for s in strata]
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    out = np.empty((len(strata), 3, replicates))
+    for lo, hi, w in multiplicities(pdf, replicates, draws):
+        n = np.add.reduceat(w * (1.0 - is_pos[:, None]), starts, axis=0)
+        below = np.cumsum(n, axis=0) - n / 2.0
+        for i, mask in enumerate(masks):
+            p = np.add.reduceat(w * mask, starts, axis=0)
+            out[i, 0, lo:hi], out[i, 1, lo:hi], out[i, 2, lo:hi] = p.sum(0), n.sum(0), (p * below).sum(0)
+    found = {"replicate": np.tile(np.arange(1, replicates + 1), len(strata)), "pos": out[:, 0].ravel(), "neg": out[:, 1].ravel(), "area": out[:, 2].ravel()}
+    if stratum is not None:
+        found[stratum] = np.repeat(np.array(strata), replicates)
+    return pd.DataFrame(found)
+
+
+def per_block(blocks: DataFrame, by: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], columns: Mapping[str, T.DataType]) -> DataFrame:
+    """Runs an array function on every block; what it returns comes with the block's ``by`` and piece. What is shuffled are rows, once, and never replicates of rows."""
+    keys = [*by, PIECE]
+    schema = T.StructType([*[blocks.schema[k] for k in keys], *[T.StructField(n, t) for n, t in columns.items()]])
+
+    def run(key, pdf):
+        out = fn(pdf)
         for name, value in zip(keys, key):
             out[name] = value
-        return out[[*keys, "replicate", "pos", "neg", "area"]]
+        return out[schema.names]
+
+    dealt = blocks.repartition(shuffle_width(blocks.sparkSession), *keys, "_chunk")
+    return dealt.groupBy(*keys, "_chunk").applyInPandas(run, schema)
+
 
-    sums = blocks.groupBy(*keys).applyInPandas(per_block, schema)
-    pieces = sums.groupBy(*by, "replicate", PIECE).agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
-        F.when(single, F.sum("pos") * F.sum("neg") / 2.0).otherwise(F.sum("area")).alias("area"))
+def _pieces(blocks: DataFrame, replicates: int, by: Sequence[str], stratum: str | None = None, strata: Sequence = (None,), draws: ExactDraws | None = None) -> DataFrame:
+    """Sums of every (``by``, replicate, stratum, piece)."""
+    columns = {"replicate": T.LongType(), "pos": T.DoubleType(), "neg": T.DoubleType(), "area": T.DoubleType()}
+    if stratum is not None:
+        columns[stratum] = blocks.schema[stratum].dataType
+    drawn = draws and (draws.cuts, draws.streams)
+    sums = per_block(blocks, by, lambda pdf: _block_sums(pdf, replicates, stratum, strata, drawn), columns)
+    return sums.groupBy(*by, "replicate", *([stratum] if stratum else []), PIECE).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.when(single(), F.sum("pos") * F.sum("neg") / 2.0).otherwise(F.sum("area")).alias("area"))
+
+
+def bootstrap_auroc(df: DataFrame, unit: Sequence[str] = ("entity",), y: str = "y", p: str = "p", replicates: int = 500,
+                    by: Sequence[str] = (), seed: int = 42, outer: str | None = None,
+                    points: Sequence[float] | None = None, draws: ExactDraws | None = None) -> DataFrame:
+    """AUROC of every replicate and group; replicates with one class give NULL. With ``draws`` (of the same unit and seed) every replicate has exactly as many units as there are.
+
+    Rows are shuffled once, into blocks of neighbouring scores; each block computes all replicates with array
+    arithmetic and returns one row per replicate, so the shuffle does not grow with the number of replicates.
+    Inside one score the area is ``pos * neg / 2``, which needs only the sums.
+    """
+    by = list(by)
+    pieces = _pieces(score_blocks(df, unit, y, p, by, seed, outer, points, draws=draws), replicates, by, draws=draws)
     return auroc_from_pieces(pieces, [*by, "replicate"]).select(*by, "replicate", "n_pos", "n_neg", "auroc")
 
 
+def _precision_steps(rows: pd.DataFrame, above: pd.DataFrame, replicates: int) -> pd.DataFrame:
+    """Sum over the scores of one piece of (positives at the score) x (precision from the score up), given what stands in the pieces above."""
+    if rows.empty:
+        return pd.DataFrame({"replicate": np.zeros(0, np.int64), "step": np.zeros(0)})
+    rows = rows.sort_values("_p", kind="stable")
+    score, is_pos = rows["_p"].to_numpy(), (rows["_y"].to_numpy() == 1).astype(np.float64)[:, None]
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    carried = np.zeros((2, replicates))
+    at = above["replicate"].to_numpy() - 1
+    carried[0, at], carried[1, at] = above["tp"], above["fp"]
+    step = np.empty(replicates)
+    for lo, hi, w in multiplicities(rows, replicates):
+        p, n = np.add.reduceat(w * is_pos, starts, axis=0), np.add.reduceat(w, starts, axis=0)
+        tp, all_ = (np.cumsum(x[::-1], axis=0)[::-1] for x in (p, n))
+        tp = tp + carried[0, lo:hi]
+        all_ = all_ + carried[:, lo:hi].sum(0)
+        step[lo:hi] = (p * tp / np.maximum(all_, 1.0)).sum(0)
+    return pd.DataFrame({"replicate": np.arange(1, replicates + 1), "step": step})
+
+
 def bootstrap_discrimination(df: DataFrame, unit: Sequence[str] = ("entity",), y: str = "y", p: str = "p", replicates: int = 500, by: Sequence[str] = (),
-                             seed: int = 42) -> DataFrame:
-    """AUROC, average precision and lift of every replicate, from one resampled table of score counts."""
-    draws = resample(known_pairs(df, y, p), unit, {"_w": F.lit(1)}, replicates, [*by, y, p], seed)
-    return discrimination(draws, y, p, ["replicate", *by], weight="_w")
+                             seed: int = 42, outer: str | None = None, points: Sequence[float] | None = None) -> DataFrame:
+    """AUROC, average precision, prevalence and lift of every replicate and group; ties are taken together.
+
+    Two passes over score blocks. The first gives the positives and negatives of every (block, replicate). Their running totals from the top
+    enter the second, which sums the steps of precision inside each block. A score that is a piece of its own needs its totals only. What is shuffled are
+    the rows, once for each pass, and (blocks x replicates) sums.
+    """
+    by = list(by)
+    blocks = stage(score_blocks(df, unit, y, p, by, seed, outer, points))
+    pieces = stage(_pieces(blocks, replicates, by))
+    higher = Window.partitionBy(*by, "replicate").orderBy(F.desc(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.select(*by, "replicate", PIECE, "pos", "neg", *[F.coalesce(F.sum(c).over(higher), F.lit(0.0)).alias(n) for c, n in (("pos", "tp"), ("neg", "fp"))])
+    tp = F.col("tp") + F.col("pos")
+    tied = placed.filter(single()).select(*by, "replicate", F.coalesce(safe_divide(F.col("pos") * tp, tp + F.col("fp") + F.col("neg")), F.lit(0.0)).alias("step"))
+    keys = [*by, PIECE]
+    schema = T.StructType([*[blocks.schema[k] for k in by], T.StructField("replicate", T.LongType()), T.StructField("step", T.DoubleType())])
+
+    def run(key, rows, above):
+        out = _precision_steps(rows, above, replicates)
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out[schema.names]
+
+    wide = blocks.filter(~single()).groupBy(*keys).cogroup(placed.filter(~single()).select(*keys, "replicate", "tp", "fp").groupBy(*keys)).applyInPandas(run, schema)
+    steps = tied.unionByName(wide).groupBy(*by, "replicate").agg(F.sum("step").alias("_step"))
+    out = join_on(auroc_from_pieces(pieces, [*by, "replicate"]), steps, [*by, "replicate"])
+    prevalence = safe_divide(F.col("n_pos"), F.col("n_pos") + F.col("n_neg"))
+    auprc = safe_divide(F.col("_step"), F.col("n_pos"))
+    return out.select("replicate", *by, F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), "auroc", auprc.alias("auprc"), prevalence.alias("prevalence"),
+                      safe_divide(auprc, prevalence).alias("lift"))
+
+
+def bootstrap_areas(df: DataFrame, unit: Sequence[str], stratum: str, strata: Sequence, y: str = "y", p: str = "p", replicates: int = 500, by: Sequence[str] = (),
+                    seed: int = 42, points: Sequence[float] | None = None) -> DataFrame:
+    """``n_pos`` and ``area`` over all negatives of every (``by``, replicate, stratum of the positives), with ``n_neg``.
+
+    The area counts (positive, lower negative) pairs, ties by half. It is linear in the weights of the strata, so the AUROC under any weighting of them
+    follows from these few rows, without weighted score tables.
+    """
+    keys = [*by, "replicate", stratum]
+    pieces = _pieces(score_blocks(df, unit, y, p, by, seed, None, points, [stratum]), replicates, list(by), stratum, strata)
+    out = auroc_from_pieces(pieces, keys)
+    return out.select(*keys, "n_pos", "n_neg", F.coalesce(F.col("auroc") * F.col("n_pos") * F.col("n_neg"), F.lit(0.0)).alias("area"))
 
 
 def interval(replicates: DataFrame, value: str = "auroc", by: Sequence[str] = (), lo: float = 0.025, hi: float = 0.975) -> DataFrame:

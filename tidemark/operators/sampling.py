@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import hash32
 from tidemark.operators.ordered import cumulate, join_entities, join_on, quantiles
@@ -36,8 +37,6 @@ def unit_positions(df: DataFrame, units: Sequence[str], seed: int = 42) -> DataF
     runs = cumulate(keyed, "_h", {"_k": F.lit(1)})
     # Collisions are rare and small; inside one hash value the order is that of a second hash.
     joined = join_entities(keyed.withColumn("_g", hash32(*units, seed=seed + TIE)), runs, ["_h"])
-    from pyspark.sql.window import Window
-
     tie = F.row_number().over(Window.partitionBy("_h").orderBy("_g", *units)) - 1
     return joined.select(*units, (F.col("_k_before") + tie).alias("_position"), F.col("_k_total").alias("_count"))
 
@@ -53,8 +52,6 @@ def group_folds(df: DataFrame, unit: str, k: int = 5, seed: int = 42, name: str
     keyed = sizes.withColumn("_o", F.col("_rows") + F.col("_h") / F.lit(4294967296.0))
     runs = cumulate(keyed, "_o", {"_k": F.lit(1)}, descending=True)
     joined = join_entities(keyed, runs, ["_o"])
-    from pyspark.sql.window import Window
-
     position = F.col("_k_before") + F.row_number().over(Window.partitionBy("_o").orderBy(unit)) - 1
     placed = joined.withColumn("_p", position)
     lap, at = F.floor(F.col("_p") / k), F.col("_p") % k
@@ -93,6 +90,29 @@ def half_splits(df: DataFrame, unit: Sequence[str], repeats: int, seed: int = 42
     return spread.withColumn("half", F.when(hash32(*unit, "repeat", seed=seed) < 2147483648, 0).otherwise(1))
 
 
+def exact_halves(df: DataFrame, unit: Sequence[str], repeats: int, seed: int = 42) -> DataFrame:
+    """Repeated exact halves by unit: rows per ``repeat`` with ``half`` 0 for the first n // 2 of n units in the order of a hash per (unit, repeat), else 1.
+
+    The border of every repeat is found without a sort: counts by the top bits of the hash say in which bucket it lies, and only the units of that bucket (one of 65,536) are
+    ranked. One border per repeat is all that meets the rows then.
+    """
+    unit = list(unit)
+    number = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
+    order = [hash32(*unit, "repeat", seed=seed).alias("_h"), hash32(*unit, "repeat", seed=seed + TIE).alias("_g")]
+    units = df.select(*unit).distinct().select(*unit, number).select("*", *order)
+    top = F.shiftright("_h", 16)
+    counts = units.groupBy("repeat", top.alias("_top")).agg(F.count("*").alias("_n"))
+    by_repeat = Window.partitionBy("repeat")
+    before = F.coalesce(F.sum("_n").over(by_repeat.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = counts.select("repeat", "_top", before.alias("_before"), "_n", F.floor(F.sum("_n").over(by_repeat) / 2).alias("_half"))
+    wanted = wanted.filter((F.col("_before") < F.col("_half")) & (F.col("_half") <= F.col("_before") + F.col("_n")))
+    near = units.withColumn("_top", top).join(F.broadcast(wanted), ["repeat", "_top"])  # one row per repeat
+    place = F.row_number().over(by_repeat.orderBy("_h", "_g", *unit))
+    border = near.withColumn("_place", place + F.col("_before")).filter(F.col("_place") == F.col("_half")).select("repeat", F.struct("_h", "_g", *unit).alias("_border"))
+    spread = df.select("*", number).select("*", *order).join(F.broadcast(border), "repeat", "left")
+    return spread.withColumn("half", F.when(F.struct("_h", "_g", *unit) <= F.col("_border"), 0).otherwise(1)).drop("_h", "_g", "_border")
+
+
 def sample_fractions(df: DataFrame, unit: Sequence[str], fractions: Sequence[float], seed: int = 42) -> DataFrame:
     """Nested training fractions by unit for a learning curve: a unit is in every fraction above its hash."""
     u = hash32(*unit, seed=seed) / F.lit(4294967296.0)

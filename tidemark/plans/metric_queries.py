@@ -208,6 +208,36 @@ def refit_slopes(spark, sf):
     return rounded(C.fit_layer(refit, p="p_new", by=["site"]).select("site", F.col("b").alias("slope")), 2)
 
 
+_TR = "1 / (1 + exp(-(-0.3::DOUBLE + 0.8::DOUBLE * ln(p / (1 - p)))))"
+_LEFT_OUT = f"""ly AS MATERIALIZED ({newton_sql('sited', 'site', 'SELECT site, a, b FROM {params}', counts=_SITE_OUT)}), big AS (SELECT site, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos FROM sited GROUP BY 1 HAVING sum(y) >= 20),
+    both_ AS MATERIALIZED (SELECT site || '|transported' AS sv, y, {_TR} AS p FROM sited JOIN big USING (site) UNION ALL SELECT site || '|local' AS sv, y, 1 / (1 + exp(-(a + b * ln(p / (1 - p))))) AS p FROM sited JOIN big USING (site) JOIN ly USING (site)),
+    sl AS MATERIALIZED ({newton_sql('both_', 'sv', 'SELECT sv, b AS slope FROM {params}')}), ed AS MATERIALIZED (SELECT sv, list_sort(list_distinct(quantile_cont(p, [{', '.join(repr(i / 10) for i in range(11))}]))) AS edges FROM both_ GROUP BY 1),
+    er AS MATERIALIZED (SELECT sv, avg(abs(ob - pr)) AS ece FROM (SELECT sv, bin, avg(p) AS pr, avg(y) AS ob FROM (SELECT sv, y, p, CAST({BIN.format('p')} AS INT) AS bin FROM both_ JOIN ed USING (sv)) GROUP BY 1, 2) GROUP BY 1),
+    lo AS MATERIALIZED (SELECT big.site, big.n, big.n_pos, s1.slope AS slope_transported, s2.slope AS slope_local, e1.ece AS ece_transported, e2.ece AS ece_local, ly.b FROM big JOIN ly USING (site)
+      JOIN sl s1 ON s1.sv = big.site || '|transported' JOIN sl s2 ON s2.sv = big.site || '|local' JOIN er e1 ON e1.sv = big.site || '|transported' JOIN er e2 ON e2.sv = big.site || '|local')"""
+
+
+def left_out(spark, sf):
+    return C.leave_out_evaluation(sites(spark, sf).withColumn("p_tr", N.recalibrate("p", *LAYER)), "site")
+
+
+@query("L19_leave_out_evaluation", with_ctes(f"WITH {_LEFT_OUT} SELECT site, n, n_pos, {r('slope_transported', 3)} AS slope_transported, {r('slope_local', 3)} AS slope_local, {r('ece_transported', 5)} AS ece_transported, {r('ece_local', 5)} AS ece_local, {r('b', 3)} AS b FROM lo", "sited"))
+def leave_out_evaluation(spark, sf):
+    """Each site with 20 positives or more, before and after the layer of all other sites."""
+    out = left_out(spark, sf)
+    return out.select("site", "n", "n_pos", *[F.round(c, d).alias(c) for c, d in (("slope_transported", 3), ("slope_local", 3), ("ece_transported", 5), ("ece_local", 5), ("b", 3))])
+
+
+_SUMMED = ", ".join(f"{r(f'quantile_cont(slope_{v}, 0.25)', 3)} AS slope_{v}_p25, {r(f'quantile_cont(slope_{v}, 0.5)', 3)} AS slope_{v}_median, {r(f'quantile_cont(slope_{v}, 0.75)', 3)} AS slope_{v}_p75, count(*) FILTER (slope_{v} BETWEEN 0.8 AND 1.25) AS inside_{v}, {r(f'quantile_cont(ece_{v}, 0.5)', 5)} AS ece_{v}_median"
+                    for v in ("transported", "local"))
+
+
+@query("L19_leave_out_summary", with_ctes(f"WITH {_LEFT_OUT} SELECT count(*) AS n_sites, {_SUMMED} FROM lo", "sited"))
+def leave_out_summary(spark, sf):
+    out = C.leave_out_summary(left_out(spark, sf))
+    return out.select(*[F.round(c, 5 if c.startswith("ece") else 3).alias(c) if c.startswith(("slope", "ece")) else F.col(c) for c in out.columns])
+
+
 @query("L20_intercept_update", with_ctes(newton_sql("(SELECT *, 1 AS g FROM pred)", "g", f"SELECT entity, t_hr, {r('1 / (1 + exp(-(a + ln(p / (1 - p)))))', 5)} AS p_new FROM pred, {{params}}"), "pred"))
 def intercept_update(spark, sf):
     pr = predictions(spark, sf)

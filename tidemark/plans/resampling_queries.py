@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import bootstrap as B
+from tidemark.operators import calibration as C
 from tidemark.operators import diagnostics as G
 from tidemark.operators import ordered as O
 from tidemark.operators import resampled as P
@@ -12,7 +13,7 @@ from tidemark.operators import sampling as L
 from tidemark.operators import summary as A
 from tidemark.plans.cleaning_queries import P_REC
 from tidemark.plans.fixtures import CTE, LAYER, endpoints, predictions, r, rounded, table, with_ctes
-from tidemark.plans.metric_queries import BIN, _CLASSES, _GROUPED, ap_sql, masks, newton_sql
+from tidemark.plans.metric_queries import BIN, _CLASSES, _GROUPED, masks, newton_sql
 from tidemark.plans.registry import query
 from tidemark.plans.timeline_queries import mixed_stages
 from tidemark.session import stage
@@ -66,9 +67,24 @@ def additive(spark, sf):
     return rounded(reps.select("replicate", "n", (F.col("sq") / F.col("n")).alias("brier")))
 
 
-@query("E12_average_precision", with_ctes(f"WITH k AS MATERIALIZED ({draws_sql('entity', 'pred', replicates=12)}), x AS MATERIALIZED (SELECT replicate, y, p FROM (SELECT *, unnest(range(w)) AS copy FROM pred JOIN k USING (entity))) " + ap_sql("x", "replicate"), "pred"))
+def discrimination_sql(source: str, by: str) -> str:
+    """AUROC, average precision and lift per group of rows (``by``, y, p, w), from one row per score."""
+    return (f"SELECT {by}, CAST(max(np) AS BIGINT) AS n_pos, CAST(max(nn) AS BIGINT) AS n_neg, {r('sum(pos * (below + neg / 2)) / nullif(max(np) * max(nn), 0)')} AS auroc, {r('sum(pos * tp / nullif(tp + fp, 0)) / nullif(max(np), 0)')} AS auprc, "
+            f"{r('max(np) / (max(np) + max(nn))')} AS prevalence, {r('sum(pos * tp / nullif(tp + fp, 0)) / nullif(max(np), 0) / (max(np) / (max(np) + max(nn)))')} AS lift FROM "
+            f"(SELECT *, sum(neg) OVER up - neg AS below, sum(pos) OVER down AS tp, sum(neg) OVER down AS fp, sum(pos) OVER (PARTITION BY {by}) AS np, sum(neg) OVER (PARTITION BY {by}) AS nn FROM "
+            f"(SELECT {by}, p, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM {source} GROUP BY {by}, p) WINDOW up AS (PARTITION BY {by} ORDER BY p), down AS (PARTITION BY {by} ORDER BY p DESC)) GROUP BY {by}")
+
+
+@query("E12_average_precision", with_ctes(f"WITH k AS MATERIALIZED ({draws_sql('entity', 'pred')}) " + discrimination_sql("(SELECT * FROM pred JOIN k USING (entity))", "replicate"), "pred"))
 def average_precision(spark, sf):
-    return rounded(B.bootstrap_discrimination(predictions(spark, sf), ["entity"], replicates=12))
+    return rounded(B.bootstrap_discrimination(predictions(spark, sf), ["entity"], replicates=REPLICATES))
+
+
+@query("E12_average_precision_blocks", with_ctes(f"WITH k AS MATERIALIZED ({draws_sql('entity', 'pred')}) " + discrimination_sql("(SELECT * FROM ends JOIN k USING (entity))", "endpoint, replicate"), "ends"))
+def average_precision_blocks(spark, sf):
+    """The same by endpoint with many score blocks, so that running totals cross them."""
+    rows = endpoints(spark, sf)
+    return rounded(B.bootstrap_discrimination(rows, ["entity"], replicates=REPLICATES, by=["endpoint"], points=[0.1, 0.13, 0.17, 0.2, 0.23, 0.27, 0.3]))
 
 
 @query("E21_gradient_intervals", with_ctes(f"WITH c AS MATERIALIZED (SELECT * FROM ({_CLASSES}) WHERE y = 0 OR class = 'any' OR (class = 'light' AND ge3 = 0) OR (class = 'severe' AND ge3 = 1)), k AS MATERIALIZED ({draws_sql('entity', 'pred')}), "
@@ -143,19 +159,29 @@ def unpaired(spark, sf):
     return rounded(B.difference_test(B.difference(reps.filter("cohort = 'F'"), reps.filter("cohort = 'O'"))))
 
 
-CAL_REPLICATES = 6
-_CAL = f"""k AS MATERIALIZED ({draws_sql('entity', 'pred', replicates=CAL_REPLICATES)}),
-    v AS MATERIALIZED (SELECT replicate, version, CASE WHEN version = 'raw' THEN p ELSE {P_REC} END AS p, y, w, replicate * 2 + (version = 'raw')::INT AS g FROM pred JOIN k USING (entity), (SELECT unnest(['raw', 'recalibrated']) AS version) WHERE w > 0),
-    x AS MATERIALIZED (SELECT *, unnest(range(w)) AS copy FROM v), e AS MATERIALIZED (SELECT g, list_sort(list_distinct(quantile_cont(p, [{', '.join(repr(i / 10) for i in range(11))}]))) AS edges FROM x GROUP BY 1),
-    q AS (SELECT g, bin, count(*) AS n, avg(p) AS pr, avg(y) AS ob FROM (SELECT x.*, CAST({BIN.format('p')} AS INT) AS bin FROM x JOIN e USING (g)) GROUP BY 1, 2), c AS MATERIALIZED (SELECT g, sum(n * abs(ob - pr)) / sum(n) AS ece FROM q GROUP BY 1),
-    m AS MATERIALIZED (SELECT replicate, version, g, sum(w) AS n, sum(w * (p - y) * (p - y)) / sum(w) AS brier, sum(w * y) / sum(w)::DOUBLE AS prevalence FROM v GROUP BY 1, 2, 3)"""
+CAL_REPLICATES = 1000
+_RANKS = ", ".join(f"floor({i / 10!r}::DOUBLE * (n - 1)), ceil({i / 10!r}::DOUBLE * (n - 1))" for i in range(11))
+_CAL = f"""k AS MATERIALIZED ({draws_sql('entity', 'pred', replicates=CAL_REPLICATES)}), j AS MATERIALIZED (SELECT replicate, p, sum(w)::DOUBLE AS w, sum(w * y)::DOUBLE AS pos FROM pred JOIN k USING (entity) WHERE w > 0 GROUP BY 1, 2),
+    v AS MATERIALIZED (SELECT replicate, version, CASE WHEN version = 'raw' THEN p ELSE {P_REC} END AS p, w, pos, replicate * 2 + (version = 'raw')::INT AS g FROM j, (SELECT unnest(['raw', 'recalibrated']) AS version)),
+    o AS (SELECT g, p, sum(w) OVER (PARTITION BY g ORDER BY p) - w AS below, w, sum(w) OVER (PARTITION BY g) AS n FROM v), wr AS (SELECT g, unnest([{_RANKS}]) AS rank, unnest(range(22)) AS i FROM (SELECT g, sum(w) AS n FROM v GROUP BY 1)),
+    s AS (SELECT wr.g, i // 2 AS e, max(p) FILTER (i % 2 = 0) AS lo, max(p) FILTER (i % 2 = 1) AS hi, max(n) AS n FROM wr JOIN o ON wr.g = o.g AND rank >= below AND rank < below + w GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT g, list_sort(list_distinct(list(lo + (hi - lo) * (e / 10.0::DOUBLE * (n - 1) - floor(e / 10.0::DOUBLE * (n - 1)))))) AS edges FROM s GROUP BY 1),
+    q AS (SELECT g, bin, sum(w) AS n, sum(w * p) / sum(w) AS pr, sum(pos) / sum(w) AS ob FROM (SELECT v.*, CAST({BIN.format('p')} AS INT) AS bin FROM v JOIN e USING (g)) GROUP BY 1, 2), c AS MATERIALIZED (SELECT g, sum(n * abs(ob - pr)) / sum(n) AS ece FROM q GROUP BY 1),
+    m AS MATERIALIZED (SELECT replicate, version, g, sum(w) AS n, sum(pos * (1 - p) * (1 - p) + (w - pos) * p * p) / sum(w) AS brier, sum(pos) / sum(w) AS prevalence FROM v GROUP BY 1, 2, 3)"""
 
 
 @query("E18_calibration_replicates", with_ctes(f"WITH {_CAL}, " + newton_sql("v", "g", f"""SELECT replicate, version, CAST(n AS BIGINT) AS n, {r('brier')} AS brier, {r('prevalence')} AS prevalence, {r('prevalence * (1 - prevalence)')} AS brier_null,
-    {r('1 - brier / (prevalence * (1 - prevalence))')} AS skill, {r('ece')} AS ece, {r('b', 4)} AS slope FROM {{params}} JOIN m USING (g) JOIN c USING (g)""", counts="SELECT g, ln(p / (1 - p)) AS z, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS pos FROM v GROUP BY g, p")[5:], "pred"))
+    {r('1 - brier / (prevalence * (1 - prevalence))')} AS skill, {r('ece')} AS ece, {r('b', 4)} AS slope FROM {{params}} JOIN m USING (g) JOIN c USING (g)""", counts="SELECT g, ln(p / (1 - p)) AS z, w AS n, pos FROM v")[5:], "pred"))
 def calibration_replicates(spark, sf):
-    out = rounded(P.calibration_replicates(predictions(spark, sf), ["entity"], CAL_REPLICATES, *LAYER))
-    return out.withColumn("slope", F.round("slope", 4))
+    out = P.calibration_replicates(predictions(spark, sf), ["entity"], CAL_REPLICATES, *LAYER)
+    return out.select("replicate", "version", "n", F.round("slope", 4).alias("slope"), *[F.round(c, 6).alias(c) for c in ("brier", "prevalence", "brier_null", "skill", "ece")])
+
+
+@query("E18_calibration_intervals", with_ctes(f"WITH {_CAL} SELECT version, count(*) AS n_valid, {r('avg(ece)')} AS mean, {r('stddev_samp(ece)')} AS se, {r('quantile_cont(ece, 0.025)')} AS lo, {r('quantile_cont(ece, 0.975)')} AS hi FROM m JOIN c USING (g) GROUP BY 1", "pred"))
+def calibration_intervals(spark, sf):
+    """Interval of the calibration error, from replicates over many score blocks."""
+    reps = P.calibration_replicates(predictions(spark, sf), ["entity"], CAL_REPLICATES, *LAYER, steps=1, points=[0.1, 0.14, 0.17, 0.2, 0.26, 0.31])
+    return rounded(B.interval(reps, "ece", ["version"]))
 
 
 _EQ = (f"count(*) AS n_valid, {r('stddev_samp(delta)')} AS se, {r('avg((delta <= -0.05)::INT)')} AS p_lower, {r('avg((delta >= 0.05)::INT)')} AS p_upper, {r('quantile_cont(delta, 0.05)')} AS lo90, {r('quantile_cont(delta, 0.95)')} AS hi90, "
@@ -199,10 +225,10 @@ def proximity_by_bin(spark, sf):
     return rounded(P.proximity_by_bin(endpoints(spark, sf), ["entity"], ["endpoint"]))
 
 
-@query("E20_proximity_replicates", with_ctes(f"""WITH {_HB}, k AS MATERIALIZED ({draws_sql('entity', 'pred', replicates=8)}), h2 AS MATERIALIZED (SELECT * FROM hb JOIN k USING (entity)), {_STD.format(g='replicate, ', w='w', src='h2', x='w')},
+@query("E20_proximity_replicates", with_ctes(f"""WITH {_HB}, k AS MATERIALIZED ({draws_sql('entity', 'pred', replicates=CAL_REPLICATES)}), h2 AS MATERIALIZED (SELECT * FROM hb JOIN k USING (entity)), {_STD.format(g='replicate, ', w='w', src='h2', x='w')},
     a AS MATERIALIZED ({frac_auc_sql('ws', 'replicate, endpoint')}) SELECT replicate, o.endpoint, {r('o.auroc')} AS standardised, {r('t.auroc - o.auroc')} AS delta FROM a o JOIN a t USING (replicate) WHERE t.endpoint = 3 AND o.endpoint < 3""", "ends"))
 def proximity_replicates(spark, sf):
-    return rounded(P.proximity_replicates(endpoints(spark, sf), ["entity"], 3, 8))
+    return rounded(P.proximity_replicates(endpoints(spark, sf), ["entity"], 3, CAL_REPLICATES))
 
 
 # ---------------------------------------------------------------- splits
@@ -226,6 +252,34 @@ def fixed_size(spark, sf):
     return sums.join(draws.groupBy("replicate").agg(F.sum("draws").alias("units")), "replicate")
 
 
+EXACT_RATE = 0.8
+_EXACT_W = "(" + " + ".join(f"(h >= {c})::INT" for c in B.poisson_cuts(EXACT_RATE)) + ")"
+_EXACT = f"""u AS MATERIALIZED ({_ranked_units('entity', 'pred')}), kp AS MATERIALIZED ({mixed_stages(f"(SELECT DISTINCT entity, ('0x' || substr(md5('42|' || entity), 1, 8))::BIGINT AS b FROM pred), (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate)", 'b', 'replicate', 'w', keep='entity, replicate', value=_EXACT_W)}),
+    ms AS (SELECT replicate, (SELECT count(*) FROM u) AS n_units, (SELECT count(*) FROM u) - sum(w) AS missing FROM kp GROUP BY 1),
+    xt AS (SELECT replicate, at_pos, count(*) AS extra FROM ({mixed_stages("(SELECT replicate, n_units, unnest(range(1::BIGINT, missing::BIGINT + 1)) AS slot FROM ms)", 'slot', 'replicate', 'at_pos', keep='replicate, n_units', value="CAST(floor(h / 4294967296.0::DOUBLE * n_units) AS BIGINT)")}) GROUP BY 1, 2),
+    k AS MATERIALIZED (SELECT kp.entity, kp.replicate, kp.w + coalesce(extra, 0) AS w FROM kp JOIN u USING (entity) LEFT JOIN xt ON xt.replicate = kp.replicate AND xt.at_pos = u.pos)"""
+
+
+@query("E12_fixed_size_auroc", with_ctes(f"WITH {_EXACT}, b AS ({weighted_auc_sql('(SELECT * FROM ends JOIN k USING (entity))', 'endpoint, replicate')}) SELECT endpoint, {_CI} FROM b GROUP BY 1", "ends"))
+def fixed_size_auroc(spark, sf):
+    """Intervals from replicates of exactly as many entities as there are."""
+    rows = endpoints(spark, sf)
+    draws = B.exact_draws(rows, ["entity"], REPLICATES, rate=EXACT_RATE)
+    return rounded(B.interval(B.bootstrap_auroc(rows, ["entity"], replicates=REPLICATES, by=["endpoint"], draws=draws), by=["endpoint"]))
+
+
+@query("E12_fixed_size_units", with_ctes(f"WITH {_EXACT} SELECT replicate, CAST(sum(w) AS BIGINT) AS units, CAST(sum(w * c) AS BIGINT) AS n, CAST(sum(w * s) AS BIGINT) AS n_pos FROM k JOIN (SELECT entity, count(*) AS c, sum(y) AS s FROM pred GROUP BY 1) USING (entity) GROUP BY 1", "pred"))
+def fixed_size_units(spark, sf):
+    """What every such replicate holds: units (always all of them), rows and positives."""
+    pr = predictions(spark, sf)
+    draws = B.exact_draws(pr, ["entity"], REPLICATES, rate=EXACT_RATE)
+    sums = B.bootstrap_auroc(pr, ["entity"], replicates=REPLICATES, draws=draws)
+    each = pr.groupBy("entity").agg(F.lit(1).alias("y"), F.lit(0.5).alias("p"))
+    units = B.bootstrap_auroc(each, ["entity"], replicates=REPLICATES, draws=draws)
+    both = sums.join(units.select("replicate", F.col("n_pos").cast("long").alias("units")), "replicate")
+    return both.select("replicate", "units", (F.col("n_pos") + F.col("n_neg")).cast("long").alias("n"), F.col("n_pos").cast("long").alias("n_pos"))
+
+
 @query("L1_group_split", with_ctes(f"WITH u AS ({_ranked_units('subject', 'owned')}) SELECT subject, CASE WHEN pos < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM owned JOIN (SELECT subject, pos, n FROM u) USING (subject) GROUP BY 1, 2".replace("count(*) AS n FROM owned", "count(*) AS n_rows FROM owned"), "owned"))
 def group_split(spark, sf):
     return L.group_split(owned(spark, sf), "subject").groupBy("subject", "split").agg(F.count("*").alias("n_rows"))
@@ -284,6 +338,34 @@ def half_splits(spark, sf):
     return L.half_splits(predictions(spark, sf), ["entity"], 3).groupBy("repeat", "half").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
 
 
+_RH = "('0x' || substr(md5('{s}|' || entity || '|' || CAST(t_hr AS VARCHAR) || '|' || repeat), 1, 8))::BIGINT"
+_HALVES = (f"hf AS MATERIALIZED (SELECT repeat, y, p, CASE WHEN row_number() OVER (PARTITION BY repeat ORDER BY {_RH.format(s=42)}, {_RH.format(s=42 + L.TIE)}, entity, t_hr) <= n // 2 THEN 0 ELSE 1 END AS half "
+           "FROM (SELECT *, count(*) OVER () AS n FROM pred), (SELECT unnest(range(1, 21)) AS repeat))")
+
+
+@query("L6_exact_halves", with_ctes(f"WITH {_HALVES} SELECT CAST(repeat AS INT) AS repeat, half, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM hf GROUP BY 1, 2", "pred"))
+def exact_halves(spark, sf):
+    return L.exact_halves(predictions(spark, sf), ["entity", "t_hr"], 20).groupBy("repeat", "half").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+
+
+_REFIT = f"""{_HALVES}, ly AS MATERIALIZED ({newton_sql("(SELECT * FROM hf WHERE half = 0)", "repeat", "SELECT repeat, a, b FROM {params}")}), ot AS MATERIALIZED (SELECT repeat, y, 1 / (1 + exp(-(a + b * ln(p / (1 - p))))) AS p FROM hf JOIN ly USING (repeat) WHERE half = 1),
+    e AS MATERIALIZED (SELECT repeat, list_sort(list_distinct(quantile_cont(p, [{', '.join(repr(i / 10) for i in range(11))}]))) AS edges FROM ot GROUP BY 1), q AS (SELECT repeat, bin, count(*) AS n, avg(p) AS pr, avg(y) AS ob FROM (SELECT ot.*, CAST({BIN.format('p')} AS INT) AS bin FROM ot JOIN e USING (repeat)) GROUP BY 1, 2),
+    hr AS MATERIALIZED (SELECT * FROM (SELECT repeat, sum(n * abs(ob - pr)) / sum(n) AS ece FROM q GROUP BY 1) JOIN (SELECT repeat, count(*) AS n, avg((p - y) * (p - y)) AS brier FROM ot GROUP BY 1) USING (repeat) JOIN ly USING (repeat))"""
+
+
+@query("L6_half_recalibration", with_ctes(f"WITH {_REFIT} SELECT CAST(repeat AS INT) AS repeat, n, {r('a', 4)} AS a, {r('b', 4)} AS b, {r('ece', 5)} AS ece, {r('brier')} AS brier FROM hr", "pred"))
+def half_recalibration(spark, sf):
+    """Twenty random halves: the layer of one, checked on the other."""
+    out = C.half_sample_recalibration(predictions(spark, sf), ["entity", "t_hr"])
+    return out.select("repeat", "n", *[F.round(c, d).alias(c) for c, d in (("a", 4), ("b", 4), ("ece", 5), ("brier", 6))])
+
+
+@query("L6_half_recalibration_medians", with_ctes(f"WITH {_REFIT} SELECT count(*) AS n_repeats, {r('quantile_cont(ece, 0.5)', 5)} AS ece_median, {r('quantile_cont(brier, 0.5)')} AS brier_median FROM hr", "pred"))
+def half_recalibration_medians(spark, sf):
+    out = C.half_sample_recalibration(predictions(spark, sf), ["entity", "t_hr"])
+    return out.agg(F.count("*").alias("n_repeats"), F.round(F.percentile("ece", 0.5), 5).alias("ece_median"), F.round(F.percentile("brier", 0.5), 6).alias("brier_median"))
+
+
 @query("L7_class_weights", with_ctes(f"WITH c AS (SELECT endpoint, y, count(*) AS n FROM ends GROUP BY 1, 2) SELECT endpoint, y, n, {r('sum(n) OVER (PARTITION BY endpoint) / (2.0::DOUBLE * n)')} AS class_weight FROM c", "ends"))
 def class_weights(spark, sf):
     rows = L.class_weights(endpoints(spark, sf), by=["endpoint"])
