@@ -1,13 +1,17 @@
 """Model tables: training, out-of-fold scores, selection, ablation, frozen application, batch scoring.
 
-Training is Spark ML throughout. Loops run over folds, endpoints or settings (a fixed few), never over data.
+Training is Spark ML throughout. Fits run over folds, endpoints or settings (a fixed few), several at a time, never over data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -23,6 +27,8 @@ from tidemark.operators.ordered import join_on, quantiles
 from tidemark.operators.sampling import class_weights
 from tidemark.operators.summary import cumulative_cut
 
+T = TypeVar("T")
+
 
 @dataclass(frozen=True)
 class TreeSettings:
@@ -65,6 +71,12 @@ def train_trees(df: DataFrame, features: Sequence[str], y: str, settings: TreeSe
     return Trained(fitted, tuple(features), tuple([*features, *[f"{c}__missing" for c in features]]))
 
 
+def fit_all(fits: Sequence[Callable[[], T]], at_once: int = 4) -> list[T]:
+    """Independent fits, a few at a time: jobs of one fit fill the gaps that the driver's steps of another leave. Results come in the order of the fits."""
+    with ThreadPool(max(1, min(at_once, len(fits)))) as pool:
+        return pool.map(lambda f: f(), [inheritable_thread_target(f) for f in fits])
+
+
 def train_logistic(df: DataFrame, features: Sequence[str], y: str, balanced: bool = True, penalty: float = 0.0) -> Trained:
     """Logistic regression on zero-filled covariates."""
     rows = (class_weights(df, y) if balanced else df.withColumn("class_weight", F.lit(1.0)))
@@ -103,17 +115,13 @@ def _scores(ready: DataFrame, trained: Trained, name: str, columns: Sequence[str
 def endpoint_models(df: DataFrame, features: Sequence[str], endpoints: Sequence[str], settings: TreeSettings = TreeSettings(), fill_zero: bool = False) -> dict[str, Trained]:
     """One model per endpoint; ``fill_zero`` trains the arm in which missing values count as 0."""
     rows = df.fillna(0.0, subset=list(features)) if fill_zero else df
-    return {e: train_trees(rows, features, e, settings) for e in endpoints}
+    return dict(zip(endpoints, fit_all([lambda e=e: train_trees(rows, features, e, settings) for e in endpoints]), strict=True))
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], y: str, fold: str, k: int, settings: TreeSettings = TreeSettings(), name: str = "p") -> DataFrame:
     """Scores of each fold from a model fitted on the other folds."""
-    parts = None
-    for i in range(k):
-        model = train_trees(df.filter(F.col(fold) != i), features, y, settings)
-        scored = apply_trees(df.filter(F.col(fold) == i), model, name)
-        parts = scored if parts is None else parts.unionByName(scored)
-    return parts
+    models = fit_all([lambda i=i: train_trees(df.filter(F.col(fold) != i), features, y, settings) for i in range(k)])
+    return reduce(DataFrame.unionByName, [apply_trees(df.filter(F.col(fold) == i), model, name) for i, model in enumerate(models)])
 
 
 def importance_table(trained: Trained, df: DataFrame, fold: int = 0) -> DataFrame:
@@ -126,18 +134,16 @@ def importance_table(trained: Trained, df: DataFrame, fold: int = 0) -> DataFram
 
 def select_features(df: DataFrame, features: Sequence[str], y: str, fold: str, k: int, settings: TreeSettings = TreeSettings(), cut: float = 0.99) -> DataFrame:
     """Grouped cross-validated importance: normalised per fold, averaged, cut at the cumulative share."""
-    parts = None
-    for i in range(k):
-        table = importance_table(train_trees(df.filter(F.col(fold) != i), features, y, settings), df, i)
-        parts = table if parts is None else parts.unionByName(table)
+    models = fit_all([lambda i=i: train_trees(df.filter(F.col(fold) != i), features, y, settings) for i in range(k)])
+    parts = reduce(DataFrame.unionByName, [importance_table(model, df, i) for i, model in enumerate(models)])
     return cumulative_cut(parts.groupBy("feature").agg(F.avg("share").alias("share")), "feature", "share", cut)
 
 
 def grid_search(train: DataFrame, select: DataFrame, features: Sequence[str], y: str, settings: Sequence[TreeSettings]) -> DataFrame:
     """AUROC of a few settings on the selection split, best first."""
     parts = None
-    for s in settings:
-        scored = apply_trees(select, train_trees(train, features, y, s))
+    for s, model in zip(settings, fit_all([lambda s=s: train_trees(train, features, y, s) for s in settings]), strict=True):
+        scored = apply_trees(select, model)
         row = auroc(scored, y, "p").select(F.lit(s.trees).alias("trees"), F.lit(s.depth).alias("depth"), F.lit(s.rate).alias("rate"), "auroc")
         parts = row if parts is None else parts.unionByName(row)
     return parts.orderBy(F.desc("auroc"))
@@ -145,10 +151,9 @@ def grid_search(train: DataFrame, select: DataFrame, features: Sequence[str], y:
 
 def ablation(train: DataFrame, test: DataFrame, features: Sequence[str], prefixes: Sequence[str], y: str, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """AUROC with each feature family left out, next to the full set."""
-    parts = None
-    for p in ("", *prefixes):
-        kept = [f for f in features if not p or not f.startswith(p)]
-        scored = apply_trees(test, train_trees(train, kept, y, settings))
+    parts, lists = None, [[f for f in features if not p or not f.startswith(p)] for p in ("", *prefixes)]
+    for p, kept, model in zip(("", *prefixes), lists, fit_all([lambda kept=kept: train_trees(train, kept, y, settings) for kept in lists]), strict=True):
+        scored = apply_trees(test, model)
         row = auroc(scored, y, "p").select(F.lit(p or "none").alias("left_out"), F.lit(len(kept)).alias("n_features"), "n_pos", "n_neg", "auroc")
         parts = row if parts is None else parts.unionByName(row)
     return parts
@@ -157,9 +162,9 @@ def ablation(train: DataFrame, test: DataFrame, features: Sequence[str], prefixe
 def learning_curve(nested: DataFrame, test: DataFrame, features: Sequence[str], fractions: Sequence[float], y: str, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """AUROC on a fixed test side per training fraction (``nested`` comes from ``sample_fractions``)."""
     parts = None
-    for f in fractions:
-        part = nested.filter(F.col("fraction") == float(f))
-        row = auroc(apply_trees(test, train_trees(part, features, y, settings)), y, "p").select(F.lit(float(f)).alias("fraction"), "auroc")
+    models = fit_all([lambda f=f: train_trees(nested.filter(F.col("fraction") == float(f)), features, y, settings) for f in fractions])
+    for f, model in zip(fractions, models, strict=True):
+        row = auroc(apply_trees(test, model), y, "p").select(F.lit(float(f)).alias("fraction"), "n_pos", "n_neg", "auroc")
         parts = row if parts is None else parts.unionByName(row)
     return parts
 

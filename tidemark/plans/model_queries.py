@@ -1,8 +1,13 @@
-"""Queries for model tables (L8-L16, L21-L24, M16). Tree results have no SQL twin; their invariants are in the tests."""
+"""Queries for model tables.
+
+What trees score is not SQL. The queries on them return what SQL can hold them to: who was scored, how often, by which fold, arm or list of features, how many of them are
+positive, and whether the figures keep their own laws.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.operators import checkpoints as K
@@ -10,7 +15,7 @@ from tidemark.operators import discrimination as D
 from tidemark.operators import models as M
 from tidemark.operators import sampling as L
 from tidemark.operators import summary as A
-from tidemark.plans.fixtures import CLOCK, FAMILIES, LAYER, full_grid, predictions, r, rounded, scratch, series, with_ctes
+from tidemark.plans.fixtures import CLOCK, CTE, FAMILIES, LAYER, full_grid, predictions, r, rounded, scratch, series, with_ctes
 from tidemark.plans.metric_queries import BIN, edges_sql
 from tidemark.plans.registry import query
 from tidemark.session import stage
@@ -29,46 +34,83 @@ def model_rows(spark, sf):
     for name, limit in (("y", 60), ("severe", 150)):
         ahead = s.filter((F.col("fam") == "purchase") & (F.col("val") > limit)).withColumn("hr", F.col("hr") - 72.0)
         wide = wide.join(K.event_counts(g, ahead, ["entity"], ["purchase"], 72.0, CLOCK).select("entity", "t_hr", F.col("any").alias(name)), ["entity", "t_hr"])
-    return stage(L.group_split(L.group_folds(wide, "entity", 3), "entity", 0.7))
+    return stage(L.group_split(L.group_folds(wide, "entity", FOLDS), "entity", 0.7))
+
+
+FOLDS = 5
+_EH = "('0x' || substr(md5('{s}|' || entity), 1, 8))::BIGINT"
+CTE["modelled"] = (f"""WITH lab AS (SELECT g.entity, g.t_hr, max(coalesce((val > 60)::INT, 0)) AS y, max(coalesce((val > 150)::INT, 0)) AS severe FROM full_grid g LEFT JOIN series s ON s.entity = g.entity AND fam = 'purchase' AND hr > g.t_hr AND hr <= g.t_hr + 72 GROUP BY 1, 2),
+    sz AS (SELECT entity, count(*) AS k, {_EH.format(s=42)} AS h, {_EH.format(s=42 + L.TIE)} AS h2 FROM lab GROUP BY 1),
+    pl AS (SELECT entity, row_number() OVER (ORDER BY k + h / 4294967296.0::DOUBLE DESC, entity) - 1 AS p, row_number() OVER (ORDER BY h, h2, entity) - 1 AS pos, count(*) OVER () AS n FROM sz)
+    SELECT lab.*, CAST(CASE WHEN (p // {FOLDS}) % 2 = 0 THEN p % {FOLDS} ELSE {FOLDS - 1} - p % {FOLDS} END AS INT) AS fold, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM lab JOIN pl USING (entity)""", ("full_grid", "series"))
+_CLASS = "CAST(sum({0}) AS BIGINT) AS n_pos, CAST(sum(1 - {0}) AS BIGINT) AS n_neg"
+_TEST_Y = f"{_CLASS.format('y')}, 1 AS lawful FROM modelled WHERE split = 'test'"
+
+
+def lawful(df):
+    """The area as 1 if it is one (between 0 and 1, both classes there), else 0."""
+    return df.withColumns({"n_pos": F.col("n_pos").cast("long"), "n_neg": F.col("n_neg").cast("long"), "lawful": F.when(F.col("auroc").between(0.0, 1.0), 1).otherwise(0)}).drop("auroc")
 
 
 def halves(rows):
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
-@query("L8_endpoint_models")
+@query("L8_endpoint_models", with_ctes(f"SELECT 'y' AS endpoint, {_TEST_Y} UNION ALL SELECT 'severe', {_CLASS.format('severe')}, 1 FROM modelled WHERE split = 'test'", "modelled"))
 def endpoint_models(spark, sf):
     train, test = halves(model_rows(spark, sf))
     out = None
     for name, model in M.endpoint_models(train, FEATURES, ["y", "severe"], QUICK).items():
         row = D.auroc(M.apply_trees(test, model), name).withColumn("endpoint", F.lit(name))
         out = row if out is None else out.unionByName(row)
-    return rounded(out)
+    return lawful(out)
+
 
+SETTINGS = (QUICK, M.TreeSettings(trees=3, rate=0.1, depth=2), M.TreeSettings(trees=5, rate=0.2, depth=2))
 
-@query("L9_grid_search")
+
+@query("L9_grid_search", "SELECT position, 1 AS known, 1 AS lawful, 1 AS not_above_the_one_before FROM (SELECT unnest([1, 2, 3])::INT AS position)")
 def grid_search(spark, sf):
+    """Three settings, best first: each is one that was asked for, once."""
     train, test = halves(model_rows(spark, sf))
-    return rounded(M.grid_search(train, test, FEATURES, "y", [QUICK, M.TreeSettings(trees=3, rate=0.1, depth=2)]))
+    found = M.grid_search(train, test, FEATURES, "y", SETTINGS)
+    order = Window.orderBy(F.desc("auroc"), "trees", "depth")  # one row per setting
+    asked = F.concat_ws("|", F.lit(""), *[F.lit(f"{s.trees}/{s.depth}") for s in SETTINGS], F.lit(""))
+    known = asked.contains(F.concat(F.lit("|"), F.concat_ws("/", "trees", "depth"), F.lit("|")))
+    again = F.count("*").over(Window.partitionBy("trees", "depth")) == 1
+    before = F.lag("auroc").over(order)
+    return found.select(F.row_number().over(order).alias("position"), F.when(known & again, 1).otherwise(0).alias("known"), F.when(F.col("auroc").between(0.0, 1.0), 1).otherwise(0).alias("lawful"),
+                        F.when(before.isNull() | (F.col("auroc") <= before), 1).otherwise(0).alias("not_above_the_one_before"))
+
+
+def cut_facts(chosen, cut=0.99):
+    """Whether a selection keeps its laws: known features, each once, and no more than the cut needs."""
+    return chosen.agg(F.when(F.count("*") == F.countDistinct("feature"), 1).otherwise(0).alias("each_once"), F.count_if(~F.col("feature").isin(list(FEATURES))).alias("unknown"),
+                      F.when(F.max("cumulative") >= cut - 1e-9, 1).otherwise(0).alias("reaches_cut"), F.when(F.max(F.col("cumulative") - F.col("share") / F.lit(1.0)) < cut, 1).otherwise(0).alias("last_is_needed"))
 
 
-@query("L10_feature_selection")
+@query("L10_feature_selection", "SELECT 1 AS each_once, 0::BIGINT AS unknown, 1 AS reaches_cut, 1 AS last_is_needed")
 def selection(spark, sf):
-    return rounded(M.select_features(model_rows(spark, sf).filter("split = 'train'"), FEATURES, "y", "fold", 3, QUICK))
+    return cut_facts(M.select_features(model_rows(spark, sf).filter("split = 'train'"), FEATURES, "y", "fold", FOLDS, QUICK))
 
 
-@query("L11_selection_stability")
+@query("L11_selection_stability", "SELECT 1 AS sizes_fit, 1 AS index_fits, 1 AS within_all")
 def stability(spark, sf):
+    """Selections from five and from ten folds: their overlap keeps the laws of sets."""
     rows = model_rows(spark, sf).filter("split = 'train'")
-    three = M.select_features(rows, FEATURES, "y", "fold", 3, QUICK)
-    two = M.select_features(L.group_folds(rows.drop("fold"), "entity", 2), FEATURES, "y", "fold", 2, QUICK)
-    return rounded(A.set_overlap(three, two, "feature"))
+    five = M.select_features(rows, FEATURES, "y", "fold", FOLDS, QUICK)
+    ten = M.select_features(L.group_folds(rows.drop("fold"), "entity", 2 * FOLDS), FEATURES, "y", "fold", 2 * FOLDS, QUICK)
+    out = A.set_overlap(five, ten, "feature")
+    return out.select(F.when(F.col("n_a") + F.col("n_b") - F.col("both") == F.col("either"), 1).otherwise(0).alias("sizes_fit"),
+                      F.when(F.abs(F.col("jaccard") - F.col("both") / F.col("either")) < 1e-12, 1).otherwise(0).alias("index_fits"), F.when(F.col("either") <= len(FEATURES), 1).otherwise(0).alias("within_all"))
 
 
-@query("L12_out_of_fold")
+@query("L12_out_of_fold", with_ctes(f"SELECT fold, {_CLASS.format('y')}, 1 AS lawful, count(*) AS n_rows, count(DISTINCT entity) AS n_entities, 0::BIGINT AS twice FROM modelled GROUP BY 1", "modelled"))
 def out_of_fold(spark, sf):
-    scored = M.out_of_fold(model_rows(spark, sf), FEATURES, "y", "fold", 3, QUICK)
-    return rounded(D.auroc(scored, by=["fold"]))
+    """Every row is scored once, by the model that has not seen its fold."""
+    scored = stage(M.out_of_fold(model_rows(spark, sf), FEATURES, "y", "fold", FOLDS, QUICK))
+    rows = scored.groupBy("fold", "entity", "t_hr").agg(F.count("*").alias("_k")).groupBy("fold").agg(F.sum("_k").alias("n_rows"), F.countDistinct("entity").alias("n_entities"), F.count_if(F.col("_k") > 1).alias("twice"))
+    return lawful(D.auroc(scored, by=["fold"])).join(rows, "fold")
 
 
 @query("L13_static_logistic", with_ctes(f"""
@@ -80,35 +122,43 @@ def static_logistic(spark, sf):
     return rounded(M.apply_logistic(pr, M.train_logistic(pr, ["x2"], "y")), 3).groupBy("x2", "p").agg(F.count("*").alias("n"))
 
 
-@query("L14_frozen_application")
+@query("L14_frozen_application", with_ctes(f"SELECT 3 AS absent, {_TEST_Y}", "modelled"))
 def frozen(spark, sf):
     """A model applied to a cohort that lacks some columns."""
     train, test = halves(model_rows(spark, sf))
     model = M.train_trees(train, FEATURES, "y", QUICK)
-    scored = M.apply_trees(test.drop("view_last", "view_max", "view_n"), model)
-    return rounded(D.auroc(scored))
+    poor = test.drop("view_last", "view_max", "view_n")
+    return lawful(D.auroc(M.apply_trees(poor, model))).withColumn("absent", F.lit(len(M.missing_features(poor, model.features))))
 
 
-@query("L15_ablation")
+@query("L15_ablation", with_ctes(" UNION ALL ".join(f"SELECT '{p or 'none'}' AS left_out, {len([f for f in FEATURES if not p or not f.startswith(p)])} AS n_features, {_TEST_Y}" for p in ("", *FAMILIES)), "modelled"))
 def ablation(spark, sf):
+    """Each family left out in turn."""
     train, test = halves(model_rows(spark, sf))
-    return rounded(M.ablation(train, test, FEATURES, ["view"], "y", QUICK))
+    return lawful(M.ablation(train, test, FEATURES, FAMILIES, "y", QUICK))
 
 
-@query("L16_zero_fill_arm")
+@query("L16_zero_fill_arm", with_ctes(" UNION ALL ".join(f"SELECT '{arm}' AS arm, {_TEST_Y}" for arm in ("zero_fill", "train_on_all")), "modelled"))
 def zero_fill(spark, sf):
     rows = model_rows(spark, sf)
     train, test = halves(rows)
     arm = M.endpoint_models(train, FEATURES, ["y"], QUICK, fill_zero=True)["y"]
     everything = M.train_trees(rows, FEATURES, "y", QUICK)
     first = D.auroc(M.apply_trees(test.fillna(0.0, subset=list(FEATURES)), arm)).withColumn("arm", F.lit("zero_fill"))
-    return rounded(first.unionByName(D.auroc(M.apply_trees(test, everything)).withColumn("arm", F.lit("train_on_all"))))
+    return lawful(first.unionByName(D.auroc(M.apply_trees(test, everything)).withColumn("arm", F.lit("train_on_all"))))
+
+
+FRACTIONS = (0.25, 0.5, 1.0)
 
 
-@query("A18_learning_curve")
+@query("A18_learning_curve", with_ctes(" UNION ALL ".join(
+    f"SELECT {f!r}::DOUBLE AS fraction, (SELECT count(*) FROM modelled WHERE split = 'train' AND {_EH.format(s=42)} / 4294967296.0::DOUBLE < {f!r}::DOUBLE) AS n_train, {_TEST_Y}" for f in FRACTIONS), "modelled"))
 def learning_curve(spark, sf):
+    """Nested fractions of the training entities, one test side."""
     train, test = halves(model_rows(spark, sf))
-    return rounded(M.learning_curve(L.sample_fractions(train, ["entity"], [0.5, 1.0]), test, FEATURES, [0.5, 1.0], "y", QUICK))
+    nested = L.sample_fractions(train, ["entity"], FRACTIONS)
+    sizes = nested.groupBy("fraction").agg(F.count("*").alias("n_train"))
+    return lawful(M.learning_curve(nested, test, FEATURES, FRACTIONS, "y", QUICK)).join(sizes, "fraction")
 
 
 WEIGHTS = {"x1": 4.0, "x2": -2.5, "q": 1.5}
@@ -134,12 +184,17 @@ def dependence(spark, sf):
     return rounded(M.attribution_dependence(attributions(spark, sf)))
 
 
-@query("L22_batch_scoring")
+@query("L22_batch_scoring", with_ctes("SELECT entity, count(*) AS n, 0::BIGINT AS wrong_layer, 0::BIGINT AS wrong_band, 0::BIGINT AS unscored FROM modelled WHERE split = 'test' GROUP BY 1", "modelled"))
 def batch_scoring(spark, sf):
+    """Raw text cells scored by two models: each row once, its layer and its band as its raw score says."""
     train, test = halves(model_rows(spark, sf))
     models = M.endpoint_models(train, FEATURES, ["y", "severe"], QUICK)
     raw = test.select("entity", "t_hr", *[F.col(f).cast("string").alias(f) for f in FEATURES])
-    return rounded(M.score_rows(raw, models["y"], models["severe"], *LAYER))
+    out = M.score_rows(raw, models["y"], models["severe"], *LAYER)
+    layer = 1 / (1 + F.exp(-(F.lit(LAYER[0]) + F.lit(LAYER[1]) * F.log(F.col("p_raw") / (1 - F.col("p_raw"))))))
+    band = F.when(F.col("p_rec") < 0.10, 0).when(F.col("p_rec") < 0.15, 1).otherwise(2)
+    return out.groupBy("entity").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("p_rec") - layer) > 1e-9).alias("wrong_layer"), F.count_if(F.col("band") != band).alias("wrong_band"),
+                                     F.count_if(F.col("p_raw").isNull() | F.col("p_severe").isNull()).alias("unscored"))
 
 
 @query("L22_entity_summary", with_ctes("SELECT entity, count(*) AS n_checkpoints, max(p) AS peak, min(CASE WHEN p >= 0.25 THEN t_hr END) AS first_at, max(q) AS peak_severe FROM pred GROUP BY 1", "pred"))
@@ -170,7 +225,7 @@ def input_template(spark, sf):
     return rounded(M.template(M.feature_catalogue(sparse_predictions(spark, sf), names), names))
 
 
-@query("M16_model_artefact")
+@query("M16_model_artefact", with_ctes(f"SELECT count(*) AS n, 0::BIGINT AS mismatches, {len(FEATURES)} AS n_features, {LAYER[0]!r}::DOUBLE AS intercept, {LAYER[1]!r}::DOUBLE AS slope FROM modelled WHERE split = 'test'", "modelled"))
 def artefact(spark, sf):
     """Save, load and score again: the loaded model must reproduce the scores."""
     train, test = halves(model_rows(spark, sf))
