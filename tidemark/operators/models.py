@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import band, recalibrate, safe_divide, sigmoid
@@ -74,7 +74,7 @@ def train_trees(df: DataFrame, features: Sequence[str], y: str, settings: TreeSe
 def fit_all(fits: Sequence[Callable[[], T]], at_once: int = 4) -> list[T]:
     """Independent fits, a few at a time: jobs of one fit fill the gaps that the driver's steps of another leave. Results come in the order of the fits."""
     with ThreadPool(max(1, min(at_once, len(fits)))) as pool:
-        return pool.map(lambda f: f(), [inheritable_thread_target(f) for f in fits])
+        return pool.map(lambda f: f(), [inheritable_thread_target(SparkSession.active())(f) for f in fits])
 
 
 def train_logistic(df: DataFrame, features: Sequence[str], y: str, balanced: bool = True, penalty: float = 0.0) -> Trained:
