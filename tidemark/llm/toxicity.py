@@ -43,7 +43,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     start, end = words.start, words.end
     ends = [end, *[np.minimum(start + k, end) for k in PREFIXES]]
     mask = np.uint64((1 << BITS) - 1)
-    features = np.stack([(W.span_hashes(low, start, e) + np.uint64(i + 1)) & mask for i, e in enumerate(ends)]).astype(np.int32) if len(start) else np.zeros((len(ends), 0), np.int32)
+    sums = W.running_bytes(low)
+    features = np.stack([(sums.hashes(start, e) + np.uint64(i + 1)) & mask for i, e in enumerate(ends)]).astype(np.int32) if len(start) else np.zeros((len(ends), 0), np.int32)
     n = len(start)
     if not n:
         return Tokens(words, features, np.zeros(0, np.int64), np.zeros(0, np.int64))

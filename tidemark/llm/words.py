@@ -157,30 +157,41 @@ def _lanes(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _LANES
 
 
-def _hashed(digits: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the entries from start to end: of each lane (digits below 2^31), the difference of running sums, brought to the first power."""
-    n, p = len(digits[0]), np.uint64(PRIME)
-    out = (end - start).astype(np.uint64) * np.uint64(_MULTIPLIER)
-    for (powers, inverses), lane, shift in zip(_lanes(n + 1), digits, (0, 32), strict=True):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_rest(lane * powers[:n]), out=total[1:])  # 2^30 entries stay below 2^62
-        part = (total[end] - total[start]) % p * inverses[start] % p
-        out ^= part << np.uint64(shift)
-    return mix(out)
+class Running:
+    """Running sums of both lanes (digits below 2^31), from which the hash of any span follows."""
+
+    def __init__(self, digits: tuple[np.ndarray, np.ndarray]):
+        n = len(digits[0])
+        self.lanes = _lanes(n + 1)
+        self.totals = [np.zeros(n + 1, np.uint64) for _ in digits]
+        for (powers, _), lane, total in zip(self.lanes, digits, self.totals, strict=True):
+            np.cumsum(_rest(lane * powers[:n]), out=total[1:])  # 2^30 entries stay below 2^62
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the entries from start to end: of each lane, the difference of sums, brought to the first power."""
+        out, p = (end - start).astype(np.uint64) * np.uint64(_MULTIPLIER), np.uint64(PRIME)
+        for (_, inverses), total, shift in zip(self.lanes, self.totals, (0, 32), strict=True):
+            out ^= ((total[end] - total[start]) % p * inverses[start] % p) << np.uint64(shift)
+        return mix(out)
 
 
 _DIGITS = tuple(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER) + np.uint64(lane)) % np.uint64(PRIME) for lane in (1, 2))
 
 
+def running_bytes(data: np.ndarray) -> Running:
+    """For hashes of several kinds of spans over the same bytes."""
+    return Running((_DIGITS[0][data], _DIGITS[1][data]))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes from start to end, for many spans."""
-    return _hashed((_DIGITS[0][data], _DIGITS[1][data]), start, end)
+    return running_bytes(data).hashes(start, end)
 
 
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the entries (64-bit hashes) from start to end, for many ranges. The lanes see different halves of an entry."""
     low = values ^ (values >> np.uint64(31))
-    return _hashed((low & np.uint64(PRIME), values >> np.uint64(33)), start, end)
+    return Running((low & np.uint64(PRIME), values >> np.uint64(33))).hashes(start, end)
 
 
 def run_hashes(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
