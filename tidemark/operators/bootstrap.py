@@ -85,23 +85,23 @@ M3_K1, M3_K2, M3_H, M3_F1, M3_F2, M3_SEED = 0xCC9E2D51, 0x1B873593, 0xE6546B64,
 
 def _poisson_matrix(base: np.ndarray, streams: np.ndarray, cuts: Sequence[int] = POISSON_CUTS) -> np.ndarray:
     """Multiplicities (rows x streams) from the same hash as the column expression."""
-    u = np.uint64
-
-    def cut(x):
-        return x & u(0xFFFFFFFF)
+    u = np.uint32  # products and shifts of 32-bit arrays wrap by themselves
 
     def turn(x, n):
-        return cut((x << u(n)) | (x >> u(32 - n)))
+        return (x << u(n)) | (x >> u(32 - n))
 
     def absorb(h, part):
-        k = cut(turn(cut(part * u(M3_K1)), 15) * u(M3_K2))
-        return cut(turn(h ^ k, 13) * u(5) + u(M3_H))
+        return turn(h ^ (turn(part * u(M3_K1), 15) * u(M3_K2)), 13) * u(5) + u(M3_H)
 
-    h = absorb(absorb(u(M3_SEED), base.astype(u))[:, None], streams.astype(u)[None, :]) ^ u(8)
-    h = cut((h ^ (h >> u(16))) * u(M3_F1))
-    h = cut((h ^ (h >> u(13))) * u(M3_F2))
+    first = absorb(np.full(len(base), M3_SEED, u), base.astype(np.uint64).astype(u))
+    h = absorb(first[:, None], streams.astype(u)[None, :]) ^ u(8)
+    h = (h ^ (h >> u(16))) * u(M3_F1)
+    h = (h ^ (h >> u(13))) * u(M3_F2)
     h ^= h >> u(16)
-    return np.searchsorted(np.asarray(cuts, dtype=u), h, side="right").astype(np.float64)
+    count = np.zeros(h.shape, np.uint8)
+    for cut in cuts:
+        count += h >= u(cut)
+    return count.astype(np.float64)
 
 
 class ExactDraws(NamedTuple):
@@ -227,17 +227,28 @@ def score_blocks(df: DataFrame, unit: Sequence[str], y: str = "y", p: str = "p",
 
 def _block_sums(pdf: pd.DataFrame, replicates: int, stratum: str | None = None, strata: Sequence = (None,), draws=None) -> pd.DataFrame:
     """Positives, negatives and inner area of one score block, for every replicate and every stratum of the positives; negatives are not divided."""
-    pdf = pdf.sort_values("_p", kind="stable")
-    score = pdf["_p"].to_numpy()
-    is_pos = pdf["_y"].to_numpy() == 1
-    masks = [(is_pos if stratum is None else is_pos & (pdf[stratum].to_numpy() == s)).astype(np.float64)[:, None] for s in strata]
-    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    score, kind = pdf["_p"].to_numpy(), pdf["_y"].to_numpy() == 1
+    # Class of a row: 0 for negatives, else 1 + its stratum (the last for any other one). Rows are summed once per (score, class).
+    width = 2 + len(strata)
+    if stratum is None:
+        kind = kind.astype(np.int64)
+    else:
+        code = pd.Categorical(pdf[stratum], categories=list(strata)).codes.astype(np.int64)
+        kind = np.where(kind, np.where(code < 0, width - 1, 1 + code), 0)
+    order = np.lexsort((kind, score))
+    pdf, score, kind = pdf.iloc[order], score[order], kind[order]
+    place = np.cumsum(np.r_[True, score[1:] != score[:-1]]) - 1
+    cell = place * width + kind
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     out = np.empty((len(strata), 3, replicates))
     for lo, hi, w in multiplicities(pdf, replicates, draws):
-        n = np.add.reduceat(w * (1.0 - is_pos[:, None]), starts, axis=0)
+        sums = np.zeros(((place[-1] + 1) * width, hi - lo))
+        sums[cell[starts]] = np.add.reduceat(w, starts, axis=0)
+        sums = sums.reshape(-1, width, hi - lo)
+        n = sums[:, 0]
         below = np.cumsum(n, axis=0) - n / 2.0
-        for i, mask in enumerate(masks):
-            p = np.add.reduceat(w * mask, starts, axis=0)
+        for i in range(len(strata)):
+            p = sums[:, 1 + i]
             out[i, 0, lo:hi], out[i, 1, lo:hi], out[i, 2, lo:hi] = p.sum(0), n.sum(0), (p * below).sum(0)
     found = {"replicate": np.tile(np.arange(1, replicates + 1), len(strata)), "pos": out[:, 0].ravel(), "neg": out[:, 1].ravel(), "area": out[:, 2].ravel()}
     if stratum is not None:
