@@ -15,6 +15,7 @@ from tidemark.operators import discrimination as D
 from tidemark.operators import models as M
 from tidemark.operators import sampling as L
 from tidemark.operators import summary as A
+from tidemark.operators.sketches import SIZE, measured_errors, rank_error
 from tidemark.plans.fixtures import CLOCK, CTE, FAMILIES, LAYER, full_grid, predictions, r, rounded, scratch, series, with_ctes
 from tidemark.plans.metric_queries import BIN, edges_sql
 from tidemark.plans.registry import query
@@ -219,6 +220,16 @@ def catalogue(spark, sf):
     return rounded(M.feature_catalogue(sparse_predictions(spark, sf), ["p", "x1", "ship_year"]))
 
 
+@query("L24_sketched_catalogue", with_ctes(f"WITH {_SPARSE_P}, cat AS ({_CAT}) SELECT feature, min, max, step, missing_share, 1::INT AS default_ok FROM cat", "pred"))
+def sketched_catalogue(spark, sf):
+    """The catalogue from rank sketches; the default is held to twice the stated rank error by an exact pass."""
+    names, wide = ["p", "x1", "ship_year"], sparse_predictions(spark, sf)
+    found = stage(M.feature_catalogue(wide, names, sketch_size=SIZE))
+    errors = measured_errors(M.melt(wide, names), "value", found.select("feature", "default"), {"default": 0.5}, ["feature"])
+    ok = (F.col("e_default") <= 2 * rank_error()).cast("int").alias("default_ok")
+    return rounded(found.join(errors, "feature").select("feature", "min", "max", "step", "missing_share", ok))
+
+
 @query("L23_input_template", with_ctes(f"WITH {_SPARSE_P} SELECT 'example' AS entity, 24.0::DOUBLE AS t_hr, {', '.join(f'{r(f"quantile_cont({c}, 0.5)")} AS {c}' for c in ('p', 'x1', 'ship_year'))} FROM sp", "pred"))
 def input_template(spark, sf):
     names = ["p", "x1", "ship_year"]

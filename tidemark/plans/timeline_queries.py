@@ -12,11 +12,13 @@ from tidemark.operators import discrimination as D
 from tidemark.operators import ordered as O
 from tidemark.operators import quality as Q
 from tidemark.operators import sampling as L
+from tidemark.operators import sketches as S
 from tidemark.operators import summary as A
 from tidemark.operators import timeline as T
 from tidemark.plans.cleaning_queries import CLASSES, sparse_wide, _SPARSE
 from tidemark.plans.fixtures import FAMILIES, endpoints, full_grid, predictions, r, rounded, series, sites, stays, table, with_ctes
 from tidemark.plans.registry import query
+from tidemark.session import stage
 
 # ---------------------------------------------------------------- joins
 
@@ -158,6 +160,37 @@ def exact_quantiles(spark, sf):
     return rounded(O.quantiles(table(spark, sf, "lineitem"), "l_extendedprice", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["l_returnflag"]))
 
 
+SKETCHED = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def within_error(spark, sf, sketches, by):
+    """Rows, exact extremes and whether each quartile's exact rank error stays within twice the stated error."""
+    rows = table(spark, sf, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    answers = S.sketched_quantiles(sketches, {"low": 0.0, **SKETCHED, "high": 1.0}, by)
+    errors = S.measured_errors(rows, "l_extendedprice", answers, SKETCHED, by).drop("n")
+    ok = [(F.col(f"e_{k}") <= 2 * S.rank_error()).cast("int").alias(f"{k}_ok") for k in SKETCHED]
+    return rounded(O.join_on(answers, errors, by).select(*by, "n", "low", "high", *ok))
+
+
+_WITHIN = f"count(*) AS n, {r('min(l_extendedprice)')} AS low, {r('max(l_extendedprice)')} AS high, 1::INT AS p25_ok, 1::INT AS p50_ok, 1::INT AS p75_ok FROM lineitem"
+
+
+@query("A4_sketched_quantiles", f"SELECT l_returnflag, {_WITHIN} GROUP BY 1")
+def sketched_quantiles(spark, sf):
+    sketches = stage(S.rank_sketches(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"]))
+    return within_error(spark, sf, sketches, ["l_returnflag"])
+
+
+@query("A4_merged_sketches", f"SELECT l_returnflag, {_WITHIN} GROUP BY 1 UNION ALL SELECT 'all' AS l_returnflag, {_WITHIN}")
+def merged_sketches(spark, sf):
+    """One sketch per flag and day is kept; flags and the whole table are merged from these rows alone."""
+    rows = table(spark, sf, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    daily = stage(S.rank_sketches(rows, "l_extendedprice", ["l_returnflag", "day"]))
+    flags = within_error(spark, sf, stage(S.merge_sketches(daily, ["l_returnflag"])), ["l_returnflag"])
+    whole = within_error(spark, sf, stage(S.merge_sketches(daily)), [])
+    return flags.unionByName(whole.withColumn("l_returnflag", F.lit("all")))
+
+
 @query("A4_quantiles_by_entity", with_ctes(f"SELECT entity, fam, {r('quantile_cont(val, 0.5)')} AS median FROM series GROUP BY 1, 2", "series"))
 def entity_quantiles(spark, sf):
     return rounded(O.quantiles(series(spark, sf), "val", {"median": 0.5}, ["entity", "fam"]).drop("n"))
