@@ -2,7 +2,8 @@
 
 An entity may hold a very large share of the rows, so no operator here gives a whole entity to one task: time is
 cut into slots, each (entity, slot) is handled on its own, and what must cross a slot border is carried over as one
-value per slot or copied into the neighbouring slot.
+value per slot or copied into the neighbouring slot. A slot that holds more rows than a task should take is cut
+again, into pieces at quantiles of its own times, with carried values from piece to piece.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import stage
+
 DAY = 24
+ROWS_PER_SLOT = 1_000_000
 
 
 def time_slot(col, width: float) -> Column:
@@ -21,13 +25,43 @@ def time_slot(col, width: float) -> Column:
     return F.floor(c / F.lit(float(width))).cast("long")
 
 
+def cut_busy(tables: Sequence[DataFrame], keys: Sequence[str], time: str = "_t", rows_per_slot: int | None = ROWS_PER_SLOT) -> tuple[list[DataFrame], list[str]]:
+    """The tables with their place: ``_slot``, and ``_piece`` within it if some slot has more than ``rows_per_slot`` rows; and the names of the place.
+
+    All tables count together and share the cuts. Equal times never part, so an instant is the smallest piece. Cuts are approximate quantiles of the
+    times in a busy slot; they are staged, since every table must see the same ones, and decide how even the pieces are, never a result. There is
+    one row of cuts per busy slot, of which there are at most rows / ``rows_per_slot``; the driver sees the largest count only.
+    """
+    tables, place = list(tables), [*keys, "_slot"]
+    if rows_per_slot is None:
+        return tables, ["_slot"]
+    times = tables[0].select(*place, time)
+    for t in tables[1:]:
+        times = times.unionAll(t.select(*place, time))
+    counts = times.groupBy(*place).agg(F.count("*").alias("_n"))
+    most = counts.agg(F.max("_n")).first()[0] or 0
+    if most <= rows_per_slot:
+        return tables, ["_slot"]
+    pieces = -(-most // rows_per_slot)
+    busy = counts.filter(F.col("_n") > rows_per_slot).select(*[F.col(k).alias(f"_c_{k}") for k in place])
+    same = F.lit(True)
+    for k in place:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    fractions = [i / pieces for i in range(1, pieces)]
+    borders = F.percentile_approx(time, fractions, max(1000, 4 * pieces))
+    cuts = stage(times.join(busy, same, "left_semi").groupBy(*[F.col(k).alias(f"_c_{k}") for k in place]).agg(F.array_distinct(borders).alias("_cuts")))
+    number = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(time))), F.lit(0))
+    return [t.join(cuts, same, "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(number)).drop("_cuts", *[f"_c_{k}" for k in place])
+            for t in tables], ["_slot", "_piece"]
+
+
 def as_of(points: DataFrame, series: DataFrame, keys: Sequence[str], at: str = "t_hr", time: str = "hr", value: str = "val",
-          width: float = 24.0, name: str = "locf", tie: Sequence[str] = ()) -> DataFrame:
+          width: float = 24.0, name: str = "locf", tie: Sequence[str] = (), rows_per_slot: int | None = ROWS_PER_SLOT) -> DataFrame:
     """Last value at or before each point, with its age (``{name}``, ``{name}_age``).
 
     Points and series meet in one timeline per (key, slot). Inside a slot a window carries the last value forward;
     a slot that starts without one takes the last value of the nearest earlier slot, found on slot summaries.
-    Equal times are ordered by ``tie`` and then by value.
+    Equal times are ordered by ``tie`` and then by value. Busy slots are cut into pieces (``cut_busy``), which are then what is called a slot here.
     """
     keys = list(keys)
     obs = series.filter(F.col(value).isNotNull()).select(
@@ -36,17 +70,18 @@ def as_of(points: DataFrame, series: DataFrame, keys: Sequence[str], at: str = "
     obs = obs.withColumn("_slot", time_slot("_t", width))
     grid = points.withColumn("_t", F.col(at).cast("double")).withColumn("_slot", time_slot("_t", width))
 
-    per_slot = obs.groupBy(*keys, "_slot").agg(F.max("_obs").alias("_last"))
-    visited = grid.select(*keys, "_slot").distinct()
-    summary = per_slot.unionByName(visited, allowMissingColumns=True).groupBy(*keys, "_slot").agg(F.max("_last").alias("_last"))
-    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    (obs, grid), place = cut_busy([obs, grid], keys, rows_per_slot=rows_per_slot)
+    per_slot = obs.groupBy(*keys, *place).agg(F.max("_obs").alias("_last"))
+    visited = grid.select(*keys, *place).distinct()
+    summary = per_slot.unionByName(visited, allowMissingColumns=True).groupBy(*keys, *place).agg(F.max("_last").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     # The value carried into a slot enters its timeline as the first observation.
-    carried = summary.select(*keys, "_slot", (F.col("_slot") * F.lit(float(width))).alias("_t"), F.max("_last").over(earlier).alias("_obs"))
+    carried = summary.select(*keys, *place, (F.col("_slot") * F.lit(float(width))).alias("_t"), F.max("_last").over(earlier).alias("_obs"))
     line = obs.unionByName(carried).withColumn("_is_point", F.lit(False))
 
     # Struct order starts with time, so "last so far" is a running maximum and peers at the point's time are included.
     merged = grid.withColumn("_is_point", F.lit(True)).unionByName(line, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "_slot").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, *place).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = merged.withColumn("_best", F.max("_obs").over(inside)).filter("_is_point")
     return out.select(*points.columns, F.col("_best.v").alias(name), (F.col("_t") - F.col("_best.t")).alias(f"{name}_age"))
 
@@ -56,7 +91,7 @@ def trailing_join(points: DataFrame, series: DataFrame, keys: Sequence[str], wid
     """Range join on ``at - width < time <= at``.
 
     Both sides are cut into slots of the window width, so a point needs its own slot and the one before; the join is
-    an equi-join on (key, slot) and the range test filters what is left.
+    an equi-join on (key, slot) and the range test filters what is left. Busy (key, slot) pairs are split by Spark's skew join.
     """
     keys = list(keys)
     sides = points.withColumn("_s", time_slot(at, width)).withColumn("_s", F.explode(F.array(F.col("_s"), F.col("_s") - 1)))
@@ -88,10 +123,12 @@ def interval_active(points: DataFrame, intervals: DataFrame, keys: Sequence[str]
     return counted.withColumn(name, F.when(F.col("_open") > 0, 1).otherwise(0)).drop("_open")
 
 
-def running_total(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, time: str, sums: dict, width: float = 24.0) -> DataFrame:
+def running_total(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, time: str, sums: dict, width: float = 24.0,
+                  rows_per_slot: int | None = ROWS_PER_SLOT) -> DataFrame:
     """Sums over all events with ``time <= at`` for each point; 0 when there is none.
 
-    Slot totals are accumulated per key; inside the point's own slot a window adds the events up to the point.
+    Slot totals are accumulated per key; inside the point's own slot a window adds the events up to the point. Busy slots are cut into pieces
+    (``cut_busy``).
     """
     keys = list(keys)
     ev = events.select(*keys, F.col(time).cast("double").alias("_time"), *[c.alias(n) for n, c in sums.items()])
@@ -100,16 +137,17 @@ def running_total(points: DataFrame, events: DataFrame, keys: Sequence[str], at:
     ev = ev.groupBy(*keys, "_slot", "_time").agg(*[F.sum(n).alias(n) for n in sums])
     grid = points.withColumn("_time", F.col(at).cast("double")).withColumn("_slot", time_slot("_time", width))
 
-    totals = ev.groupBy(*keys, "_slot").agg(*[F.sum(n).alias(n) for n in sums])
-    slots = totals.unionByName(grid.select(*keys, "_slot").distinct(), allowMissingColumns=True)
-    slots = slots.groupBy(*keys, "_slot").agg(*[F.sum(n).alias(n) for n in sums])
-    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slots.select(*keys, "_slot", (F.col("_slot") * F.lit(float(width))).alias("_time"),
+    (ev, grid), place = cut_busy([ev, grid], keys, "_time", rows_per_slot)
+    totals = ev.groupBy(*keys, *place).agg(*[F.sum(n).alias(n) for n in sums])
+    slots = totals.unionByName(grid.select(*keys, *place).distinct(), allowMissingColumns=True)
+    slots = slots.groupBy(*keys, *place).agg(*[F.sum(n).alias(n) for n in sums])
+    earlier = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select(*keys, *place, (F.col("_slot") * F.lit(float(width))).alias("_time"),
                            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
     line = ev.unionByName(carried).withColumn("_is_point", F.lit(False))
 
     merged = grid.withColumn("_is_point", F.lit(True)).unionByName(line, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "_slot").orderBy("_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, *place).orderBy("_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = merged.select(*points.columns, "_is_point", *[F.sum(n).over(inside).alias(n) for n in sums])
     return seen.filter("_is_point").drop("_is_point")
 
@@ -117,12 +155,13 @@ def running_total(points: DataFrame, events: DataFrame, keys: Sequence[str], at:
 MERGES = {"min": (F.min, F.least), "max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}
 
 
-def look_back(df: DataFrame, keys: Sequence[str], time: str, columns: dict, back: float) -> DataFrame:
+def look_back(df: DataFrame, keys: Sequence[str], time: str, columns: dict, back: float, rows_per_slot: int | None = ROWS_PER_SLOT) -> DataFrame:
     """Aggregates over ``[time - back, time]`` on raw rows, e.g. ``{"low": ("min", "val")}`` (min, max or sum).
 
     Slots have the width of the look-back, so a window is the end of one slot and the beginning of the next. Both parts
     are running aggregates, whatever the number of rows in a window: forwards over the row's own slot, backwards over
-    the slot before, whose rows are copied one slot on. One entity is spread over as many tasks as it has slots.
+    the slot before, whose rows are copied one slot on. One entity is spread over as many tasks as it has slots, and a
+    busy slot over several (``cut_busy``): what earlier pieces hold of the slot, and later pieces of the slot before, enters a piece as one row each.
     """
     keys = list(keys)
     slot = time_slot(time, back)
@@ -130,14 +169,33 @@ def look_back(df: DataFrame, keys: Sequence[str], time: str, columns: dict, back
     copies = F.array(F.struct(slot.alias("_slot"), t.alias("_t"), F.lit(True).alias("_own")),
                      F.struct((slot + 1).alias("_slot"), (t + float(back)).alias("_t"), F.lit(False).alias("_own")))
     spread = df.select("*", F.inline(copies))
-    part = Window.partitionBy(*keys, "_slot")
+    (spread,), place = cut_busy([spread], keys, rows_per_slot=rows_per_slot)
+    values = {n: f"_v_{n}" for n in columns}
+    spread = spread.withColumns({values[n]: F.col(col) for n, (_, col) in columns.items()}).withColumn("_row", F.lit(True))
+    if len(place) > 1:
+        spread = spread.unionByName(carried_pieces(spread, keys, values, columns), allowMissingColumns=True)
+    part = Window.partitionBy(*keys, *place)
     to_here = part.orderBy(F.asc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     from_here = part.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = spread
-    for name, (kind, col) in columns.items():
+    for name, (kind, _) in columns.items():
         agg, merge = MERGES[kind]
-        out = out.withColumn(name, merge(agg(F.when(F.col("_own"), F.col(col))).over(to_here), agg(F.when(~F.col("_own"), F.col(col))).over(from_here)))
-    return out.filter("_own").drop("_slot", "_own", "_t")
+        out = out.withColumn(name, merge(agg(F.when(F.col("_own"), F.col(values[name]))).over(to_here), agg(F.when(~F.col("_own"), F.col(values[name]))).over(from_here)))
+    return out.filter("_own AND _row").drop("_own", "_t", "_row", *place, *values.values())
+
+
+def carried_pieces(spread: DataFrame, keys: Sequence[str], values: dict, columns: dict) -> DataFrame:
+    """Two rows per piece of a slot: the slot's own rows in earlier pieces, placed before the piece, and the copied ones in later pieces, placed after it."""
+    own, aggs = F.col("_own"), {n: MERGES[kind][0] for n, (kind, _) in columns.items()}
+    each = spread.groupBy(*keys, "_slot", "_piece").agg(*[aggs[n](F.when(side, F.col(v))).alias(f"{tag}{v}") for n, v in values.items() for tag, side in (("o", own), ("c", ~own))])
+    slot = Window.partitionBy(*keys, "_slot").orderBy("_piece")
+    earlier, later = slot.rowsBetween(Window.unboundedPreceding, -1), slot.rowsBetween(1, Window.unboundedFollowing)
+
+    def row(at, is_own, tag, over):
+        return F.struct(F.lit(at).alias("_t"), F.lit(is_own).alias("_own"), F.lit(False).alias("_row"), *[aggs[n](f"{tag}{v}").over(over).alias(v) for n, v in values.items()])
+
+    both = each.withColumns({"_before": row(float("-inf"), True, "o", earlier), "_after": row(float("inf"), False, "c", later)})
+    return both.select(*keys, "_slot", "_piece", F.inline(F.array("_before", "_after")))
 
 
 def rise_over(df: DataFrame, keys: Sequence[str], time: str = "hr", value: str = "val", back: float = 48.0, name: str = "rise") -> DataFrame:
