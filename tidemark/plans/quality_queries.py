@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts as AL
@@ -12,6 +14,7 @@ from tidemark.plans.alert_queries import SWEEP, alerts_sql
 from tidemark.plans.fixtures import THRESHOLDS, endpoints, predictions, r, rounded, scratch, table, with_ctes
 from tidemark.plans.registry import query
 from tidemark.plans.timeline_queries import auc_sql
+from tidemark.streaming import replay as R
 from tidemark.streaming import windows as S
 
 
@@ -134,3 +137,46 @@ def stream_first_alert(spark, sf):
     ev = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     done = run_once(S.alert_once(ev, "user_id", "ts", "value", 120.0), "append", "alerts", stateful=True)
     return done.select(F.col("user_id").alias("entity"), F.unix_micros("first_alert").alias("first_alert_us"))
+
+
+SIX_DAYS = 144 * 3_600_000_000
+BORDERS = [i * SIX_DAYS for i in range(1, 5)]
+# Every twentieth event arrives ten days late, the others up to three hours.
+_ARRIVALS = f"""
+    WITH e AS (SELECT user_id AS entity, event_type AS fam, epoch_us(ts) - 1 AS u, "value" AS val,
+                      epoch_us(ts) - 1704067200000000 + 3600000000 * CASE WHEN event_id % 20 = 7 THEN 240 ELSE event_id % 4 END AS arrival FROM events),
+         a AS (SELECT *, least(4, arrival // {SIX_DAYS}) AS b FROM e),
+         ends AS (SELECT b, max(u) - 21600000000 AS mark FROM a GROUP BY 1),
+         marks AS (SELECT x.b, max(y.mark) AS mark FROM ends x LEFT JOIN ends y ON y.b < x.b GROUP BY 1),
+         w AS (SELECT entity, fam, val, u, (u // 86400000000 + k) * 86400000000 AS e_us, b FROM a, (SELECT unnest([1, 2, 3]) AS k)),
+         k AS (SELECT w.*, marks.mark IS NULL OR e_us > marks.mark AS kept FROM w JOIN marks USING (b))"""
+
+
+@query("ST1_replayed_windows", with_ctes(_ARRIVALS + """
+    SELECT entity, fam, (e_us - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS t_hr, count(*) FILTER (kept) AS n, min(val) FILTER (kept) AS min, max(val) FILTER (kept) AS max,
+           arg_max(val, (u, val)) FILTER (kept) AS last, count(*) FILTER (NOT kept) AS late
+    FROM k WHERE e_us <= (SELECT max(mark) FROM ends) GROUP BY 1, 2, 3 HAVING count(*) FILTER (kept) > 0"""))
+def replayed_windows(spark, sf):
+    """Five batches with rows out of order, restarted from the checkpoint between them; rows behind the watermark are counted."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    delay = F.when(F.col("event_id") % 20 == 7, 240).otherwise(F.col("event_id") % 4) * F.lit(3_600_000_000)
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000) + delay
+
+    def job(rows):
+        return S.trailing_windows(rows, "user_id", "event_type", "ts", "value", "72 hours", "24 hours", "6 hours")
+
+    done = R.replay(R.by_arrival(ev, arrival, BORDERS), 5, job, scratch(spark, "replay"))
+    counted = R.late_rows(done, job(ev), ["user_id", "event_type", "at"])
+    hours = (F.unix_micros("at") - F.lit(1704067200000000)) / F.lit(3.6e9)
+    return counted.select(F.col("user_id").alias("entity"), F.col("event_type").alias("fam"), hours.alias("t_hr"), "n", "min", "max", "last", "late")
+
+
+@query("ST2_replayed_episodes", """
+    SELECT entity, u AS started_us FROM (SELECT user_id AS entity, epoch_us(ts) AS u, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE "value" >= 60)
+    WHERE before IS NULL OR u - before >= 172800000000""")
+def replayed_episodes(spark, sf):
+    """First alerts of episodes with two quiet days between them, over five batches; timers clear the state of ended episodes."""
+    ev = table(spark, sf, "events").select("ts", "user_id", "value")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
+    done = R.replay(R.by_arrival(ev, at, BORDERS), 5, lambda rows: S.alert_episodes(rows, "user_id", "ts", "value", 60.0, datetime.timedelta(days=2)), scratch(spark, "episodes"), stateful=True)
+    return done.select(F.col("user_id").alias("entity"), F.unix_micros("started").alias("started_us"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,3 +58,51 @@ def alert_once(stream: DataFrame, entity: str, ts: str, score: str, threshold: f
     kind = stream.schema[entity].dataType.simpleString()
     return alerts.groupBy(entity).transformWithStateInPandas(
         statefulProcessor=FirstAlert(entity, ts), outputStructType=f"{entity} {kind}, first_alert timestamp", outputMode="Append", timeMode="None")
+
+
+class AlertEpisodes(StatefulProcessor):
+    """Emits the first alert of each episode. State: the latest alert per entity, cleared by a timer once the episode is over.
+
+    The timer fires when the watermark has passed the quiet time after the latest alert, so only entities in an episode keep state. A new alert
+    moves the timer. The alert times of one entity in one batch are held in memory, eight bytes each.
+    """
+
+    def __init__(self, entity: str, ts: str, quiet_ms: int):
+        self.entity, self.ts, self.quiet_ms = entity, ts, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest_alert", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([pdf[self.ts].to_numpy("datetime64[us]").astype("int64") for pdf in rows]))
+        quiet = self.quiet_ms * 1000
+        known = self.latest.get()[0] if self.latest.exists() else None
+        gaps = np.diff(times, prepend=times[0] - quiet if known is None else min(known, times[0]))
+        starts = times[gaps >= quiet]
+        latest = int(times[-1]) if known is None else max(int(times[-1]), known)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.latest.update((latest,))
+        self.handle.registerTimer(-(-latest // 1000) + self.quiet_ms)
+        if len(starts):
+            yield pd.DataFrame({self.entity: [key[0]] * len(starts), "started": starts.astype("datetime64[us]")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.latest.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def alert_episodes(stream: DataFrame, entity: str, ts: str, score: str, threshold: float, quiet: datetime.timedelta, late: str = "0 seconds") -> DataFrame:
+    """One row per alert that has no alert of its entity in the quiet time before it (append mode). Needs the RocksDB state store.
+
+    Batches may hold their rows in any order. An alert that comes in a later batch than a younger one of its entity belongs to the episode in progress;
+    one behind the watermark is dropped. Null entities, times and scores give nothing.
+    """
+    alerts = stream.filter((F.col(score) >= threshold) & F.col(entity).isNotNull()).select(entity, F.col(ts).cast("timestamp").alias(ts)).filter(F.col(ts).isNotNull())
+    kind = stream.schema[entity].dataType.simpleString()
+    return alerts.withWatermark(ts, late).groupBy(entity).transformWithStateInPandas(
+        statefulProcessor=AlertEpisodes(entity, ts, int(quiet.total_seconds() * 1000)), outputStructType=f"{entity} {kind}, started timestamp", outputMode="Append", timeMode="EventTime")
