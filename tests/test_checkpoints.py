@@ -197,3 +197,14 @@ def test_values_at_one_time_give_one_summary(spark):
     tied = [(36.0, 3.0), (36.0, 1.0), (40.0, 7.0), (40.0, 2.0)]
     rows = {tuple(K.window_features(points(spark, 48), series(spark, order), ["entity"], ["x"]).first()) for order in (tied, tied[::-1])}
     assert len(rows) == 1
+
+
+def test_a_baseline_of_zero_is_an_infinite_fold(spark):
+    clock = K.Clock()
+    s = spark.createDataFrame([(1, 3.0, 0.0), (1, 30.0, 0.5), (2, 3.0, 0.0), (2, 30.0, 0.0), (3, 3.0, 1.0), (3, 30.0, 1.0)], "entity long, hr double, val double")
+    base = K.baseline(s, ["entity"], clock=clock)
+    assert {r["entity"]: r["prevalent"] for r in K.prevalent(s, base, ["entity"], clock=clock).collect()} == {1: 1, 2: 1, 3: 0}
+    assert {r["entity"]: r["onset_hr"] for r in K.onset_bin(s, base, ["entity"], clock=clock).collect()} == {1: 30.0, 2: 30.0, 3: None}
+    stay = s.select("entity").distinct().withColumn("los_h", F.lit(100.0))
+    assert {r["entity"]: r["status"] for r in K.event_axis(stay, s, ["entity"], clock=clock).collect()} == {1: "prevalent_or_no_base", 2: "prevalent_or_no_base", 3: "no_event"}
+    assert {r["entity"]: r["status"] for r in K.bin_axis(stay, s, ["entity"], clock=clock).collect()} == {1: "prevalent", 2: "prevalent", 3: "no_event"}

@@ -391,7 +391,7 @@ def diagnostic_rows(spark, sf):
     """Grid rows with onset, a trailing ratio feature and a score."""
     g = checkpoint_grid(spark, sf).withColumnRenamed("label", "y")
     w = K.window_features(g, analyte(spark, sf).withColumn("fam", F.lit("x")), ["entity"], ["x"], 168.0, CLOCK, locf=False).select("entity", "t_hr", "last", "max")
-    return g.join(w, ["entity", "t_hr"]).select("entity", "t_hr", "y", "onset_hr", (F.col("last") / F.col("base")).alias("ratio"), (F.col("last") - F.col("base")).alias("rise"), F.col("max").alias("p"))
+    return g.join(w, ["entity", "t_hr"]).select("entity", "t_hr", "y", "onset_hr", N.fold_of("last", "base").alias("ratio"), (F.col("last") - F.col("base")).alias("rise"), F.col("max").alias("p"))
 
 
 _DIAG = """dg AS MATERIALIZED (SELECT g.entity, g.t_hr, label AS y, onset_hr, last / base AS ratio, last - base AS rise, mx AS p FROM cgrid g LEFT JOIN
