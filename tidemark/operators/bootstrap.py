@@ -214,10 +214,11 @@ def score_blocks(df: DataFrame, unit: Sequence[str], y: str = "y", p: str = "p",
     if draws is not None:
         known = known.join(draws.extras, list(draws.unit), "left")
         cols.append("_extra")
-    rows = known.select(*cols)
-    if points is None:
-        rows = stage(rows)
-        points = split_points(rows, "_p", ROWS_PER_BLOCK)
+    # Given points are cuts besides those that the number of rows asks for: few of them would make pieces that grow with the table.
+    rows = stage(known.select(*cols))
+    if points is None or rows.count() > ROWS_PER_BLOCK:
+        points = [*(points or ()), *split_points(rows, "_p", ROWS_PER_BLOCK)]
+    points = sorted(set(map(float, points)))
     placed = add_piece(rows, "_p", points)
     sizes = placed.filter(single()).groupBy(PIECE).agg(F.ceil(F.count("*") / F.lit(ROWS_PER_BLOCK)).alias("_chunks"))
     # The partition is part of the chunk, since one unit may hold most rows of a score.
