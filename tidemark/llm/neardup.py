@@ -31,6 +31,8 @@ ROWS = 4
 LEAST_BITS = 192
 #: Shingles of a bucket that are compared in one task; a bucket with more is cut into blocks.
 BLOCK = 400_000
+#: Links that one task contracts at least; a step over few links is a few tasks, however many partitions the session shuffles into.
+LINKS_PER_TASK = 100_000
 
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,11 +245,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.select(F.greatest("__u", "__v").alias("__u"), F.least("__u", "__v").alias("__v")).filter("__u > __v").distinct())
     seen = mark(edges)
     while True:
-        wide = both(edges)
-        large = wide.join(minima(wide), F.col("__u") == F.col("__hub")).filter("__v > __u").select(F.col("__v").alias("__u"), F.col("__least").alias("__v")).distinct()
-        down = stage(large)
-        small = down.join(minima(down), F.col("__u") == F.col("__hub"))
-        edges = stage(small.select(F.col("__v").alias("__u"), F.col("__least").alias("__v")).union(small.select("__u", F.col("__least"))).filter("__u > __v").distinct())
+        tasks = 1 + seen[0] // LINKS_PER_TASK
+        wide = both(edges.coalesce(tasks))
+        large = wide.join(minima(wide), F.col("__u") == F.col("__hub")).filter("__v > __u").select(F.col("__v").alias("__u"), F.col("__least").alias("__v")).coalesce(tasks).distinct()
+        down = stage(large.coalesce(tasks))
+        small = down.join(minima(down), F.col("__u") == F.col("__hub")).coalesce(tasks)
+        edges = stage(small.select(F.col("__v").alias("__u"), F.col("__least").alias("__v")).union(small.select("__u", F.col("__least"))).filter("__u > __v").distinct().coalesce(tasks))
         now = mark(edges)
         if now == seen:
             break
