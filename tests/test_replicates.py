@@ -203,8 +203,7 @@ def test_hourly_slices_against_a_loop(spark):
 
 def test_given_points_leave_no_block_that_grows_with_the_table(spark, monkeypatch):
     rows = spark.range(4000).select(F.col("id").alias("entity"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.hash("id") / 4294967296.0 + 0.5).alias("p"))
-    whole = B.score_blocks(rows, ["entity"], points=[0.5])
-    assert max(r["count"] for r in whole.groupBy("_piece", "_chunk").count().collect()) > 1000  # fewer rows than a block may have
+    assert B.enough_points(rows, "y", "p", [0.5]) == [0.5]  # fewer rows than a block may have
     monkeypatch.setattr(B, "ROWS_PER_BLOCK", 200)
-    cut = B.score_blocks(rows, ["entity"], points=[0.5])
+    cut = B.score_blocks(rows, ["entity"], points=B.enough_points(rows, "y", "p", [0.5]))
     assert max(r["count"] for r in cut.groupBy("_piece", "_chunk").count().collect()) < 400

@@ -200,6 +200,14 @@ def score_strips(pdf: pd.DataFrame, replicates: int) -> tuple[np.ndarray, Iterat
     return score[starts], strips()
 
 
+def enough_points(df: DataFrame, y: str, p: str, points: Sequence[float] | None) -> list[float] | None:
+    """Given cuts and those that the number of rows asks for: few cuts alone would make pieces that grow with the table."""
+    known = known_pairs(df, y, p)
+    if points is None or known.count() <= ROWS_PER_BLOCK:
+        return points
+    return sorted({*map(float, points), *split_points(known, p, ROWS_PER_BLOCK)})
+
+
 def score_blocks(df: DataFrame, unit: Sequence[str], y: str = "y", p: str = "p", by: Sequence[str] = (), seed: int = 42, outer: str | None = None,
                  points: Sequence[float] | None = None, keep: Sequence[str] = (), draws: ExactDraws | None = None) -> DataFrame:
     """Rows in blocks of neighbouring scores: ``by``, ``keep``, ``_p``, ``_y``, the hash its draws come from (and further exact draws), the piece of the score axis and a chunk of it.
@@ -214,11 +222,10 @@ def score_blocks(df: DataFrame, unit: Sequence[str], y: str = "y", p: str = "p",
     if draws is not None:
         known = known.join(draws.extras, list(draws.unit), "left")
         cols.append("_extra")
-    # Given points are cuts besides those that the number of rows asks for: few of them would make pieces that grow with the table.
-    rows = stage(known.select(*cols))
-    if points is None or rows.count() > ROWS_PER_BLOCK:
-        points = [*(points or ()), *split_points(rows, "_p", ROWS_PER_BLOCK)]
-    points = sorted(set(map(float, points)))
+    rows = known.select(*cols)
+    if points is None:
+        rows = stage(rows)
+        points = split_points(rows, "_p", ROWS_PER_BLOCK)
     placed = add_piece(rows, "_p", points)
     sizes = placed.filter(single()).groupBy(PIECE).agg(F.ceil(F.count("*") / F.lit(ROWS_PER_BLOCK)).alias("_chunks"))
     # The partition is part of the chunk, since one unit may hold most rows of a score.
@@ -326,7 +333,7 @@ def bootstrap_discrimination(df: DataFrame, unit: Sequence[str] = ("entity",), y
     the rows, once for each pass, and (blocks x replicates) sums.
     """
     by = list(by)
-    blocks = stage(score_blocks(df, unit, y, p, by, seed, outer, points))
+    blocks = stage(score_blocks(df, unit, y, p, by, seed, outer, enough_points(df, y, p, points)))
     pieces = stage(_pieces(blocks, replicates, by))
     higher = Window.partitionBy(*by, "replicate").orderBy(F.desc(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.select(*by, "replicate", PIECE, "pos", "neg", *[F.coalesce(F.sum(c).over(higher), F.lit(0.0)).alias(n) for c, n in (("pos", "tp"), ("neg", "fp"))])

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import logit, recalibrate, safe_divide
-from tidemark.operators.bootstrap import bootstrap_areas, per_block, score_blocks, score_strips, single
+from tidemark.operators.bootstrap import bootstrap_areas, enough_points, per_block, score_blocks, score_strips, single
 from tidemark.operators.calibration import NEWTON_STEPS
 from tidemark.operators.discrimination import auroc_from_counts, known_pairs
 from tidemark.operators.ordered import PIECE, join_on
@@ -202,7 +202,8 @@ def calibration_replicates(df: DataFrame, entity: Sequence[str], replicates: int
     versions = F.array(F.struct(F.lit("raw").alias("version"), F.col(p).cast("double").alias("score")),
                        F.struct(F.lit("recalibrated").alias("version"), recalibrate(p, intercept, slope).alias("score")))
     by = ["version"]
-    blocks = score_blocks(known_pairs(df, y, p).select(*entity, y, F.inline(versions)), entity, y, "score", by, seed, None, points)
+    rows = known_pairs(df, y, p).select(*entity, y, F.inline(versions))
+    blocks = score_blocks(rows, entity, y, "score", by, seed, None, enough_points(rows, y, "score", points))
     blocks = stage(blocks.repartition(shuffle_width(df.sparkSession)))  # steps are arithmetic over few bytes
     long, double = T.LongType(), T.DoubleType()
     sums = per_block(blocks, by, lambda pdf: _moments(pdf, replicates), {"replicate": long, "n": double, "pos": double, "sq": double, "score": double})
