@@ -207,3 +207,31 @@ def test_given_points_leave_no_block_that_grows_with_the_table(spark, monkeypatc
     monkeypatch.setattr(B, "ROWS_PER_BLOCK", 200)
     cut = B.score_blocks(rows, ["entity"], points=B.enough_points(rows, "y", "p", [0.5]))
     assert max(r["count"] for r in cut.groupBy("_piece", "_chunk").count().collect()) < 400
+
+
+def test_further_draws_are_packed_counts(spark):
+    df = spark.range(0, 900, 1, 3).selectExpr("cast(id as string) AS entity")
+    draws = B.exact_draws(df, ["entity"], 130, rate=0.3)
+    placed = {r["entity"]: r["_position"] for r in L.unit_positions(df, ["entity"], 42).collect()}
+    packed = {r["entity"]: bytes(r["_extra"]) for r in draws.extras.collect()}
+    assert max(map(len, packed.values())) < 400  # 91 draws a unit: as a list of numbers 728 bytes or more
+    base = np.array([r["_base"] for r in df.select(B.draw_base(["entity"], 42).alias("_base")).collect()])
+    missing = 900 - B._poisson_matrix(base, draws.streams, draws.cuts).sum(0).astype(int)
+    rows = spark.createDataFrame([(i, int(s), slot) for i, (s, m) in enumerate(zip(draws.streams, missing)) for slot in range(1, m + 1)], "at int, stream long, slot long")
+    want = np.zeros((900, 130), int)
+    for r in rows.select("at", F.floor(B.draw_hash(F.col("slot"), F.col("stream")) / F.lit(4294967296.0) * 900).alias("position")).collect():
+        want[r["position"], r["at"]] += 1
+    for entity, position in placed.items():
+        assert (B._extra_counts([packed.get(entity)], 130)[0] == want[position]).all()
+
+
+def test_few_scores_are_summed_without_blocks(spark):
+    rows = [(f"e{i % 90}", None if i % 5 == 0 else i % 2, i % 3 - 1, i % 7 // 4, (i * 7 % 11) / 11) for i in range(900)]
+    df = spark.createDataFrame(rows, "entity string, g int, bin int, y int, p double").repartition(4)
+    assert B._few_scores(df, ["g", "y", "p"], 70)
+    by_score = {(r["g"], r["replicate"]): tuple(r) for r in B.bootstrap_auroc(df, replicates=70, by=["g"]).collect()}
+    blocks = {(r["g"], r["replicate"]): tuple(r) for r in B.bootstrap_auroc(df, replicates=70, by=["g"], points=[0.2, 0.5]).collect()}
+    assert by_score.keys() == blocks.keys() and all(by_score[k] == pytest.approx(blocks[k]) for k in blocks if k[0] is not None)
+    assert all(by_score[k][1:] == pytest.approx(blocks[k][1:]) for k in blocks)
+    areas = [{(r["g"], r["replicate"], r["bin"]): tuple(r)[3:] for r in B.bootstrap_areas(df, ["entity"], "bin", [0, 1], replicates=70, by=["g"], points=points).collect()} for points in (None, [0.2, 0.5])]
+    assert areas[0].keys() == areas[1].keys() and all(areas[0][k] == pytest.approx(areas[1][k]) for k in areas[0])
