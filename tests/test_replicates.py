@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import draw_hash, poisson_count
+from tidemark.functions.numeric import draw_hash, hash32, poisson_count
 from tidemark.operators import bootstrap as B
 from tidemark.operators import calibration as C
 from tidemark.operators import resampled as P
@@ -235,3 +235,17 @@ def test_few_scores_are_summed_without_blocks(spark):
     assert all(by_score[k][1:] == pytest.approx(blocks[k][1:]) for k in blocks)
     areas = [{(r["g"], r["replicate"], r["bin"]): tuple(r)[3:] for r in B.bootstrap_areas(df, ["entity"], "bin", [0, 1], replicates=70, by=["g"], points=points).collect()} for points in (None, [0.2, 0.5])]
     assert areas[0].keys() == areas[1].keys() and all(areas[0][k] == pytest.approx(areas[1][k]) for k in areas[0])
+
+
+def test_border_of_a_half_is_looked_for_in_a_band(spark, monkeypatch):
+    df = spark.range(0, 5000, 1, 3).selectExpr("id AS k", "id / 7 AS t")
+    units = df.select("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("repeat"), *[hash32("k", "t", "repeat", seed=s).alias(c) for s, c in ((42, "h"), (42 + L.TIE, "g"))]).collect()
+    want = {b: {x["k"] for x in sorted((x for x in units if x["repeat"] == b), key=lambda x: (x["h"], x["g"]))[:2500]} for b in (1, 2, 3)}
+    listed = []
+    keep = L.stage
+    for band in (4, 0):  # the second band is too narrow at first and is widened
+        monkeypatch.setattr(L, "BAND", band)
+        monkeypatch.setattr(L, "stage", lambda rows: listed.append(keep(rows)) or listed[-1])
+        got = L.exact_halves(df, ["k", "t"], 3).filter("half = 0").collect()
+        assert {b: {x["k"] for x in got if x["repeat"] == b} for b in (1, 2, 3)} == want
+        assert listed[0].count() < 3 * 1000
