@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import logit, safe_divide, sigmoid
 from tidemark.operators.discrimination import known_pairs, threshold_counts
-from tidemark.operators.ordered import bin_edges, bin_number, join_on
+from tidemark.operators.ordered import bin_edges, bin_number, few_groups, join_groups, join_on
 from tidemark.operators.sampling import exact_halves
 from tidemark.session import stage
 
@@ -48,7 +48,7 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[st
         counts = counts.filter(F.col("n") > 0)
     counts = stage(counts)
     edges = bin_edges(counts, p, bins, by, weight="n", points=points)
-    binned = join_on(counts, edges, by).withColumn("bin", bin_number(p))
+    binned = join_groups(counts, edges, by).withColumn("bin", bin_number(p))
     return binned.groupBy(*by, "bin").agg(
         F.sum("n").cast("long").alias("n"), F.sum("pos").cast("long").alias("n_pos"),
         (F.sum(F.col(p) * F.col("n")) / F.sum("n")).alias("predicted"),
@@ -82,8 +82,9 @@ def fit_counts(counts: DataFrame, by: Sequence[str] = (), steps: int = NEWTON_ST
     params = counts.groupBy(*by).agg(
         F.sum("n").cast("long").alias("n_rows"), F.sum("pos").cast("long").alias("n_pos"),
         F.when((rate > 0) & (rate < 1), F.log(rate / (1 - rate))).alias("a"), F.lit(0.0).alias("b"))
+    few = few_groups(params)  # a shuffle by few groups would leave each group's scores to one task
     for _ in range(steps):
-        at = join_on(counts, params, by)
+        at = join_on(counts, F.broadcast(params) if few else params, by)
         mu = sigmoid(F.col("a") + F.col("b") * F.col("_z"))
         z, r, w = F.col("_z"), F.col("pos") - F.col("n") * mu, F.col("n") * mu * (1 - mu)
         sums = at.groupBy(*by).agg(
@@ -100,7 +101,7 @@ def fit_counts(counts: DataFrame, by: Sequence[str] = (), steps: int = NEWTON_ST
 def apply_layer(df: DataFrame, layer: DataFrame, p: str = "p", by: Sequence[str] = (), name: str = "p_rec",
                 eps: float = 1e-12) -> DataFrame:
     """Recalibrated score from a layer table with one row per group."""
-    joined = join_on(df, layer.select(*by, F.col("a").alias("_a"), F.col("b").alias("_b")), list(by))
+    joined = join_groups(df, layer.select(*by, F.col("a").alias("_a"), F.col("b").alias("_b")), list(by))
     return joined.withColumn(name, sigmoid(F.col("_a") + F.col("_b") * logit(p, eps))).drop("_a", "_b")
 
 

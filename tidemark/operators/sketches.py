@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import join_on
+from tidemark.operators.ordered import join_groups
 
 SIZE = 800
 
@@ -60,7 +60,7 @@ def measured_errors(df: DataFrame, value: str, answers: DataFrame, probs: Mappin
     An answer holds the ranks from the rows below it to the rows up to it, so ties are no error.
     """
     by = list(by)
-    seen = join_on(df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")), answers.drop("n"), by)
+    seen = join_groups(df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")), answers.drop("n"), by)
     counts = [c for k in probs for c in (F.count_if(F.col("_v") < F.col(k)).alias(f"_b_{k}"), F.count_if(F.col("_v") <= F.col(k)).alias(f"_u_{k}"))]
     out = seen.groupBy(*by).agg(F.count("*").alias("n"), *counts)
     return out.select(*by, "n", *[F.greatest(F.lit(0.0), F.col(f"_b_{k}") / F.col("n") - p, p - F.col(f"_u_{k}") / F.col("n")).alias(f"e_{k}") for k, p in probs.items()])
