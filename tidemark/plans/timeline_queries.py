@@ -89,7 +89,8 @@ def cumulative(spark, sf):
 
 @query("J10_aligned_endpoints", with_ctes("SELECT count(*) AS n_keys, CAST(sum(CASE WHEN k = 3 THEN 1 ELSE 0 END) AS BIGINT) AS aligned, CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2, CAST(sum(c) AS BIGINT) AS n3 FROM (SELECT entity, t_hr, count(DISTINCT endpoint) AS k, max(CASE WHEN endpoint = 1 THEN y END) AS a, max(CASE WHEN endpoint = 2 THEN y END) AS b, max(CASE WHEN endpoint = 3 THEN y END) AS c FROM ends GROUP BY 1, 2)", "ends"))
 def aligned(spark, sf):
-    wide = endpoints(spark, sf).groupBy("entity", "t_hr").pivot("endpoint", [1, 2, 3]).agg(F.max("y"))
+    own = [F.max(F.when(F.col("endpoint") == e, F.col("y"))).alias(str(e)) for e in (1, 2, 3)]
+    wide = endpoints(spark, sf).groupBy("entity", "t_hr").agg(*own)
     return wide.agg(F.count("*").alias("n_keys"), F.count_if(F.col("1").isNotNull() & F.col("2").isNotNull() & F.col("3").isNotNull()).alias("aligned"),
                     F.sum("1").alias("n1"), F.sum("2").alias("n2"), F.sum("3").alias("n3"))
 
