@@ -77,17 +77,24 @@ class AlertEpisodes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times = np.sort(np.concatenate([pdf[self.ts].to_numpy("datetime64[us]").astype("int64") for pdf in rows]))
         quiet = self.quiet_ms * 1000
-        known = self.latest.get()[0] if self.latest.exists() else None
+        # Every call to the state is a round trip: one that reads it, and no other for a batch without a younger alert.
+        state = self.latest.get()
+        known = None if state is None else state[0]
         gaps = np.diff(times, prepend=times[0] - quiet if known is None else min(known, times[0]))
         starts = times[gaps >= quiet]
         latest = int(times[-1]) if known is None else max(int(times[-1]), known)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.latest.update((latest,))
-        self.handle.registerTimer(-(-latest // 1000) + self.quiet_ms)
+        if latest != known:
+            if known is not None:
+                self.handle.deleteTimer(self._over(known))  # state and timer come and go together
+            self.latest.update((latest,))
+            self.handle.registerTimer(self._over(latest))
         if len(starts):
             yield pd.DataFrame({self.entity: [key[0]] * len(starts), "started": starts.astype("datetime64[us]")})
 
+    def _over(self, latest: int) -> int:
+        """Time of the timer of an episode whose latest alert this is, in milliseconds."""
+        return -(-latest // 1000) + self.quiet_ms
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.latest.clear()
         return iter([])
