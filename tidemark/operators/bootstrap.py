@@ -363,11 +363,10 @@ def _few_scores(rows: DataFrame, cells: Sequence[str], replicates: int) -> bool:
     return distinct * replicates <= SUMS and distinct * ROWS_PER_SCORE <= n
 
 
-def _pieces_of_scores(rows: DataFrame, replicates: int, by: Sequence[str], stratum: str | None = None, strata: Sequence = (None,), draws: ExactDraws | None = None) -> DataFrame:
-    """The same sums with a piece per score, for tables with few scores: a task adds up its rows per score where they are, draws each unit of a batch once, and gives back one packed array
-    per score. What is shuffled depends on tasks and scores, not on rows."""
-    by = list(by)
-    cells = [*by, *([stratum] if stratum else []), "_p", "_y"]
+def sums_of_scores(rows: DataFrame, cells: Sequence[str], replicates: int, draws: ExactDraws | None = None) -> DataFrame:
+    """Packed draws of all replicates per cell (a score, its label and what else tells rows apart), once for every task: a task adds up its rows where they are and draws each unit of a
+    batch once. What is shuffled afterwards depends on tasks and cells, not on rows."""
+    cells = list(cells)
     sources = [c for c in ("_base", "_outer", "_extra") if c in rows.columns]
     drawn = draws and (draws.cuts, draws.streams)
 
@@ -398,6 +397,15 @@ def _pieces_of_scores(rows: DataFrame, replicates: int, by: Sequence[str], strat
         out["_sums"] = [zlib.compress(total[i].tobytes(), 1) for i in place.values()]
         yield out
 
+    rows = rows.withColumn("_y", F.when(F.col("_y") == 1, 1).otherwise(0))
+    return rows.select(*cells, *sources).mapInPandas(run, T.StructType([*[rows.schema[c] for c in cells], T.StructField("_sums", T.BinaryType())]))
+
+
+def _pieces_of_scores(rows: DataFrame, replicates: int, by: Sequence[str], stratum: str | None = None, strata: Sequence = (None,), draws: ExactDraws | None = None) -> DataFrame:
+    """The same sums with a piece per score, for tables with few scores (``sums_of_scores``)."""
+    by = list(by)
+    cells = [*by, *([stratum] if stratum else []), "_p", "_y"]
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pos, neg = np.zeros((len(strata), replicates), np.int64), np.zeros(replicates, np.int64)
         for i, (kind, sums) in enumerate(zip(pdf["_y"], pdf["_sums"])):
@@ -417,8 +425,7 @@ def _pieces_of_scores(rows: DataFrame, replicates: int, by: Sequence[str], strat
         return out[schema.names]
 
     double, key = T.DoubleType(), [stratum] if stratum else []
-    rows = rows.withColumn("_y", F.when(F.col("_y") == 1, 1).otherwise(0))
-    summed = rows.select(*cells, *sources).mapInPandas(run, T.StructType([*[rows.schema[c] for c in cells], T.StructField("_sums", T.BinaryType())]))
+    summed = sums_of_scores(rows, cells, replicates, draws)
     schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("replicate", T.LongType()), *[rows.schema[c] for c in key], *[T.StructField(c, double) for c in (PIECE, "pos", "neg", "area")]])
     return summed.groupBy(*by, "_p").applyInPandas(merge, schema)
 

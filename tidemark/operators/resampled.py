@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import logit, recalibrate, safe_divide
-from tidemark.operators.bootstrap import bootstrap_areas, enough_points, per_block, score_blocks, score_strips, single
+from tidemark.operators.bootstrap import STRIP, bootstrap_areas, drawn_rows, enough_points, _few_scores, per_block, score_blocks, score_strips, single, sums_of_scores
 from tidemark.operators.calibration import NEWTON_STEPS
 from tidemark.operators.discrimination import auroc_from_counts, known_pairs
 from tidemark.operators.ordered import PIECE, join_on
@@ -160,6 +161,19 @@ def _newton_sums(pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _newton_start(rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known = (rate > 0) & (rate < 1)
+    start = np.where(known, rate, 0.5)
+    return np.where(known, np.log(start / (1 - start)), np.nan), np.zeros(len(rate))
+
+
+def _newton_move(g0: np.ndarray, g1: np.ndarray, h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        det = h0 * h2 - h1 * h1
+        det = np.where(det == 0, np.nan, det)
+        return (h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det
+
+
 def replicate_layers(rows: DataFrame, rate: np.ndarray, steps: int = NEWTON_STEPS, near: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
     """Intercept and slope of the recalibration layer of every replicate.
 
@@ -167,9 +181,7 @@ def replicate_layers(rows: DataFrame, rate: np.ndarray, steps: int = NEWTON_STEP
     the draws of all replicates and give back five sums for each of them. Nothing is shuffled but these, and the driver holds two numbers per replicate. Steps end
     early once no replicate moves by more than ``near``.
     """
-    known = (rate > 0) & (rate < 1)
-    start = np.where(known, rate, 0.5)
-    a, b = np.where(known, np.log(start / (1 - start)), np.nan), np.zeros(len(rate))
+    a, b = _newton_start(rate)
     names = ("g0", "g1", "h0", "h1", "h2")
     for _ in range(steps):
         def run(batches: Iterator[pd.DataFrame], a=a, b=b) -> Iterator[pd.DataFrame]:
@@ -181,28 +193,85 @@ def replicate_layers(rows: DataFrame, rate: np.ndarray, steps: int = NEWTON_STEP
 
         sums = rows.mapInPandas(run, "replicate int, " + ", ".join(f"{c} double" for c in names)).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
         g0, g1, h0, h1, h2 = (sums.sort_values("replicate")[c].to_numpy() for c in names)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            det = h0 * h2 - h1 * h1
-            det = np.where(det == 0, np.nan, det)
-            da, db = (h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det
+        da, db = _newton_move(g0, g1, h0, h1, h2)
         a, b = a + da, b + db
         if not (np.nan_to_num(np.abs(da) + np.abs(db)) > near).any():
             break
     return a, b
 
 
+def _figures(score: np.ndarray, n: np.ndarray, pos: np.ndarray, bins: int) -> dict[str, np.ndarray]:
+    """Weight, positives, squared error and calibration error of every replicate (scores x replicates)."""
+    order = np.argsort(score, kind="stable")
+    score = score[order]
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    score, n, pos = score[starts], np.add.reduceat(n[order], starts, axis=0), np.add.reduceat(pos[order], starts, axis=0)
+    upto, total = np.cumsum(n, axis=0), n.sum(0)
+    sums = np.stack([np.concatenate([np.zeros((1, n.shape[1])), np.cumsum(x, axis=0)]) for x in (n, n * score[:, None], pos)])
+    ece = np.full(n.shape[1], np.nan)
+    for r in np.flatnonzero(total > 0):
+        at = np.arange(bins + 1) / bins * (total[r] - 1.0)
+        low, high = (score[np.searchsorted(upto[:, r], x, "right")] for x in (np.floor(at), np.ceil(at)))
+        edges = np.array(list(dict.fromkeys(low + (high - low) * (at - np.floor(at)))))
+        border = np.r_[0, np.searchsorted(score, edges[1:-1], "right"), len(score)]
+        held, predicted, observed = np.diff(sums[:, border, r], axis=1)
+        ece[r] = np.abs(predicted - observed)[held > 0].sum() / total[r]
+    return {"n": total, "pos": pos.sum(0), "sq": (1.0 - score) ** 2 @ pos + score ** 2 @ (n - pos), "ece": ece}
+
+
+def _layer_slopes(z: np.ndarray, n: np.ndarray, pos: np.ndarray, steps: int, near: float = 1e-10) -> np.ndarray:
+    """Slopes of the recalibration layers of every replicate (logits x replicates)."""
+    total = n.sum(0)
+    a, b = _newton_start(np.divide(pos.sum(0), total, out=np.full(len(total), np.nan), where=total > 0))
+    powers = np.stack([np.ones(len(z)), z, z * z])
+    for _ in range(steps):
+        mu = 1.0 / (1.0 + np.exp(-(a + z[:, None] * b)))
+        da, db = _newton_move(*(powers[:2] @ (pos - n * mu)), *(powers @ (n * mu * (1.0 - mu))))
+        a, b = a + da, b + db
+        if not (np.nan_to_num(np.abs(da) + np.abs(db)) > near).any():
+            break
+    return b
+
+
+def _calibration_by_score(rows: DataFrame, replicates: int, intercept: float, slope: float, steps: int, bins: int) -> DataFrame:
+    """The figures of all replicates from sums per score, for tables with few scores. Rows are drawn once and never shuffled; then a task holds the sums of all scores for a strip of replicates."""
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, pos = np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)
+        for kind, sums in zip(pdf["_y"], pdf["_sums"]):
+            sums = np.frombuffer(zlib.decompress(sums), np.int64)
+            n += sums
+            if kind == 1:
+                pos += sums
+        lows = range(0, replicates, STRIP)
+        return pd.DataFrame({"_p": pdf["_p"].iloc[0], "_low": np.array(lows, np.int32), "_n": [n[lo:lo + STRIP].tobytes() for lo in lows], "_pos": [pos[lo:lo + STRIP].tobytes() for lo in lows]})
+
+    def figures(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, pos = (np.frombuffer(b"".join(map(bytes, pdf[c])), np.int64).reshape(len(pdf), -1).astype(np.float64) for c in ("_n", "_pos"))
+        layers = _layer_slopes(pdf["_z"].to_numpy(), n, pos, steps)
+        parts = [pd.DataFrame({"replicate": np.arange(key[0] + 1, key[0] + 1 + n.shape[1]), "version": version, **_figures(pdf[score].to_numpy(), n, pos, bins), "slope": layers / scale})
+                 for version, score, scale in (("raw", "_p", 1.0), ("recalibrated", "_r", slope if slope else np.nan))]
+        return pd.concat(parts)
+
+    merged = sums_of_scores(rows, ["_p", "_y"], replicates).groupBy("_p").applyInPandas(merge, "_p double, _low int, _n binary, _pos binary")
+    scored = merged.select("_p", logit("_p").alias("_z"), recalibrate("_p", intercept, slope).alias("_r"), "_low", "_n", "_pos")
+    return scored.groupBy("_low").applyInPandas(figures, "replicate long, version string, n double, pos double, sq double, ece double, slope double")
+
+
 def calibration_replicates(df: DataFrame, entity: Sequence[str], replicates: int, intercept: float, slope: float, y: str = "y", p: str = "p",
                            seed: int = 42, steps: int = NEWTON_STEPS, bins: int = 10, points: Sequence[float] | None = None) -> DataFrame:
     """Slope, calibration error, Brier score and skill, raw and recalibrated, for every replicate.
 
     Works on blocks of neighbouring scores, whose rows are shuffled and never multiplied. Moments come from matrix products per block. Quantile edges are ranks: running weights of the blocks
     say in which block a rank of a replicate lies, and that block looks up its score. Bin sums and Newton steps then take the edges and parameters of all replicates to the blocks; the driver
-    holds a few numbers per replicate.
+    holds a few numbers per replicate. Where there are few scores and no cuts are given, rows are drawn once and summed per score instead, and all figures come from these sums.
     """
+    known = known_pairs(df, y, p)
+    if points is None and _few_scores(known, [y, p], replicates):
+        return _replicate_figures(_calibration_by_score(drawn_rows(known, entity, y, p, seed=seed), replicates, intercept, slope, steps, bins))
     versions = F.array(F.struct(F.lit("raw").alias("version"), F.col(p).cast("double").alias("score")),
                        F.struct(F.lit("recalibrated").alias("version"), recalibrate(p, intercept, slope).alias("score")))
     by = ["version"]
-    rows = known_pairs(df, y, p).select(*entity, y, F.inline(versions))
+    rows = known.select(*entity, y, F.inline(versions))
     blocks = score_blocks(rows, entity, y, "score", by, seed, None, enough_points(rows, y, "score", points))
     blocks = stage(blocks.repartition(shuffle_width(df.sparkSession)))  # steps are arithmetic over few bytes
     long, double = T.LongType(), T.DoubleType()
@@ -242,6 +311,10 @@ def calibration_replicates(df: DataFrame, entity: Sequence[str], replicates: int
     out = moments.merge(errors, on=["version", "replicate"], how="left")
     out["slope"] = [layers[r - 1] / scale[v] for v, r in zip(out["version"], out["replicate"], strict=True)]
     out = df.sparkSession.createDataFrame(out.astype(object).where(out.notna(), None), "version string, replicate long, n double, pos double, sq double, ece double, slope double")
+    return _replicate_figures(out)
+
+
+def _replicate_figures(out: DataFrame) -> DataFrame:
     prevalence = safe_divide(F.col("pos"), F.col("n"))
     null, error = prevalence * (1 - prevalence), safe_divide(F.col("sq"), F.col("n"))
     return out.select("replicate", "version", F.col("n").cast("long").alias("n"), error.alias("brier"), prevalence.alias("prevalence"), null.alias("brier_null"), (1 - safe_divide(error, null)).alias("skill"), "ece", "slope")
