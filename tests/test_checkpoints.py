@@ -208,3 +208,14 @@ def test_a_baseline_of_zero_is_an_infinite_fold(spark):
     stay = s.select("entity").distinct().withColumn("los_h", F.lit(100.0))
     assert {r["entity"]: r["status"] for r in K.event_axis(stay, s, ["entity"], clock=clock).collect()} == {1: "prevalent_or_no_base", 2: "prevalent_or_no_base", 3: "no_event"}
     assert {r["entity"]: r["status"] for r in K.bin_axis(stay, s, ["entity"], clock=clock).collect()} == {1: "prevalent", 2: "prevalent", 3: "no_event"}
+
+
+def test_plain_statistics_equal_those_from_lists(spark):
+    rows = [(f, float(h), float(h * 7 % 11)) for f in ("x", "z") for h in (*range(1, 30, 2), *range(40, 48))]
+    s = spark.createDataFrame([(1, *r) for r in rows], "entity int, fam string, hr double, val double")
+    grid = spark.createDataFrame([(1, float(t)) for t in range(24, 84, 6)], "entity int, t_hr double")
+    names = ["entity", "fam", "t_hr", "last", "min", "max", "n", "h_last"]
+    full = K.window_features(grid, s, ["entity"], ["x", "z", "none"], 24.0, locf=False).select(*names)
+    plain = K.window_features(grid, s, ["entity"], ["x", "z", "none"], 24.0, locf=False, stats=names[3:])
+    assert plain.columns == names and plain.dtypes == full.dtypes
+    assert sorted(map(str, plain.collect())) == sorted(map(str, full.collect())) and plain.count() == 30

@@ -169,3 +169,11 @@ def test_first_alert_aggregate(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.first_alert for r in spark.table("first_alerts").collect()] == [t0 + datetime.timedelta(hours=1)]
+
+
+def test_rows_of_several_fits_are_kept_only_while_they_run(spark, monkeypatch):
+    df = spark.range(200).selectExpr("cast(id % 7 as double) AS a", "cast(id % 5 as double) AS b", "cast(id % 2 as int) AS y", "cast(id % 2 as int) AS z")
+    seen = []
+    monkeypatch.setattr(M, "train_trees", lambda rows, features, y, settings: seen.append((rows.columns, rows.storageLevel.useMemory)) or y)
+    assert M.endpoint_models(df, ["a", "b"], ["y", "z"], QUICK) == {"y": "y", "z": "z"}
+    assert seen == [(["a", "b", "y", "z"], True)] * 2 and not df.select("a", "b", "y", "z").storageLevel.useMemory
