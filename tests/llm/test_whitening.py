@@ -82,3 +82,23 @@ def test_factors_give_the_gram_matrix(spark):
     assert np.allclose((model.axes * model.variances) @ model.axes.T, a.T @ a / len(x), rtol=1e-9, atol=1e-3)
     one, _, few = whitening.one_length(df.withColumn("x", F.when(F.rand(1) < 0.1, F.slice("x", 1, 2)).otherwise(F.col("x"))), "x")
     assert few == one.count() > 300
+
+
+@pytest.mark.parametrize("far,kind", [(24_000.0, "bigint"), (1e9, "decimal(38,0)")])
+def test_deviations_near_and_beyond_a_long(spark, tmp_path, far, kind):
+    # the first has entries whose square times the dimension is beyond a long, while every sum is within
+    r = np.random.default_rng(6)
+    vectors = [[far * (-1) ** i, *map(float, r.normal(size=63))] for i in range(40)]
+    out = write(spark, tmp_path, vectors)
+    n, deviation, *_ = brute(vectors)
+    assert dict(out.dtypes)["deviation"] == kind and max(deviation.values()) > 2 ** 59
+    got = out.collect()
+    assert len(got) == 320 and all(int(x["deviation"]) == deviation[x["vec_id"]] for x in got)
+
+
+def test_deviations_of_a_large_table(spark):
+    x = np.array([[100_000, 100_500], [99_400, 100_020]])
+    model = whitening.Whitening(4_000_000_000, x.mean(0).astype(np.int64) * 4_000_000_000, np.eye(2), np.ones(2), 2.0)
+    got = whitening.whiten(spark.createDataFrame([(v.tolist(),) for v in x], "x array<long>"), "x", model, 1)
+    want = [sum((model.n * int(a) - int(s)) ** 2 for a, s in zip(v, model.sums)) for v in x]
+    assert dict(got.dtypes)["deviation"] == "decimal(38,0)" and sorted(int(r["deviation"]) for r in got.collect()) == sorted(want) and min(want) > 2 ** 63

@@ -23,6 +23,8 @@ PASSES = 8
 #: Axes with less than this share of the largest variance are rounding errors.
 RANK = 1e-13
 UNIT = np.finfo(float).eps / 2
+#: Whole numbers that doubles put below this are below 2^63, rounding included.
+LONG = 2.0 ** 63 * (1 - 1e-9)
 
 
 class Whitening(NamedTuple):
@@ -146,27 +148,47 @@ def projections(rows: np.ndarray, model: Whitening, components: int) -> np.ndarr
     return (rows - model.sums / model.n) @ (model.axes[:, :components] * model.scales(components))
 
 
+def deviations(rows: np.ndarray, model: Whitening) -> np.ndarray:
+    """Sum over dimensions of (n * x - sum)^2 of each row, exact: as longs, or as Python's whole numbers where longs may not hold the way to them."""
+    sums = model.sums
+    if (rows.astype(float) ** 2).max() * model.n ** 2 >= LONG ** 2 or ((rows - sums / model.n) ** 2).sum(1).max() * model.n ** 2 >= LONG:
+        rows, sums = rows.astype(object), sums.astype(object)
+    return ((rows * model.n - sums) ** 2).sum(1)
+
+
+def fits_long(df: DataFrame, vector: str, model: Whitening) -> bool:
+    """Whether every deviation fits into a long. Reads the rows once, unless there are so few that one of them could be all of the variance."""
+    if model.n ** 3 * model.trace < LONG:
+        return True
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [((rows_of(b, vector) - model.sums / model.n) ** 2).sum(1).max() for b in batches if b.num_rows]
+        yield pa.RecordBatch.from_arrays([pa.array([max(parts, default=0.0)])], ["part"])
+
+    found = df.select(vector).mapInArrow(largest, "part double").agg(F.max("part")).first()[0]
+    return (found or 0.0) * model.n ** 2 < LONG
+
+
 def whiten(df: DataFrame, vector: str, model: Whitening, components: int = 8) -> DataFrame:
-    """Adds ``deviation`` (long: the sum over dimensions of (n * x - sum)^2, exact) and ``whitened`` (one double per component) to each row.
+    """Adds ``deviation`` (the sum over dimensions of (n * x - sum)^2, exact) and ``whitened`` (one double per component) to each row.
 
-    Columns of these names are replaced. Rows whose vector has another length than the model's are left out. An axis without variance gives null. Raises where
-    the deviation may not fit into a long.
+    Columns of these names are replaced. Rows whose vector has another length than the model's are left out. An axis without variance gives null. The deviation
+    grows with the square of the number of rows: it is a long where every row's fits into one, else a decimal of 38 digits; more digits are an error.
     """
     components = min(components, model.dimension)
     df = df.drop("deviation", "whitened").filter(F.size(vector) == model.dimension)
-    kinds = StructType([*df.schema.fields]).add("deviation", "long").add("whitened", ArrayType(DoubleType()))
+    kind, arrow = ("long", pa.int64()) if fits_long(df, vector, model) else ("decimal(38,0)", pa.decimal128(38, 0))
+    kinds = StructType([*df.schema.fields]).add("deviation", kind).add("whitened", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x = rows_of(b, vector).astype(np.int64)
-            if model.dimension * (np.abs(x.astype(float) * model.n - model.sums).max()) ** 2 >= 2.0 ** 63:
-                raise OverflowError("the deviation does not fit into a long")
-            deviation = ((x * model.n - model.sums) ** 2).sum(1)
+            deviation = pa.array(deviations(x, model).tolist(), arrow)
             flat = pa.array(projections(x, model, components).ravel(), from_pandas=True)
             offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * components)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(deviation), pa.ListArray.from_arrays(offsets, flat)], [*b.schema.names, "deviation", "whitened"])
+            yield pa.RecordBatch.from_arrays([*b.columns, deviation, pa.ListArray.from_arrays(offsets, flat)], [*b.schema.names, "deviation", "whitened"])
 
     return df.mapInArrow(run, kinds)
 
