@@ -264,3 +264,14 @@ def test_calibration_of_a_single_class_has_no_slope(spark):
     df = spark.createDataFrame([(f"e{i % 9}", 1, 0.3 + i % 2 / 10) for i in range(90)], "entity string, y int, p double")
     got = P.calibration_replicates(df, ["entity"], 5, -0.2, 0.7).collect()
     assert len(got) == 10 and all(r["slope"] is None and r["n"] > 0 and r["ece"] is not None for r in got)
+
+
+def test_calibration_of_few_scores_takes_no_blocks_under_given_cuts(spark, monkeypatch):
+    rows = [(f"e{i % 90}", None if i % 50 == 0 else int(i * 13 % 7 < 3), (i * 7 % 11 + 1) / 13) for i in range(900)]
+    df = spark.createDataFrame(rows, "entity string, y int, p double").repartition(4)
+    with monkeypatch.context() as m:
+        m.setattr(P, "_few_scores", lambda *args: False)
+        blocks = {(r["replicate"], r["version"]): tuple(r)[2:] for r in P.calibration_replicates(df, ["entity"], 70, -0.2, 0.7, points=[0.2, 0.5]).collect()}
+    monkeypatch.setattr(P, "score_blocks", None)
+    got = {(r["replicate"], r["version"]): tuple(r)[2:] for r in P.calibration_replicates(df, ["entity"], 70, -0.2, 0.7, points=[0.2, 0.5]).collect()}
+    assert len(got) == 140 and got.keys() == blocks.keys() and all(got[k] == pytest.approx(blocks[k], abs=1e-9) for k in got)

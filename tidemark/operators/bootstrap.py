@@ -398,7 +398,8 @@ def sums_of_scores(rows: DataFrame, cells: Sequence[str], replicates: int, draws
         yield out
 
     rows = rows.withColumn("_y", F.when(F.col("_y") == 1, 1).otherwise(0))
-    return rows.select(*cells, *sources).mapInPandas(run, T.StructType([*[rows.schema[c] for c in cells], T.StructField("_sums", T.BinaryType())]))
+    rows = rows.select(*cells, *sources).sortWithinPartitions("_base")  # a unit's rows meet in a batch
+    return rows.mapInPandas(run, T.StructType([*[rows.schema[c] for c in cells], T.StructField("_sums", T.BinaryType())]))
 
 
 def _pieces_of_scores(rows: DataFrame, replicates: int, by: Sequence[str], stratum: str | None = None, strata: Sequence = (None,), draws: ExactDraws | None = None) -> DataFrame:

@@ -263,10 +263,11 @@ def calibration_replicates(df: DataFrame, entity: Sequence[str], replicates: int
 
     Works on blocks of neighbouring scores, whose rows are shuffled and never multiplied. Moments come from matrix products per block. Quantile edges are ranks: running weights of the blocks
     say in which block a rank of a replicate lies, and that block looks up its score. Bin sums and Newton steps then take the edges and parameters of all replicates to the blocks; the driver
-    holds a few numbers per replicate. Where there are few scores and no cuts are given, rows are drawn once and summed per score instead, and all figures come from these sums.
+    holds a few numbers per replicate. Where there are few scores, rows are drawn once and summed per score instead, and all figures come from these sums; given cuts (``points``) are for
+    blocks only and decide on nothing but the way.
     """
     known = known_pairs(df, y, p)
-    if points is None and _few_scores(known, [y, p], replicates):
+    if _few_scores(known, [y, p], replicates):
         return _replicate_figures(_calibration_by_score(drawn_rows(known, entity, y, p, seed=seed), replicates, intercept, slope, steps, bins))
     versions = F.array(F.struct(F.lit("raw").alias("version"), F.col(p).cast("double").alias("score")),
                        F.struct(F.lit("recalibrated").alias("version"), recalibrate(p, intercept, slope).alias("score")))

@@ -179,7 +179,7 @@ def calibration_replicates(spark, sf):
 
 @query("E18_calibration_intervals", with_ctes(f"WITH {_CAL} SELECT version, count(*) AS n_valid, {r('avg(ece)')} AS mean, {r('stddev_samp(ece)')} AS se, {r('quantile_cont(ece, 0.025)')} AS lo, {r('quantile_cont(ece, 0.975)')} AS hi FROM m JOIN c USING (g) GROUP BY 1", "pred"))
 def calibration_intervals(spark, sf):
-    """Interval of the calibration error, from replicates over many score blocks."""
+    """Interval of the calibration error, from replicates (over many score blocks where scores are many)."""
     reps = P.calibration_replicates(predictions(spark, sf), ["entity"], CAL_REPLICATES, *LAYER, steps=1, points=[0.1, 0.14, 0.17, 0.2, 0.26, 0.31])
     return rounded(B.interval(reps, "ece", ["version"]))
 
