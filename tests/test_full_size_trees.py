@@ -12,7 +12,7 @@ QUERIES, _ = load()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
 
-@pytest.mark.parametrize("name,fits", [("L15_ablation", 6)])
+@pytest.mark.parametrize("name,fits", [("L11_selection_stability", 15), ("L15_ablation", 6)])
 def test_every_fit_is_of_full_size(spark, monkeypatch, name, fits):
     asked, fit = [], M.train_trees
 
@@ -26,7 +26,9 @@ def test_every_fit_is_of_full_size(spark, monkeypatch, name, fits):
 
 
 def test_fits_of_a_large_table_run_a_few_at_a_time(spark, monkeypatch):
-    rows = spark.range(30)
-    assert M.side_by_side(rows) == 16
+    rows = spark.range(0, 30, 1, 5)
+    read, at_once = M.side_by_side(rows)
+    assert at_once == 16 and read.rdd.getNumPartitions() == 1 and read.count() == 30
     monkeypatch.setattr(M, "ROWS_PER_TASK", 29)
-    assert M.side_by_side(rows) == 4
+    read, at_once = M.side_by_side(rows)
+    assert at_once == 4 and read.rdd.getNumPartitions() == 5
